@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import line_dedup
+from . import decontamination, line_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
+    "op7_benchmark_decontamination": decontamination.ORACLE_OP7,
 }

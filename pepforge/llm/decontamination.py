@@ -199,7 +199,7 @@ def searcher(windows: Windows, slop: int | None):
                 new = np.flatnonzero(np.diff(hit, prepend=-2) > 1) if len(hit) else np.zeros(0, int)
                 new = np.union1d(new, np.flatnonzero(np.diff(hit_doc, prepend=-1) > 0)).astype(int)
                 runs = defaultdict(list)
-                for a, z in zip(new, [*new[1:], len(hit)], strict=True):
+                for a, z in zip(new, np.append(new[1:], len(hit))[: len(new)], strict=True):
                     d = int(hit_doc[a])
                     runs[d].append({"first": int(hit[a] - s.doc_starts[d]), "last": int(hit[z - 1] - s.doc_starts[d])})
                 sizes = (s.doc_ends - s.doc_starts).tolist()

@@ -1,10 +1,12 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, line_dedup
+from . import decontamination, line_dedup, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {

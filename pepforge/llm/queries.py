@@ -1,11 +1,13 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, line_dedup, quality, toxicity
+from . import decontamination, line_dedup, mixing, near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
+    "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 

@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
                 out.append(x.tobytes())
             yield pd.DataFrame({"part": b.part, "x": out})
 
-    read = rows.mapInPandas(dense, "part int, x binary").orderBy("part", "x").toPandas()
+    read = rows.mapInPandas(dense, "part int, x binary").toPandas().sort_values(["part", "x"])
     x = np.array([np.frombuffer(v, np.float32) for v in read.x], np.float64).reshape(len(read), k)
     part = read.part.to_numpy()
     return Model(features, *nnpu(x[part == 1], x[part == 0], float(np.clip(prior, 1e-4, 1 - 1e-4))))

@@ -1,17 +1,22 @@
 """The registered queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontamination, line_dedup, mixing, near_dedup, quality, toxicity
+from . import chat_format, decontamination, hamming_search, html_extract, license_scan, line_dedup, mixing, near_dedup, quality, toxicity
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op3_exact_topk": hamming_search.op3_exact_topk,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op5_minhash_near_dedup": near_dedup.op5_minhash_near_dedup,
+    "op6_html_extract": html_extract.op6_html_extract,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
+    "op3_exact_topk": hamming_search.ORACLE_OP3,
     "op7_benchmark_decontamination": decontamination.ORACLE_OP7,
 }

@@ -8,9 +8,9 @@
    whether it can still reach the threshold; if that probability is under ``miss``, the pair is pruned.
 4. Survivors are verified exactly on their full sets, and verified links merged into components.
 5. What the stars don't reach: in each bucket with more than one component left, the members of different components are compared
-   (signatures only, in blocks of bounded size that are dealt over the tasks) and survivors verified, again through step 4. Pairs
-   inside a component need no test, as they can't change it. So no link between different components is lost but by the chances
-   of step 2 and 3, and no bucket has a cap.
+   by step 3, in blocks of bounded size that are dealt over the tasks, and survivors are verified on their full sets, part by
+   part rather than pair by pair. Pairs inside a component need no test, as they can't change it. So no link between different
+   components is lost but by the chances of steps 2 and 3, and no bucket has a cap.
 
 With 28 bands of 4 rows a pair at similarity 0.8 shares no band with a chance of 4e-7.
 
@@ -150,18 +150,23 @@ def signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint32).reshape(len(column), N_HASHES)
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The hash of each band of each signature."""
+    sig = sig.reshape(len(sig), BANDS, ROWS)
+    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(sig), BANDS)).copy()
+    for r in range(ROWS):
+        h = scrambled(h ^ sig[:, :, r].astype(np.uint64) + np.uint64(r + 1))
+    return h.view(np.int64)
+
+
 def band_rows(classes: DataFrame) -> DataFrame:
     """(bucket, node) for each band of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band = np.arange(BANDS, dtype=np.uint64)
         for b in batches:
             nodes = b.column("node").to_numpy()
-            sig = signatures(b.column("signature").to_pylist()).reshape(len(nodes), BANDS, ROWS)
-            h = np.broadcast_to(band * np.uint64(0x9E3779B97F4A7C15), (len(nodes), BANDS)).copy()
-            for r in range(ROWS):
-                h = scrambled(h ^ sig[:, :, r].astype(np.uint64) + np.uint64(r + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(nodes, BANDS))], ["bucket", "node"])
+            keys = band_keys(signatures(b.column("signature").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(nodes, BANDS))], ["bucket", "node"])
 
     return classes.select("node", "signature").mapInArrow(run, "bucket long, node long")
 
@@ -178,9 +183,8 @@ def pruned(pairs: DataFrame, classes: DataFrame, least: np.ndarray) -> DataFrame
     return pairs.join(b, "v").join(a, "u").filter(survives("a", "b")).select("u", "v").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+def set_rows(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, shingles): the full sets of the nodes' texts; one more for each further text with the same doc_id."""
     own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +193,12 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
             found = [shingler.of_text(t.as_py()).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    full = saved(own.mapInArrow(sets, "node long, shingles binary").filter(F.length("shingles") > 0).distinct(), "near-sets")
+    return own.mapInArrow(sets, "node long, shingles binary").filter(F.length("shingles") > 0).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
+    full = saved(set_rows(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), width), "near-sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -221,32 +230,86 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def open_pairs(buckets: DataFrame, label: DataFrame, classes: DataFrame, least: np.ndarray, block: int) -> DataFrame:
-    """Pairs of different components in a bucket that survive the comparison of signatures.
+def open_candidates(buckets: DataFrame, label: DataFrame, classes: DataFrame, least: np.ndarray, block: int) -> DataFrame:
+    """(u, part, vs): for a node u the nodes vs of other components that share a bucket with it and survive the comparison of
+    signatures, by part (about block nodes each, see ``parts``). u is of the smaller component; a pair is given once.
 
     A bucket's members are dealt into blocks of about block members; each task compares two blocks. Pairs with the bucket's
-    smallest member have been tested already.
+    smallest member have been tested already. A pair that shares several bands is compared in the first of those only.
     """
-    held = buckets.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = parts(buckets.select("node").distinct(), label, block)
+    held = buckets.join(held, "node")
     size = held.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"), F.min("node").alias("star"))
     size = size.filter((F.col("n") > 2) & (F.col("c1") < F.col("c2"))).select("bucket", "star", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     rows = held.join(size, "bucket").filter("node <> star").join(classes.select("node", "signature"), "node")
     mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "component", "signature")
+    rows = rows.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "component", "size", "part", "signature")
 
     def compare(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("node")
-        node, comp, sig = own.node.to_numpy(), own.component.to_numpy(), signatures(own.signature)
-        us, vs = [], []
+        bucket, across = own.bucket.iloc[0], own.i.iloc[0] != own.j.iloc[0]
+        own = own.sort_values(["size", "component", "node"])
+        node, comp, part, mine = (own[c].to_numpy() for c in ("node", "component", "part", "mine"))
+        sig = signatures(own.signature)
+        bands = band_keys(sig)
+        out = []
         for k in range(len(own) - 1):
-            rest = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
+            other = comp[k + 1 :] != comp[k]
+            if across:
+                other &= mine[k + 1 :] != mine[k]
+            rest = np.flatnonzero(other) + k + 1
+            shared = bands[rest] == bands[k]
+            rest = rest[bands[k][shared.argmax(axis=1)] == bucket]
             hits = rest[plausible(np.broadcast_to(sig[k], (len(rest), N_HASHES)), sig[rest], least)]
-            us.append(np.full(len(hits), node[k]))
-            vs.append(node[hits])
-        return pd.DataFrame({"u": np.concatenate([*us, np.zeros(0, np.int64)]), "v": np.concatenate([*vs, np.zeros(0, np.int64)])}).astype("int64")
+            out += [(node[k], p, node[hits[part[hits] == p]]) for p in np.unique(part[hits])]
+        return pd.DataFrame(out, columns=["u", "part", "vs"])
+
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, part long, vs array<long>")
+
+
+def parts(nodes: DataFrame, label: DataFrame, block: int) -> DataFrame:
+    """(node, component, size of the component, part): nodes dealt into parts of about block, those of a large component by
+    themselves."""
+    held = nodes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    held = held.join(held.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+    n = max(1, -(-nodes.count() // block))
+    large = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / block).cast("long")))
+    return held.withColumn("part", F.when(F.col("size") >= block, large).otherwise(F.pmod(F.xxhash64("component"), F.lit(n))))
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+    """The links (u, v) among candidates (u, part, vs) on full sets. members: node, part.
+
+    The sets of a part's nodes meet the sets of the nodes u that have candidates there: a set goes to as many tasks as it has
+    parts with candidates, however many pairs these are. Where a part has many such nodes, they are dealt over several tasks.
+    """
+    wanted = candidates.select("u", F.explode("vs").alias("v")).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    full = saved(set_rows(docs, wanted, width), "near-sets")
+    asked = candidates.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
+    left = candidates.join(asked, "part").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
+    left = left.join(full.withColumnRenamed("node", "u"), "u").select("part", "salt", "u", "vs", "shingles")
+    right = members.join(full, "node").join(asked, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("part", "salt", "node", "shingles")
+
+    def check(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(own) and len(held):
+            sets = [np.frombuffer(x, np.uint64) for x in held.shingles]
+            sizes = np.array([len(x) for x in sets])
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+            nodes = held.node.to_numpy()
+            for u, vs, x in zip(own.u, own.vs, own.shingles, strict=True):
+                x = np.frombuffer(x, np.uint64)
+                at = np.searchsorted(known, x)
+                at[at == len(known)] = 0
+                mark = np.zeros(len(known), np.int32)
+                mark[at[known[at] == x]] = 1
+                both = np.add.reduceat(mark[ids], starts)
+                ok = (100 * both >= percent * (len(x) + sizes - both)) & np.isin(nodes, vs)
+                found += [(u, v) for v in nodes[ok]]
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return left.groupBy("part", "salt").cogroup(right.groupBy("part", "salt")).applyInPandas(check, "u long, v long").distinct()
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-7, block: int = 512) -> DataFrame:
@@ -261,9 +324,11 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
     pairs = buckets.filter("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v")).distinct()
     links = saved(verified(saved(pruned(pairs, classes, least), "near-pairs"), docs, width, percent), "near-verified")
     label = components(links)
-    more = saved(open_pairs(buckets.select("bucket", "node"), label, classes, least, block), "near-pairs")
+    buckets = buckets.select("bucket", "node")
+    more = saved(open_candidates(buckets, label, classes, least, block), "near-open")
     if more.limit(1).count():
-        links = links.unionAll(verified(more, docs, width, percent))
+        members = parts(buckets.select("node").distinct(), label, block).select("node", "part")
+        links = links.unionAll(verified_in_parts(more, members, docs, width, percent, block))
         label = components(links)
     merged = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     merged = merged.filter("copies > 1 OR component <> node").select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), "component")

@@ -79,7 +79,9 @@ class Segments:
                         own = v[i : i + 64, None] ^ masks[j]
                         yield pd.DataFrame({"segment": j, "value": own.ravel(), "query": np.repeat(b["query"].to_numpy()[i : i + 64], len(masks[j]))})
 
-        return queries.select("query").mapInPandas(run, "segment int, value long, query binary")
+        # dealt over all tasks, as each query becomes many rows
+        tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return queries.select("query").repartition(tasks).mapInPandas(run, "segment int, value long, query binary")
 
     def new_pairs(self, found: DataFrame, radius: int) -> DataFrame:
         """The pairs that show first in this round and segment, with their full distance."""
@@ -117,7 +119,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, i
     active = saved(asked.select("query").distinct(), "active")
     found = None
     for radius in range(cut.width + 1):
-        probed = cut.probes(active, radius).join(index, ["segment", "value"])
+        # Spark takes the probes for as small as the queries; so it mustn't broadcast them
+        probed = cut.probes(active, radius).hint("merge").join(index, ["segment", "value"])
         new = cut.new_pairs(probed, radius)
         found = saved(nearest(new if found is None else found.unionAll(new), k), "found")
         covered = cut.n * (radius + 1) - 1

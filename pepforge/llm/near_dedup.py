@@ -288,7 +288,7 @@ def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame
     asked = candidates.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
     left = candidates.join(asked, "part").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
     left = left.join(full.withColumnRenamed("node", "u"), "u").select("part", "salt", "u", "vs", "shingles")
-    right = members.join(full, "node").join(asked, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("part", "salt", "node", "shingles")
+    right = members.join(full, "node").join(asked, "part").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select(*[F.col(c).alias(c) for c in ("part", "salt", "node", "shingles")])  # new columns, as both sides stem from full
 
     def check(own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         found = []

@@ -1,9 +1,10 @@
 """Operator 3, exact top-k search: incremental multi-index hashing for binary codes.
 
-A code is cut into segments of about log2(number of codes) bits; the index has a row for each segment's value. Round r looks up, for
-each query and segment, all values at distance r from the query's (an equi-join on segment and value) and verifies what it finds by
-the full Hamming distance. After round r every code at distance below (segments * (r + 1)) has been found, as some segment of it
-differs in at most r bits; a query ends when its k-th distance is covered by that. Rounds go on for the other queries only.
+A code is cut into segments of about log2(number of codes) bits; the index has a row for each segment's value. A round at radius r
+looks up, for each query and for one or more segments, all values at distance r from the query's (an equi-join on segment and value)
+and verifies what it finds by the full Hamming distance. When radius r is done for the first t of m segments, every code at distance
+m * r + t - 1 or less has been found, as otherwise these would differ in more than r bits and the others in r or more. A query ends
+when that covers its k-th distance; rounds go on for the other queries only. So radii with many values grow segment by segment.
 
 Rows with one code are one entry with its k smallest ids, so a vector shared by many rows is looked up once; queries with one code
 are one query. A pair is taken in the first round and segment in which it shows, so none counts twice.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import saved, table
 
+#: Values of a radius up to which all segments are looked up in one round.
+AT_ONCE = 150
+
 
 def binary_codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int) -> DataFrame:
     """(id, code): the signs of the components, packed."""
@@ -70,11 +75,21 @@ class Segments:
 
         return codes.select("code", "n", "first_id").mapInPandas(run, "segment int, value long, code binary, n long, first_id long")
 
-    def probes(self, queries: DataFrame, radius: int) -> DataFrame:
+    def rounds(self) -> Iterator[tuple[int, list[int]]]:
+        """Radius and segments of each round: all at once while a radius has few values."""
+        for radius in range(self.width + 1):
+            if comb(self.width, radius) <= AT_ONCE:
+                yield radius, list(range(self.n))
+            else:
+                yield from ((radius, [j]) for j in range(self.n))
+
+    def probes(self, queries: DataFrame, radius: int, segments: list[int]) -> DataFrame:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             masks = [np.array([sum(1 << i for i in c) for c in combinations(range(z - a), radius)], np.int64) for a, z in self.spans]
             for b in batches:
-                for j, v in enumerate(self.values(b["query"])):
+                values = self.values(b["query"])
+                for j in segments:
+                    v = values[j]
                     for i in range(0, len(b), 64):
                         own = v[i : i + 64, None] ^ masks[j]
                         yield pd.DataFrame({"segment": j, "value": own.ravel(), "query": np.repeat(b["query"].to_numpy()[i : i + 64], len(masks[j]))})
@@ -118,12 +133,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, i
     index = saved(cut.index(codes), "segments")
     active = saved(asked.select("query").distinct(), "active")
     found = None
-    for radius in range(cut.width + 1):
+    for radius, segments in cut.rounds():
         # Spark takes the probes for as small as the queries; so it mustn't broadcast them
-        probed = cut.probes(active, radius).hint("merge").join(index, ["segment", "value"])
+        probed = cut.probes(active, radius, segments).hint("merge").join(index, ["segment", "value"])
         new = cut.new_pairs(probed, radius)
         found = saved(nearest(new if found is None else found.unionAll(new), k), "found")
-        covered = cut.n * (radius + 1) - 1
+        covered = cut.n * radius + segments[-1]
         done = found.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
         active = saved(active.join(done, "query", "left_anti"), "active")
         if not active.limit(1).count():

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import fresh, saved, small_batches, table
 
 #: Byte by byte: A-Z to a-z, and what no word holds to a space.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -236,8 +236,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, **limi
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13) -> DataFrame:
     """The rows of docs but those whose doc_id has a contaminated text."""
-    bad = contamination(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    (name,) = fresh(docs, "__bad")
+    bad = contamination(docs, benchmark, width).filter("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op7_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

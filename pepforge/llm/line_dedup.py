@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import fresh, saved, small_batches, table
 
 #: Slots of a bucket, and moves after which a filter is built anew with twice the buckets.
 SLOTS, MOVES = 4, 500
@@ -232,11 +232,12 @@ class LineIndex:
 
     def apply(self, docs: DataFrame) -> DataFrame:
         """docs with the lines dropped from text, and n_lines, n_dropped. docs must have been inserted."""
-        lost = self.drops().withColumnsRenamed({"doc_id": "__doc", "keys": "__keys"})
-        joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-        done = joined.withColumn("__new", rewritten(self.min_chars)(F.col("text").cast("string"), F.col("__keys")))
-        rest = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-        return done.select(*rest, F.col("__new.text").alias("text"), F.col("__new.n_lines").alias("n_lines"), F.col("__new.n_dropped").alias("n_dropped"))
+        doc, keys, new = fresh(docs, "__doc", "__keys", "__new")
+        lost = self.drops().withColumnsRenamed({"doc_id": doc, "keys": keys})
+        joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
+        done = joined.withColumn(new, rewritten(self.min_chars)(F.col("text").cast("string"), F.col(keys)))
+        made = ("text", "n_lines", "n_dropped")
+        return done.select(*[c for c in docs.columns if c.lower() not in made], *[F.col(f"{new}.{c}").alias(c) for c in made])
 
 
 def rewritten(min_chars: int):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import fresh, saved, small_batches, table
 
 BANDS, ROWS = 28, 4
 N_HASHES = BANDS * ROWS
@@ -339,8 +339,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: fl
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose doc_id isn't the smallest of its component."""
-    lost = near_components(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, F.col("doc_id").cast("long") == F.col("__lost"), "left_anti")
+    (name,) = fresh(docs, "__lost")
+    lost = near_components(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(lost, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -113,7 +113,7 @@ MAIN = "A title First paragraph, with bold & more, and a stop. Second paragraph
 
 def test_html(spark):
     rows = [(i, f"u{i}", PAGE.replace("A title", f"Title {i}")) for i in range(30)]
-    rows += [(100, "x", None), (101, "x", ""), (102, "x", "<p>An unclosed paragraph, with some words, and <b>bold ones."), (103, None, "<<>><p"), (104, "x", "<article>" + "<p>Long text, again. </p>" * 5000 + "</article>"), (5, "u5", rows[5][2])]
+    rows += [(100, "x", None), (101, "x", ""), (102, "x", "<article><p>An unclosed paragraph, with some words, and <b>bold ones."), (103, None, "<<>><p"), (104, "x", "<article>" + "<p>Long text, again. </p>" * 5000 + "</article>"), (5, "u5", rows[5][2])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("y", F.lit(1))
     done = html_extract.extract(pages)
     got = {r.page_id: r for r in done.collect()}

@@ -109,16 +109,16 @@ def kmer_counts(spark, sf_dir):
     return G.kmer_counts(G.kmer_rows(V.documents(spark, sf_dir), 4).select("kmer"))
 
 
-PEPTIDE_EDGES = SQL_EDGES.format(DOC_KMERS.format(V.SQL_PEPTIDES))
+PEPTIDE_EDGES = SQL_EDGES.format(DOC_KMERS.format(V.SQL_PEPTIDES).replace("- 7)", "- 11)").replace(">= 8", ">= 12").replace("i, 8)", "i, 12)")).replace("kmer, 7)", "kmer, 11)")
 
 
 def peptide_edges(spark, sf_dir) -> DataFrame:
-    return kept(G.debruijn_edges(G.kmer_rows(V.peptides(spark, sf_dir), 8).select("kmer")), "edges")
+    return kept(G.debruijn_edges(G.kmer_rows(V.peptides(spark, sf_dir), 12).select("kmer")), "edges")
 
 
 @query(f"SELECT src, dst FROM {PEPTIDE_EDGES}")
 def dbg_edges(spark, sf_dir):
-    return G.debruijn_edges(G.kmer_rows(V.peptides(spark, sf_dir), 8).select("kmer"))
+    return G.debruijn_edges(G.kmer_rows(V.peptides(spark, sf_dir), 12).select("kmer"))
 
 
 @query(f"WITH e AS {PEPTIDE_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
@@ -535,7 +535,7 @@ def peptide_psms(spark, sf_dir) -> DataFrame:
 def whole_run(spark, sf_dir, method: str, until: str) -> dict[str, DataFrame]:
     none = spark.createDataFrame([], "description string, seq string")
     protein = V.proteins(spark, sf_dir).orderBy("item_id").first().protein
-    config = assembly.Config(protein, V.PROTEASES, "sentences", method, conf=0.9, kmer_size=8, min_overlap=6, min_identity=0.3, max_mismatches=60, size_threshold=12)
+    config = assembly.Config(protein, V.PROTEASES, "sentences", method, conf=0.9, kmer_size=12, min_overlap=8, min_identity=0.2, max_mismatches=200, size_threshold=12)
     return assembly.run_assembly(peptide_psms(spark, sf_dir), none, config, until)
 
 
@@ -555,5 +555,5 @@ def contig_sweep(spark, sf_dir):
     """Statistics of 2 * 2 * 2 * 2 settings from four assemblies."""
     rows = R.clean_psms(peptide_psms(spark, sf_dir), V.PROTEASES)
     protein = V.proteins(spark, sf_dir).orderBy("item_id").first().protein
-    grid = sweep.grid_rows(spark, {"conf": [0.9, 0.95], "kmer_size": [7, 8], "size_threshold": [10, 30], "min_overlap": [4], "min_identity": [0.2, 0.4], "max_mismatches": [40, 60]})
+    grid = sweep.grid_rows(spark, {"conf": [0.9, 0.95], "kmer_size": [11, 12], "size_threshold": [12, 30], "min_overlap": [4], "min_identity": [0.05, 0.1], "max_mismatches": [100, 200]})
     return sweep.contig_sweep(rows, protein, grid)

@@ -42,6 +42,8 @@ BATCH = 16
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 MEMO = 1_000_000
+#: Hash slots that tell which texts may be wanted; bounds what is broadcast.
+SLOTS = 1 << 19
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -184,8 +186,14 @@ def pruned(pairs: DataFrame, classes: DataFrame, least: np.ndarray) -> DataFrame
 
 
 def set_rows(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the full sets of the nodes' texts; one more for each further text with the same doc_id."""
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text")).join(nodes, "node", "left_semi")
+    """(node, shingles): the full sets of the nodes' texts; one more for each further text with the same doc_id.
+
+    Few texts are wanted, and they are the bulk of the data. So before the join most others go by a broadcast of the hash slots that
+    wanted ids fall into: SLOTS at most, whatever the number of ids. Where most slots are full it filters little, and the join does.
+    """
+    slot = F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
+    own = own.join(F.broadcast(nodes.select(slot).distinct()), F.pmod(F.xxhash64("node"), F.lit(SLOTS)) == F.col("slot"), "left_semi").join(nodes, "node", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
@@ -232,7 +240,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def open_candidates(buckets: DataFrame, label: DataFrame, classes: DataFrame, least: np.ndarray, block: int) -> DataFrame:
     """(u, part, vs): for a node u the nodes vs of other components that share a bucket with it and survive the comparison of
-    signatures, by part (about block nodes each, see ``parts``). u is of the smaller component; a pair is given once.
+    signatures, by part (about block nodes each, see ``parts``). u is of the smaller component; a pair is given once. Rows with a
+    null u list all nodes that a task has put into any vs.
 
     A bucket's members are dealt into blocks of about block members; each task compares two blocks. Pairs with the bucket's
     smallest member have been tested already. A pair that shares several bands is compared in the first of those only.
@@ -262,9 +271,13 @@ def open_candidates(buckets: DataFrame, label: DataFrame, classes: DataFrame, le
             rest = rest[bands[k][shared.argmax(axis=1)] == bucket]
             hits = rest[plausible(np.broadcast_to(sig[k], (len(rest), N_HASHES)), sig[rest], least)]
             out += [(node[k], p, node[hits[part[hits] == p]]) for p in np.unique(part[hits])]
-        return pd.DataFrame(out, columns=["u", "part", "vs"])
+        if out:
+            out.append((None, 0, np.unique(np.concatenate([vs for _, _, vs in out]))))
+        return pd.DataFrame({"u": pd.array([x[0] for x in out], dtype="Int64"), "part": np.array([x[1] for x in out], np.int64), "vs": pd.Series([x[2] for x in out], dtype=object)})
 
-    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "u long, part long, vs array<long>")
+    # few rows, but much to compute: Spark mustn't join small partitions into few tasks
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(compare, "u long, part long, vs array<long>")
 
 
 def parts(nodes: DataFrame, label: DataFrame, block: int) -> DataFrame:
@@ -283,7 +296,8 @@ def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame
     The sets of a part's nodes meet the sets of the nodes u that have candidates there: a set goes to as many tasks as it has
     parts with candidates, however many pairs these are. Where a part has many such nodes, they are dealt over several tasks.
     """
-    wanted = candidates.select("u", F.explode("vs").alias("v")).select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    wanted = candidates.filter("u IS NULL").select(F.explode("vs").alias("node")).unionAll(candidates.filter("u IS NOT NULL").select("u")).distinct()
+    candidates = candidates.filter("u IS NOT NULL")
     full = saved(set_rows(docs, wanted, width), "near-sets")
     asked = candidates.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
     left = candidates.join(asked, "part").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))

@@ -1,8 +1,8 @@
 """Operator 3, exact top-k search: incremental multi-index hashing for binary codes.
 
-A code is cut into segments of about log2(number of codes) bits; the index has a row for each segment's value. A round at radius r
-looks up, for each query and for one or more segments, all values at distance r from the query's (an equi-join on segment and value)
-and verifies what it finds by the full Hamming distance. When radius r is done for the first t of m segments, every code at distance
+A code is cut into segments of such a width that about ``PER_VALUE`` codes share a segment's value; the index has a posting list for
+each value (long ones in several rows). A round at radius r looks up, for each query and for one or more segments, all values at
+distance r from the query's (an equi-join on segment and value) and verifies what the lists hold by the full Hamming distance. When radius r is done for the first t of m segments, every code at distance
 m * r + t - 1 or less has been found, as otherwise these would differ in more than r bits and the others in r or more. A query ends
 when that covers its k-th distance; rounds go on for the other queries only. So radii with many values grow segment by segment.
 
@@ -16,12 +16,13 @@ repeated ids count once. Fewer than k rows with a code: all are returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from .common import saved, table
 
 #: Values of a radius up to which all segments are looked up in one round.
 AT_ONCE = 150
+#: Codes that share a segment's value on average, and most entries of an index row.
+PER_VALUE, LIST = 3, 500
 
 
 def binary_codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int) -> DataFrame:
@@ -48,32 +51,42 @@ def binary_codes(vectors: DataFrame, id_col: str, vector_col: str, bits: int) ->
     return own.mapInPandas(run, "id long, code binary")
 
 
+def words_of(codes: Iterable[bytes]) -> np.ndarray:
+    """A row of 64-bit words for each code, zeros after its end."""
+    held = [c + bytes(-len(c) % 8) for c in codes]
+    return np.frombuffer(b"".join(held), ">i8").astype(np.int64).reshape(len(held), -1)
+
+
+def bits_of(words: np.ndarray, bits: int) -> np.ndarray:
+    return np.unpackbits(np.ascontiguousarray(words.astype(">i8")).view(np.uint8).reshape(len(words), -1), axis=1)[:, :bits]
+
+
 class Segments:
-    def __init__(self, bits: int, width: int):
-        self.bits, self.n = bits, -(-bits // width)
+    def __init__(self, bits: int, width: float):
+        self.bits, self.n = bits, max(1, round(bits / width))
         edges = [bits * i // self.n for i in range(self.n + 1)]
         self.spans = list(zip(edges, edges[1:], strict=False))
         self.width = max(z - a for a, z in self.spans)
 
-    def bits_of(self, codes: pd.Series) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -(-self.bits // 8)), axis=1)[:, : self.bits]
-
     def values(self, codes: pd.Series) -> list[np.ndarray]:
-        b = self.bits_of(codes).astype(np.int64)
+        b = bits_of(words_of(codes), self.bits).astype(np.int64)
         return [b[:, a:z] @ (1 << np.arange(z - a, dtype=np.int64)) for a, z in self.spans]
 
-    def distances(self, x: pd.Series, y: pd.Series) -> np.ndarray:
-        """By pair and segment."""
-        differs = self.bits_of(x) != self.bits_of(y)
-        return np.stack([differs[:, a:z].sum(axis=1) for a, z in self.spans], axis=1)
-
     def index(self, codes: DataFrame) -> DataFrame:
+        """(segment, value, words, n, first_id): the codes with that value, their words one after the other."""
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
+                words = list(words_of(b.code))
                 for j, v in enumerate(self.values(b.code)):
-                    yield pd.DataFrame({"segment": j, "value": v, "code": b.code, "n": b.n, "first_id": b.first_id})
+                    yield pd.DataFrame({"segment": j, "value": v, "w": words, "n": b.n, "first_id": b.first_id})
 
-        return codes.select("code", "n", "first_id").mapInPandas(run, "segment int, value long, code binary, n long, first_id long")
+        rows = codes.select("code", "n", "first_id").mapInPandas(run, "segment int, value long, w array<long>, n long, first_id long")
+        size = rows.groupBy("segment", "value").agg(F.ceil(F.count(F.lit(1)) / LIST).alias("lists"))
+        rows = rows.join(size, ["segment", "value"]).withColumn("list", F.pmod(F.xxhash64("first_id"), F.col("lists")))
+        lists = rows.groupBy("segment", "value", "list").agg(F.collect_list(F.struct("w", "n", "first_id")).alias("p"))
+        part = lambda f: F.transform("p", lambda x: x[f])
+        return lists.select("segment", "value", F.flatten(part("w")).alias("words"), part("n").alias("n"), part("first_id").alias("first_id"))
 
     def rounds(self) -> Iterator[tuple[int, list[int]]]:
         """Radius and segments of each round: all at once while a radius has few values."""
@@ -98,19 +111,31 @@ class Segments:
         tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return queries.select("query").repartition(tasks).mapInPandas(run, "segment int, value long, query binary")
 
-    def new_pairs(self, found: DataFrame, radius: int) -> DataFrame:
-        """The pairs that show first in this round and segment, with their full distance."""
+    def new_pairs(self, found: DataFrame, radius: int, k: int) -> DataFrame:
+        """The pairs that show first in this round and segment, with their full distance; of a batch the k first of each query."""
+        schema = "query binary, code binary, n long, first_id long, distance int"
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not len(b):
+                ids, ns, words = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("first_id", "n", "words"))
+                if not len(ids):
                     continue
-                d = self.distances(b["query"], b.code)
+                row = np.repeat(np.arange(b.num_rows), b.column("first_id").value_lengths().to_numpy(zero_copy_only=False))
+                queries = b.column("query").to_pylist()
+                words = words.reshape(len(ids), -1)
+                differs = bits_of(words ^ words_of(queries)[row], self.bits)
+                d = np.stack([differs[:, a:z].sum(axis=1) for a, z in self.spans], axis=1)
                 at = np.arange(self.n)[None, :]
-                first = ((d > radius) | ((at >= b.segment.to_numpy()[:, None]) & (d >= radius))).all(axis=1)
-                yield pd.DataFrame({"query": b["query"], "code": b.code, "n": b.n, "first_id": b.first_id, "distance": d.sum(axis=1)})[first]
+                segment = b.column("segment").to_numpy(zero_copy_only=False)[row]
+                first = np.flatnonzero(((d > radius) | ((at >= segment[:, None]) & (d >= radius))).all(axis=1))
+                name = np.unique(np.array(queries, dtype=object), return_inverse=True)[1][row]
+                order = first[np.lexsort((ids[first], d[first].sum(axis=1), name[first]))]
+                start = np.searchsorted(name[order], name[order])
+                order = order[np.arange(len(order)) - start < k]
+                codes = [w.astype(">i8").tobytes()[: -(-self.bits // 8)] for w in words[order]]
+                yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in row[order]], pa.binary()), pa.array(codes, pa.binary()), pa.array(ns[order]), pa.array(ids[order]), pa.array(d[order].sum(axis=1).astype(np.int32))], ["query", "code", "n", "first_id", "distance"])
 
-        return found.select("segment", "query", "code", "n", "first_id").mapInPandas(run, "query binary, code binary, n long, first_id long, distance int")
+        return found.select("segment", "query", "words", "n", "first_id").mapInArrow(run, schema)
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
@@ -122,21 +147,21 @@ def nearest(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", width: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) of the k rows of vectors whose codes are nearest to each row of queries.
 
-    width: bits of a segment; by default the logarithm of the number of codes, from 4 to 20.
+    width: bits of a segment; by default log2(number of codes / PER_VALUE), from 4 to 20.
     """
     rows = saved(binary_codes(vectors, id_col, vector_col, bits).distinct(), "codes")
     place = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     ids = saved(rows.withColumn("place", place).filter(F.col("place") <= k), "code-ids")
     codes = saved(ids.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")), "distinct-codes")
     asked = saved(binary_codes(queries, id_col, vector_col, bits).distinct().withColumnsRenamed({"id": "query_id", "code": "query"}), "queries")
-    cut = Segments(bits, width or int(np.clip(np.ceil(np.log2(max(2, codes.count()))), 4, 20)))
+    cut = Segments(bits, width or float(np.clip(np.log2(max(2, codes.count() / PER_VALUE)), 4, 20)))
     index = saved(cut.index(codes), "segments")
     active = saved(asked.select("query").distinct(), "active")
     found = None
     for radius, segments in cut.rounds():
         # Spark takes the probes for as small as the queries; so it mustn't broadcast them
         probed = cut.probes(active, radius, segments).hint("merge").join(index, ["segment", "value"])
-        new = cut.new_pairs(probed, radius)
+        new = cut.new_pairs(probed, radius, k)
         found = saved(nearest(new if found is None else found.unionAll(new), k), "found")
         covered = cut.n * radius + segments[-1]
         done = found.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)

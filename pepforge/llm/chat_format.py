@@ -102,3 +102,32 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     total = lambda f: F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x[f])
     digest = lambda f: F.sha2(F.encode(joined(f), "UTF-8"), 256)
     return whole.select("conv_id", total("n").alias("n_turns"), digest("said").alias("turns_sha256"), F.length(joined("loss")).cast("long").alias("loss_chars"), digest("loss").alias("loss_sha256"), total("chars").alias("formatted_chars"), F.size("w").cast("long").alias("n_windows"))
+
+
+def _sql_escaped(c: str) -> str:
+    for mark, code in (("~", "~0"), ("<s>", "~1s>"), ("</s>", "~1/s>"), ("[INST]", "~2INST]"), ("[/INST]", "~2/INST]")):
+        c = f"replace({c}, '{mark}', '{code}')"
+    return c
+
+
+ORACLE_OP4 = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS i, len(regexp_extract_all(text, '\S+')) + {MARKS} AS tokens,
+  length('[INST] ' || {_sql_escaped('role')} || '[/INST]' || {_sql_escaped('text')} || '</s>') AS n FROM c),
+p AS (SELECT *, CAST(sum(tokens) OVER w AS BIGINT) AS stop, CAST(sum(tokens) OVER w AS BIGINT) - tokens AS begin_at FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+s AS (SELECT conv_id, max(CASE WHEN i = 0 AND role = 'system' THEN 1 ELSE 0 END) AS sys, 1024 - 192 - max(CASE WHEN i = 0 AND role = 'system' THEN tokens ELSE 0 END) AS room,
+  max(CASE WHEN i = 0 AND role = 'system' THEN n ELSE 0 END) AS sys_n, max(i) + 1 AS n_turns FROM p GROUP BY conv_id),
+r(conv_id, first_i) AS (SELECT conv_id, CAST(0 AS BIGINT) FROM s UNION ALL
+  SELECT r.conv_id, min(p.i) FROM r JOIN s ON s.conv_id = r.conv_id JOIN p b ON b.conv_id = r.conv_id AND b.i = r.first_i JOIN p ON p.conv_id = r.conv_id AND p.i > greatest(r.first_i, s.sys)
+  WHERE p.stop - b.begin_at > s.room GROUP BY r.conv_id, r.first_i),
+w AS (SELECT conv_id, first_i, coalesce(lead(first_i) OVER (PARTITION BY conv_id ORDER BY first_i), s.n_turns) AS end_i, sys, sys_n FROM r JOIN s USING (conv_id)),
+k AS (SELECT w.*, CASE WHEN w.first_i = 0 THEN 0 ELSE least(w.first_i, greatest(min(h.i), w.sys)) END AS back FROM w JOIN p b ON b.conv_id = w.conv_id AND b.i = w.first_i
+  JOIN p h ON h.conv_id = w.conv_id AND h.begin_at BETWEEN b.begin_at - 192 AND b.begin_at GROUP BY w.conv_id, w.first_i, w.end_i, w.sys, w.sys_n),
+f AS (SELECT k.conv_id, k.first_i, 3 + CASE WHEN k.first_i > 0 THEN k.sys_n ELSE 0 END + sum(p.n) AS chars FROM k JOIN p ON p.conv_id = k.conv_id AND p.i >= k.back AND p.i < k.end_i GROUP BY k.conv_id, k.first_i, k.sys_n),
+g AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars, count(*) AS n_windows FROM f GROUP BY conv_id)
+SELECT p.conv_id, count(*) AS n_turns, sha256(string_agg(p.role || chr(10) || p.text || chr(10), '' ORDER BY p.i)) AS turns_sha256,
+  length(coalesce(string_agg(p.text, '' ORDER BY p.i) FILTER (WHERE p.role = 'assistant'), '')) AS loss_chars,
+  sha256(coalesce(string_agg(p.text, '' ORDER BY p.i) FILTER (WHERE p.role = 'assistant'), '')) AS loss_sha256, any_value(g.formatted_chars) AS formatted_chars, any_value(g.n_windows) AS n_windows
+FROM p JOIN g USING (conv_id) GROUP BY p.conv_id
+"""

@@ -168,3 +168,20 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     sizes = F.broadcast(source_sizes(sized).withColumnRenamed("source", "__s"))
     mixed = mix(sized).join(sizes, F.col("source").eqNullSafe(F.col("__s")), "left")
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+#: Each source is a pattern of its own here, so its flow is its target, rounded; the order within it is that of the seeded hash.
+ORACLE_OP8 = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT *, CAST([5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)] AS DOUBLE) AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source)),
+o AS (SELECT *, 2.0 * source_size AS most, 2.0 * source_size / weight AS ratio, 1.5 * sum(source_size) OVER () AS whole, sum(weight) OVER () AS weights FROM s),
+f AS (SELECT *, ratio * (weights - coalesce(sum(weight) OVER b, 0)) + coalesce(sum(most) OVER b, 0) < whole AS full_up FROM o
+  WINDOW b AS (ORDER BY ratio, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, CASE WHEN full_up THEN most ELSE (whole - coalesce(sum(most) FILTER (WHERE full_up) OVER (), 0)) * weight / (weights - coalesce(sum(weight) FILTER (WHERE full_up) OVER (), 0)) END AS target FROM f),
+q AS (SELECT *, least(CAST(round_even(target, 0) AS BIGINT), 2 * source_size) AS flow FROM t),
+b AS (SELECT d.doc_id, d.source, d.size, q.source_size, q.target, q.flow // nullif(q.source_size, 0) AS passes, q.flow % nullif(q.source_size, 0) AS rest,
+  CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id || ':3'), d.doc_id) AS BIGINT) - d.size AS before
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, source, size, source_size, target, coalesce(passes * size + greatest(0, least(size, rest - before)), 0) AS taken FROM b
+"""

@@ -18,5 +18,8 @@ QUERIES = {
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE_OP1,
     "op3_exact_topk": hamming_search.ORACLE_OP3,
+    "op4_chat_format": chat_format.ORACLE_OP4,
+    "op5_minhash_near_dedup": near_dedup.ORACLE_OP5,
     "op7_benchmark_decontamination": decontamination.ORACLE_OP7,
+    "op8_mixing": mixing.ORACLE_OP8,
 }

@@ -9,7 +9,10 @@ The classifier is trained by numpy on a sample of at most ``max_pages`` pages, c
 tell by themselves what they are (``article`` against ``nav``, ``footer``, ... or telling class names) are its examples, each also
 once with those hints masked, so that the text's own features (length, links, marks) decide where a page gives no hints.
 
-Blocks without visible text are none; scripts, styles, templates, comments, form fields and hidden elements have no text.
+Blocks without visible text are none; scripts, styles, templates, comments, form fields and hidden elements have no text. Only what
+holds no markup (scripts, styles, titles, text areas, frames, noscript) reaches to the end of the page if it isn't closed. Buttons,
+selections, objects, drawings and formulas that aren't closed in their container end with it or before the next block-level tag in it,
+whichever comes first; templates end with their container.
 
 Defined results: null or empty html gives an empty text; text outside any tag is a block; unclosed and stray tags are tolerated;
 repeated rows are extracted each by itself; very long pages are extracted whole. Other columns pass through unchanged.
@@ -19,7 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 
 import numpy as np
 import pandas as pd
@@ -28,14 +31,22 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|select|textarea|button|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
-NAMED = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Comments, tags with their attributes (a value without quotes may hold quotes, a quote that nothing closes is a letter), declarations.
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>=]+|=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>]*))*+)>|<[!?/][^>]*>", re.S)
+ATTRIBUTE = re.compile(r"([^\s=>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: Elements whose content is no markup: it ends at the closing tag or, without one, with the page.
+RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in "script style textarea title noscript iframe".split()}
+#: Elements that aren't shown but hold markup, and those of them that ``/>`` closes.
+UNSHOWN = frozenset("svg math object select button template".split())
+FOREIGN = frozenset("svg math object".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An open element of the second kind ends where one of the first begins.
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 FORMATS = INLINE - {"a"}
+#: Before these ends an element of UNSHOWN (but template, which may hold any) that has no closing tag in its container.
+ENDERS = P_ENDERS | UNSHOWN | {t for t in ENDS if t != "option"}
 BAD_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|side|sidebar|aside|rail|widgets?|cookies?|consent|gdpr|notice|notification|alert|banner|popup|modal|overlay|ads?|advert|adverts|advertisement|adbox|sponsor|sponsored|promo|promotion|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|tags|meta|legal|copyright|skip|contentinfo|complementary|search|hidden|sr-only|visually-hidden)(?:$|[\s_-])|adsbygoogle|cookie|comment|advert|sponsor|newsletter|sidebar|navbar|footer", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|main|content|main-content|post|post-body|entry|entry-content|story|story-body|body|text|page-content)(?:$|[\s_-])|articleBody", re.I)
@@ -59,7 +70,7 @@ def hint_of(tag: str, attributes: str, inherited: int, in_article: bool) -> int:
     if inherited == -2:
         return -2
     names = ""
-    for name, *value in NAMED.findall(attributes) if attributes else ():
+    for name, *value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(value)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return -2
@@ -78,10 +89,17 @@ def blocks_of(html: str | None) -> list[Block]:
     """The page's blocks in order. path: the numbers of the open containers."""
     if not html:
         return []
+    out, unclosed = parsed(html, frozenset())
+    return parsed(html, unclosed)[0] if unclosed else out
+
+
+def parsed(html: str, short: Set[int]) -> tuple[list[Block], set[int]]:
+    """The blocks, and the numbers of the elements of UNSHOWN without a closing tag. short: those of them that end before a block."""
     out: list[Block] = []
+    unclosed: set[int] = set()
     stack: list[tuple[str, int, int]] = []  # tag, number, hint
     pieces: list[str] = []
-    n_link = n_tags = at = 0
+    n_link = at = 0
     links = articles = 0
 
     def flush() -> None:
@@ -104,37 +122,49 @@ def blocks_of(html: str | None) -> list[Block]:
             if links:
                 n_link += len(" ".join(text.split()))
 
-    def close(i: int) -> None:
+    def close(i: int, closed: int = 0) -> None:
+        """Takes the elements from the i-th on off the stack; closed: how many of them have a closing tag."""
         nonlocal links, articles
         for tag, _, _ in stack[i:]:
             links -= tag == "a"
             articles -= tag in ("article", "main")
+        unclosed.update(number for tag, number, _ in stack[i + closed :] if tag in UNSHOWN)
         del stack[i:]
 
-    for m in TOKEN.finditer(html):
+    while m := TOKEN.search(html, at):
         said(html[at : m.start()])
         at = m.end()
-        if (raw := m[1]) is not None:
-            if raw.lower() not in INLINE:
-                flush()
+        if m[2] is None:
             continue
-        if m[3] is None:
-            continue
-        tag = m[3].lower()
-        if m[2]:
+        tag = m[2].lower()
+        if m[1]:
             if tag not in INLINE:
                 flush()
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     if tag in INLINE:
-                        if all(s[0] in INLINE for s in stack[i:]):
+                        if all(s[0] in INLINE or s[0] in UNSHOWN for s in stack[i:]):
+                            if any(s[0] in UNSHOWN for s in stack[i:]):
+                                flush()
                             close(i)
                     else:
-                        close(i)
+                        close(i, 1)
                     break
             continue
+        empty = m[3].rstrip().endswith("/")
+        if tag in RAW_ENDS:
+            flush()
+            if not (empty and any(s[0] in FOREIGN for s in stack)):
+                end = RAW_ENDS[tag].search(html, at)
+                at = end.end() if end else len(html)
+            continue
         if tag not in INLINE:
             flush()
+            if short and tag in ENDERS:
+                for i, s in enumerate(stack):
+                    if s[1] in short and s[0] != "template":
+                        close(i)
+                        break
             if tag in P_ENDERS:
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == "p":
@@ -149,16 +179,17 @@ def blocks_of(html: str | None) -> list[Block]:
                         break
                     if stack[i][0] in ("ul", "ol", "dl", "table", "tbody", "thead", "select"):
                         break
-        if tag in VOID or m[4].rstrip().endswith("/") and tag not in P_ENDERS and tag not in INLINE:
+        number = m.start() + 1
+        if tag in VOID or empty and tag not in P_ENDERS and tag not in INLINE and (tag not in UNSHOWN or tag in FOREIGN or number in short):
             continue
-        n_tags += 1
-        hint = hint_of(tag, m[4], stack[-1][2] if stack else 0, articles > 0)
-        stack.append((tag, n_tags, hint))
+        hint = -2 if tag in UNSHOWN else hint_of(tag, m[3], stack[-1][2] if stack else 0, articles > 0)
+        stack.append((tag, number, hint))
         links += tag == "a"
         articles += tag in ("article", "main")
     said(html[at:])
     flush()
-    return out
+    close(0)
+    return out, unclosed
 
 
 def features(blocks: list[Block]) -> np.ndarray:

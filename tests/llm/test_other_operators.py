@@ -132,6 +132,27 @@ def test_html_without_hints():
     assert html_extract.main_text(plain, w) == "The first paragraph is long, and it has marks, and a stop. The second one is long, too, and it ends well."
 
 
+TEXT = "<article><p>Main text here.</p></article>"
+SHOWN = {
+    f'<nav><svg class="i"/></nav>{TEXT}': "Main text here.",
+    f"<math/><object data='x'/>{TEXT}": "Main text here.",
+    f"<nav><button>Menu</nav><div><select><option>One<option>Two</div>{TEXT}": "Main text here.",
+    f"<body><button>Menu{TEXT}<button>Send</button><p>After it.</p></body>": "Main text here. After it.",
+    "<p>One <select><option>A</select>two <button/></p><p>Three</p>": "One two Three",
+    "<p>It is <span><button>x</span> text <svg><title/><a><path/></a><text>drawn</text></svg> and more.</p>": "It is text and more.",
+    "<div><template><p>Hid</p></div><p>Text</p><object><p>Hid</p></object>": "Text",
+    "<p>One</p><img alt=it's><p>Two</p><p>It's three</p>": "One Two It's three",
+    "<p>One</p><img alt=5\"><p>Two</p><img alt='a > b'><p>Three</p>": "One Two Three",
+    '<p title="a hidden gem" class=it\'s>One</p><p class=x hidden>Two</p><!--><p>Three</p>': "One Three",
+    "<button-group><p>One</p></button-group><title-bar>Two</title-bar><script>var a = '<p>Hid</p>'": "One Two",
+}
+
+
+@pytest.mark.parametrize("page", SHOWN)
+def test_html_drops_nothing_else(page):
+    assert " ".join(b.text for b in html_extract.blocks_of(page)) == SHOWN[page]
+
+
 def test_minimum_cut():
     rng = random.Random(3)
     for _ in range(40):

@@ -112,35 +112,35 @@ def kmer_counts(spark, sf_dir):
 PEPTIDE_EDGES = SQL_EDGES.format(DOC_KMERS.format(V.SQL_PEPTIDES).replace("- 7)", "- 11)").replace(">= 8", ">= 12").replace("i, 8)", "i, 12)")).replace("kmer, 7)", "kmer, 11)")
 
 
-def peptide_edges(spark, sf_dir) -> DataFrame:
-    return kept(G.debruijn_edges(G.kmer_rows(V.peptides(spark, sf_dir), 12).select("kmer")), "edges")
+def peptide_edges(spark, sf_dir, rows=V.peptides) -> DataFrame:
+    return kept(G.debruijn_edges(G.kmer_rows(rows(spark, sf_dir), 12).select("kmer")), "edges")
 
 
 @query(f"SELECT src, dst FROM {PEPTIDE_EDGES}")
-def dbg_edges(spark, sf_dir):
-    return G.debruijn_edges(G.kmer_rows(V.peptides(spark, sf_dir), 12).select("kmer"))
+def dbg_edges(spark, sf_dir, rows=V.peptides):
+    return G.debruijn_edges(G.kmer_rows(rows(spark, sf_dir), 12).select("kmer"))
 
 
 @query(f"WITH e AS {PEPTIDE_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
-def dbg_degrees(spark, sf_dir):
-    return G.degrees(peptide_edges(spark, sf_dir))
+def dbg_degrees(spark, sf_dir, rows=V.peptides):
+    return G.degrees(peptide_edges(spark, sf_dir, rows))
 
 
 @query(f"""WITH RECURSIVE e AS {PEPTIDE_EDGES},
 r(s, node) AS (SELECT DISTINCT src, src FROM e WHERE src NOT IN (SELECT dst FROM e) UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.node)
 SELECT s AS "start", node AS "end" FROM r WHERE node NOT IN (SELECT src FROM e)""")
-def dbg_reach_pairs(spark, sf_dir):
-    return G.reachable_ends(peptide_edges(spark, sf_dir))
+def dbg_reach_pairs(spark, sf_dir, rows=V.peptides):
+    return G.reachable_ends(peptide_edges(spark, sf_dir, rows))
 
 
 @query()
-def dbg_contigs(spark, sf_dir):
-    return G.debruijn_contigs(peptide_edges(spark, sf_dir))
+def dbg_contigs(spark, sf_dir, rows=V.peptides):
+    return G.debruijn_contigs(peptide_edges(spark, sf_dir, rows))
 
 
 @query()
-def greedy_contigs(spark, sf_dir):
-    return G.greedy_contigs(V.peptides(spark, sf_dir), 4)
+def greedy_contigs(spark, sf_dir, rows=V.peptides):
+    return G.greedy_contigs(rows(spark, sf_dir), 4)
 
 
 SQL_OVERLAPS = """(SELECT a.id AS a_id, b.id AS b_id, a.seq AS a, b.seq AS b, CAST(k AS INT) AS olap FROM {0} a JOIN {0} b ON a.id <> b.id, LATERAL (SELECT unnest(generate_series({1}, least(length(a.seq), length(b.seq)))) AS k)
@@ -149,27 +149,27 @@ PEPTIDE_OVERLAPS = SQL_OVERLAPS.format(V.SQL_PEPTIDES, 4)
 
 
 @query(f"SELECT a_id, b_id, olap, a || substr(b, olap + 1) AS seq FROM {PEPTIDE_OVERLAPS}")
-def overlaps_all(spark, sf_dir):
-    return O.overlap_merges(O.overlaps(V.peptides(spark, sf_dir), 4)).select("a_id", "b_id", "olap", "seq")
+def overlaps_all(spark, sf_dir, rows=V.peptides):
+    return O.overlap_merges(O.overlaps(rows(spark, sf_dir), 4)).select("a_id", "b_id", "olap", "seq")
 
 
 @query(f"SELECT a_id, b_id, olap FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY olap DESC, b_id) AS r FROM {PEPTIDE_OVERLAPS} WHERE olap < least(length(a), length(b))) WHERE r = 1")
-def overlaps_best(spark, sf_dir):
-    pairs = O.overlaps(V.peptides(spark, sf_dir), 4, inclusive=False)
+def overlaps_best(spark, sf_dir, rows=V.peptides):
+    pairs = O.overlaps(rows(spark, sf_dir), 4, inclusive=False)
     return O.best_partner(O.longest_overlaps(pairs)).select("a_id", "b_id", "olap")
 
 
 @query(f"SELECT a AS src, b AS dst, max(olap) AS weight FROM {PEPTIDE_OVERLAPS} WHERE a <> b GROUP BY a, b")
-def overlap_graph(spark, sf_dir):
-    return G.overlap_graph(V.peptides(spark, sf_dir), 4)
+def overlap_graph(spark, sf_dir, rows=V.peptides):
+    return G.overlap_graph(rows(spark, sf_dir), 4)
 
 
 SQL_MERGED = f"(SELECT a || substr(b, olap + 1) AS seq FROM {PEPTIDE_OVERLAPS} UNION SELECT seq FROM {V.SQL_PEPTIDES})"
 
 
 @query(f"WITH m AS (SELECT seq FROM {SQL_MERGED} WHERE length(seq) > 20) SELECT seq FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.seq <> m.seq AND contains(o.seq, m.seq))")
-def scaffold_single(spark, sf_dir):
-    return G.scaffolds(V.peptides(spark, sf_dir), 4, 20)
+def scaffold_single(spark, sf_dir, rows=V.peptides):
+    return G.scaffolds(rows(spark, sf_dir), 4, 20)
 
 
 @query(f"""WITH m AS (SELECT row_number() OVER (ORDER BY seq) AS id, seq FROM {SQL_MERGED} WHERE length(seq) > 20),
@@ -178,8 +178,8 @@ q AS (SELECT left(seq, k) AS affix, k, id, seq FROM m, LATERAL (SELECT unnest(ge
 n AS (SELECT p.seq || substr(q.seq, CAST(q.k AS INT) + 1) AS seq FROM p JOIN q ON p.affix = q.affix AND p.id <> q.id UNION SELECT seq FROM m),
 d AS (SELECT DISTINCT seq FROM n WHERE length(seq) > 20)
 SELECT seq FROM d WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.seq <> d.seq AND contains(o.seq, d.seq))""")
-def scaffold_double(spark, sf_dir):
-    return G.scaffolds(V.peptides(spark, sf_dir), 4, 20, "double_pass")
+def scaffold_double(spark, sf_dir, rows=V.peptides):
+    return G.scaffolds(rows(spark, sf_dir), 4, 20, "double_pass")
 
 
 SQL_WORDS = f"(SELECT DISTINCT {V.SQL_LETTERS.format('w')} AS seq FROM (SELECT unnest(string_split_regex(text, '[ .\\n]')) AS w FROM benchmark) UNION SELECT seq FROM {V.SQL_PEPTIDES})"
@@ -192,33 +192,33 @@ def containment_antijoin(spark, sf_dir):
 
 
 @query()
-def seeded_overlaps(spark, sf_dir):
-    return O.seeded_overlap(V.peptides(spark, sf_dir), 8)
+def seeded_overlaps(spark, sf_dir, rows=V.peptides):
+    return O.seeded_overlap(rows(spark, sf_dir), 8)
 
 
 @query()
-def longest_common_runs(spark, sf_dir):
-    return O.best_common_run(V.peptides(spark, sf_dir), 8)
+def longest_common_runs(spark, sf_dir, rows=V.peptides):
+    return O.best_common_run(rows(spark, sf_dir), 8)
 
 
 @query()
-def recombined(spark, sf_dir):
-    return O.recombined(V.peptides(spark, sf_dir), 8).groupBy("seq", "kind").agg(F.count(F.lit(1)).alias("n"))
+def recombined(spark, sf_dir, rows=V.peptides):
+    return O.recombined(rows(spark, sf_dir), 8).groupBy("seq", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
-def recombined_by_longest_run(spark, sf_dir):
-    return O.recombined_by_longest_run(V.peptides(spark, sf_dir), 8).groupBy("seq", "kind").agg(F.count(F.lit(1)).alias("n"))
+def recombined_by_longest_run(spark, sf_dir, rows=V.peptides):
+    return O.recombined_by_longest_run(rows(spark, sf_dir), 8).groupBy("seq", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
-def path_scaffolds(spark, sf_dir):
-    return G.path_scaffolds(V.peptides(spark, sf_dir), 8)
+def path_scaffolds(spark, sf_dir, rows=V.peptides):
+    return G.path_scaffolds(rows(spark, sf_dir), 8)
 
 
 @query()
-def path_prefix_scaffolds(spark, sf_dir):
-    return G.path_scaffolds(V.peptides(spark, sf_dir), 8, prefixes=True)
+def path_prefix_scaffolds(spark, sf_dir, rows=V.peptides):
+    return G.path_scaffolds(rows(spark, sf_dir), 8, prefixes=True)
 
 
 # mapping
@@ -328,21 +328,20 @@ def consensus_stats(spark, sf_dir):
 
 
 @query()
-def sequence_clusters(spark, sf_dir):
-    return C.cluster(V.peptides(spark, sf_dir))
+def sequence_clusters(spark, sf_dir, rows=V.peptides):
+    return C.cluster(rows(spark, sf_dir))
 
 
 @query()
-def cluster_consensus(spark, sf_dir):
+def cluster_consensus(spark, sf_dir, rows=V.peptides):
     """Clusters, their star alignments and the alignments' consensus."""
-    members = kept(C.cluster(V.peptides(spark, sf_dir)), "clusters")
+    members = kept(C.cluster(rows(spark, sf_dir)), "clusters")
     return K.consensus(K.pssm(C.star_alignments(members), ["cluster"]), ["cluster"])
 
 
 @query(f"SELECT id, '>pep_' || id || ' length: ' || length(seq) || chr(10) || array_to_string(regexp_extract_all(seq, '.{{1,60}}'), chr(10)) AS record FROM {V.SQL_PEPTIDES}")
-def fasta_records(spark, sf_dir):
-    rows = V.peptides(spark, sf_dir)
-    return rows.select("id", fasta_text(F.concat(F.lit("pep_"), "id"), F.concat(F.lit("length: "), F.length("seq")), "seq").alias("record"))
+def fasta_records(spark, sf_dir, rows=V.peptides):
+    return rows(spark, sf_dir).select("id", fasta_text(F.concat(F.lit("pep_"), "id"), F.concat(F.lit("length: "), F.length("seq")), "seq").alias("record"))
 
 
 # scores
@@ -557,3 +556,17 @@ def contig_sweep(spark, sf_dir):
     protein = V.proteins(spark, sf_dir).orderBy("item_id").first().protein
     grid = sweep.grid_rows(spark, {"conf": [0.9, 0.95], "kmer_size": [11, 12], "size_threshold": [12, 30], "min_overlap": [4], "min_identity": [0.05, 0.1], "max_mismatches": [100, 200]})
     return sweep.contig_sweep(rows, protein, grid)
+
+
+# the sentences of documents: what grows in proportion to them
+
+ON_DOCUMENTS = ("dbg_edges", "dbg_degrees", "fasta_records")
+
+
+def on_documents(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: globals()[name](spark, sf_dir, V.document_peptides)
+
+
+for _name in ON_DOCUMENTS:
+    QUERIES[f"documents_{_name}"] = on_documents(_name)
+    ORACLES[f"documents_{_name}"] = ORACLES[_name].replace(V.SQL_PEPTIDES, V.SQL_DOCUMENT_PEPTIDES)

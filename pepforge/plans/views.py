@@ -38,8 +38,23 @@ def sql_sentences(name: str, key: str, least: int = 12) -> str:
 
 
 def peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, seq): the sentences of benchmark, numbered."""
-    return sentences(spark, sf_dir, "benchmark", "item_id").select((F.col("id") * 1000 + F.col("n")).alias("id"), "seq")
+    """(id, seq): the sentences of benchmark, numbered. From the 1000th of a text on the numbers are above all others', as its
+    thousand would reach into the next text's."""
+    id = F.when(F.col("n") < 1000, F.col("id") * 1000 + F.col("n")).otherwise(F.lit(1 << 62) + numbered())
+    return sentences(spark, sf_dir, "benchmark", "item_id").select(id.alias("id"), "seq")
+
+
+def numbered() -> Column:
+    """One number for the n-th part of the text id, that no other has (n is an index, below 2**31); an error for an id that is too large."""
+    return F.col("id") * (1 << 31) + F.col("n")
+
+
+def document_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq): the sentences of documents, all that aren't empty."""
+    return sentences(spark, sf_dir, "documents", "doc_id", 1).select(numbered().alias("id"), "seq")
+
+
+SQL_DOCUMENT_PEPTIDES = f"(SELECT id * {1 << 31} + n AS id, seq FROM {sql_sentences('documents', 'doc_id', 1)})"
 
 
 SQL_PEPTIDES = f"(SELECT id * 1000 + n AS id, seq FROM {sql_sentences('benchmark', 'item_id')})"

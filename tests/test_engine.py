@@ -15,7 +15,7 @@ from pepforge.operators import overlap as O
 from pepforge.operators import preprocess as R
 from pepforge.operators import scoring as Z
 from pepforge.operators import statistics as S
-from pepforge.plans import assembly, sweep
+from pepforge.plans import assembly, catalogue, sweep, views
 from pepforge.sources import readers, writers
 from pepforge.streaming.kmers import streaming_kmer_counts
 
@@ -307,3 +307,38 @@ def test_catalogue():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and "assembly_graph_ends" in entry.queries()
+
+
+def tables(spark, folder, **texts):
+    """benchmark and documents with these texts, numbered from 0."""
+    for name, key in (("benchmark", "item_id"), ("documents", "doc_id")):
+        spark.createDataFrame(list(enumerate(texts.get(name, ["Nothing in here"]))), f"{key} long, text string").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def by_sql(sf_dir, sql):
+    import duckdb
+
+    with duckdb.connect() as db:
+        for name in ("benchmark", "documents"):
+            db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet/*.parquet')")
+        return sorted(db.execute(sql).fetchall())
+
+
+def test_sentence_numbers(spark, tmp_path):
+    texts = [". ".join(["The sentence is long"] * 1003), "Another long sentence. And the one after it"]
+    sf_dir = tables(spark, tmp_path, benchmark=texts, documents=texts)
+    for view in (views.peptides, views.document_peptides):
+        rows = view(spark, sf_dir)
+        assert rows.count() == rows.select("id").distinct().count() == 1005
+    assert {r.id for r in views.peptides(spark, sf_dir).filter("id < 2000").collect()} == {*range(1000), 1000, 1001}
+
+
+def test_document_queries(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sf_dir = tables(spark, tmp_path, documents=["Sentences of some documents. Short one.\nAb", "Sentences of some documents. Sentences of another. 1. 2", "", None])
+    for name in catalogue.ON_DOCUMENTS:
+        got = entry.queries()[f"documents_{name}"](spark, sf_dir)
+        assert sorted(map(tuple, got.collect())) == by_sql(sf_dir, entry.oracle_sql()[f"documents_{name}"]) != []
+    assert entry.queries()["documents_fasta_records"](spark, sf_dir).count() == 5

@@ -84,9 +84,9 @@ def missing_shares(spark, sf_dir):
 
 
 @query(f"SELECT d.id, d.n, d.seq FROM {V.sql_sentences('documents', 'doc_id')} d WHERE NOT EXISTS (SELECT 1 FROM {V.SQL_PROTEINS} p WHERE contains(p.protein, d.seq))")
-def decontaminate_psms(spark, sf_dir):
+def decontaminate_psms(spark, sf_dir, least=12):
     held = V.proteins(spark, sf_dir).select(F.col("protein").alias("seq"), F.lit("").alias("description"))
-    return R.without_contaminants(V.sentences(spark, sf_dir, "documents", "doc_id"), held, seq="seq", seed=8)
+    return R.without_contaminants(V.sentences(spark, sf_dir, "documents", "doc_id", least), held, seq="seq", seed=8)
 
 
 # graphs
@@ -98,9 +98,9 @@ SQL_EDGES = "(SELECT DISTINCT left(kmer, 7) AS src, substr(kmer, 2) AS dst FROM
 
 @query(f"""WITH e AS {SQL_EDGES.format(DOC_KMERS.format(DOC_SENTENCES))}
 SELECT DISTINCT src AS node, 'start' AS kind FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT DISTINCT dst, 'end' FROM e WHERE dst NOT IN (SELECT src FROM e)""")
-def assembly_graph_ends(spark, sf_dir):
-    """Which 7-mers start and end the De Bruijn graph of all documents' sentences."""
-    edges = kept(G.debruijn_edges(G.kmer_rows(V.sentences(spark, sf_dir, "documents", "doc_id"), 8).select("kmer")), "edges")
+def assembly_graph_ends(spark, sf_dir, least=12):
+    """Which 7-mers start and end the De Bruijn graph of the documents' sentences of at least so many letters."""
+    edges = kept(G.debruijn_edges(G.kmer_rows(V.sentences(spark, sf_dir, "documents", "doc_id", least), 8).select("kmer")), "edges")
     return G.start_nodes(edges).withColumn("kind", F.lit("start")).unionAll(G.end_nodes(edges).withColumn("kind", F.lit("end")))
 
 
@@ -570,3 +570,17 @@ def on_documents(name: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name in ON_DOCUMENTS:
     QUERIES[f"documents_{_name}"] = on_documents(_name)
     ORACLES[f"documents_{_name}"] = ORACLES[_name].replace(V.SQL_PEPTIDES, V.SQL_DOCUMENT_PEPTIDES)
+
+
+# the same over all sentences that aren't empty; the k-mers' length is the only limit
+
+ON_WHOLE = ("assembly_graph_ends", "decontaminate_psms")
+
+
+def on_whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: globals()[name](spark, sf_dir, 1)
+
+
+for _name in ON_WHOLE:
+    QUERIES[f"whole_{_name}"] = on_whole(_name)
+    ORACLES[f"whole_{_name}"] = ORACLES[_name].replace(DOC_SENTENCES, V.sql_sentences("documents", "doc_id", 1))

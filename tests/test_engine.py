@@ -342,3 +342,13 @@ def test_document_queries(spark, tmp_path):
         got = entry.queries()[f"documents_{name}"](spark, sf_dir)
         assert sorted(map(tuple, got.collect())) == by_sql(sf_dir, entry.oracle_sql()[f"documents_{name}"]) != []
     assert entry.queries()["documents_fasta_records"](spark, sf_dir).count() == 5
+
+
+def test_short_sentences(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    sf_dir = tables(spark, tmp_path, benchmark=["Some text that is held"], documents=["Shortword. Textthat. Ab. This sentence is a longer one"])
+    got = {n: sorted(map(tuple, entry.queries()[n](spark, sf_dir).collect())) for n in (f"whole_{m}" for m in catalogue.ON_WHOLE)}
+    assert all(rows == by_sql(sf_dir, entry.oracle_sql()[n]) for n, rows in got.items())
+    assert {("SHORTWO", "start"), ("ORTWORD", "end"), ("TEXTTHA", "start")} <= set(got["whole_assembly_graph_ends"])
+    assert [r[2] for r in got["whole_decontaminate_psms"]] == ["SHORTWORD", "AB", "THISSENTENCEISALONGERONE"]

@@ -33,6 +33,8 @@ from .common import fresh, saved, small_batches, table
 
 #: Slots of a bucket, and moves after which a filter is built anew with twice the buckets.
 SLOTS, MOVES = 4, 500
+#: Keys that a task holds at once to probe a filter, about.
+GROUP_ROWS = 500_000
 
 
 def line_key(line: bytes, min_chars: int) -> tuple[int, int] | None:
@@ -144,7 +146,7 @@ def build_filters(keys: DataFrame, n_shards: int) -> DataFrame:
 
 
 def change_filters(filters: DataFrame, changed: DataFrame, n_shards: int) -> DataFrame:
-    """changed: (k1, k2, frequent), frequent telling whether the key enters or leaves the filters."""
+    """changed: (k1, k2, frequent), frequent telling whether the key enters or leaves the filters. One that is full has null buckets."""
 
     def change(key: tuple, old: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         come, go = own[own.frequent], own[~own.frequent]
@@ -153,7 +155,7 @@ def change_filters(filters: DataFrame, changed: DataFrame, n_shards: int) -> Dat
         if len(old):
             f.delete(go.k1.to_numpy(), go.k2.to_numpy())
             if not f.insert(come.k1.to_numpy(), come.k2.to_numpy()):
-                raise OverflowError(f"filter {key[0]} is full: rebuild() the index")
+                return pd.DataFrame({"shard": [key[0]], "n": [n], "buckets": [None]})
         return pd.DataFrame({"shard": [key[0]], "n": [n], "buckets": [f.table.tobytes()]})
 
     own = changed.select(shard_of(n_shards).alias("shard"), "k1", "k2", "frequent")
@@ -164,7 +166,8 @@ class LineIndex:
     """Reference counts and filters of the lines of a changing set of documents.
 
     min_chars: shorter keys are never dropped. min_docs: documents from which a key is frequent. keys_per_shard: bounds a
-    filter; salts: parts into which the rows of a key are dealt for the exact lookup.
+    filter, which is built anew when it is full; salts: parts into which the rows of a key are dealt for the exact lookup, and the rows
+    of a shard at least for its filter.
     """
 
     def __init__(self, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 200_000, salts: int = 16):
@@ -198,7 +201,7 @@ class LineIndex:
         was, now = (x.filter(F.col("n_docs") >= self.min_docs).select("k1", "k2") for x in (old, self.counts))
         changed = now.join(was, ["k1", "k2"], "left_anti").withColumn("frequent", F.lit(True)).unionAll(was.join(now, ["k1", "k2"], "left_anti").withColumn("frequent", F.lit(False)))
         self.filters = saved(change_filters(self.filters, changed, self.n_shards), "line-filters")
-        return self
+        return self.rebuild() if self.filters.filter("buckets IS NULL").limit(1).count() else self
 
     def insert(self, docs: DataFrame) -> LineIndex:
         new = self._new_refs(docs)
@@ -209,11 +212,18 @@ class LineIndex:
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
         return self._put(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
 
+    def dealt(self, keys: DataFrame) -> tuple[DataFrame, int]:
+        """keys with shard and salt, and the number of salts: so many that no group has many more than GROUP_ROWS rows, whatever the
+        shards, keys and documents hold."""
+        own = keys.withColumn("shard", shard_of(self.n_shards))
+        most = own.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+        salts = max(self.salts, -(-most // GROUP_ROWS))
+        return own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "k2"), F.lit(salts)).cast("int")), salts
+
     def maybe_frequent(self, keys: DataFrame) -> DataFrame:
-        """The rows of keys (k1, k2, doc_id) that the filters let through. Rows of a shard are dealt by document too, so that
-        neither a shard nor a key is one task's."""
-        n, salts = self.n_shards, self.salts
-        dealt = keys.withColumns({"shard": shard_of(n), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")})
+        """The rows of keys (k1, k2, doc_id) that the filters let through. Rows of a shard are dealt by document and key too, so that
+        neither a shard nor a key nor a document is one task's."""
+        dealt, salts = self.dealt(keys)
         filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
         def probe(_: tuple, own: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:

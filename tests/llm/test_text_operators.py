@@ -61,6 +61,25 @@ def test_line_index_is_reversible(documents):
     assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(first).collect()), key=str) == lines_by_hand(rows[:40])
 
 
+def test_line_index_grows(documents):
+    rows = repeated_lines(4)
+    index = line_dedup.LineIndex(keys_per_shard=50).insert(documents(rows))
+    more = [(100 + i, "\n".join(f"one more frequent line, number {n}" for n in range(200))) for i in range(3)]
+    index.insert(documents(more))
+    assert index.n_shards == 5 and index.filters.filter("buckets IS NULL").count() == 0
+    got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(documents(rows + more)).collect()), key=str)
+    assert got == lines_by_hand(rows + more)
+
+
+def test_filters_are_probed_in_small_groups(documents, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP_ROWS", 20)
+    rows = [(i, "\n".join(f"line number {n} that is long enough" for n in range(1 if i else 600))) for i in range(600)]
+    index = line_dedup.LineIndex().insert(documents(rows))  # a hot line and a long document
+    dealt, salts = index.dealt(index.refs)
+    assert salts == 60 and dealt.count() == 1199 and dealt.groupBy("shard", "salt").count().agg(F.max("count")).first()[0] <= 40
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(documents(rows)).collect()), key=str) == lines_by_hand(rows)
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(3)
     k1, k2, o1, o2 = rng.integers(-(1 << 63), 1 << 63, (4, 3000), np.int64)

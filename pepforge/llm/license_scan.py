@@ -10,7 +10,9 @@ with the largest coverage.
 
 The index holds the templates only, so its size is fixed. Documents are scanned whole, each by itself; nothing is shuffled.
 
-Templates of fewer words than that give all their runs, and documents all runs of those.
+A template whose matches of that coverage needn't share so long a run gives all its runs of ``K`` words, or of fewer where the coverage
+doesn't force ``K``, and documents all runs of those. So a match is found if it has the coverage on one diagonal (words changed or left
+out for others); words put in or left out can break all of its runs, and such a match may be lost.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined results: null, empty and short texts have no match; repeated rows are
 scanned each by itself; templates of fewer than ``K`` words match nothing. Other columns pass through ``scan`` unchanged.
@@ -18,6 +20,7 @@ scanned each by itself; templates of fewer than ``K`` words match nothing. Other
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -60,13 +63,19 @@ BAND, BAND_SHARE = 2, 0.1
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def runs(words: np.ndarray) -> np.ndarray:
-    """The hashes of all runs of K word numbers; NONE where a word is in no template (-1), as such a run can't match."""
-    n = max(0, len(words) - K + 1)
+def forced_run(n: int, coverage: float) -> int:
+    """The run of words that n template words must share with a document in place, if at least this share of them matches."""
+    same = min(n, max(1, math.ceil(coverage * n - 1e-9)))
+    return -(-same // (n - same + 1))
+
+
+def runs(words: np.ndarray, k: int = K) -> np.ndarray:
+    """The hashes of all runs of k word numbers; NONE where a word is in no template (-1), as such a run can't match."""
+    n = max(0, len(words) - k + 1)
     known = np.ones(n, bool)
     h = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(K):
+        for j in range(k):
             part = words[j : j + n]
             known &= part >= 0
             h = (h ^ part.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
@@ -84,7 +93,7 @@ def winnow(h: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    def __init__(self, templates: dict[str, tuple[str, ...]]):
+    def __init__(self, templates: dict[str, tuple[str, ...]], coverage: float = 0.8):
         self.names, self.texts, self.word = [], [], {}
         for name, texts in templates.items():
             for text in texts:
@@ -92,23 +101,28 @@ class Index:
                 if own:
                     self.names.append(name)
                     self.texts.append(np.array(own, np.int64))
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        brief = set()  # runs of templates too brief for the guarantee; of these, documents give every one
+        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))  # by length of run
+        brief = defaultdict(set)  # runs of templates without the guarantee; of these, documents give every one
         for i, t in enumerate(self.texts):
-            h = runs(t)
-            for place in winnow(h).tolist() if len(t) >= K + WINDOW - 1 else range(len(h)):
-                self.postings[int(h[place])].append((i, place))
-                if len(t) < K + WINDOW - 1:
-                    brief.add(int(h[place]))
-        self.brief = np.array(sorted(brief), np.uint64)
+            forced = forced_run(len(t), coverage)
+            k = min(K, forced) if len(t) >= K else K
+            h = runs(t, k)
+            sparse = forced >= K + WINDOW - 1
+            for place in winnow(h).tolist() if sparse else range(len(h)):
+                self.postings[k][int(h[place])].append((i, place))
+                if not sparse:
+                    brief[k].add(int(h[place]))
+        self.brief = {k: np.array(sorted(own), np.uint64) for k, own in brief.items()}
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least and largest diagonal) of common fingerprints that a band holds together."""
         diagonals: dict[int, list[int]] = defaultdict(list)
-        h = runs(words)
-        for place in np.union1d(winnow(h), np.flatnonzero(np.isin(h, self.brief))).tolist():
-            for i, own in self.postings.get(int(h[place]), ()):
-                diagonals[i].append(place - own)
+        for k, postings in self.postings.items():
+            h = runs(words, k)
+            places = np.flatnonzero(np.isin(h, self.brief[k])) if k in self.brief else np.zeros(0, np.int64)
+            for place in (np.union1d(winnow(h), places) if k == K else places).tolist():
+                for i, own in postings.get(int(h[place]), ()):
+                    diagonals[i].append(place - own)
         out = []
         for i, found in diagonals.items():
             found.sort()
@@ -182,7 +196,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, cov
 
     @F.pandas_udf(MATCHES)
     def run(texts: pd.Series) -> pd.Series:
-        index = Index(templates)
+        index = Index(templates, coverage)
 
         def one(text: str | None) -> list[dict]:
             words = np.array([index.word.get(w, -1) for w in words_of(text)], np.int64)

@@ -299,6 +299,22 @@ def test_license_scan(documents):
     assert license_scan.scan(documents([])).count() == 0
 
 
+def test_license_scan_finds_changed_words():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rng = random.Random(11)
+    for i, t in enumerate(index.texts):
+        if (n := len(t)) < license_scan.K:
+            continue
+        least = n - int(0.2 * n + 1e-9)
+        changes = [range(4, 5 * (n - least), 5)] + [rng.sample(range(n), n - least) for _ in range(20)]
+        changes += [[j] for j in range(n)] if n > least else []
+        for changed in changes:
+            words = np.concatenate([np.full(7, -1), t, np.full(5, -1)])
+            words[[7 + j for j in changed]] = -1
+            found = [m for m in index.scan(words, 0.8) if m[0] == index.names[i]]
+            assert any(c >= (n - len(changed)) / n - 1e-9 or c >= 0.8 for _, c, _, _ in found), (index.names[i], changed)
+
+
 def longest_common_subsequence(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a new temporary folder only where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a new temporary folder if they are one process
+    (local mode, as in tests); on a cluster that is an error, as a folder of one machine would lose tables."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -21,4 +25,15 @@ def kept(df: DataFrame, name: str = "table") -> DataFrame:
     """df written as Parquet and read again, which cuts the lineage of iterative plans and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/pepforge-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held.pepforge_path = path
+    return held
+
+
+def unsaved(*held: DataFrame | None) -> None:
+    """Deletes tables of kept() that no plan to come reads; what wasn't returned by kept() itself is left alone."""
+    for df in held:
+        if path := getattr(df, "pepforge_path", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from pepforge.store import kept as saved
+from pepforge.store import shared_dir, unsaved
+
+__all__ = ["ASCII_SPACE", "fresh", "saved", "shared_dir", "small_batches", "table", "unsaved"]
+
 #: The characters of [\x20\x09-\x0D]; bytes.split() and bytes.strip() use the same set.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
@@ -16,22 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new temporary one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/pepforge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Python workers take batches of so many rows at most, so that long texts don't fill their memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

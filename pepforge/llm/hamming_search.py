@@ -7,11 +7,14 @@ m * r + t - 1 or less has been found, as otherwise these would differ in more th
 when that covers its k-th distance; rounds go on for the other queries only. So radii with many values grow segment by segment.
 
 Rows with one code are one entry with its k smallest ids, so a vector shared by many rows is looked up once; queries with one code
-are one query. A pair is taken in the first round and segment in which it shows, so none counts twice.
+are one query. A pair is taken in the first round and segment in which it shows, so none counts twice. Every probe carries the
+distance (and id) that its query's k-th answer has so far, and only codes that come before it are given on, so what a query yields
+is bounded by what improves its answer, not by the lists that it looks up or by how Spark deals them.
 
 Defined results: a null vector has no code, is no query and in no result; vectors shorter than ``bits`` are filled up with zeros,
 longer ones cut; a null or NaN component is a 0 bit; ties are ordered by id; rows with a null id are not found and not queries;
-repeated ids count once. Fewer than k rows with a code: all are returned.
+repeated ids count once. Fewer than k rows with a code: all are returned; no rows or no queries: no result. Other columns than
+the id and the vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, unsaved
 
 #: Values of a radius up to which all segments are looked up in one round.
 AT_ONCE = 150
@@ -105,14 +108,16 @@ class Segments:
                     v = values[j]
                     for i in range(0, len(b), 64):
                         own = v[i : i + 64, None] ^ masks[j]
-                        yield pd.DataFrame({"segment": j, "value": own.ravel(), "query": np.repeat(b["query"].to_numpy()[i : i + 64], len(masks[j]))})
+                        asked = {c: np.repeat(b[c].to_numpy()[i : i + 64], len(masks[j])) for c in ("query", "far", "far_id")}
+                        yield pd.DataFrame({"segment": j, "value": own.ravel(), **asked})
 
         # dealt over all tasks, as each query becomes many rows
         tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return queries.select("query").repartition(tasks).mapInPandas(run, "segment int, value long, query binary")
+        return queries.select("query", "far", "far_id").repartition(tasks).mapInPandas(run, "segment int, value long, query binary, far int, far_id long")
 
     def new_pairs(self, found: DataFrame, radius: int, k: int) -> DataFrame:
-        """The pairs that show first in this round and segment, with their full distance; of a batch the k first of each query."""
+        """The pairs that show first in this round and segment and come before the query's bound (far, far_id), with their full
+        distance; of a batch the k first of each query."""
         schema = "query binary, code binary, n long, first_id long, distance int"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,15 +132,18 @@ class Segments:
                 d = np.stack([differs[:, a:z].sum(axis=1) for a, z in self.spans], axis=1)
                 at = np.arange(self.n)[None, :]
                 segment = b.column("segment").to_numpy(zero_copy_only=False)[row]
-                first = np.flatnonzero(((d > radius) | ((at >= segment[:, None]) & (d >= radius))).all(axis=1))
+                far, far_id = (b.column(c).to_numpy(zero_copy_only=False)[row] for c in ("far", "far_id"))
+                whole = d.sum(axis=1)
+                nearer = (whole < far) | ((whole == far) & (ids < far_id))
+                first = np.flatnonzero(nearer & ((d > radius) | ((at >= segment[:, None]) & (d >= radius))).all(axis=1))
                 name = np.unique(np.array(queries, dtype=object), return_inverse=True)[1][row]
-                order = first[np.lexsort((ids[first], d[first].sum(axis=1), name[first]))]
+                order = first[np.lexsort((ids[first], whole[first], name[first]))]
                 start = np.searchsorted(name[order], name[order])
                 order = order[np.arange(len(order)) - start < k]
                 codes = [w.astype(">i8").tobytes()[: -(-self.bits // 8)] for w in words[order]]
-                yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in row[order]], pa.binary()), pa.array(codes, pa.binary()), pa.array(ns[order]), pa.array(ids[order]), pa.array(d[order].sum(axis=1).astype(np.int32))], ["query", "code", "n", "first_id", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([queries[i] for i in row[order]], pa.binary()), pa.array(codes, pa.binary()), pa.array(ns[order]), pa.array(ids[order]), pa.array(whole[order].astype(np.int32))], ["query", "code", "n", "first_id", "distance"])
 
-        return found.select("segment", "query", "words", "n", "first_id").mapInArrow(run, schema)
+        return found.select("segment", "query", "far", "far_id", "words", "n", "first_id").mapInArrow(run, schema)
 
 
 def nearest(found: DataFrame, k: int) -> DataFrame:
@@ -144,6 +152,20 @@ def nearest(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
 
 
+def bounded(queries: DataFrame, found: DataFrame, k: int, bits: int) -> DataFrame:
+    """(query, far, far_id): only codes at a distance under far, or at far with a first id under far_id, can be among the answers.
+
+    found: the k first codes of each query. far is the distance up to which they have k ids; far_id the first id of the k-th code,
+    if that is at this distance.
+    """
+    by = Window.partitionBy("query")
+    rows = found.withColumn("ids", F.sum("n").over(by.orderBy("distance"))).withColumn("place", F.row_number().over(by.orderBy("distance", "first_id", "code")))
+    far = rows.groupBy("query").agg(F.min(F.when(F.col("ids") >= k, F.col("distance"))).alias("far"), F.max(F.when(F.col("place") == k, F.struct("distance", "first_id"))).alias("last"))
+    open_end = F.lit((1 << 63) - 1)
+    far_id = F.when(F.col("last.distance") == F.col("far"), F.col("last.first_id")).otherwise(open_end)
+    return queries.select("query").join(far, "query", "left").select("query", F.coalesce("far", F.lit(bits + 1)).alias("far"), F.coalesce(far_id, open_end).alias("far_id"))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", width: int | None = None) -> DataFrame:
     """(query_id, rank, id, distance) of the k rows of vectors whose codes are nearest to each row of queries.
 
@@ -156,16 +178,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = 64, i
     asked = saved(binary_codes(queries, id_col, vector_col, bits).distinct().withColumnsRenamed({"id": "query_id", "code": "query"}), "queries")
     cut = Segments(bits, width or float(np.clip(np.log2(max(2, codes.count() / PER_VALUE)), 4, 20)))
     index = saved(cut.index(codes), "segments")
-    active = saved(asked.select("query").distinct(), "active")
+    everything = F.lit((1 << 63) - 1)
+    active = saved(asked.select("query").distinct().select("query", F.lit(bits + 1).alias("far"), everything.alias("far_id")), "active")
     found = None
     for radius, segments in cut.rounds():
         # Spark takes the probes for as small as the queries; so it mustn't broadcast them
         probed = cut.probes(active, radius, segments).hint("merge").join(index, ["segment", "value"])
         new = cut.new_pairs(probed, radius, k)
+        before = found, active
         found = saved(nearest(new if found is None else found.unionAll(new), k), "found")
         covered = cut.n * radius + segments[-1]
-        done = found.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum("n").alias("n")).filter(F.col("n") >= k)
-        active = saved(active.join(done, "query", "left_anti"), "active")
+        active = saved(bounded(active, found, k, bits).filter(F.col("far") > covered), "active")
+        unsaved(*before)
         if not active.limit(1).count():
             break
     named = found.join(ids.select("code", "id"), "code")

@@ -18,8 +18,11 @@ Words: A-Z lower-cased, then ``[^\\x20\\x09-\\x0D]+``. A text with fewer words t
 its words; without words the set is empty and linked with nothing.
 
 Defined results: rows with null doc_id are linked with nothing, have a null component and are kept; rows with one doc_id are one
-document (if their texts differ, it has several sets, and a link of any counts), each with its own n_shingles, and are kept or not
-together. Other columns pass through ``near_dedup`` unchanged.
+document (if their texts differ, it has several sets, and a link of any counts, so all it is linked with is one component), each with
+its own n_shingles. ``near_dedup`` keeps or drops them together. Equal texts are named by the smallest doc_id that holds them; a
+document stays if it names a group of texts that links put together. So where each doc_id has one text, one document of each
+component stays; where some have several, no group of linked texts goes as a whole. Other columns pass through ``near_dedup``
+unchanged. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small_batches, table
+from .common import fresh, saved, small_batches, table, unsaved
 
 BANDS, ROWS = 28, 4
 N_HASHES = BANDS * ROWS
@@ -104,14 +107,14 @@ def prints(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, minhash = Shingler(width), MinHash()
         for b in batches:
-            n, k1, k2, sig = [], [], [], []
+            n, found, sig = [], [], []
             for text in b.column(1):
                 s = shingler.of_text(text.as_py())
                 n.append(len(s))
-                h = xxhash.xxh3_128_intdigest(s.tobytes())
-                k1.append((h >> 64) - (1 << 63) if len(s) else None)
-                k2.append((h & (1 << 64) - 1) - (1 << 63) if len(s) else None)
+                (a,), (c,) = set_keys([s.tobytes()])
+                found.append((a, c))
                 sig.append(minhash.of_set(s).tobytes() if len(s) else None)
+            k1, k2 = [a for a, _ in found], [c for _, c in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "signature"])
 
     small_batches(docs.sparkSession)
@@ -185,8 +188,15 @@ def pruned(pairs: DataFrame, classes: DataFrame, least: np.ndarray) -> DataFrame
     return pairs.join(b, "v").join(a, "u").filter(survives("a", "b")).select("u", "v").distinct()
 
 
-def set_rows(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, shingles): the full sets of the nodes' texts; one more for each further text with the same doc_id.
+def set_keys(found: list[bytes]) -> tuple[list[int | None], list[int | None]]:
+    """Both halves of the key of each set of shingles, given as bytes; null for the empty set."""
+    hashes = [xxhash.xxh3_128_intdigest(s) if s else None for s in found]
+    return [None if h is None else (h >> 64) - (1 << 63) for h in hashes], [None if h is None else (h & (1 << 64) - 1) - (1 << 63) for h in hashes]
+
+
+def set_rows(docs: DataFrame, nodes: DataFrame, width: int, classes: DataFrame | None = None) -> DataFrame:
+    """(node, shingles): the full sets of the nodes' texts. classes (node, k1, k2): where doc_ids have several texts, only the sets of
+    the classes that are named by the node.
 
     Few texts are wanted, and they are the bulk of the data. So before the join most others go by a broadcast of the hash slots that
     wanted ids fall into: SLOTS at most, whatever the number of ids. Where most slots are full it filters little, and the join does.
@@ -199,14 +209,18 @@ def set_rows(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
         shingler = Shingler(width)
         for b in batches:
             found = [shingler.of_text(t.as_py()).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
+            k1, k2 = set_keys(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64())], ["node", "shingles", "k1", "k2"])
 
-    return own.mapInArrow(sets, "node long, shingles binary").filter(F.length("shingles") > 0).distinct()
+    full = own.mapInArrow(sets, "node long, shingles binary, k1 long, k2 long").filter(F.length("shingles") > 0)
+    if classes is not None:
+        full = full.join(classes.select("node", "k1", "k2"), ["node", "k1", "k2"], "left_semi")
+    return full.select("node", "shingles").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int, classes: DataFrame | None = None) -> DataFrame:
     """The pairs whose full sets reach the threshold: 100 * intersection >= percent * union."""
-    full = saved(set_rows(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), width), "near-sets")
+    full = saved(set_rows(docs, pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), width, classes), "near-sets")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -221,7 +235,9 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
 
     a = full.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
     b = full.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-    return pairs.join(b, "v").join(a, "u").filter(linked("a", "b")).select("u", "v").distinct()
+    links = saved(pairs.join(b, "v").join(a, "u").filter(linked("a", "b")).select("u", "v").distinct(), "near-verified")
+    unsaved(full)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -290,7 +306,7 @@ def parts(nodes: DataFrame, label: DataFrame, block: int) -> DataFrame:
     return held.withColumn("part", F.when(F.col("size") >= block, large).otherwise(F.pmod(F.xxhash64("component"), F.lit(n))))
 
 
-def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int, block: int) -> DataFrame:
+def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame, width: int, percent: int, block: int, classes: DataFrame | None = None) -> DataFrame:
     """The links (u, v) among candidates (u, part, vs) on full sets. members: node, part.
 
     The sets of a part's nodes meet the sets of the nodes u that have candidates there: a set goes to as many tasks as it has
@@ -298,7 +314,7 @@ def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame
     """
     wanted = candidates.filter("u IS NULL").select(F.explode("vs").alias("node")).unionAll(candidates.filter("u IS NOT NULL").select("u")).distinct()
     candidates = candidates.filter("u IS NOT NULL")
-    full = saved(set_rows(docs, wanted, width), "near-sets")
+    full = saved(set_rows(docs, wanted, width, classes), "near-sets")
     asked = candidates.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
     left = candidates.join(asked, "part").withColumn("salt", F.pmod(F.xxhash64("u"), F.col("salts")).cast("int"))
     left = left.join(full.withColumnRenamed("node", "u"), "u").select("part", "salt", "u", "vs", "shingles")
@@ -323,43 +339,72 @@ def verified_in_parts(candidates: DataFrame, members: DataFrame, docs: DataFrame
                 found += [(u, v) for v in nodes[ok]]
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    return left.groupBy("part", "salt").cogroup(right.groupBy("part", "salt")).applyInPandas(check, "u long, v long").distinct()
+    links = saved(left.groupBy("part", "salt").cogroup(right.groupBy("part", "salt")).applyInPandas(check, "u long, v long").distinct(), "near-verified")
+    unsaved(full)
+    return links
+
+
+def several_texts(rows: DataFrame) -> DataFrame:
+    """(doc_id) of those that have rows with different sets."""
+    key = F.struct(F.coalesce("k1", F.lit(0)).alias("k1"), F.coalesce("k2", F.lit(0)).alias("k2"), F.col("k1").isNull().alias("none"))
+    by = rows.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"))
+    return by.filter("n > 1 AND low <> high").select("doc_id")
 
 
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, miss: float = 1e-7, block: int = 512) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (it is its own component's)."""
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (it is its own component's), stays
+    (``near_dedup`` keeps it; the same as kept where no doc_id has several texts)."""
     rows = saved(prints(docs, width), "near-prints")
     least = least_matches(percent / 100, miss)
     some = rows.filter("doc_id IS NOT NULL AND k1 IS NOT NULL")
     classes = saved(some.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature")), "near-classes")
+    several = saved(several_texts(rows), "near-several")
+    mixed = several.limit(1).count() > 0
+    named = classes if mixed else None
     bands = band_rows(classes)
     star = bands.groupBy("bucket").agg(F.min("node").alias("star"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "star")
     buckets = saved(bands.join(star, "bucket"), "near-buckets")
     pairs = buckets.filter("node <> star").select(F.col("star").alias("u"), F.col("node").alias("v")).distinct()
-    links = saved(verified(saved(pruned(pairs, classes, least), "near-pairs"), docs, width, percent), "near-verified")
+    pairs = saved(pruned(pairs, classes, least), "near-pairs")
+    links = verified(pairs, docs, width, percent, named)
+    unsaved(pairs)
     label = components(links)
     buckets = buckets.select("bucket", "node")
     more = saved(open_candidates(buckets, label, classes, least, block), "near-open")
     if more.limit(1).count():
         members = parts(buckets.select("node").distinct(), label, block).select("node", "part")
-        links = links.unionAll(verified_in_parts(more, members, docs, width, percent, block))
+        links = links.unionAll(verified_in_parts(more, members, docs, width, percent, block, named))
         label = components(links)
+    unsaved(more)
     merged = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     merged = merged.filter("copies > 1 OR component <> node").select(F.col("k1").alias("__1"), F.col("k2").alias("__2"), "component")
     out = rows.join(merged, (F.col("k1") == F.col("__1")) & (F.col("k2") == F.col("__2")) & F.col("doc_id").isNotNull(), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    if not mixed:
+        return out.withColumn("kept", kept).withColumn("stays", F.col("kept"))
+    # the texts of a document join what each of them is linked with
+    own = some.select("doc_id", "k1", "k2").join(several, "doc_id", "left_semi").distinct()
+    own = saved(own.join(classes, ["k1", "k2"]).select("doc_id", "node"), "near-own")
+    first = own.groupBy("doc_id").agg(F.min("node").alias("u"))
+    joined = components(links.unionAll(own.join(first, "doc_id").filter("node <> u").select("u", F.col("node").alias("v"))))
+    whole = out.withColumn("alone", kept).join(joined.select(F.col("node").alias("component_id"), F.col("component").alias("further")), "component_id", "left")
+    whole = saved(whole.select("doc_id", "n_shingles", F.coalesce("further", "component_id").alias("component_id"), "alone"), "near-joined")
+    # rows without words, too, belong to their document
+    by = whole.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.bool_or(F.col("alone") & (F.col("n_shingles") > 0)).alias("any"))
+    done = whole.join(by, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"), F.coalesce("any", "alone").alias("stays"))
+    return done.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "stays")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose doc_id isn't the smallest of its component."""
+    """docs without the documents that are linked with one of a smaller doc_id, see above."""
     (name,) = fresh(docs, "__lost")
-    lost = near_components(docs, width, percent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    lost = near_components(docs, width, percent).filter("NOT stays").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(lost, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def op5_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, percent=80)
+    return near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=2, percent=80).drop("stays")
 
 
 ORACLE_OP5 = r"""

@@ -339,3 +339,35 @@ def test_digest_columns(documents, spark, tmp_path):
     documents(rows).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.kept_sha256 for r in line_dedup.op1_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {d: hashlib.sha256(t.encode()).hexdigest() for d, _, _, t in lines_by_hand(rows)}
+
+
+def stays_by_hand(rows, width, percent=80):
+    """The doc_ids that name a group of linked texts. A text is named by the smallest doc_id that holds it."""
+    own = [(d, frozenset(shingles(t, width))) for d, t in rows if d is not None]
+    own = [(d, x) for d, x in own if x or not any(y for e, y in own if e == d)]
+    name = {(d, x): min([e for e, y in own if x and y == x] or [d]) for d, x in own}
+    group = {n: n for n in name.values()}
+    for (p, x), (q, y) in itertools.combinations({(n, x) for (_, x), n in name.items()}, 2):
+        n = len(x & y)
+        if x and y and 100 * n >= percent * (len(x) + len(y) - n):
+            a, b = sorted((group[p], group[q]))
+            group = {k: a if g == b else g for k, g in group.items()}
+    return {d for (d, _), n in name.items() if group[n] == d}, {(d, x): group[n] for (d, x), n in name.items()}
+
+
+A, B = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+REPEATED = [[(3, A), (7, A), (7, B), (9, B)], [(3, A), (3, B), (7, B), (8, A), (8, "")], [(5, A), (2, ""), (2, A + " x"), (5, B), (1, B), (None, A)]]
+
+
+@pytest.mark.parametrize("rows", [*REPEATED, "random 1", "random 2"])
+def test_near_dedup_with_several_texts_of_a_document(documents, rows):
+    if isinstance(rows, str):
+        rng = random.Random(rows)
+        rows = [(rng.randrange(80), t) for _, t in near_copies(5)]
+    got = near_dedup.near_components(documents(rows), width=2).collect()
+    want = components_by_hand(rows, 2)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(d, want.get(d), d is None or want[d] == d) for d, _ in rows}
+    stays, group = stays_by_hand(rows, 2)
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.near_dedup(documents(rows), width=2).collect() if r.doc_id is not None)
+    assert kept == sorted((d, t) for d, t in rows if d in stays)
+    assert {g for (d, _), g in group.items() if d in stays} == set(group.values())  # no group of texts is lost

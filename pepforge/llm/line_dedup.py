@@ -10,6 +10,11 @@ A filter is approximate with false positives only, so it says cheaply which line
 settled by ``counts``. Inserting and deleting documents adds or removes rows of ``refs`` and puts in or takes out the
 fingerprints of just those keys that cross ``min_docs``, so an insert followed by a delete restores the state.
 
+The first insert makes plain tables. From the first change on they are logs (see ``Log``) in folders by key, and a second log of
+``refs`` is in folders by document. A change then reads the folders into which its own keys and documents fall, counts its own keys
+anew, writes only rows of these keys, and sets those filters anew into which they fall; all else is neither read nor written. A
+filter that is full grows from its own shard's exact counts; when one holds twice ``keys_per_shard``, there are more shards.
+
 A key is two 64-bit halves of a 128-bit hash of the normalised line. Hot keys are pre-aggregated by (key, doc_id) before they
 are counted, and the exact lookup salts the rows of a key.
 
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small_batches, table
+from .common import fresh, saved, small_batches, table, unsaved
 
 #: Slots of a bucket, and moves after which a filter is built anew with twice the buckets.
 SLOTS, MOVES = 4, 500
@@ -146,9 +151,12 @@ def build_filters(keys: DataFrame, n_shards: int) -> DataFrame:
 
 
 def change_filters(filters: DataFrame, changed: DataFrame, n_shards: int) -> DataFrame:
-    """changed: (k1, k2, frequent), frequent telling whether the key enters or leaves the filters. One that is full has null buckets."""
+    """The filters of the shards of changed (k1, k2, frequent), frequent telling whether the key enters or leaves. One that is full
+    has null buckets."""
 
     def change(key: tuple, old: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return old[["shard", "n", "buckets"]].iloc[:0]
         come, go = own[own.frequent], own[~own.frequent]
         n = (int(old.n[0]) if len(old) else 0) + len(come) - len(go)
         f = Cuckoo(np.frombuffer(old.buckets[0], np.uint16).copy()) if len(old) else Cuckoo.of(come.k1.to_numpy(), come.k2.to_numpy())
@@ -162,20 +170,81 @@ def change_filters(filters: DataFrame, changed: DataFrame, n_shards: int) -> Dat
     return filters.groupBy("shard").cogroup(own.groupBy("shard")).applyInPandas(change, FILTERS)
 
 
+class Log:
+    """Rows by key in folders, of which the latest version counts.
+
+    A change adds a table with the rows that it sets (alive) or takes out. Tables at the end are merged while one has more than half
+    the rows of the one before, so there are about log2(rows) tables, and a row is rewritten as often at most.
+    """
+
+    def __init__(self, name: str, keys: list[str], folder: F.Column, n_folders: int):
+        self.name, self.keys, self.folder, self.n_folders = name, keys, folder, n_folders
+        self.tables: list[tuple[DataFrame, int]] = []
+
+    def folder_of(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("folder", F.pmod(self.folder, F.lit(self.n_folders)).cast("int"))
+
+    def folders(self, rows: DataFrame) -> list[int]:
+        """Those that the rows fall into: n_folders at most."""
+        return [r.folder for r in self.folder_of(rows).select("folder").distinct().collect()]
+
+    def write(self, rows: DataFrame) -> DataFrame:
+        spread = F.pmod(F.xxhash64(*self.keys), F.lit(8))  # a key that many rows have isn't one task's
+        return saved(rows.repartition("folder", spread), self.name, by=["folder"])
+
+    def put(self, rows: DataFrame, version: int) -> None:
+        """rows: the keys, alive and further columns."""
+        new = self.write(self.folder_of(rows).withColumn("version", F.lit(version)))
+        self.tables.append((new, new.count()))
+        while len(self.tables) > 1 and 2 * self.tables[-1][1] > self.tables[-2][1]:
+            (a, _), (b, _) = self.tables[-2:]
+            merged = self.latest([a, b])
+            both = self.write(merged if len(self.tables) > 2 else merged.filter("alive"))
+            self.tables[-2:] = [(both, both.count())]
+            unsaved(a, b)
+
+    def latest(self, tables: list[DataFrame]) -> DataFrame:
+        if len(tables) == 1:
+            return tables[0]
+        rows = tables[0]
+        for t in tables[1:]:
+            rows = rows.unionByName(t)
+        rest = [c for c in rows.columns if c not in self.keys]
+        newest = F.max_by(F.struct(*rest), "version").alias("v")
+        return rows.groupBy(*self.keys).agg(newest).select(*self.keys, *[F.col(f"v.{c}").alias(c) for c in rest])
+
+    def rows(self, folders: list[int] | None = None) -> DataFrame:
+        """The rows that are alive, of the given folders only."""
+        tables = [t if folders is None else t.filter(F.col("folder").isin(folders)) for t, _ in self.tables]
+        return self.latest(tables).filter("alive").drop("folder", "version", "alive")
+
+
+def same_ref(a: str, b: str) -> F.Column:
+    return F.expr(f"{a}.k1 = {b}.k1 AND {a}.k2 = {b}.k2 AND {a}.doc_id <=> {b}.doc_id")
+
+
 class LineIndex:
     """Reference counts and filters of the lines of a changing set of documents.
 
-    min_chars: shorter keys are never dropped. min_docs: documents from which a key is frequent. keys_per_shard: bounds a
-    filter, which is built anew when it is full; salts: parts into which the rows of a key are dealt for the exact lookup, and the rows
-    of a shard at least for its filter.
+    min_chars: shorter keys are never dropped. min_docs: documents from which a key is frequent. keys_per_shard: bounds a filter;
+    salts: parts into which the rows of a key are dealt for the exact lookup, and the rows of a shard at least for its filter;
+    folders: into how many the logs are divided.
     """
 
-    def __init__(self, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 200_000, salts: int = 16):
-        self.min_chars, self.min_docs, self.keys_per_shard, self.salts = min_chars, min_docs, keys_per_shard, salts
-        self.refs: DataFrame | None = None
-        self.counts: DataFrame | None = None
+    def __init__(self, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 200_000, salts: int = 16, folders: int = 64):
+        self.min_chars, self.min_docs, self.keys_per_shard, self.salts, self.n_folders = min_chars, min_docs, keys_per_shard, salts, folders
         self.filters: DataFrame | None = None
-        self.n_shards = 0
+        self.n_shards = self.version = 0
+        self._plain: tuple[DataFrame, DataFrame] | None = None
+        self._logs: tuple[Log, Log, Log] | None = None
+
+    @property
+    def refs(self) -> DataFrame | None:
+        return self._logs[0].rows() if self._logs else self._plain and self._plain[0]
+
+    @property
+    def counts(self) -> DataFrame | None:
+        return self._logs[2].rows() if self._logs else self._plain and self._plain[1]
 
     def _new_refs(self, docs: DataFrame) -> DataFrame:
         return keyed_lines(docs, self.min_chars).distinct()
@@ -192,25 +261,62 @@ class LineIndex:
         self.filters = saved(build_filters(self._frequent(), self.n_shards), "line-filters")
         return self
 
-    def _put(self, refs: DataFrame) -> LineIndex:
-        old, first = self.counts, self.refs is None
-        self.refs = saved(refs, "line-refs")
-        self.counts = saved(self._count(self.refs), "line-counts")
-        if first:
-            return self.rebuild()
-        was, now = (x.filter(F.col("n_docs") >= self.min_docs).select("k1", "k2") for x in (old, self.counts))
-        changed = now.join(was, ["k1", "k2"], "left_anti").withColumn("frequent", F.lit(True)).unionAll(was.join(now, ["k1", "k2"], "left_anti").withColumn("frequent", F.lit(False)))
-        self.filters = saved(change_filters(self.filters, changed, self.n_shards), "line-filters")
-        return self.rebuild() if self.filters.filter("buckets IS NULL").limit(1).count() else self
-
     def insert(self, docs: DataFrame) -> LineIndex:
         new = self._new_refs(docs)
-        return self._put(new if self.refs is None else self.refs.unionAll(new).distinct())
+        if self._plain is None and self._logs is None:
+            refs = saved(new, "line-refs")
+            self._plain = refs, saved(self._count(refs), "line-counts")
+            return self.rebuild()
+        _, by_doc, _ = self._changing()
+        new = saved(new, "line-new")
+        held = by_doc.rows(by_doc.folders(new))
+        self._change(saved(new.alias("n").join(held.alias("h"), same_ref("n", "h"), "left_anti"), "line-change"), True)
+        unsaved(new)
+        return self
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """doc_ids: a DataFrame with the doc_id of documents to take out."""
+        _, by_doc, _ = self._changing()
         gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
-        return self._put(self.refs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti"))
+        held = by_doc.rows(by_doc.folders(gone.withColumnRenamed("gone", "doc_id")))
+        return self._change(saved(held.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi"), "line-change"), False)
+
+    def _changing(self) -> tuple[Log, Log, Log]:
+        """refs by key, refs by document, counts by key."""
+        if self._logs is None:
+            ref, key = ["k1", "k2", "doc_id"], ["k1", "k2"]
+            made = [("line-refs", ref, F.col("k1")), ("line-docs", ref, F.xxhash64("doc_id")), ("line-counts", key, F.col("k1"))]
+            self._logs = tuple(Log(name, keys, folder, self.n_folders) for name, keys, folder in made)
+            refs, counts = self._plain
+            for log, rows in zip(self._logs, (refs, refs, counts), strict=True):
+                log.put(rows.withColumn("alive", F.lit(True)), 0)
+            self._plain = None
+            unsaved(refs, counts)
+        return self._logs
+
+    def _change(self, rows: DataFrame, come: bool) -> LineIndex:
+        """rows (k1, k2, doc_id) come into the exact tables or go."""
+        by_key, by_doc, counts = self._logs
+        self.version += 1
+        for log in (by_key, by_doc):
+            log.put(rows.withColumn("alive", F.lit(come)), self.version)
+        keys = saved(rows.select("k1", "k2").distinct(), "line-keys")
+        folders = by_key.folders(keys)
+        now = self._count(by_key.rows(folders).join(keys, ["k1", "k2"], "left_semi"))
+        was = counts.rows(folders).select("k1", "k2", F.col("n_docs").alias("was"))
+        both = saved(keys.join(now, ["k1", "k2"], "left").join(was, ["k1", "k2"], "left").na.fill(0, ["n_docs", "was"]), "line-diff")
+        counts.put(both.select("k1", "k2", "n_docs", "keeper", (F.col("n_docs") > 0).alias("alive")), self.version)
+        frequent = F.col("n_docs") >= self.min_docs
+        crossed = both.filter(frequent != (F.col("was") >= self.min_docs)).select("k1", "k2", frequent.alias("frequent"))
+        touched = crossed.select(shard_of(self.n_shards).alias("shard")).distinct()
+        old = self.filters
+        set_anew = saved(change_filters(old.join(touched, "shard", "left_semi"), crossed, self.n_shards), "line-filters")
+        full = set_anew.filter("buckets IS NULL").select("shard")
+        grown = build_filters(self._frequent().join(full, shard_of(self.n_shards) == F.col("shard"), "left_semi"), self.n_shards)
+        self.filters = saved(old.join(touched, "shard", "left_anti").unionByName(set_anew.filter("buckets IS NOT NULL")).unionByName(grown), "line-filters")
+        unsaved(old, set_anew, keys, both, rows)
+        most = self.filters.agg(F.max("n")).first()[0] or 0
+        return self.rebuild() if most > 2 * self.keys_per_shard else self
 
     def dealt(self, keys: DataFrame) -> tuple[DataFrame, int]:
         """keys with shard and salt, and the number of salts: so many that no group has many more than GROUP_ROWS rows, whatever the
@@ -233,17 +339,18 @@ class LineIndex:
 
         return dealt.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInPandas(probe, "k1 long, k2 long, doc_id long")
 
-    def drops(self, refs: DataFrame | None = None) -> DataFrame:
-        """(doc_id, keys): for each document the frequent keys whose lines it loses."""
-        maybe = self.maybe_frequent(self.refs if refs is None else refs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(self.salts)).cast("int"))
+    def drops(self, refs: DataFrame) -> DataFrame:
+        """(doc_id, keys): for each document of refs the frequent keys whose lines it loses."""
+        maybe = self.maybe_frequent(refs).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(self.salts)).cast("int"))
         exact = self._frequent().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(self.salts - 1))))
         lost = maybe.join(exact, ["k1", "k2", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """docs with the lines dropped from text, and n_lines, n_dropped. docs must have been inserted."""
+    def apply(self, docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+        """docs with the lines dropped from text, and n_lines, n_dropped. docs must have been inserted. refs: their rows of refs, if
+        these are at hand; else their lines are read, so that the work follows docs and not all that is in the index."""
         doc, keys, new = fresh(docs, "__doc", "__keys", "__new")
-        lost = self.drops().withColumnsRenamed({"doc_id": doc, "keys": keys})
+        lost = self.drops(self._new_refs(docs) if refs is None else refs).withColumnsRenamed({"doc_id": doc, "keys": keys})
         joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
         done = joined.withColumn(new, rewritten(self.min_chars)(F.col("text").cast("string"), F.col(keys)))
         made = ("text", "n_lines", "n_dropped")
@@ -270,7 +377,8 @@ def rewritten(min_chars: int):
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """docs without the lines that min_docs documents hold, but for the largest doc_id of each; with n_lines, n_dropped."""
-    return LineIndex(min_chars, min_docs).insert(docs).apply(docs)
+    index = LineIndex(min_chars, min_docs).insert(docs)
+    return index.apply(docs, index.refs)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -71,6 +71,50 @@ def test_line_index_grows(documents):
     assert got == lines_by_hand(rows + more)
 
 
+def test_line_index_equals_a_fresh_one_after_every_change(documents):
+    """Growing inserts and deletes in another order; exact tables, filters and results as if built at once."""
+    rng = random.Random(9)
+    pool = [f"line number {i} that is long enough" for i in range(400)]
+    batches = [[(1000 * b + i, "\n".join(rng.sample(pool[: 20 + 45 * b], min(6, 3 + b)))) for i in range(3 + 3 * b)] for b in range(9)]
+    batches[4].append(batches[3][0])  # a document that is there already
+    index, held = line_dedup.LineIndex(keys_per_shard=60, folders=4), {}
+    steps = [("insert", b) for b in range(9)]
+    for at, gone in ((4, 2), (6, 0), (9, 7)):
+        steps.insert(at, ("delete", gone))
+    for what, b in steps:
+        docs = documents(batches[b])
+        if what == "insert":
+            index.insert(docs)
+            held |= dict(batches[b])
+        else:
+            index.delete(docs.select("doc_id"))
+            held = {d: t for d, t in held.items() if d not in dict(batches[b])}
+        want = {}
+        for d, t in held.items():
+            for x in set(t.split("\n")):
+                want.setdefault(line_dedup.line_key(x.encode(), 20), set()).add(d)
+        assert {(r.k1, r.k2): (r.n_docs, r.keeper) for r in index.counts.collect()} == {k: (len(v), max(v)) for k, v in want.items()}
+        frequent = [k for k, v in want.items() if len(v) >= 3]
+        filters = {r.shard: r for r in index.filters.collect()}
+        assert sum(r.n for r in filters.values()) == len(frequent) and all(r.n <= 120 for r in filters.values())
+        for k1, k2 in frequent:
+            assert line_dedup.Cuckoo(np.frombuffer(filters[k1 % index.n_shards].buckets, np.uint16)).holds(np.array([k1]), np.array([k2])).all()
+    assert index.n_shards > 1 and len(index._logs[0].tables) <= 6
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in index.apply(documents(list(held.items()))).collect()), key=str) == lines_by_hand(list(held.items()))
+
+
+def test_a_change_reads_only_its_own_folders(documents):
+    """A small change leaves the folders of other keys unread."""
+    index = line_dedup.LineIndex(folders=32).insert(documents([(i, f"line number {i} that is long enough") for i in range(64)]))
+    index.insert(documents([(100, "one more line that is long enough")]))
+    by_key = index._logs[0]
+    key = index._new_refs(documents([(1, "one more line that is long enough")]))
+    folders = by_key.folders(key)
+    assert len(folders) == 1
+    base = by_key.tables[0][0].filter(F.col("folder").isin(folders))
+    assert base.count() < 16 and re.search(r"PartitionFilters: \[[^]]*folder", base._jdf.queryExecution().toString())
+
+
 def test_filters_are_probed_in_small_groups(documents, monkeypatch):
     monkeypatch.setattr(line_dedup, "GROUP_ROWS", 20)
     rows = [(i, "\n".join(f"line number {n} that is long enough" for n in range(1 if i else 600))) for i in range(600)]

@@ -8,20 +8,25 @@ in order, allowing words that are put in, left out or changed. It reports the ma
 the span of words in the document. Matches of at least ``coverage`` are kept; of those of one template that overlap, the one
 with the largest coverage.
 
-The index holds the templates only, so its size is fixed. Documents are scanned whole, each by itself; nothing is shuffled.
-
-A template whose matches of that coverage needn't share so long a run gives all its runs of ``K`` words, or of fewer where the coverage
-doesn't force ``K``, and documents all runs of those. So a match is found if it has the coverage on one diagonal (words changed or left
-out for others); words put in or left out can break all of its runs, and such a match may be lost.
-
-Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined results: null, empty and short texts have no match; repeated rows are
-scanned each by itself; templates of fewer than ``K`` words match nothing. Other columns pass through ``scan`` unchanged.
+The index holds the templates only, so its size is fixed; a Python worker makes it once. Documents are scanned whole, each by itself;
+nothing is shuffled.
+
+What is found: if words of a template are changed or left out for others, a match of that coverage has a run that long wherever the
+template's length forces it (from 16 words on, at a coverage of 0.8), so every such match is found. Shorter templates have single words
+as their fingerprints, with postings of their own: a candidate is any stretch of the document that a band can hold with as many of
+their words as the coverage asks for, so words put in between lose no match either. Words put into a longer one can break up all of
+its runs; such a match may be lost.
+
+Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined results: null and empty texts have no match; repeated
+rows are scanned each by itself; templates without words match nothing; an empty table gives an empty result. Other columns pass
+through ``scan`` unchanged, but one named matches, in any case, is replaced.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,7 +62,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 }
-K, WINDOW = 3, 3
+K, WINDOW = 3, 2
+#: Templates of fewer words have single words as their fingerprints, and so have those on which the coverage forces no longer run.
+SHORT = 16
 #: Diagonals to either side that an alignment may take; the share of the template's words adds to it.
 BAND, BAND_SHARE = 2, 0.1
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -101,28 +108,27 @@ class Index:
                 if own:
                     self.names.append(name)
                     self.texts.append(np.array(own, np.int64))
-        self.postings: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))  # by length of run
-        brief = defaultdict(set)  # runs of templates without the guarantee; of these, documents give every one
+        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.short: list[int] = []  # templates whose fingerprints are their words
+        self.holds = np.zeros((len(self.texts), len(self.word) + 1), bool)  # which template holds a word; the last: none does
         for i, t in enumerate(self.texts):
-            forced = forced_run(len(t), coverage)
-            k = min(K, forced) if len(t) >= K else K
-            h = runs(t, k)
-            sparse = forced >= K + WINDOW - 1
-            for place in winnow(h).tolist() if sparse else range(len(h)):
-                self.postings[k][int(h[place])].append((i, place))
-                if not sparse:
-                    brief[k].add(int(h[place]))
-        self.brief = {k: np.array(sorted(own), np.uint64) for k, own in brief.items()}
+            if len(t) < SHORT or forced_run(len(t), coverage) < K + WINDOW - 1:
+                self.short.append(i)
+                self.holds[i, t] = True
+                continue
+            h = runs(t)
+            for place in winnow(h).tolist():
+                self.postings[int(h[place])].append((i, place))
+        self.in_short = self.holds.any(axis=0)
+        self.coverage = coverage
 
     def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, least and largest diagonal) of common fingerprints that a band holds together."""
         diagonals: dict[int, list[int]] = defaultdict(list)
-        for k, postings in self.postings.items():
-            h = runs(words, k)
-            places = np.flatnonzero(np.isin(h, self.brief[k])) if k in self.brief else np.zeros(0, np.int64)
-            for place in (np.union1d(winnow(h), places) if k == K else places).tolist():
-                for i, own in postings.get(int(h[place]), ()):
-                    diagonals[i].append(place - own)
+        h = runs(words)
+        for place in winnow(h).tolist():
+            for i, own in self.postings.get(int(h[place]), ()):
+                diagonals[i].append(place - own)
         out = []
         for i, found in diagonals.items():
             found.sort()
@@ -133,6 +139,24 @@ class Index:
                     first = d
                 last = d
             out.append((i, first, last))
+        return out + self.short_candidates(words)
+
+    def short_candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """Those of short templates: stretches with enough of a template's words, and enough different ones."""
+        known = np.flatnonzero(self.in_short[words])
+        out = []
+        for i in self.short if len(known) else ():
+            n, room = len(self.texts[i]), 2 * self.band(i)
+            need = max(1, math.ceil(self.coverage * n - 1e-9))
+            at = known[self.holds[i][words[known]]]
+            if len(at) < need:
+                continue
+            different = len(set(self.texts[i].tolist())) - (n - need)
+            for k in np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < n + room).tolist():
+                first = int(at[k])
+                within = words[at[k : np.searchsorted(at, first + n + room)]]
+                if len(set(within.tolist())) >= different:
+                    out.append((i, first - (n - need), first))
         return out
 
     def band(self, template: int) -> int:
@@ -169,10 +193,8 @@ def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tup
         same = np.zeros(width, bool)
         same[inside] = words[place[inside]] == w
         # what comes before: diagonals up to this one at the previous template word, or a word left out of the document
-        moved, from_start = best.copy(), start.copy()
-        for d in range(1, width):
-            if moved[d - 1] > moved[d]:
-                moved[d], from_start[d] = moved[d - 1], from_start[d - 1]
+        lead = np.maximum.accumulate(best * width + at) % width
+        moved, from_start = best[lead], start[lead]
         new, new_start = moved.copy(), from_start.copy()
         new[same] = moved[same] + 1
         fresh = same & (new_start < 0)
@@ -187,16 +209,23 @@ def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tup
     return top
 
 
+@lru_cache(maxsize=4)
+def index_of(templates: tuple[tuple[str, tuple[str, ...]], ...], coverage: float) -> Index:
+    """A worker's index, made once for all of its tasks."""
+    return Index(dict(templates), coverage)
+
+
 MATCHES = "array<struct<license:string,coverage:double,first:long,last:long>>"
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
     """docs with matches: license, coverage, and the first and last word (from 0) of each match."""
     small_batches(docs.sparkSession)
+    held = tuple((name, tuple(texts)) for name, texts in templates.items())
 
     @F.pandas_udf(MATCHES)
     def run(texts: pd.Series) -> pd.Series:
-        index = Index(templates, coverage)
+        index = index_of(held, coverage)
 
         def one(text: str | None) -> list[dict]:
             words = np.array([index.word.get(w, -1) for w in words_of(text)], np.int64)
@@ -204,7 +233,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, cov
 
         return texts.map(one, na_action=None)
 
-    return docs.withColumn("matches", run(F.col("text").cast("string")))
+    return docs.select(*[c for c in docs.columns if c.lower() != "matches"], run(F.col("text").cast("string")).alias("matches"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

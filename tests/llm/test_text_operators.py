@@ -359,6 +359,32 @@ def test_license_scan_finds_changed_words():
             assert any(c >= (n - len(changed)) / n - 1e-9 or c >= 0.8 for _, c, _, _ in found), (index.names[i], changed)
 
 
+def test_license_scan_finds_words_put_in():
+    """Short templates: changed words and words put in as far as the band goes; and nothing in texts without enough of their words."""
+    index = license_scan.Index(license_scan.TEMPLATES)
+    rng = random.Random(12)
+    assert len(index.short) > 8 and index.postings
+    for i in index.short:
+        t, n = index.texts[i], len(index.texts[i])
+        most = n - int(np.ceil(0.8 * n - 1e-9))
+        for _ in range(200):
+            words = [int(w) for w in t]
+            for j in rng.sample(range(n), rng.randint(0, most)):
+                words[j] = -1
+            for _ in range(rng.randint(0, index.band(i))):
+                words.insert(rng.randint(1, len(words) - 1), -1)
+            found = [c for name, c, _, _ in index.scan(np.array([-1] * 9 + words + [-1] * 9), 0.8) if name == index.names[i]]
+            assert found and max(found) >= sum(w >= 0 for w in words) / n - 1e-9
+        few = [int(w) for w in t[: max(0, int(np.ceil(0.8 * n - 1e-9)) - 1)]]
+        assert all(j != i for j, _, _ in index.short_candidates(np.array(few * 1 + [-1] * (2 * n + 20) + few)))
+    assert index.scan(np.array([int(index.word[b"license"])] * 3000), 0.8) == []
+
+
+def test_license_scan_replaces_its_own_column_only(documents):
+    docs = documents([(1, "Released under the MIT license")], extra=True).withColumn("MATCHES", F.lit(1))
+    assert license_scan.scan(docs).columns == [c for c in docs.columns if c != "MATCHES"] + ["matches"]
+
+
 def longest_common_subsequence(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, table
+from .flow import Network
 
 #: Comments, tags with their attributes (a value without quotes may hold quotes, a quote that nothing closes is a letter), declarations.
 TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>=]+|=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>]*))*+)>|<[!?/][^>]*>", re.S)
@@ -248,61 +249,6 @@ def fit(pages: DataFrame, max_pages: int = 1500, seed: int = 5) -> np.ndarray:
     return trained(x, y)
 
 
-class Network:
-    """Maximum flow by shortest augmenting paths with level graphs."""
-
-    def __init__(self, n: int):
-        self.arcs: list[list[int]] = [[] for _ in range(n)]
-        self.to: list[int] = []
-        self.room: list[float] = []
-
-    def join(self, a: int, b: int, there: float, back: float = 0.0) -> None:
-        for x, y, c in ((a, b, there), (b, a, back)):
-            self.arcs[x].append(len(self.to))
-            self.to.append(y)
-            self.room.append(c)
-
-    def levels(self, source: int) -> list[int]:
-        far = [-1] * len(self.arcs)
-        far[source] = 0
-        queue = [source]
-        for a in queue:
-            for e in self.arcs[a]:
-                if self.room[e] > 1e-9 and far[self.to[e]] < 0:
-                    far[self.to[e]] = far[a] + 1
-                    queue.append(self.to[e])
-        return far
-
-    def source_side(self, source: int, sink: int) -> list[bool]:
-        """After the flow: what the source still reaches."""
-        while (far := self.levels(source))[sink] >= 0:
-            at = [0] * len(self.arcs)
-            path: list[int] = []
-            a = source
-            while True:
-                if a == sink:
-                    amount = min(self.room[e] for e in path)
-                    for e in path:
-                        self.room[e] -= amount
-                        self.room[e ^ 1] += amount
-                    path, a = [], source
-                    continue
-                while at[a] < len(self.arcs[a]):
-                    e = self.arcs[a][at[a]]
-                    if self.room[e] > 1e-9 and far[self.to[e]] == far[a] + 1:
-                        break
-                    at[a] += 1
-                if at[a] < len(self.arcs[a]):
-                    path.append(self.arcs[a][at[a]])
-                    a = self.to[path[-1]]
-                elif path:
-                    a = self.to[path.pop() ^ 1]
-                    at[a] += 1
-                else:
-                    break
-        return [x >= 0 for x in far]
-
-
 def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
     cost = np.clip(features(blocks) @ weights, -MOST_COST, MOST_COST).tolist()

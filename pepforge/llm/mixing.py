@@ -6,25 +6,31 @@ repetition more (convex), no pass beyond ``max_repeats`` is open. The flow of le
 how many tokens every pattern gives. Documents are then selected in a seeded order: whole passes take all of them, the last pass
 takes them in that order up to the flow, the document at the end in part, so that quotas are met to the word.
 
-Only tables of sources and of patterns reach the driver; both are checked against ``max_patterns``. The seeded order is cut in two
-steps: the hash range of a pattern is divided into buckets of about ``bucket_rows`` documents, their sums tell the bucket where the
-flow ends, and only that bucket's documents are ordered. So no pattern, however large, is one task's.
+Only the tables of sources and of patterns (distinct sets of sources) reach the driver; both have ``max_patterns`` rows at most, which
+is checked before they are sent. Whatever the number of documents, the flow works on these. What goes back is broadcast up to
+``SMALL`` patterns and joined beyond. The seeded order is cut in steps: the hash range of a pattern is divided into at most 4096
+parts, their sums tell the part where the flow ends, that one is divided again until a part has about ``bucket_rows`` documents, and
+only these are ordered. So no pattern, however large, is one task's.
 
 Defined results: a null source is a source of its own and comes last; a document without sources gets nothing; null or empty text
 has size 0 and gives nothing; repeated rows are documents of their own; equal hashes are ordered by doc_id. Sums are of whole
-words, so reruns agree.
+words, so reruns agree. An empty table gives an empty result. ``mix`` replaces a column named taken, ``mix_documents`` also those named
+size, source_size and target, in any case; all other columns, whatever their names, pass through unchanged.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
+from .flow import Network
 
 NULL_LAST = (1, "")
+#: Rows of a table of patterns or sources up to which it is broadcast.
+SMALL = 100_000
+#: Hex digits by which a part is divided at once.
+DIGITS = 3
 
 
 def n_words(text: str = "text") -> Column:
@@ -51,70 +57,48 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1)
     return done
 
 
-def min_cost_flow(capacity: list[int], quota: list[int], member: list[tuple[int, int]], max_repeats: int, cost=lambda k: k * k) -> list[int]:
-    """Tokens from each pattern. capacity: tokens of a pattern's documents; member: (pattern, source); pass k costs cost(k) a token.
+def min_cost_flow(capacity: list[int], quota: list[int], member: list[tuple[int, int]], max_repeats: int) -> list[int]:
+    """Tokens from each pattern. capacity: tokens of a pattern's documents; member: (pattern, source).
 
-    Shortest augmenting paths with potentials; as costs are convex, passes fill in their order.
+    A token of pass k costs more than one of pass k - 1, whatever its pattern (convex), and costs stand on the arcs into patterns only.
+    A cheapest augmenting path thus uses the lowest pass that still reaches a quota, and never takes flow back from a pattern. So
+    the flow of least cost is the maximum flow with one pass open, then with two, and so on, each going on from the last.
     """
     n, m = len(capacity), len(quota)
+    net, most = Network(n + m + 2), sum(quota)
     start, end = n + m, n + m + 1
-    graph: list[list[int]] = [[] for _ in range(n + m + 2)]
-    to, left, price = [], [], []
-
-    def arc(a: int, b: int, most: int, c: int) -> None:
-        for x, y, f, p in ((a, b, most, c), (b, a, 0, -c)):
-            graph[x].append(len(to))
-            to.append(y)
-            left.append(f)
-            price.append(p)
-
-    for i, c in enumerate(capacity):
-        for k in range(max_repeats):
-            arc(start, i, c, cost(k))
+    passes = [net.join(start, i, 0) for i in range(n)]
     for i, j in member:
-        arc(i, n + j, sum(quota), 0)
+        net.join(i, n + j, most)
     for j, q in enumerate(quota):
-        arc(n + j, end, q, 0)
-    potential = [0] * len(graph)
-    while True:
-        far: list[float] = [float("inf")] * len(graph)
-        by = [-1] * len(graph)
-        far[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, a = heapq.heappop(heap)
-            if d > far[a]:
-                continue
-            for e in graph[a]:
-                if left[e] > 0 and (nd := d + price[e] + potential[a] - potential[to[e]]) < far[to[e]]:
-                    far[to[e]], by[to[e]] = nd, e
-                    heapq.heappush(heap, (nd, to[e]))
-        if far[end] == float("inf"):
-            break
-        potential = [int(p + f) if f < float("inf") else p for p, f in zip(potential, far, strict=True)]
-        path, at = [], end
-        while at != start:
-            path.append(by[at])
-            at = to[by[at] ^ 1]
-        amount = min(left[e] for e in path)
-        for e in path:
-            left[e] -= amount
-            left[e ^ 1] += amount
-    return [sum(left[e] for e in graph[i] if to[e] == start) for i in range(n)]  # what the arcs back can return
-
-
-def mix(docs: DataFrame, quotas=targets, max_repeats: int = 2, seed: int = 3, bucket_rows: int = 20_000, max_patterns: int = 200_000) -> DataFrame:
+        net.join(n + j, end, q)
+    for _ in range(max_repeats):
+        for arc, c in zip(passes, capacity, strict=True):
+            net.room[arc] += c
+        net.fill(start, end)
+    return [net.room[arc ^ 1] for arc in passes]
+
+
+def spread(rows: DataFrame, n: int) -> DataFrame:
+    """Broadcast if it has few rows."""
+    return F.broadcast(rows) if n <= SMALL else rows
+
+
+def mix(docs: DataFrame, quotas=targets, max_repeats: int = 2, seed: int = 3, bucket_rows: int = 20_000, max_patterns: int = 2_000_000, sources: str = "sources", size: str = "size") -> DataFrame:
     """docs (doc_id, sources array<string>, size long, and more columns) with taken, the words that the mix takes of each.
 
     quotas: from the sizes of the sources to their targets. Repetitions are whole but for the last one's end; a document's taken
-    words are its text repeated taken / size times.
+    words are its text repeated taken / size times. sources, size: the names of these columns.
     """
-    held = docs.withColumns({"__pattern": F.array_sort(F.array_distinct(F.transform("sources", lambda s: F.struct(s.isNull().alias("none"), s.alias("name"))))), "__size": F.coalesce(F.col("size"), F.lit(0)).cast("long")})
-    held = held.withColumn("__order", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
-    patterns = held.groupBy("__pattern").agg(F.sum("__size").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(max_patterns + 1).collect()
+    keep = [c for c in docs.columns if c.lower() != "taken"]
+    pattern, n, order, whole, rest, cut, ahead, other, part, before = fresh(docs, "pattern", "n", "order", "whole", "rest", "cut", "ahead", "other", "part", "before")
+    as_set = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.struct(s.isNull().alias("none"), s.alias("name")))))
+    held = docs.select(*keep).withColumns({pattern: as_set, n: F.coalesce(F.col(size), F.lit(0)).cast("long")})
+    held = held.withColumn(order, F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")))
+    patterns = held.groupBy(F.col(pattern).alias("own")).agg(F.sum(n).alias("tokens"), F.count(F.lit(1)).alias("n")).limit(max_patterns + 1).collect()
     if len(patterns) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    names = [[None if x.none else x.name for x in p["__pattern"] or []] for p in patterns]
+    names = [[None if x.none else x.name for x in p.own or []] for p in patterns]
     sizes: dict[str | None, int] = {}
     for own, p in zip(names, patterns, strict=True):
         for s in own:
@@ -122,50 +106,60 @@ def mix(docs: DataFrame, quotas=targets, max_repeats: int = 2, seed: int = 3, bu
     aims = quotas(sizes)
     number = {s: i for i, s in enumerate(sizes)}
     flow = min_cost_flow([p.tokens for p in patterns], [round(aims.get(s, 0)) for s in sizes], [(i, number[s]) for i, own in enumerate(names) for s in own], max_repeats)
-    largest = max((p.n for p in patterns), default=0)
     digits = 1
-    while 16**digits * bucket_rows < largest:
+    while 16**digits * bucket_rows < max((p.n for p in patterns), default=0):
         digits += 1
-    spark = docs.sparkSession
-    plan = [(p["__pattern"], f // p.tokens if p.tokens else 0, f % p.tokens if p.tokens else 0) for p, f in zip(patterns, flow, strict=True)]
-    kind = held.schema["__pattern"].dataType.simpleString()
-    passes = F.broadcast(spark.createDataFrame(plan, f"__p {kind}, __whole long, __rest long"))
-    held = held.withColumn("__bucket", F.substring("__order", 1, digits)).join(passes, F.col("__pattern").eqNullSafe(F.col("__p")), "left").drop("__p")
-    ahead = F.sum("tokens").over(Window.partitionBy("__pattern").orderBy("__bucket")) - F.col("tokens")
-    cuts = held.groupBy("__pattern", "__bucket").agg(F.sum("__size").alias("tokens"), F.first("__rest").alias("__rest")).withColumn("ahead", ahead)
-    cuts = cuts.filter((F.col("ahead") <= F.col("__rest")) & (F.col("__rest") < F.col("ahead") + F.col("tokens"))).select(F.col("__pattern").alias("__q"), F.col("__bucket").alias("__cut"), F.col("ahead").alias("__ahead"))
-    held = held.join(F.broadcast(cuts), F.col("__pattern").eqNullSafe(F.col("__q")), "left").drop("__q")
-    whole = F.coalesce(F.col("__whole"), F.lit(0)) * F.col("__size")
-    outside = held.filter(F.col("__cut").isNull() | (F.col("__bucket") != F.col("__cut"))).withColumn("taken", whole + F.when(F.col("__bucket") < F.col("__cut"), F.col("__size")).otherwise(0))
-    before = F.sum("__size").over(Window.partitionBy("__pattern").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
-    inside = held.filter(F.col("__bucket") == F.col("__cut")).withColumn("__before", F.col("__ahead") + before)
-    inside = inside.withColumn("taken", whole + F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__rest") - F.col("__before"))))
-    keep = [c for c in docs.columns if c != "taken"]
-    return outside.select(*keep, "taken").unionByName(inside.select(*keep, "taken"))
-
-
-def source_sizes(docs: DataFrame, quotas=targets) -> DataFrame:
-    """(source, source_size, target) of docs (source, size): one row for each source, null among them."""
-    sizes = {r.source: r.n for r in docs.groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    plan = [(p.own, f // p.tokens if p.tokens else 0, f % p.tokens if p.tokens else 0, "", 0) for p, f in zip(patterns, flow, strict=True)]
+    kind = held.schema[pattern].dataType.simpleString()
+    cuts = docs.sparkSession.createDataFrame(plan, f"{other} {kind}, {whole} long, {rest} long, {cut} string, {ahead} long")
+    same = F.col(pattern).eqNullSafe(F.col(other))
+    begins = lambda: F.substring(order, 1, F.length(cut)) == F.col(cut)
+    held = held.join(spread(cuts, len(plan)), same, "left").drop(other, cut, ahead)
+    cuts = cuts.select(other, rest, cut, ahead)
+    for upto in [*range(DIGITS, digits, DIGITS), digits]:
+        # the sums of the parts of what the last cut has left open
+        open_ = held.select(pattern, order, n).join(spread(cuts, len(plan)), same).filter(begins())
+        sums = open_.groupBy(other, F.substring(order, 1, upto).alias(part)).agg(F.sum(n).alias(n), F.first(rest).alias(rest), F.first(ahead).alias(ahead))
+        first = F.sum(n).over(Window.partitionBy(other).orderBy(part)) - F.col(n) + F.col(ahead)
+        sums = sums.withColumn(before, first).filter((F.col(before) <= F.col(rest)) & (F.col(rest) < F.col(before) + F.col(n)))
+        cuts = saved(sums.select(other, rest, F.col(part).alias(cut), F.col(before).alias(ahead)), "mix-cuts")
+    held = held.join(spread(cuts.drop(rest), len(plan)), same, "left").drop(other)
+    inside = F.coalesce(begins(), F.lit(False))
+    passes = F.coalesce(F.col(whole), F.lit(0)) * F.col(n)
+    outside = held.filter(~inside).withColumn("taken", passes + F.when(F.substring(order, 1, F.length(cut)) < F.col(cut), F.col(n)).otherwise(0))
+    sofar = F.sum(n).over(Window.partitionBy(pattern).orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col(n) + F.col(ahead)
+    ordered = held.filter(inside).withColumn(before, sofar)
+    ordered = ordered.withColumn("taken", passes + F.greatest(F.lit(0), F.least(F.col(n), F.col(rest) - F.col(before))))
+    return outside.select(*keep, "taken").unionByName(ordered.select(*keep, "taken"))
+
+
+def source_sizes(docs: DataFrame, quotas=targets, max_sources: int = 2_000_000) -> DataFrame:
+    """(source, source_size, target) of docs (source, size): one row for each source, null among them; more than max_sources are an
+    error before any is sent to the driver."""
+    rows = docs.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
+    if len(rows) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    sizes = {r.source: r.n for r in rows}
     aims = quotas(sizes)
-    return docs.sparkSession.createDataFrame([(s, n, float(aims[s])) for s, n in sizes.items()], "source string, source_size long, target double")
+    return spread(docs.sparkSession.createDataFrame([(s, n, float(aims[s])) for s, n in sizes.items()], "source string, source_size long, target double"), len(sizes))
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target and taken."""
-    made = ("size", "source_size", "target", "taken", "sources")
+    made = ("size", "source_size", "target", "taken")
     own = docs.select(*[c for c in docs.columns if c.lower() not in made]).withColumn("size", n_words())
-    own = saved(own.withColumn("sources", F.array(F.col("source").cast("string"))), "mix-sizes")
-    taken = mix(own, **options)
-    sizes = F.broadcast(source_sizes(own.select(F.col("source").cast("string").alias("source"), "size")).withColumnRenamed("source", "__s"))
-    return taken.join(sizes, F.col("source").cast("string").eqNullSafe(F.col("__s")), "left").drop("__s", "sources")
+    sources, name = fresh(own, "sources", "name", *made[1:])[:2]
+    own = saved(own.withColumn(sources, F.array(F.col("source").cast("string"))), "mix-sizes")
+    sizes = source_sizes(own.select(F.col("source").cast("string").alias("source"), "size")).withColumnRenamed("source", name)
+    taken = mix(own, sources=sources, **options).join(sizes, F.col("source").cast("string").eqNullSafe(F.col(name)), "left")
+    return taken.select(*[c for c in own.columns if c != sources], "source_size", "target", "taken")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("text"))
     sized = docs.withColumn("size", n_words()).select("doc_id", "source", "size", F.array("source").alias("sources"))
     sized = saved(sized, "mix-sizes")
-    sizes = F.broadcast(source_sizes(sized).withColumnRenamed("source", "__s"))
+    sizes = source_sizes(sized).withColumnRenamed("source", "__s")
     mixed = mix(sized).join(sizes, F.col("source").eqNullSafe(F.col("__s")), "left")
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 

@@ -3,13 +3,14 @@
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pepforge.llm import chat_format, hamming_search, html_extract, mixing
+from pepforge.llm import chat_format, flow, hamming_search, html_extract, mixing
 
 
 def search_by_hand(rows, queries, k, bits):
@@ -159,7 +160,7 @@ def test_minimum_cut():
         n = rng.randrange(1, 7)
         gain = [rng.uniform(-3, 3) for _ in range(n)]
         edges = [(a, b, rng.uniform(0, 2)) for a, b in itertools.combinations(range(n), 2) if rng.random() < 0.6]
-        net = html_extract.Network(n + 2)
+        net = flow.Network(n + 2)
         for i, g in enumerate(gain):
             net.join(n, i, g) if g > 0 else net.join(i, n + 1, -g)
         for a, b, c in edges:
@@ -185,6 +186,52 @@ def test_flow():
     assert mixing.min_cost_flow([], [], [], 2) == []
 
 
+def test_flow_costs_the_least():
+    """Against every way to deal the tokens of small networks."""
+    rng = random.Random(4)
+    for _ in range(60):
+        n, m = rng.randrange(1, 4), rng.randrange(1, 4)
+        capacity, quota = [rng.randrange(4) for _ in range(n)], [rng.randrange(6) for _ in range(m)]
+        member = [(i, j) for i in range(n) for j in range(m) if rng.random() < 0.7]
+        given = mixing.min_cost_flow(capacity, quota, member, 2)
+
+        def fits(want):
+            net = flow.Network(n + m + 2)
+            for i, w in enumerate(want):
+                net.join(n + m, i, w)
+            for i, j in member:
+                net.join(i, n + j, 99)
+            ends = [net.join(n + j, n + m + 1, q) for j, q in enumerate(quota)]
+            net.fill(n + m, n + m + 1)
+            return sum(net.room[e ^ 1] for e in ends) == sum(want)
+
+        cost = lambda g: sum(max(0, x - c) for x, c in zip(g, capacity, strict=True))  # noqa: E731, B023
+        possible = [w for w in itertools.product(*[range(2 * c + 1) for c in capacity]) if fits(w)]
+        best = max((sum(w), -cost(w)) for w in possible)
+        assert fits(given) and (sum(given), -cost(given)) == best
+
+
+def test_flow_of_many_patterns():
+    rng = random.Random(5)
+    capacity = [rng.randrange(1, 1000) for _ in range(20_000)]
+    member = [(i, j) for i in range(20_000) for j in rng.sample(range(40), rng.randrange(1, 4))]
+    began = time.time()
+    given = mixing.min_cost_flow(capacity, [rng.randrange(400_000) for _ in range(40)], member, 2)
+    assert all(0 <= g <= 2 * c for g, c in zip(given, capacity, strict=True)) and time.time() - began < 60
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_mixing_keeps_columns_with_its_own_names(spark, documents, monkeypatch, digits):
+    monkeypatch.setattr(mixing, "DIGITS", digits)
+    docs = documents([(i, "word " * (i % 7), "ab"[i % 2]) for i in range(3000)])
+    names = ["pattern", "N", "order", "whole", "rest", "Cut", "ahead", "other", "part", "before", "sources", "name", "__pattern", "own", "tokens"]
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.concat(F.lit(str(i)), F.col("doc_id").cast("string")))
+    got = mixing.mix_documents(docs.withColumn("TAKEN", F.lit("x")), bucket_rows=2).collect()
+    assert len(got) == 3000 and all(r[c] == f"{i}{r.doc_id}" for r in got for i, c in enumerate(names))
+    assert "TAKEN" not in got[0].asDict() and abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) <= 2
+
+
 @pytest.mark.parametrize("bucket_rows", [20_000, 3])
 def test_mixing(spark, documents, bucket_rows):
     rng = random.Random(6)

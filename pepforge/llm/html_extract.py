@@ -1,13 +1,16 @@
 """Operator 6, HTML extraction: minimum-cut labelling of a page's blocks.
 
-A page is split into blocks of text at block-level tags. A logistic classifier gives each block the log-odds of being content; they
-become the capacities of its terminal edges (what it costs to label it otherwise). Smoothness edges join adjacent blocks and blocks
-that follow each other in one container, the stronger the nearer they are in the DOM. The minimum cut, found by maximum flow, is the
-labelling of least total cost; blocks on the content side are the main text, in page order.
-
-The classifier is trained by numpy on a sample of at most ``max_pages`` pages, chosen by a hash of page_id: blocks whose containers
-tell by themselves what they are (``article`` against ``nav``, ``footer``, ... or telling class names) are its examples, each also
-once with those hints masked, so that the text's own features (length, links, marks) decide where a page gives no hints.
+A page is split into blocks of text at block-level tags. A logistic classifier of each block's text and structure (length, links, marks,
+tag, what stands beside it) gives the log-odds of being content; they become the capacities of its terminal edges (what it costs to
+label it otherwise). Smoothness edges join adjacent blocks and blocks that follow each other in one container, the stronger the nearer
+they are in the DOM. Containers that tell what they hold (``article`` against ``nav``, ``footer``, ... or telling class names) are
+seeds, which add to the terminal edges of their blocks. The minimum cut, found by maximum flow, is the labelling of least total cost;
+blocks on the content side are the main text, in page order. A container that is named like a side part, but holds most of the page and
+its heading, is a frame and no seed.
+
+The classifier never sees the seeds. It is trained by numpy on a sample: at most ``max_blocks`` blocks of each of at most ``max_pages``
+pages, chosen by a hash of page_id, whose containers are seeds; these are the labels. So on a page without telling containers, text,
+structure and the cut decide alone.
 
 Blocks without visible text are none; scripts, styles, templates, comments, form fields and hidden elements have no text. Only what
 holds no markup (scripts, styles, titles, text areas, frames, noscript) reaches to the end of the page if it isn't closed. Buttons,
@@ -15,7 +18,8 @@ selections, objects, drawings and formulas that aren't closed in their container
 whichever comes first; templates end with their container.
 
 Defined results: null or empty html gives an empty text; text outside any tag is a block; unclosed and stray tags are tolerated;
-repeated rows are extracted each by itself; very long pages are extracted whole. Other columns pass through unchanged.
+repeated rows are extracted each by itself; very long pages are extracted whole; an empty table gives an empty result. Other columns pass
+through unchanged, but those named text or n_chars, in any case, are replaced. Rows with a null page_id are extracted but not trained on.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import fresh, small_batches, table
 from .flow import Network
 
 #: Comments, tags with their attributes (a value without quotes may hold quotes, a quote that nothing closes is a letter), declarations.
@@ -52,11 +56,13 @@ BAD_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|side|sidebar|aside|rail|widgets?|cookies?|consent|gdpr|notice|notification|alert|banner|popup|modal|overlay|ads?|advert|adverts|advertisement|adbox|sponsor|sponsored|promo|promotion|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|tags|meta|legal|copyright|skip|contentinfo|complementary|search|hidden|sr-only|visually-hidden)(?:$|[\s_-])|adsbygoogle|cookie|comment|advert|sponsor|newsletter|sidebar|navbar|footer", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|main|content|main-content|post|post-body|entry|entry-content|story|story-body|body|text|page-content)(?:$|[\s_-])|articleBody", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-N_FEATURES = 11
+N_FEATURES = 12
 #: Costs of labelling adjacent blocks differently, and those that follow each other in one container.
-NEIGHBOURS, SIBLINGS = 0.6, 1.2
-#: So that no block outweighs a whole page.
-MOST_COST = 8.0
+NEIGHBOURS, SIBLINGS = 1.0, 1.5
+#: The most that the classifier's log-odds count, so that no block outweighs all others; what a seed adds.
+MOST_COST, SEED = 4.0, 12.0
+#: The share of a page's text from which a container is a frame rather than a part.
+FRAME = 0.9
 
 
 class Block:
@@ -66,38 +72,42 @@ class Block:
         self.text, self.n_link, self.path, self.hint, self.tag = text, n_link, path, hint, tag
 
 
-def hint_of(tag: str, attributes: str, inherited: int, in_article: bool) -> int:
-    """1: the element says that it is content, -1: that it isn't, -2: that it isn't shown, else what holds around it."""
+def hint_of(tag: str, attributes: str, inherited: int, in_article: bool) -> tuple[int, bool]:
+    """1: the element says that it is content, -1: that it isn't, -2: that it isn't shown, else what holds around it; whether its names
+    alone say that it isn't."""
     if inherited == -2:
-        return -2
+        return -2, False
     names = ""
     for name, *value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(value)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return -2
+            return -2, False
         if name in ("class", "id", "role", "itemprop"):
             names += f" {value}"
     if tag in BAD_TAGS or tag == "header" and not in_article:
-        return -1
+        return -1, False
     if names and tag not in ("html", "body") and BAD_NAMES.search(names) and not (tag in ("article", "main") or in_article and tag == "header"):
-        return -1
+        return -1, True
     if tag in ("article", "main") or names and tag != "html" and tag != "body" and GOOD_NAMES.search(names):
-        return 1 if inherited != -1 else -1
-    return inherited
+        return (1 if inherited != -1 else -1), False
+    return inherited, False
 
 
 def blocks_of(html: str | None) -> list[Block]:
     """The page's blocks in order. path: the numbers of the open containers."""
     if not html:
         return []
-    out, unclosed = parsed(html, frozenset())
-    return parsed(html, unclosed)[0] if unclosed else out
+    out, unclosed, frames = parsed(html, frozenset())
+    return parsed(html, unclosed, frames)[0] if unclosed or frames else out
 
 
-def parsed(html: str, short: Set[int]) -> tuple[list[Block], set[int]]:
-    """The blocks, and the numbers of the elements of UNSHOWN without a closing tag. short: those of them that end before a block."""
+def parsed(html: str, short: Set[int], frames: Set[int] = frozenset()) -> tuple[list[Block], set[int], set[int]]:
+    """The blocks, the numbers of the elements of UNSHOWN without a closing tag, and those of frames that are named like side parts.
+    short: those of the former that end before a block. frames: elements whose names don't count."""
     out: list[Block] = []
     unclosed: set[int] = set()
+    named: dict[int, int] = {}  # characters in elements that are named like side parts
+    leading: set[int] = set()  # those that hold a page's heading or main part
     stack: list[tuple[str, int, int]] = []  # tag, number, hint
     pieces: list[str] = []
     n_link = at = 0
@@ -109,6 +119,9 @@ def parsed(html: str, short: Set[int]) -> tuple[list[Block], set[int]]:
             text = " ".join("".join(pieces).split())
             hint = stack[-1][2] if stack else 0
             if text and hint != -2:
+                for s in stack if named else ():
+                    if s[1] in named:
+                        named[s[1]] += len(text)
                 holders = [s for s in stack if s[0] not in FORMATS and s[0] != "p" and s[0] not in HEADINGS]
                 tag = next((s[0] for s in reversed(stack) if s[0] not in INLINE), "")
                 out.append(Block(text, min(n_link, len(text)), tuple(s[1] for s in holders), hint, tag))
@@ -183,24 +196,35 @@ def parsed(html: str, short: Set[int]) -> tuple[list[Block], set[int]]:
         number = m.start() + 1
         if tag in VOID or empty and tag not in P_ENDERS and tag not in INLINE and (tag not in UNSHOWN or tag in FOREIGN or number in short):
             continue
-        hint = -2 if tag in UNSHOWN else hint_of(tag, m[3], stack[-1][2] if stack else 0, articles > 0)
+        around = stack[-1][2] if stack else 0
+        hint, by_name = (-2, False) if tag in UNSHOWN else hint_of(tag, m[3], around, articles > 0)
+        if by_name:
+            if number in frames:
+                hint = around
+            else:
+                named[number] = 0
+        if named and (tag in ("h1", "main") or tag == "article" and not BAD_NAMES.search(m[3])):
+            leading.update(s[1] for s in stack if s[1] in named)
         stack.append((tag, number, hint))
         links += tag == "a"
         articles += tag in ("article", "main")
     said(html[at:])
     flush()
     close(0)
-    return out, unclosed
+    whole = sum(len(b.text) for b in out)
+    return out, unclosed, {n for n in leading if named[n] >= FRAME * whole > 0}
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """By block: hints for and against, then what the text itself and its neighbours say."""
+    """By block: what its text, its tag and the blocks beside it say."""
     x = np.zeros((len(blocks), N_FEATURES))
     for i, b in enumerate(blocks):
         n = len(b.text)
         words = b.text.count(" ") + 1
-        x[i, :10] = (b.hint > 0, b.hint < 0, b.n_link / n, np.log1p(words) / 4, words < 5, b.tag == "p", b.tag in HEADINGS, b.tag in ("li", "td", "a"), b.text[-1] in ".!?:…", sum(map(b.text.count, ",.;")) / words)
-    x[:, 10] = 1
+        x[i, :8] = (b.n_link / n, np.log1p(words) / 4, words < 5, b.tag == "p", b.tag in HEADINGS, b.tag in ("li", "td", "a"), b.text[-1] in ".!?:…", sum(map(b.text.count, ",.;")) / words)
+    x[1:, 8], x[:-1, 9] = x[:-1, 1], x[1:, 1]  # how long the blocks before and after are
+    x[1:, 10] = x[:-1, 0]
+    x[:, 11] = 1
     return x
 
 
@@ -215,43 +239,42 @@ def trained(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, r
     return w
 
 
-def examples(html: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """The blocks of a page that tell what they are: as they are, with masked hints, with masked tags too, and with the text
-    features of another block, so that hints outweigh what the text says."""
-    blocks = [b for b in blocks_of(html) if b.hint]
+def examples(html: str | None, max_blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most max_blocks blocks whose containers are seeds, evenly over the page."""
+    blocks = blocks_of(html)
     x = features(blocks)
-    plain = x.copy()
-    plain[:, :2] = 0
-    untagged = plain.copy()
-    untagged[:, 5:8] = 0
-    other = x.copy()
-    other[:, 2:10] = x[::-1, 2:10]
-    y = np.array([b.hint > 0 for b in blocks], float)
-    return np.concatenate([x, plain, untagged, other, other]), np.tile(y, 5)
-
-
-def fit(pages: DataFrame, max_pages: int = 1500, seed: int = 5) -> np.ndarray:
-    """The classifier's weights; without examples of both kinds, weights that follow the hints alone."""
+    known = np.flatnonzero([b.hint for b in blocks])
+    known = known[np.linspace(0, len(known) - 1, min(len(known), max_blocks)).astype(int)] if len(known) else known
+    return x[known], np.array([blocks[i].hint > 0 for i in known], float)
+
+
+def fit(pages: DataFrame, max_pages: int = 1500, max_blocks: int = 200, seed: int = 5) -> np.ndarray:
+    """The classifier's weights; without examples of both kinds, none (then seeds and the cut decide)."""
     small_batches(pages.sparkSession)
-    chosen = pages.select("page_id").filter("page_id IS NOT NULL").orderBy(F.xxhash64(F.col("page_id"), F.lit(seed)), "page_id").limit(max_pages)
+    chosen = pages.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.col("page_id"), F.lit(seed)), "page_id").limit(max_pages)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [examples(h) for h in b.html]
-            yield pd.DataFrame({"x": [x.tobytes() for x, _ in found], "y": [y.tobytes() for _, y in found]})
+            found = [examples(h, max_blocks) for h in b.html]
+            yield pd.DataFrame({"x": [x.astype(np.float32).tobytes() for x, _ in found], "y": [y.astype(np.int8).tobytes() for _, y in found]})
 
-    rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(chosen.distinct()), "page_id", "left_semi")
-    read = rows.mapInPandas(run, "x binary, y binary").orderBy("x", "y").toPandas()
-    x = np.concatenate([*(np.frombuffer(v).reshape(-1, N_FEATURES) for v in read.x), np.zeros((0, N_FEATURES))])
-    y = np.concatenate([*(np.frombuffer(v) for v in read.y), np.zeros(0)])
+    rows = pages.select("page_id", F.col("html").cast("string").alias("html")).join(F.broadcast(chosen), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html"))
+    read = rows.select("html").mapInPandas(run, "x binary, y binary").toPandas().sort_values(["x", "y"])
+    x = np.concatenate([*(np.frombuffer(v, np.float32).reshape(-1, N_FEATURES) for v in read.x), np.zeros((0, N_FEATURES))]).astype(float)
+    y = np.concatenate([*(np.frombuffer(v, np.int8) for v in read.y), np.zeros(0)])
     if not (0 < y.sum() < len(y)):
-        return np.array([4.0, -8.0] + [0.0] * (N_FEATURES - 3) + [0.1])
+        return np.zeros(N_FEATURES)
     return trained(x, y)
 
 
+def block_costs(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
+    """The classifier's log-odds of being content."""
+    return np.clip(features(blocks) @ weights, -MOST_COST, MOST_COST)
+
+
 def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
-    cost = np.clip(features(blocks) @ weights, -MOST_COST, MOST_COST).tolist()
+    cost = (block_costs(blocks, weights) + SEED * np.array([b.hint for b in blocks])).tolist()
     n = len(blocks)
     net = Network(n + 2)
     last: dict[int, int] = {}
@@ -282,7 +305,10 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     def run(column: pd.Series) -> pd.Series:
         return column.map(lambda h: main_text(h, weights), na_action=None).astype(object)
 
-    return pages.withColumn("text", run(F.col("html").cast("string"))).withColumn("n_chars", F.length("text").cast("long"))
+    (new,) = fresh(pages, "main_text")
+    keep = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    found = pages.withColumn(new, run(F.col("html").cast("string")))
+    return found.select(*keep, F.col(new).alias("text"), F.length(new).cast("long").alias("n_chars"))
 
 
 def op6_html_extract(spark, sf_dir: str) -> DataFrame:

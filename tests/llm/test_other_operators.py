@@ -115,8 +115,9 @@ MAIN = "A title First paragraph, with bold & more, and a stop. Second paragraph
 def test_html(spark):
     rows = [(i, f"u{i}", PAGE.replace("A title", f"Title {i}")) for i in range(30)]
     rows += [(100, "x", None), (101, "x", ""), (102, "x", "<article><p>An unclosed paragraph, with some words, and <b>bold ones."), (103, None, "<<>><p"), (104, "x", "<article>" + "<p>Long text, again. </p>" * 5000 + "</article>"), (5, "u5", rows[5][2])]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("y", F.lit(1))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("Text", F.lit("old")).withColumn("N_Chars", F.lit("old")).withColumn("main_text", F.lit(1)).withColumn("y", F.lit(1))
     done = html_extract.extract(pages)
+    assert done.columns == ["page_id", "url", "html", "main_text", "y", "text", "n_chars"]
     got = {r.page_id: r for r in done.collect()}
     assert done.count() == len(rows) and "y" in done.columns
     assert all(got[i].text == MAIN.replace("A title", f"Title {i}") for i in range(30))
@@ -125,12 +126,44 @@ def test_html(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
-def test_html_without_hints():
-    pages = [PAGE] * 4
-    found = [html_extract.examples(p) for p in pages]
-    w = html_extract.trained(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+@pytest.fixture(scope="module")
+def page_weights():
+    found = [html_extract.examples(p, 200) for p in [PAGE] * 4]
+    return html_extract.trained(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
+
+
+def test_html_without_hints(page_weights):
     plain = "<body><ul><li><a href=/>Alpha</a></li><li><a href=/b>Beta</a></li></ul><div><p>The first paragraph is long, and it has marks, and a stop.</p><p>The second one is long, too, and it ends well.</p></div><div><a href=x>Terms</a> | <a href=y>Privacy</a></div></body>"
-    assert html_extract.main_text(plain, w) == "The first paragraph is long, and it has marks, and a stop. The second one is long, too, and it ends well."
+    assert html_extract.main_text(plain, page_weights) == "The first paragraph is long, and it has marks, and a stop. The second one is long, too, and it ends well."
+
+
+LONG_ONE = "<p>A paragraph that is long enough, with marks, and it ends well.</p>"
+
+
+def test_the_cut_mends_what_the_classifier_gets_wrong(page_weights):
+    """A word between paragraphs: its text alone misleads, what stands around it decides."""
+    page = f"<body><ul><li><a href=/>One</a></li><li><a href=/b>Two</a></li></ul><div><h1>Head</h1>{LONG_ONE * 3}Rule{LONG_ONE * 3}</div></body>"
+    blocks = html_extract.blocks_of(page)
+    alone = html_extract.block_costs(blocks, page_weights) > 0
+    cut = html_extract.labelled(blocks, page_weights)
+    want = [False] * 2 + [True] * 8
+    assert cut == want and alone.tolist() != want
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "page no-comments", "search share menu"])
+def test_a_frame_named_like_a_side_part(page_weights, name):
+    """The name list says of every block that it is no content; the cut says what it is."""
+    page = f'<body><div class="{name}"><ul><li><a href=/>One</a></li><li><a href=/b>Two</a></li></ul><h1>The heading of it</h1>{LONG_ONE * 6}<div class="ad">Buy this one, it is good.</div></div></body>'
+    assert html_extract.hint_of("div", f' class="{name}"', 0, False) == (-1, True)
+    text = html_extract.main_text(page, page_weights)
+    assert text.startswith("The heading of it A paragraph") and text.count("long enough") == 6 and "Buy" not in text and "One" not in text
+    side = f"<body><article><h1>Heading</h1>{LONG_ONE}</article><section class=comments>{LONG_ONE * 9}</section></body>"
+    assert html_extract.main_text(side, page_weights).count("long enough") == 1
+
+
+def test_html_examples_are_bounded():
+    x, y = html_extract.examples("<article>" + LONG_ONE * 5000 + "</article><nav>" + "<a href=/>x</a><br>" * 3000 + "</nav>", 200)
+    assert x.shape == (200, html_extract.N_FEATURES) and 50 < y.sum() < 150
 
 
 TEXT = "<article><p>Main text here.</p></article>"

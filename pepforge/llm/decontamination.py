@@ -3,10 +3,12 @@
 ``build_index`` makes index segments (like those of a search engine, each over whole documents of about ``segment_words`` words):
 for every word of the segment the sorted list of its positions, with the position at which each document begins. All words of all
 documents are kept, in a Parquet table in the shared folder; a segment is one row of bounded size, but for a single document that
-is longer. ``search`` takes the test windows in blocks of bounded size (so what tasks get is bounded whatever the benchmark's
-size) and answers them in every segment: it starts from the window's rarest word there, and intersects offset-adjusted position
-lists from rare to common until none is left or all words agree (exact phrase). Proximity matches ask that all words of a window
-lie within ``slop`` words of its rarest one, in any order, in the same document. No row is shuffled to find matches.
+is longer. ``search`` takes the benchmark in blocks of bounded size, one after the other, and joins each with every segment; neither
+goes through the driver but for the broadcast of a block. In a segment, each window starts from its rarest word there: the list of its
+positions, offset-adjusted, is intersected with those of the words beside it, outwards, until they disagree or make up a window (exact
+phrase). As the windows around one rare word share it, it is looked up once for all of them, and all rare words of a block are
+looked up together. Proximity matches ask that all words of a window lie within ``slop`` words of its rarest one, in any order, in the
+same document. No row is shuffled to find matches.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window: ``width`` consecutive words of an item; an item
 of fewer words, but not none, is one window.
@@ -75,16 +77,87 @@ class Segment:
         self.steps = np.frombuffer(row["places"], np.int32)
         self.doc_ends = np.array(row["doc_ends"], np.int64)
         self.doc_starts = np.concatenate([[0], self.doc_ends[:-1]]) if len(self.doc_ends) else self.doc_ends
+        self.starts = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
+        self.counts = self.ends - self.starts
+        # the lists are differences, each from 0 on
+        sums = np.cumsum(self.steps, dtype=np.int64)
+        self.all_places = sums - np.repeat(np.concatenate([[0], sums])[self.starts], self.counts)
 
     def places(self, term: int) -> np.ndarray:
-        return np.cumsum(self.steps[self.ends[term - 1] if term else 0 : self.ends[term]])
+        return self.all_places[self.starts[term] : self.ends[term]]
 
     def count(self, terms: np.ndarray) -> np.ndarray:
-        return self.ends[terms] - np.where(terms > 0, self.ends[terms - 1], 0)
+        return self.counts[terms]
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_ends, places, side="right")
 
+    def words(self, margin: int) -> np.ndarray:
+        """The word at each position, and -1 for margin positions before, after and between documents."""
+        moved = np.repeat(np.arange(1, len(self.doc_ends) + 1) * margin, self.doc_ends - self.doc_starts)
+        out = np.full(len(self.all_places) + (len(self.doc_ends) + 1) * margin, -1, np.int32)
+        out[self.all_places + moved[self.all_places]] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        return out
+
+
+class Items:
+    """The items of a block: their words one after the other, as numbers, with a -1 after each item."""
+
+    def __init__(self, items: list[tuple[str, str | None]], width: int):
+        self.width, self.terms = width, {}
+        self.names = [i for i, _ in items]
+        own = [[self.terms.setdefault(w, len(self.terms)) for w in words_of(text)] for _, text in items]
+        self.words = np.array([w for ids in own for w in [*ids, -1]], np.int64)
+        self.owner = np.repeat(np.arange(len(own)), [len(ids) + 1 for ids in own])
+        self.need = np.minimum([len(ids) for ids in own], width)[self.owner] if own else self.owner
+        begins = np.cumsum([0] + [len(ids) + 1 for ids in own])
+        self.short = [(int(begins[i]), len(ids)) for i, ids in enumerate(own) if 0 < len(ids) < width]
+
+    def here(self, s: Segment) -> np.ndarray:
+        """The words as the segment's numbers; -2 for those that it hasn't and between items."""
+        to = np.array([s.term_id.get(w, -2) for w in self.terms] + [-2], np.int64)
+        return to[self.words]
+
+    def rare_places(self, s: Segment, here: np.ndarray) -> np.ndarray:
+        """Where the rarest word of each window is, of those windows all of whose words the segment has."""
+        count = np.where(here >= 0, s.counts[here], 0) if len(s.counts) else np.zeros(len(here), np.int64)
+        found = [np.zeros(0, np.int64)]
+        if len(count) >= self.width:
+            view = np.lib.stride_tricks.sliding_window_view(count, self.width)
+            ok = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(count > 0, self.width).all(axis=1))
+            found.append(view[ok].argmin(axis=1) + ok)
+        for a, n in self.short:
+            if count[a : a + n].min() > 0:
+                found.append(np.array([a + count[a : a + n].argmin()]))
+        return np.unique(np.concatenate(found))
+
+    def phrases(self, s: Segment, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first, last, item) of the stretches of documents that windows of an item cover."""
+        here, margin = self.here(s), self.width - 1
+        rare = self.rare_places(s, here)
+        if not len(rare):
+            return
+        words = s.words(margin)
+        padded = np.concatenate([np.full(margin, -2), here, np.full(margin, -2)])
+        size = s.counts[here[rare]]
+        ends = np.cumsum(size)
+        cuts = np.searchsorted(ends, np.arange(at_once, ends[-1] + at_once, at_once)) + 1
+        for part in np.split(np.arange(len(rare)), np.unique(cuts[cuts < len(rare)])):
+            p = np.repeat(rare[part], size[part])
+            q = np.concatenate([s.places(here[i]) for i in rare[part]])
+            at = q + (s.doc_of(q) + 1) * margin
+            reach = []
+            for way in (-1, 1):
+                far, alive = np.zeros(len(p), np.int64), np.arange(len(p))
+                for d in range(1, margin + 1):
+                    alive = alive[words[at[alive] + way * d] == padded[p[alive] + margin + way * d]]
+                    if not len(alive):
+                        break
+                    far[alive] = d
+                reach.append(far)
+            ok = np.flatnonzero(reach[0] + reach[1] + 1 >= self.need[p])
+            yield q[ok] - reach[0][ok], q[ok] + reach[1][ok], self.owner[p[ok]]
+
 
 class Windows:
     """The test windows of a block of items, each distinct one once, as rows of word numbers (-1 beyond its end)."""
@@ -108,26 +181,6 @@ class Windows:
             yield int(i), rows[i][rows[i] >= 0]
 
 
-def phrase_starts(s: Segment, window: np.ndarray, lists: dict[int, np.ndarray]) -> np.ndarray:
-    """Where the window occurs in one document, from its rarest word on."""
-    order = np.argsort(s.count(window), kind="stable")
-    starts = None
-    for k in order:
-        own = lists.get(t := int(window[k]))
-        if own is None:
-            own = lists[t] = s.places(t)
-        if starts is None:
-            starts = own - k
-            continue
-        at = np.searchsorted(own, starts + k)
-        at[at == len(own)] = 0
-        starts = starts[own[at] == starts + k]
-        if not len(starts):
-            break
-    starts = starts[starts >= 0]
-    return starts[s.doc_of(starts) == s.doc_of(starts + len(window) - 1)]
-
-
 def near_places(s: Segment, window: np.ndarray, slop: int, lists: dict[int, np.ndarray]) -> np.ndarray:
     """The places of the window's rarest word near which all its other words lie."""
     terms = np.unique(window)
@@ -163,9 +216,9 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, slop: int |
     numbered = index.withColumn("segment", F.monotonically_increasing_id())
     found = None
     for block in range(n_blocks):
-        own = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
-        windows = Windows([(r.item, r.text) for r in own.toLocalIterator()], width)
-        part = numbered.mapInArrow(searcher(windows, slop), FOUND)
+        own = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).agg(F.collect_list(F.struct("item", "text")).alias("block"))
+        part = numbered.join(F.broadcast(own)).mapInArrow(searcher(width, slop), FOUND)
+        part = saved(part, "block-hits") if n_blocks > 1 else part
         found = part if found is None else found.unionAll(part)
     if n_blocks > 1:
         found = found.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
@@ -175,25 +228,32 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, slop: int |
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"))
 
 
-def searcher(windows: Windows, slop: int | None):
+def searcher(width: int, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string())), ("segment", pa.int64()), ("ordinal", pa.int32())])
+        block = None  # the same one beside all segments
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                s, lists = Segment(row), {}
+                if block is None:
+                    own = [(x["item"], x["text"]) for x in b.column("block")[i].as_py()]
+                    block = Items(own, width) if slop is None else Windows(own, width)
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names if c != "block"}
+                s = Segment(row)
                 change, items = np.zeros(len(s.steps) + 1, np.int32), defaultdict(set)
-                for k, window in windows.here(s):
-                    if slop is None:
-                        first = phrase_starts(s, window, lists)
+                if slop is None:
+                    for first, last, item in block.phrases(s):
                         np.add.at(change, first, 1)
-                        np.add.at(change, first + len(window), -1)
-                    else:
+                        np.add.at(change, last + 1, -1)
+                        for d, k in {*zip(s.doc_of(first).tolist(), item.tolist(), strict=True)}:
+                            items[d].add(block.names[k])
+                else:
+                    lists: dict[int, np.ndarray] = {}
+                    for k, window in block.here(s):
                         first = near_places(s, window, slop, lists)
                         np.add.at(change, first, 1)
                         np.add.at(change, first + 1, -1)
-                    for d in np.unique(s.doc_of(first)).tolist():
-                        items[d].update(windows.items[k])
+                        for d in np.unique(s.doc_of(first)).tolist():
+                            items[d].update(block.items[k])
                 hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 hit_doc = s.doc_of(hit)
                 new = np.flatnonzero(np.diff(hit, prepend=-2) > 1) if len(hit) else np.zeros(0, int)

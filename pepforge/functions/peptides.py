@@ -42,10 +42,14 @@ def mapped_flag(seq: Column | str, protein: Column | str, yes: str = "True", no:
     return F.when(F.contains(col(protein), col(seq)), yes).otherwise(no)
 
 
-def kmers(seq: Column | str, k: int) -> Column:
-    """All windows of k letters, in order and with repeats; none for shorter sequences."""
-    s = col(seq)
-    return F.when(F.length(s) >= k, F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: F.substr(s, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+def kmers(seq: Column | str, k: int | Column) -> Column:
+    """All windows of k letters, in order and with repeats; none for shorter sequences or null.
+
+    One pass of a pattern that looks k letters ahead from every letter. Taking substrings by position would count the letters from the
+    beginning for each window.
+    """
+    ahead = F.lit(f"(?s)(?=(.{{{k}}})).") if isinstance(k, int) else F.concat(F.lit("(?s)(?=(.{"), k.cast("string"), F.lit("}))."))
+    return F.coalesce(F.regexp_extract_all(col(seq), ahead, F.lit(1)), F.array().cast("array<string>"))
 
 
 def prefix(seq: Column | str, k: Column | int) -> Column:
@@ -91,9 +95,16 @@ def config_key(method: str, **parts: Column | str) -> Column:
 
 
 def config_parts(key: Column | str) -> dict[str, Column]:
-    """The parameters of a configuration's name as doubles; all null where the whole name doesn't fit."""
-    pattern = r"c([\d.]+)(?:_ks(\d+))?_ts(\d+)_mo(\d+)_mi([\d.]+)_mm(\d+)"
-    return {name: F.regexp_extract(col(key), pattern, i + 1).try_cast("double") for i, (name, _) in enumerate(KEY_PARTS)}
+    """The parameters of a configuration's name as doubles; all null where the whole name doesn't fit.
+
+    One pattern finds the name, whose parts are then split off.
+    """
+    found = F.regexp_extract(col(key), r"c([\d.]+)(_ks(\d+))?_ts(\d+)_mo(\d+)_mi([\d.]+)_mm(\d+)", 0)
+    parts = F.split(found, "_")
+    letters = dict(KEY_PARTS)
+    at = {"conf": F.lit(1), "kmer_size": F.when(F.size(parts) == 6, 2), "size_threshold": F.lit(-4), "min_overlap": F.lit(-3), "min_identity": F.lit(-2), "max_mismatches": F.lit(-1)}
+    part = lambda n: F.when(found != "", F.substr(F.try_element_at(parts, at[n]), F.lit(len(letters[n]) + 1)))
+    return {n: part(n).try_cast("double") for n in letters}
 
 
 def rounded_half_even(c: Column | str, digits: int = 3) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 FUNCTIONS = (
     ("normalize_seq", "s STRING", "STRING", "translate(s, 'I', 'L')"),
     ("strip_mods", "s STRING", "STRING", r"regexp_replace(s, '\\(.*?\\)', '')"),
-    ("kmers", "s STRING, k INT", "ARRAY<STRING>", "if(length(s) >= k, transform(sequence(1, length(s) - k + 1), i -> substring(s, i, k)), array())"),
+    ("kmers", "s STRING, k INT", "ARRAY<STRING>", "coalesce(regexp_extract_all(s, concat('(?s)(?=(.{', k, '})).'), 1), array())"),
     ("merge_overlap", "a STRING, b STRING, n INT", "STRING", "concat(a, substring(b, n + 1))"),
     ("gap_runs", "s STRING", "ARRAY<INT>", "transform(regexp_extract_all(s, '-+', 0), x -> length(x))"),
 )

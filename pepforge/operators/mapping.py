@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import peptides as P
+from ..store import kept, spread
 
 PLACE = "start int, mismatches_pos array<int>"
 
@@ -56,15 +57,47 @@ def map_to_protein(seqs: DataFrame, protein: str, max_mismatches: int, min_ident
 
 
 def native_places(seqs: DataFrame, proteins: DataFrame, seq: str = "seq", protein: str = "protein") -> DataFrame:
-    """Like placed, by built-in functions only: every start is a row. For short proteins; ``proteins`` has columns of its own."""
-    pairs = seqs.join(proteins).filter((F.length(seq) > 0) & (F.length(seq) <= F.length(protein)))
-    starts = pairs.withColumn("start", F.explode(F.sequence(F.lit(0), F.length(protein) - F.length(seq))))
-    here = F.split(F.substr(F.col(protein), F.col("start") + 1, F.length(seq)), "")
-    wrong = F.filter(F.transform(F.arrays_zip(F.split(seq, "").alias("q"), here.alias("p")), lambda x, i: F.when(x["q"] != x["p"], i)), lambda x: x.isNotNull())
-    starts = starts.withColumn("mismatches_pos", wrong)
+    """Like placed, by built-in functions only, of every sequence on every protein; ``proteins`` has columns of its own.
+
+    A pair stays one row: the starts are compared within it, and only the best one's mismatches are listed. The proteins are the
+    query set that all sequences meet, broadcast if they are few.
+    """
+    pairs = seqs.join(spread(proteins)).filter((F.length(seq) > 0) & (F.length(seq) <= F.length(protein)))
+    pairs = pairs.withColumns({"__q": F.split(seq, ""), "__p": F.split(protein, "")})
+    wrong = lambda s: F.zip_with("__q", F.slice("__p", s + 1, F.size("__q")), lambda a, b: a != b)
+    starts = F.sequence(F.lit(0), F.size("__p") - F.size("__q"))
+    best = F.array_min(F.transform(starts, lambda s: F.struct(F.size(F.filter(wrong(s), lambda x: x)).alias("n"), s.alias("start"))))
+    pairs = pairs.withColumn("__b", best)
+    offsets = F.filter(F.transform(wrong(F.col("__b.start")), lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    n = F.length(seq)
+    return pairs.select(*seqs.columns, *proteins.columns, F.col("__b.start").alias("start"), (F.col("__b.start") + n).alias("end"), offsets.alias("mismatches_pos"), ((n - F.col("__b.n")) / n).alias("identity_score"))
+
+
+def seeded_places(seqs: DataFrame, proteins: DataFrame, max_mismatches: int, seq: str = "seq", protein: str = "protein") -> DataFrame:
+    """Like native_places, but only pairs with at most max_mismatches, found by equi-joins.
+
+    A sequence is cut into max_mismatches + 1 pieces. Where it fits with so few mismatches, a piece fits without any; so the pieces
+    are joined, with their offsets, to the proteins' windows of their lengths, and the starts that follow are verified. Sequences shorter
+    than the number of pieces have single letters for pieces.
+    """
+    pieces = F.least(F.lit(max_mismatches + 1), F.length(seq))
+    own = seqs.filter(F.length(seq) > 0).select(*seqs.columns, F.monotonically_increasing_id().alias("__s"))
+    own = kept(own, "pieces")
+    held = kept(proteins.select(*proteins.columns, F.monotonically_increasing_id().alias("__h")), "proteins")
+    cut = lambda i: F.floor(F.length(seq) * i / pieces).cast("int")
+    parts = own.withColumn("__i", F.explode(F.sequence(F.lit(0), pieces - 1))).withColumns({"__at": cut(F.col("__i")), "__k": cut(F.col("__i") + 1) - cut(F.col("__i"))})
+    parts = parts.select("__s", "__at", "__k", F.substr(F.col(seq), F.col("__at") + 1, F.col("__k")).alias("__key"))
+    lengths = spread(parts.select("__k").distinct())
+    windows = held.join(lengths).select("__h", "__k", F.posexplode(P.kmers(protein, F.col("__k"))).alias("__from", "__key"))
+    starts = parts.join(windows, ["__k", "__key"]).select("__s", "__h", (F.col("__from") - F.col("__at")).alias("start")).filter("start >= 0").distinct()
+    found = starts.join(own, "__s").join(held, "__h").filter(F.col("start") + F.length(seq) <= F.length(protein))
+    wrong = F.zip_with(F.split(seq, ""), F.split(F.substr(F.col(protein), F.col("start") + 1, F.length(seq)), ""), lambda a, b: a != b)
+    offsets = F.filter(F.transform(wrong, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
+    found = found.withColumn("mismatches_pos", offsets).filter(F.size("mismatches_pos") <= max_mismatches)
     keys = [*seqs.columns, *proteins.columns]
-    best = starts.groupBy(*keys).agg(F.min(F.struct(F.size("mismatches_pos").alias("n"), "start", "mismatches_pos")).alias("b"))
-    return best.select(*keys, F.col("b.start").alias("start"), (F.col("b.start") + F.length(seq)).alias("end"), F.col("b.mismatches_pos").alias("mismatches_pos"), ((F.length(seq) - F.col("b.n")) / F.length(seq)).alias("identity_score"))
+    best = found.groupBy("__s", "__h").agg(F.min_by(F.struct(*keys, "start", "mismatches_pos"), F.struct(F.size("mismatches_pos"), F.col("start"))).alias("b")).select("b.*")
+    n = F.length(seq)
+    return best.select(*keys, "start", (F.col("start") + n).alias("end"), "mismatches_pos", ((n - F.size("mismatches_pos")) / n).alias("identity_score"))
 
 
 def substitutions(mapped: DataFrame, protein: str | None = None, seq: str = "sequence") -> DataFrame:

@@ -13,22 +13,26 @@ from ..functions import peptides as P
 
 
 def affixes(seqs: DataFrame, least: int, id_col: str, seq: str, side: str, name: str) -> DataFrame:
-    """(name_id, name, olap, affix): all beginnings or ends of at least ``least`` letters."""
+    """(name_id, olap, affix): a hash of every beginning or end of at least ``least`` letters. The texts stay behind."""
     if least < 1:
         raise ValueError("an overlap has a letter at least")
     cut = P.prefix if side == "prefix" else P.suffix
-    own = seqs.filter(F.length(seq) >= least).select(F.col(id_col).alias(f"{name}_id"), F.col(seq).alias(name))
-    own = own.withColumn("olap", F.explode(F.sequence(F.lit(least), F.length(name))))
-    return own.withColumn("affix", cut(F.col(name), F.col("olap")))
+    own = seqs.filter(F.length(seq) >= least).select(F.col(id_col).alias(f"{name}_id"), F.col(seq).alias("text"))
+    own = own.withColumn("olap", F.explode(F.sequence(F.lit(least), F.length("text"))))
+    return own.select(f"{name}_id", "olap", F.xxhash64(cut(F.col("text"), F.col("olap"))).alias("affix"))
 
 
 def overlaps(seqs: DataFrame, min_overlap: int, id_col: str = "id", seq: str = "seq", inclusive: bool = True) -> DataFrame:
-    """(a_id, b_id, a, b, olap): the end of a is the beginning of b, for every length from min_overlap on.
+    """(a_id, b_id, a, b, olap): the end of a is the beginning of b, for every length from min_overlap on. Ids are unique.
 
-    inclusive: up to the whole shorter sequence; else shorter than both. No row is paired with itself.
+    inclusive: up to the whole shorter sequence; else shorter than both. No row is paired with itself. Candidates come from hashes
+    of the affixes; the texts are joined to these only, and compared.
     """
     ends, starts = (affixes(seqs, min_overlap, id_col, seq, side, name) for side, name in (("suffix", "a"), ("prefix", "b")))
-    pairs = ends.join(starts, ["olap", "affix"]).filter("a_id <> b_id")
+    pairs = ends.join(starts, ["olap", "affix"]).filter("a_id <> b_id").select("a_id", "b_id", "olap")
+    for name in ("a", "b"):
+        pairs = pairs.join(seqs.select(F.col(id_col).alias(f"{name}_id"), F.col(seq).alias(name)), f"{name}_id")
+    pairs = pairs.filter(F.right("a", F.col("olap")) == F.left("b", F.col("olap")))
     if not inclusive:
         pairs = pairs.filter(F.col("olap") < F.least(F.length("a"), F.length("b")))
     return pairs.select("a_id", "b_id", "a", "b", "olap")
@@ -53,17 +57,19 @@ def overlap_merges(pairs: DataFrame) -> DataFrame:
 def containing(parts: DataFrame, holders: DataFrame, seed: int = 8, part: str = "part", holder: str = "holder") -> DataFrame:
     """(part, holder): the distinct pairs where holder contains part (equal texts too).
 
-    Parts of at least ``seed`` letters are joined on their first seed with all seeds of the holders, then verified. Shorter
-    parts are joined on all letters, with the windows of just their lengths. The empty part is in every holder.
+    Parts of at least ``seed`` letters are joined on their first seed with all seeds of the holders. Shorter parts are joined on all
+    letters, with the windows of just their lengths. Windows carry a hash that names their holder; the holders themselves are joined to
+    the candidates only, and these are verified, so hashes needn't be unique. The empty part is in every holder.
     """
     parts, holders = parts.select(part).distinct(), holders.select(holder).distinct()
-    lengths = F.explode(F.sequence(F.lit(1), F.lit(seed)))
+    named = holders.withColumn("named", F.xxhash64(holder))
     keyed = parts.filter(F.length(part) > 0).withColumn("k", F.least(F.length(part), F.lit(seed)))
     keyed = keyed.withColumn("key", P.prefix(F.col(part), F.col("k")))
-    sizes = keyed.select("k").distinct()
-    windows = holders.withColumn("k", lengths).join(F.broadcast(sizes), "k", "left_semi").filter(F.length(holder) >= F.col("k"))
-    windows = windows.withColumn("key", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(holder) - F.col("k") + 1), lambda i: F.substr(F.col(holder), i, F.col("k"))))))
-    found = keyed.join(windows, ["k", "key"]).filter(F.contains(F.col(holder), F.col(part))).select(part, holder)
+    sizes = keyed.select("k").distinct()  # seed rows at most
+    windows = named.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(seed)))).join(F.broadcast(sizes), "k", "left_semi")
+    windows = windows.select("named", "k", F.explode(F.array_distinct(P.kmers(holder, F.col("k")))).alias("key"))
+    pairs = keyed.join(windows, ["k", "key"]).select(part, "named").join(named, "named")
+    found = pairs.filter(F.contains(F.col(holder), F.col(part))).select(part, holder)
     empty = parts.filter(F.length(part) == 0).join(holders.limit(1))
     return found.unionByName(empty).distinct()
 
@@ -78,16 +84,19 @@ def without_contained(seqs: DataFrame, seq: str = "seq", seed: int = 8) -> DataF
 def common_runs(seqs: DataFrame, min_overlap: int, id_col: str = "id", seq: str = "seq") -> DataFrame:
     """(a_id, b_id, a, b, i, j, n): the maximal runs of at least min_overlap letters that two rows share, i and j from 0.
 
-    Seeds of min_overlap letters are equi-joined; those that follow each other on one diagonal are one run (gaps and islands).
+    Seeds of min_overlap letters are equi-joined by id and place; those that follow each other on one diagonal are one run (gaps
+    and islands). The texts are joined to the runs. Ids are unique.
     """
     own = seqs.filter(F.length(seq) >= min_overlap).select(F.col(id_col).alias("id"), F.col(seq).alias("seq"))
-    seeds = own.select("id", "seq", F.posexplode(P.kmers("seq", min_overlap)).alias("at", "kmer"))
-    a = seeds.select(F.col("id").alias("a_id"), F.col("seq").alias("a"), F.col("at").alias("i"), "kmer")
-    b = seeds.select(F.col("id").alias("b_id"), F.col("seq").alias("b"), F.col("at").alias("j"), "kmer")
-    both = a.join(b, "kmer").filter("a_id <> b_id").withColumn("diagonal", F.col("i") - F.col("j"))
+    seeds = own.select("id", F.posexplode(P.kmers("seq", min_overlap)).alias("at", "kmer"))
+    a = seeds.select(F.col("id").alias("a_id"), F.col("at").alias("i"), "kmer")
+    b = seeds.select(F.col("id").alias("b_id"), F.col("at").alias("j"), "kmer")
+    both = a.join(b, "kmer").filter("a_id <> b_id").select("a_id", "b_id", "i", "j", (F.col("i") - F.col("j")).alias("diagonal"))
     along = Window.partitionBy("a_id", "b_id", "diagonal").orderBy("i")
     both = both.withColumn("island", F.col("i") - F.row_number().over(along))
-    runs = both.groupBy("a_id", "b_id", "a", "b", "diagonal", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + min_overlap - 1).cast("int").alias("n"))
+    runs = both.groupBy("a_id", "b_id", "diagonal", "island").agg(F.min("i").alias("i"), F.min("j").alias("j"), (F.count(F.lit(1)) + min_overlap - 1).cast("int").alias("n"))
+    for name in ("a", "b"):
+        runs = runs.join(own.select(F.col("id").alias(f"{name}_id"), F.col("seq").alias(name)), f"{name}_id")
     return runs.select("a_id", "b_id", "a", "b", "i", "j", "n")
 
 

@@ -6,22 +6,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import peptides as P
+from ..store import kept, spread
 
 #: The weights of the composite score's scaled metrics (fixed values); fewer sequences are better, so that one is turned round.
 WEIGHTS = {"total_sequences": 0.1, "max_length": 0.1, "N50": 0.3, "coverage": 0.5}
 INVERTED = ("total_sequences",)
 
 
-def min_max(column: str, by: list[str], inverted: bool = False) -> Column:
-    """The column scaled to 0..1 within each group; 0 where all values are equal."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(column).over(w), F.max(column).over(w)
+def min_max(column: str, low: Column, high: Column, inverted: bool = False) -> Column:
+    """The column scaled to 0..1 between low and high; 0 where these are equal."""
     scaled = F.when(high == low, F.lit(0.0)).otherwise((F.col(column) - low) / F.nullif(high - low, F.lit(0).cast("double")))
     return 1 - scaled if inverted else scaled
 
 
 def with_scaled(rows: DataFrame, by: list[str], weights: dict[str, float] = WEIGHTS, inverted: tuple[str, ...] = INVERTED) -> DataFrame:
-    return rows.withColumns({f"{m}_scaled": min_max(m, by, m in inverted) for m in weights})
+    """rows with {metric}_scaled within each group. The groups' bounds are aggregated and joined, so the rows aren't dealt by group."""
+    bounds = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(*[f(m).alias(f"__{m}_{n}") for m in weights for n, f in (("low", F.min), ("high", F.max))])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    both = rows.join(spread(bounds), same, "left")
+    return both.select(*rows.columns, *[min_max(m, F.col(f"__{m}_low"), F.col(f"__{m}_high"), m in inverted).alias(f"{m}_scaled") for m in weights])
 
 
 def composite(weights: dict[str, float] = WEIGHTS) -> Column:
@@ -30,17 +35,21 @@ def composite(weights: dict[str, float] = WEIGHTS) -> Column:
 
 
 def composite_scores(*tables: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """All tables by column name, with scaled metrics and composite_score, best first; metrics are scaled within each method."""
+    """All tables by column name, with scaled metrics and composite_score, in no order; metrics are scaled within each method."""
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t, allowMissingColumns=True)
-    return with_scaled(rows, by or ["ass_method"]).withColumn("composite_score", composite()).orderBy(F.col("composite_score").desc())
+    return with_scaled(rows, by or ["ass_method"]).withColumn("composite_score", composite())
+
+
+def best_first(scores: DataFrame) -> DataFrame:
+    return scores.orderBy(F.col("composite_score").desc())
 
 
 def best_per(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
-    """The row with the largest score of each group; of equals the first by tie."""
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(score).desc_nulls_last(), tie))
-    return rows.withColumn("__rank", first).filter("__rank = 1").drop("__rank")
+    """The row with the largest score of each group (null scores last); of equals the first by tie. Aggregated before the shuffle."""
+    order = F.struct(F.col(score).isNull(), -F.col(score), F.col(tie))
+    return rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), order).alias("__best")).select(*[F.col(f"__best.{c}").alias(c) for c in rows.columns])
 
 
 def modes(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -78,8 +87,8 @@ def pivot_max(rows: DataFrame, index: list[str], columns: list[str], value: str,
 def pivot_max_filled(rows: DataFrame, index: list[str], columns: list[str], value: str) -> DataFrame:
     """Long: (index, columns, value) for every pair of seen index and column keys; holes get the mean of the cells of the same first
     index key. The keys' domains are a sweep's parameters, so few."""
-    cells = rows.groupBy(*index, *columns).agg(F.max(value).alias(value))
-    grid = cells.select(*index).distinct().join(F.broadcast(cells.select(*columns).distinct()))
+    cells = kept(rows.groupBy(*index, *columns).agg(F.max(value).alias(value)), "cells")
+    grid = cells.select(*index).distinct().join(spread(cells.select(*columns).distinct()))
     full = grid.join(cells, [*index, *columns], "left")
     return full.withColumn(value, F.coalesce(F.col(value), F.avg(value).over(Window.partitionBy(index[0]))))
 

@@ -22,7 +22,7 @@ from ..operators import preprocess as R
 from ..operators import scoring as Z
 from ..operators import statistics as S
 from ..sources.writers import fasta_text, merged_tables
-from ..store import kept
+from ..store import kept, spread
 from . import assembly, sweep
 from . import views as V
 
@@ -53,8 +53,8 @@ def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned PSMs with is_mapped: whether the benchmark's texts hold the coded end of the sequence's last two letters."""
-    return cleaned(spark, sf_dir).withColumn("is_mapped", F.right("cleaned_preds", F.lit(1)).isin("A", "D", "F", "H"))
+    """Cleaned PSMs with is_mapped: whether a protein of four letters holds the sequence's last letter."""
+    return R.with_mapped(cleaned(spark, sf_dir).withColumn("tail", F.right("cleaned_preds", F.lit(1))), "ADFH", seq="tail")
 
 
 SQL_FLAGGED = f"(SELECT *, right(cleaned_preds, 1) IN ('A', 'D', 'F', 'H') AS is_mapped FROM ({SQL_CLEAN}))"
@@ -69,8 +69,10 @@ def clean_psm(spark, sf_dir):
 @query(f"SELECT row_id, round(conf, 9) AS conf, conf > 0.7 AS strictly, conf >= 0.7 AS at_least, conf BETWEEN 0.2 AND 0.9 AS inside FROM ({SQL_CLEAN}) WHERE conf > 0.2")
 def conf_filter(spark, sf_dir):
     rows = R.over_confidence(cleaned(spark, sf_dir), 0.2)
-    c = F.col("conf")
-    return rows.select("row_id", F.round("conf", 9).alias("conf"), (c > 0.7).alias("strictly"), (c >= 0.7).alias("at_least"), c.between(0.2, 0.9).alias("inside"))
+    inside = {"strictly": R.over_confidence(rows, 0.7), "at_least": R.confidence_from(rows, 0.7), "inside": R.confidence_between(rows, 0.2, 0.9)}
+    marks = [part.select("row_id", *[F.lit(c == name).alias(c) for c in inside]) for name, part in inside.items()]
+    found = marks[0].unionAll(marks[1]).unionAll(marks[2]).groupBy("row_id").agg(*[F.bool_or(c).alias(c) for c in inside])
+    return rows.select("row_id", F.round("conf", 9).alias("conf")).join(found, "row_id", "left").na.fill(False, list(inside))
 
 
 @query(f"SELECT protease, count(*) AS n FROM ({SQL_CLEAN}) WHERE protease IS NOT NULL GROUP BY protease")
@@ -232,7 +234,7 @@ SQL_PLACES = f"""(SELECT item_id, seq, protein, arg_min(struct_pack(s := s, wron
 
 def name_places(spark, sf_dir) -> DataFrame:
     names = V.table(spark, sf_dir, "part").select(V.letters("p_name").alias("seq")).distinct()
-    return M.native_places(names, F.broadcast(V.proteins(spark, sf_dir)))
+    return M.native_places(names, V.proteins(spark, sf_dir))
 
 
 @query(f"SELECT item_id, seq, CAST(b.s AS INT) AS \"start\", CAST(b.s + length(seq) AS INT) AS \"end\", array_to_string(b.wrong, ',') AS mismatches, round((length(seq) - len(b.wrong)) / length(seq), 9) AS identity_score FROM {SQL_PLACES}")
@@ -250,7 +252,7 @@ def substitution_kinds(spark, sf_dir):
 def protein_map(spark, sf_dir):
     """Part names placed on every benchmark text by the vectorised search, within 12 mismatches and from 20 percent identity."""
     names = V.table(spark, sf_dir, "part").select(V.letters("p_name").alias("sequence")).distinct()
-    return M.within_limits(M.placed(names.join(F.broadcast(V.proteins(spark, sf_dir)))), 12, 0.2).select("item_id", "sequence", "start", "end", F.array_join(F.col("mismatches_pos").cast("array<string>"), ",").alias("mismatches"), "identity_score")
+    return M.within_limits(M.placed(names.join(spread(V.proteins(spark, sf_dir)))), 12, 0.2).select("item_id", "sequence", "start", "end", F.array_join(F.col("mismatches_pos").cast("array<string>"), ",").alias("mismatches"), "identity_score")
 
 
 SQL_COVERED = "(SELECT grp, count(DISTINCT p) AS covered FROM (SELECT grp, unnest(generate_series({}, \"end\" - 1)) AS p FROM " + V.SQL_INTERVALS + ") GROUP BY grp)"
@@ -354,7 +356,7 @@ SQL_COMPOSITE = f"""(SELECT *, 0.1 * total_sequences_scaled + 0.1 * max_length_s
 
 @query(f'SELECT run, ass_method, source, total_sequences, max_length, "N50", coverage, round(total_sequences_scaled, 9) AS total_sequences_scaled, round(max_length_scaled, 9) AS max_length_scaled, round("N50_scaled", 9) AS "N50_scaled", round(coverage_scaled, 9) AS coverage_scaled, round(composite_score, 9) AS composite_score FROM {SQL_COMPOSITE}')
 def composite_scores(spark, sf_dir):
-    out = Z.composite_scores(V.scores(spark, sf_dir))
+    out = Z.best_first(Z.composite_scores(V.scores(spark, sf_dir)))
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith(("_scaled", "_score"))})
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,12 @@ def kept(df: DataFrame, name: str = "table", by: list[str] | None = None) -> Dat
     return held
 
 
+def spread(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df, kept, to be broadcast in joins if it has few rows; beyond that Spark joins it as any other."""
+    held = kept(df, "small")
+    return F.broadcast(held) if held.limit(rows + 1).count() <= rows else held
+
+
 def unsaved(*held: DataFrame | None) -> None:
     """Deletes tables of kept() that no plan to come reads; what wasn't returned by kept() itself is left alone."""
     for df in held:

@@ -19,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Python workers take batches of so many rows at most, so that long texts don't fill their memory.
+    """Python workers take batches of so many rows and 64 MB at most, so that long texts don't fill their memory.
 
-    Plans run later than they are made, so the limit stays for the session; it is only ever lowered, and no result depends on it.
+    Plans run later than they are made, so the limit stays for the session; the rows are only ever lowered, and no result depends on it.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:
         spark.conf.set(name, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

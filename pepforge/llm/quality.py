@@ -4,12 +4,13 @@ One vector of weights over hashed text features is shared by all grades; ordered
 P(grade > k) = 1 / (1 + exp(t_k - s)). This gives the expected grade, and the tail probability of reaching a wanted grade, by which
 documents are selected. Thresholds stay ordered as t_1 plus sums of exponentials.
 
-Training takes at most ``max_rows`` rated rows, chosen by a hash of doc_id; scoring takes all rows and their whole texts. Ratings
-are integers of any kind; grades are their ranks among those seen.
+Training takes at most ``max_rows`` rated documents, chosen by a hash of doc_id (of rows with one doc_id the alphabetically first
+text); scoring takes all rows and their whole texts. Ratings are integers of any kind; grades are their ranks among those seen.
 
 Defined results: null and empty texts have only the features of an empty text; rows with null doc_id or rating are never trained
 on; with one rating or none, every expected grade is that rating (0.0 without ratings) and the tail is 1.0 where it reaches
-the wanted grade. Other columns pass through ``score`` unchanged.
+the wanted grade. An empty table gives an empty result. Other columns pass through ``score`` unchanged, but those named
+expected_grade or tail_probability, in any case, are replaced.
 """
 
 from __future__ import annotations
@@ -88,12 +89,12 @@ def fit(docs: DataFrame, ratings: DataFrame, max_rows: int = 8000, seed: int = 1
     small_batches(docs.sparkSession)
     rated = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("rating").cast("int").alias("rating")).filter("doc_id IS NOT NULL AND rating IS NOT NULL").groupBy("doc_id").agg(F.max("rating").alias("rating"))
     chosen = rated.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "rating")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "rating").agg(F.min("text").alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = TextFeatures(BITS)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b.doc_id, "rating": b.rating, "own": [np.array(reader.of_text(t), np.int32).tobytes() for t in b.text]})
+            yield pd.DataFrame({"doc_id": b.doc_id, "rating": b.rating, "own": [reader.of_text(t).astype(np.int32).tobytes() for t in b.text]})
 
     read = rows.mapInPandas(features, "doc_id long, rating int, own binary").toPandas().sort_values(["doc_id", "own"])
     held = sorted(set(read.rating))

@@ -7,11 +7,13 @@ among the labelled training rows, or a parameter.
 
 Features are hashed words and word prefixes of the whole text (log of 1 + count). Of those, Spark counts in how many positives and
 in how many unlabelled texts each occurs, and keeps the ``max_features`` that tell them apart best (z score of both shares).
-Training takes at most ``max_positive`` and ``max_unlabelled`` rows, chosen by a hash of doc_id; scoring takes all rows.
+Training takes at most ``max_positive`` and ``max_unlabelled`` documents, chosen by a hash of doc_id (of rows with one doc_id the
+alphabetically first text); scoring takes all rows.
 
 Defined results: null and empty texts have no features and get the score of the intercept; rows with null doc_id are scored but
 never trained on; without any labelled toxic training row every score is the prior (0 without labels). Scores depend on the
-text only. Other columns pass through ``score`` unchanged.
+text only. An empty table gives an empty result. Other columns pass through ``score`` unchanged, but one that has the score's name,
+in any case, is replaced.
 """
 
 from __future__ import annotations
@@ -53,18 +55,22 @@ class Model:
         return docs.withColumn(column, self.scorer()(F.col("text").cast("string")))
 
 
+def risk_gradient(p: np.ndarray, u: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Both parts of the risk, prior * R(positive as 1) and R(unlabelled as 0) - prior * R(positive as 0), and their gradients."""
+    sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -500, 500))) for x in (p, u))
+    loss_of_one = -prior * np.log(np.maximum(sp, 1e-12)).mean()
+    negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
+    return loss_of_one, negative, prior * (p.T @ (sp - 1)) / len(p), (u.T @ su) / len(u) - prior * (p.T @ sp) / len(p)
+
+
 def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier under the non-negative risk (Adam on full batches)."""
     p, u = (np.column_stack([x, np.ones(len(x))]) for x in (positive, unlabelled))
     w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    prior_u = prior
     for t in range(1, steps + 1):
-        sp, su = (1 / (1 + np.exp(-np.clip(x @ w, -500, 500))) for x in (p, u))
-        as_one = prior_u * (p.T @ (sp - 1)) / len(p)
-        negative = -np.log1p(-np.clip(su, 0, 1 - 1e-12)).mean() + prior_u * np.log1p(-np.clip(sp, 0, 1 - 1e-12)).mean()
-        as_zero = (u.T @ su) / len(u) - prior_u * (p.T @ sp) / len(p)
+        _, negative, as_one, as_zero = risk_gradient(p, u, w, prior)
         g = as_one + as_zero if negative >= 0 else -as_zero
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -88,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabe
         return Model([], np.zeros(0), -500.0 if not prior else float(np.log(prior / (1 - prior))))
     order = lambda salt: (F.xxhash64("doc_id", F.lit(seed + salt)), F.col("doc_id"))
     chosen = known.filter("toxic = 1").orderBy(*order(0)).limit(max_positive).select("doc_id", F.lit(1).alias("part")).unionAll(ids.orderBy(*order(1)).limit(max_unlabelled).select("doc_id", F.lit(0).alias("part")))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("part", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("part", "doc_id").agg(F.min("text").alias("text")).select("part", "text")
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = WordFeatures(BITS)

@@ -441,3 +441,55 @@ def test_near_dedup_with_several_texts_of_a_document(documents, rows):
     kept = sorted((r.doc_id, r.text) for r in near_dedup.near_dedup(documents(rows), width=2).collect() if r.doc_id is not None)
     assert kept == sorted((d, t) for d, t in rows if d in stays)
     assert {g for (d, _), g in group.items() if d in stays} == set(group.values())  # no group of texts is lost
+
+
+def test_cumulative_link_is_the_likeliest():
+    """Against the likelihood written out: no direction improves it."""
+    rng = np.random.default_rng(5)
+    n, k, ridge = 300, 4, 1e-2
+    x = rng.normal(size=(n, k))
+    grade = np.digitize(x @ [1.5, -1, 0.5, 0] + rng.logistic(size=n), [-1, 0.5, 2])
+    rows, columns = np.repeat(np.arange(n), k), np.tile(np.arange(k), n)
+    w, t = quality.cumulative_link(rows, columns, x.ravel(), grade, k, 4, steps=6000, rate=0.01, ridge=ridge)
+
+    def loss(w, t):
+        total = 0.0
+        for i in range(n):
+            below = [0.0, *(1 / (1 + np.exp(x[i] @ w - c)) for c in t), 1.0]
+            total -= np.log(below[grade[i] + 1] - below[grade[i]])
+        return total / n + ridge / 2 * (w**2).sum()
+
+    best = loss(w, t)
+    assert (np.diff(t) > 0).all()
+    for _ in range(60):
+        step = rng.normal(size=k + 3) * rng.choice([1e-3, 1e-2, 0.1])
+        assert loss(w + step[:k], t + step[k:]) >= best - 1e-7
+
+
+def test_risk_gradient():
+    """Against differences of the risk written out."""
+    rng = np.random.default_rng(6)
+    p, u, prior = rng.normal(size=(20, 3)), rng.normal(size=(50, 3)), 0.3
+    loss = lambda x, w, y: np.mean([np.log1p(np.exp(-y * (r @ w))) for r in x])
+    for _ in range(10):
+        w = rng.normal(size=3)
+        one, negative, as_one, as_zero = toxicity.risk_gradient(p, u, w, prior)
+        assert one == pytest.approx(prior * loss(p, w, 1)) and negative == pytest.approx(loss(u, w, -1) - prior * loss(p, w, -1))
+        for j in range(3):
+            d = np.eye(3)[j] * 1e-6
+            assert as_one[j] == pytest.approx(prior * (loss(p, w + d, 1) - loss(p, w - d, 1)) / 2e-6, abs=1e-6)
+            both = [loss(u, w + s * d, -1) - prior * loss(p, w + s * d, -1) for s in (1, -1)]
+            assert as_zero[j] == pytest.approx((both[0] - both[1]) / 2e-6, abs=1e-6)
+
+
+def test_repeated_rows_are_one_example(documents, spark):
+    rows = [(i % 40, f"text of {i % 40} " + ("good words here " if i % 2 else "bad nasty stuff ") * 5) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(40)], "doc_id long, rating int, toxic int")
+    assert np.allclose(quality.fit(documents(rows), labels).weights, quality.fit(documents(rows[:40]), labels).weights)
+    assert toxicity.fit(documents(rows), labels).weights == pytest.approx(toxicity.fit(documents(rows[:40]), labels).weights)
+
+
+def test_shapes_are_whole():
+    reader = quality.TextFeatures(18)
+    a, b = (set(reader.of_text(("A1-" * 20 + end).strip()).tolist()) for end in ("x", "9"))
+    assert len(a ^ b) == 4  # the word and its shape

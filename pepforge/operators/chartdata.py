@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import peptides as P
+from ..store import kept
 
 
 def value_counts(rows: DataFrame, column: str) -> DataFrame:
@@ -36,6 +37,26 @@ def mapped_by_bin(rows: DataFrame, column: str, flag: str, bin_of: Column, keys:
     return own.groupBy(*(keys or []), "bin").agg(F.count(F.when(F.col(flag), 1)).alias("mapped"), F.count(F.when(~F.col(flag), 1)).alias("unmapped"), F.count(F.lit(1)).alias("n"))
 
 
+def stacked_histogram(rows: DataFrame, column: str, flag: str, low: float, high: float = 1.0, width: float = 0.02) -> DataFrame:
+    """(bin, mapped, unmapped, n) of the values from low on, the last bin with its right edge; values above high are left out."""
+    bins = max(1, math.ceil((high + width / 10 - low) / width))
+    bin_of = F.when((F.col(column) >= low) & (F.col(column) <= high), F.least(F.floor((F.col(column) - low) / width), F.lit(bins - 1)))
+    return mapped_by_bin(rows, column, flag, bin_of)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows, sorted before, with their place from 1.
+
+    Sorting deals rows by ranges, so the place within a partition and the number of rows in those before it make the place; no
+    task sees more than its range. The sorted rows are kept in between, as ranges could be cut elsewhere when they are read twice.
+    """
+    held = kept(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    sizes = held.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each partition
+    firsts = sizes.select("__part", "__first", F.coalesce(before, F.lit(0)).alias("__before"))
+    return held.join(F.broadcast(firsts), "__part").withColumn(name, F.col("__before") + F.col("__at") - F.col("__first") + 1).drop("__part", "__at", "__first", "__before")
+
+
 def ratio_bins(rows: DataFrame, column: str, flag: str, bins: int = 20) -> DataFrame:
     """Mapped and unmapped rows of bins [i/bins, (i+1)/bins) and their ratio, null without unmapped ones; 1 itself is in none."""
     bin_of = F.when((F.col(column) >= 0) & (F.col(column) < 1), F.floor(F.col(column) * bins))

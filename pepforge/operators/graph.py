@@ -14,9 +14,10 @@ from .overlap import best_partner, longest_overlaps, overlap_merges, overlaps, w
 from .preprocess import size_over
 
 
-def kmer_rows(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
-    """seqs with kmer, a row for each window; the other columns stay."""
-    return seqs.filter(F.length(seq) >= k).withColumn("kmer", F.explode(P.kmers(seq, k)))
+def kmer_rows(seqs: DataFrame, k: int | str, seq: str = "seq") -> DataFrame:
+    """seqs with kmer, a row for each window; the other columns stay. k may be a column."""
+    n = F.lit(k) if isinstance(k, int) else F.col(k)
+    return seqs.filter(F.length(seq) >= n).withColumn("kmer", F.explode(P.kmers(seq, k if isinstance(k, int) else n)))
 
 
 def kmer_counts(kmers: DataFrame) -> DataFrame:
@@ -28,6 +29,23 @@ def debruijn_edges(kmers: DataFrame) -> DataFrame:
     return kmers.select(F.left("kmer", F.length("kmer") - 1).alias("src"), F.substr("kmer", F.lit(2)).alias("dst")).distinct()
 
 
+#: Stands between a group and a node's letters.
+MARK = "|"
+
+
+def grouped_edges(kmers: DataFrame, group: str) -> DataFrame:
+    """The edges of many graphs at once: nodes bear their group before their letters, so no path leads from one graph to another, and
+    every contig bears its group."""
+    head = F.concat(F.col(group).cast("string"), F.lit(MARK))
+    own = kmers.select(F.concat(head, F.left("kmer", F.length("kmer") - 1)).alias("src"), F.concat(head, F.substr("kmer", F.lit(2))).alias("dst"))
+    return own.distinct()
+
+
+def by_group(contigs: DataFrame, group: str, kind: str = "long") -> DataFrame:
+    """(group, seq) of contigs of grouped edges."""
+    return contigs.select(F.substring_index("seq", MARK, 1).cast(kind).alias(group), F.substring_index("seq", MARK, -1).alias("seq"))
+
+
 def start_nodes(edges: DataFrame) -> DataFrame:
     """Nodes that edges leave and none enters."""
     return edges.select(F.col("src").alias("node")).distinct().join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
@@ -118,20 +136,22 @@ def claimed(best: DataFrame) -> DataFrame:
     return won if won is not None else best.limit(0)
 
 
-def greedy_contigs(seqs: DataFrame, min_overlap: int, id_col: str = "id", seq: str = "seq", max_rounds: int = 1000) -> DataFrame:
-    """(id, seq): repeats {in the order of id, every free sequence claims the one with the longest overlap (shorter than both), if that
-    is free too, and both merge; merged ones come first, then those left} until nothing merges. Repeated rows are items of their own."""
-    items = kept(seqs.select(F.col(id_col).cast("long").alias("id"), F.col(seq).alias("seq")), "items")
+def greedy_contigs(seqs: DataFrame, min_overlap: int | str, id_col: str = "id", seq: str = "seq", max_rounds: int = 1000, by: list[str] | None = None) -> DataFrame:
+    """(id, by, seq): repeats {in the order of id, every free sequence claims the one with the longest overlap (shorter than both), if
+    that is free too, and both merge; merged ones come first, then those left} until nothing merges. Repeated rows are items of
+    their own. by: columns that tell sets apart which are assembled at once; min_overlap may be one of them."""
+    by = by or []
+    items = kept(seqs.select(F.col(id_col).cast("long").alias("id"), *by, F.col(seq).alias("seq")), "items")
     for _ in range(max_rounds):
-        pairs = best_partner(longest_overlaps(overlaps(items, min_overlap, inclusive=False)))
+        pairs = best_partner(longest_overlaps(overlaps(items, min_overlap, inclusive=False, by=by)))
         won = kept(claimed(pairs), "claims")
         if not won.limit(1).count():
             return items
         used = won.select(F.explode(F.array("a_id", "b_id")).alias("id"))
-        new = overlap_merges(won).select(F.lit(0).alias("part"), F.col("a_id").alias("id"), "seq")
-        rest = items.join(used, "id", "left_anti").select(F.lit(1).alias("part"), "id", "seq")
+        new = overlap_merges(won).select(F.lit(0).alias("part"), F.col("a_id").alias("id"), *by, "seq")
+        rest = items.join(used, "id", "left_anti").select(F.lit(1).alias("part"), "id", *by, "seq")
         # ids keep the order of the sort, which Spark does by ranges
-        items = kept(new.unionByName(rest).orderBy("part", "id").select(F.monotonically_increasing_id().alias("id"), "seq"), "items")
+        items = kept(new.unionByName(rest).orderBy("part", "id").select(F.monotonically_increasing_id().alias("id"), *by, "seq"), "items")
     raise RuntimeError(f"still merging after {max_rounds} rounds")
 
 

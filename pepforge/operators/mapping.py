@@ -67,7 +67,7 @@ def native_places(seqs: DataFrame, proteins: DataFrame, seq: str = "seq", protei
     wrong = lambda s: F.zip_with("__q", F.slice("__p", s + 1, F.size("__q")), lambda a, b: a != b)
     starts = F.sequence(F.lit(0), F.size("__p") - F.size("__q"))
     best = F.array_min(F.transform(starts, lambda s: F.struct(F.size(F.filter(wrong(s), lambda x: x)).alias("n"), s.alias("start"))))
-    pairs = pairs.withColumn("__b", best)
+    pairs = pairs.withColumn("__b", F.explode(F.array(best)))  # exploded, so that Spark doesn't compute it anew for each of its uses
     offsets = F.filter(F.transform(wrong(F.col("__b.start")), lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
     n = F.length(seq)
     return pairs.select(*seqs.columns, *proteins.columns, F.col("__b.start").alias("start"), (F.col("__b.start") + n).alias("end"), offsets.alias("mismatches_pos"), ((n - F.col("__b.n")) / n).alias("identity_score"))
@@ -77,8 +77,8 @@ def seeded_places(seqs: DataFrame, proteins: DataFrame, max_mismatches: int, seq
     """Like native_places, but only pairs with at most max_mismatches, found by equi-joins.
 
     A sequence is cut into max_mismatches + 1 pieces. Where it fits with so few mismatches, a piece fits without any; so the pieces
-    are joined, with their offsets, to the proteins' windows of their lengths, and the starts that follow are verified. Sequences shorter
-    than the number of pieces have single letters for pieces.
+    are joined, with their offsets, to the proteins' windows of their lengths, and the starts that follow are verified. Sequences of
+    max_mismatches letters or fewer have single letters for pieces, so they have no place where no letter fits.
     """
     pieces = F.least(F.lit(max_mismatches + 1), F.length(seq))
     own = seqs.filter(F.length(seq) > 0).select(*seqs.columns, F.monotonically_increasing_id().alias("__s"))

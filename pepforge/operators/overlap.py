@@ -12,35 +12,37 @@ from pyspark.sql import functions as F
 from ..functions import peptides as P
 
 
-def affixes(seqs: DataFrame, least: int, id_col: str, seq: str, side: str, name: str) -> DataFrame:
-    """(name_id, olap, affix): a hash of every beginning or end of at least ``least`` letters. The texts stay behind."""
-    if least < 1:
+def affixes(seqs: DataFrame, least: int | str, id_col: str, seq: str, side: str, name: str, by: list[str]) -> DataFrame:
+    """(name_id, by, olap, affix): a hash of every beginning or end of at least ``least`` letters. The texts stay behind."""
+    if isinstance(least, int) and least < 1:
         raise ValueError("an overlap has a letter at least")
     cut = P.prefix if side == "prefix" else P.suffix
-    own = seqs.filter(F.length(seq) >= least).select(F.col(id_col).alias(f"{name}_id"), F.col(seq).alias("text"))
-    own = own.withColumn("olap", F.explode(F.sequence(F.lit(least), F.length("text"))))
-    return own.select(f"{name}_id", "olap", F.xxhash64(cut(F.col("text"), F.col("olap"))).alias("affix"))
+    shortest = F.lit(least) if isinstance(least, int) else F.greatest(F.col(least), F.lit(1))
+    own = seqs.filter(F.length(seq) >= shortest).select(F.col(id_col).alias(f"{name}_id"), F.col(seq).alias("text"), *by, F.explode(F.sequence(shortest, F.length(seq))).alias("olap"))
+    return own.select(f"{name}_id", *by, "olap", F.xxhash64(cut(F.col("text"), F.col("olap"))).alias("affix"))
 
 
-def overlaps(seqs: DataFrame, min_overlap: int, id_col: str = "id", seq: str = "seq", inclusive: bool = True) -> DataFrame:
-    """(a_id, b_id, a, b, olap): the end of a is the beginning of b, for every length from min_overlap on. Ids are unique.
+def overlaps(seqs: DataFrame, min_overlap: int | str, id_col: str = "id", seq: str = "seq", inclusive: bool = True, by: list[str] | None = None) -> DataFrame:
+    """(a_id, b_id, by, a, b, olap): the end of a is the beginning of b, for every length from min_overlap on. Ids are unique.
 
-    inclusive: up to the whole shorter sequence; else shorter than both. No row is paired with itself. Candidates come from hashes
+    inclusive: up to the whole shorter sequence; else shorter than both. No row is paired with itself. by: columns that both rows
+    must agree on, so that many sets of sequences are joined at once; min_overlap may be a column, too. Candidates come from hashes
     of the affixes; the texts are joined to these only, and compared.
     """
-    ends, starts = (affixes(seqs, min_overlap, id_col, seq, side, name) for side, name in (("suffix", "a"), ("prefix", "b")))
-    pairs = ends.join(starts, ["olap", "affix"]).filter("a_id <> b_id").select("a_id", "b_id", "olap")
+    by = by or []
+    ends, starts = (affixes(seqs, min_overlap, id_col, seq, side, name, by) for side, name in (("suffix", "a"), ("prefix", "b")))
+    pairs = ends.join(starts, [*by, "olap", "affix"]).filter("a_id <> b_id").select("a_id", "b_id", *by, "olap")
     for name in ("a", "b"):
         pairs = pairs.join(seqs.select(F.col(id_col).alias(f"{name}_id"), F.col(seq).alias(name)), f"{name}_id")
     pairs = pairs.filter(F.right("a", F.col("olap")) == F.left("b", F.col("olap")))
     if not inclusive:
         pairs = pairs.filter(F.col("olap") < F.least(F.length("a"), F.length("b")))
-    return pairs.select("a_id", "b_id", "a", "b", "olap")
+    return pairs.select("a_id", "b_id", *by, "a", "b", "olap")
 
 
 def longest_overlaps(pairs: DataFrame) -> DataFrame:
     """Of each ordered pair the longest overlap only."""
-    return pairs.groupBy("a_id", "b_id", "a", "b").agg(F.max("olap").alias("olap"))
+    return pairs.groupBy(*[c for c in pairs.columns if c != "olap"]).agg(F.max("olap").alias("olap"))
 
 
 def best_partner(pairs: DataFrame) -> DataFrame:

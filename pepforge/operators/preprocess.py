@@ -64,6 +64,14 @@ def size_over(seqs: DataFrame, least: int, seq: str = "seq") -> DataFrame:
     return seqs.filter(F.length(seq) > least)
 
 
-def by_length(seqs: DataFrame, seq: str = "seq") -> DataFrame:
-    """Longest first, equal ones alphabetically."""
-    return seqs.orderBy(F.length(seq).desc(), seq)
+def by_length(seqs: DataFrame, seq: str = "seq", tie: str | None = None) -> DataFrame:
+    """Longest first, equal ones alphabetically, then by the tie column."""
+    return seqs.orderBy(F.length(seq).desc(), seq, *([tie] if tie else []))
+
+
+def counted(rows: DataFrame, steps: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows (n) and of those that each step leaves."""
+    counts = rows.agg(F.count(F.lit(1)).alias("n"))
+    for name, left in steps.items():
+        counts = counts.join(left.agg(F.count(F.lit(1)).alias(name)))
+    return counts

@@ -34,7 +34,7 @@ def composite(weights: dict[str, float] = WEIGHTS) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def composite_scores(*tables: DataFrame, by: list[str] | None = None) -> DataFrame:
+def scored(*tables: DataFrame, by: list[str] | None = None) -> DataFrame:
     """All tables by column name, with scaled metrics and composite_score, in no order; metrics are scaled within each method."""
     rows = tables[0]
     for t in tables[1:]:
@@ -42,8 +42,9 @@ def composite_scores(*tables: DataFrame, by: list[str] | None = None) -> DataFra
     return with_scaled(rows, by or ["ass_method"]).withColumn("composite_score", composite())
 
 
-def best_first(scores: DataFrame) -> DataFrame:
-    return scores.orderBy(F.col("composite_score").desc())
+def composite_scores(*tables: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same, best first."""
+    return scored(*tables, by=by).orderBy(F.col("composite_score").desc())
 
 
 def best_per(rows: DataFrame, by: list[str], score: str, tie: str) -> DataFrame:
@@ -99,3 +100,9 @@ def paired_runs(scores: DataFrame, run: str = "run", score: str = "composite_sco
     both = rows.groupBy("idx", "chain").agg(F.max(F.when(F.col("kind") == "ma", F.col(score))).alias("mono"), F.max(F.when(F.col("kind") == "pama", F.col(score))).alias("poly"))
     whole = both.filter("mono IS NOT NULL AND poly IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("idx")))
     return whole.filter("n = 2").drop("n")
+
+
+def subset_of(rows: DataFrame, held: DataFrame, key: str) -> DataFrame:
+    """(key, within): whether all values of each key are among those of held (value)."""
+    known = held.select(F.col("value"), F.lit(True).alias("__known")).distinct()
+    return rows.select(key, "value").distinct().join(known, "value", "left").groupBy(key).agg(F.bool_and(F.coalesce("__known", F.lit(False))).alias("within"))

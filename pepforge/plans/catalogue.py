@@ -21,9 +21,9 @@ from ..operators import overlap as O
 from ..operators import preprocess as R
 from ..operators import scoring as Z
 from ..operators import statistics as S
-from ..sources.writers import fasta_text, merged_tables
+from ..sources.writers import fasta_text, mapped_description, merged_tables
 from ..store import kept, spread
-from . import assembly, sweep
+from . import assembly, files, sweep
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,7 +135,11 @@ def dbg_reach_pairs(spark, sf_dir, rows=V.peptides):
     return G.reachable_ends(peptide_edges(spark, sf_dir, rows))
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS {PEPTIDE_EDGES},
+inner_nodes AS (SELECT node FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node HAVING sum(i) = 1 AND sum(o) = 1),
+r(s, node, seq, turns, path) AS (SELECT DISTINCT src, src, src, 0, [src] FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL
+  SELECT r.s, e.dst, r.seq || right(e.dst, 1), r.turns + CASE WHEN e.dst IN (SELECT node FROM inner_nodes) THEN 0 ELSE 1 END, list_append(r.path, e.dst) FROM r JOIN e ON e.src = r.node WHERE NOT list_contains(r.path, e.dst))
+SELECT DISTINCT seq FROM (SELECT seq, row_number() OVER (PARTITION BY s, node ORDER BY turns, seq) AS place FROM r WHERE node NOT IN (SELECT src FROM e)) WHERE place = 1""")
 def dbg_contigs(spark, sf_dir, rows=V.peptides):
     return G.debruijn_contigs(peptide_edges(spark, sf_dir, rows))
 
@@ -193,32 +197,55 @@ def containment_antijoin(spark, sf_dir):
     return O.without_contained(words.unionByName(V.peptides(spark, sf_dir).select("seq")))
 
 
-@query()
+#: The longest stretch of b from j on that is also in a from i on.
+SQL_STRETCH = "list_max(list_filter(generate_series(8, least(length(a) - i, length(b) - j)), lambda k: substr(a, CAST(i AS INT) + 1, CAST(k AS INT)) = substr(b, CAST(j AS INT) + 1, CAST(k AS INT))))"
+SQL_PLACES_OF_B = f"(SELECT a.id AS a_id, b.id AS b_id, a.seq AS a, b.seq AS b, unnest(generate_series(0, length(b.seq) - 8)) AS j FROM {V.SQL_PEPTIDES} a JOIN {V.SQL_PEPTIDES} b ON {{}} WHERE length(a.seq) >= 8 AND length(b.seq) >= 8)"
+SQL_SEEDED = f"""(SELECT a_id, b_id, a, b, CAST(n AS INT) AS n, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, j) AS place FROM (
+  SELECT *, {SQL_STRETCH} AS n FROM (SELECT *, instr(a, substr(b, CAST(j AS INT) + 1, 8)) - 1 AS i FROM {SQL_PLACES_OF_B.format('a.id < b.id')}) WHERE i >= 0)) WHERE place = 1)"""
+SQL_LONGEST = f"""(SELECT a_id AS small_id, b_id AS large_id, a AS small, b AS large, CAST(n AS INT) AS n, CAST(i AS INT) AS small_at, CAST(j AS INT) AS large_at FROM (SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY n DESC, i, j) AS place FROM (
+  SELECT *, {SQL_STRETCH} AS n FROM (SELECT *, unnest(generate_series(0, length(a) - 8)) AS i FROM {SQL_PLACES_OF_B.format('length(a.seq) < length(b.seq) OR length(a.seq) = length(b.seq) AND a.id > b.id')})
+  WHERE substr(a, CAST(i AS INT) + 1, 8) = substr(b, CAST(j AS INT) + 1, 8))) WHERE place = 1)"""
+
+
+def sql_crossed(found: str, a: str, b: str, i: str, j: str) -> str:
+    kinds = {"first": a, "second": b, "first_second": f"left({a}, {i} + n) || substr({b}, {j} + n + 1)", "second_first": f"left({b}, {j} + n) || substr({a}, {i} + n + 1)"}
+    every = " UNION ALL ".join(f"SELECT {seq} AS seq, '{kind}' AS kind FROM f" for kind, seq in kinds.items())
+    return f"WITH f AS {found} SELECT seq, kind, count(*) AS n FROM ({every}) GROUP BY seq, kind"
+
+
+@query(f"SELECT * FROM {SQL_SEEDED}")
 def seeded_overlaps(spark, sf_dir, rows=V.peptides):
     return O.seeded_overlap(rows(spark, sf_dir), 8)
 
 
-@query()
+@query(f"SELECT * FROM {SQL_LONGEST}")
 def longest_common_runs(spark, sf_dir, rows=V.peptides):
     return O.best_common_run(rows(spark, sf_dir), 8)
 
 
-@query()
+@query(sql_crossed(SQL_SEEDED, "a", "b", "i", "j"))
 def recombined(spark, sf_dir, rows=V.peptides):
     return O.recombined(rows(spark, sf_dir), 8).groupBy("seq", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(sql_crossed(SQL_LONGEST, "small", "large", "small_at", "large_at"))
 def recombined_by_longest_run(spark, sf_dir, rows=V.peptides):
     return O.recombined_by_longest_run(rows(spark, sf_dir), 8).groupBy("seq", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+SQL_PATHS = f"""WITH RECURSIVE p AS (SELECT DISTINCT seq FROM {V.SQL_PEPTIDES}), nodes AS (SELECT seq FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.seq <> p.seq AND contains(o.seq, p.seq))),
+g AS (SELECT a.seq AS src, b.seq AS dst, CAST(max(k) AS INT) AS w FROM nodes a JOIN nodes b ON a.seq <> b.seq, LATERAL (SELECT unnest(generate_series(8, least(length(a.seq), length(b.seq)))) AS k)
+  WHERE right(a.seq, k) = left(b.seq, k) GROUP BY 1, 2),
+r(path, tail, spelled) AS (SELECT [seq], seq, seq FROM nodes UNION ALL SELECT list_append(path, dst), dst, spelled || substr(dst, w + 1) FROM r JOIN g ON g.src = r.tail WHERE NOT list_contains(path, dst))
+"""
+
+
+@query(f"{SQL_PATHS} SELECT spelled AS seq, CAST(len(path) AS INT) AS n FROM r WHERE len(path) > 1 OR path[1] NOT IN (SELECT unnest(path) FROM r WHERE len(path) > 1)")
 def path_scaffolds(spark, sf_dir, rows=V.peptides):
     return G.path_scaffolds(rows(spark, sf_dir), 8)
 
 
-@query()
+@query(f"{SQL_PATHS} SELECT spelled AS seq, CAST(len(path) AS INT) AS n FROM r")
 def path_prefix_scaffolds(spark, sf_dir, rows=V.peptides):
     return G.path_scaffolds(rows(spark, sf_dir), 8, prefixes=True)
 
@@ -248,13 +275,31 @@ def substitution_kinds(spark, sf_dir):
     return M.substitutions(name_places(spark, sf_dir), seq="seq").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""SELECT item_id, seq AS sequence, CAST(b.s AS INT) AS "start", CAST(b.s + length(seq) AS INT) AS "end", array_to_string(b.wrong, ',') AS mismatches, (length(seq) - len(b.wrong)) / length(seq) AS identity_score
+  FROM {SQL_PLACES} WHERE len(b.wrong) <= 12 AND (length(seq) - len(b.wrong)) / length(seq) >= 0.2 AND length(seq) > len(b.wrong)""")
 def protein_map(spark, sf_dir):
     """Part names placed on every benchmark text by the vectorised search, within 12 mismatches and from 20 percent identity."""
     names = V.table(spark, sf_dir, "part").select(V.letters("p_name").alias("sequence")).distinct()
     return M.within_limits(M.placed(names.join(spread(V.proteins(spark, sf_dir)))), 12, 0.2).select("item_id", "sequence", "start", "end", F.array_join(F.col("mismatches_pos").cast("array<string>"), ",").alias("mismatches"), "identity_score")
 
 
+@query(f"""SELECT item_id, id, seq, CAST("start" AS INT) AS "start", CAST(n AS INT) AS n_mismatches FROM (SELECT *, row_number() OVER (PARTITION BY item_id, id ORDER BY n, "start") AS place FROM (
+  SELECT item_id, id, seq, s AS "start", hamming(substr(protein, CAST(s AS INT) + 1, length(seq)), seq) AS n FROM (
+    SELECT *, unnest(generate_series(0, length(protein) - length(seq))) AS s FROM {V.SQL_PEPTIDES}, {V.SQL_PROTEINS} WHERE length(seq) <= length(protein))) WHERE n <= 3) WHERE place = 1""")
+def seeded_map(spark, sf_dir):
+    """The sentences of benchmark on its whole texts with at most 3 mismatches, by equi-joins of pieces."""
+    found = M.seeded_places(V.peptides(spark, sf_dir), V.proteins(spark, sf_dir), 3)
+    return found.select("item_id", "id", "seq", "start", F.size("mismatches_pos").alias("n_mismatches"))
+
+
+@query(f"""SELECT item_id, '>' || item_id || ' length: ' || length(seq) || ' start: ' || "start" || ' end: ' || ("start" + length(seq)) || ' mismatches: ' || n || printf(' identity: %.2f', (length(seq) - n) / length(seq)) || chr(10) || array_to_string(regexp_extract_all(seq, '.{{1,60}}'), chr(10)) AS record
+  FROM (SELECT item_id, seq, b.s AS "start", len(b.wrong) AS n FROM {SQL_PLACES}) WHERE n <= 12 AND (length(seq) - n) / length(seq) >= 0.2""")
+def mapped_fasta_records(spark, sf_dir):
+    """The records of mapped sequences, whose descriptions tell where and how well they fit."""
+    places = M.within_limits(name_places(spark, sf_dir).withColumnRenamed("seq", "sequence"), 12, 0.2)
+    return places.select("item_id", fasta_text(F.col("item_id").cast("string"), mapped_description(), "sequence").alias("record"))
+
+
 SQL_COVERED = "(SELECT grp, count(DISTINCT p) AS covered FROM (SELECT grp, unnest(generate_series({}, \"end\" - 1)) AS p FROM " + V.SQL_INTERVALS + ") GROUP BY grp)"
 
 
@@ -356,7 +401,7 @@ SQL_COMPOSITE = f"""(SELECT *, 0.1 * total_sequences_scaled + 0.1 * max_length_s
 
 @query(f'SELECT run, ass_method, source, total_sequences, max_length, "N50", coverage, round(total_sequences_scaled, 9) AS total_sequences_scaled, round(max_length_scaled, 9) AS max_length_scaled, round("N50_scaled", 9) AS "N50_scaled", round(coverage_scaled, 9) AS coverage_scaled, round(composite_score, 9) AS composite_score FROM {SQL_COMPOSITE}')
 def composite_scores(spark, sf_dir):
-    out = Z.best_first(Z.composite_scores(V.scores(spark, sf_dir)))
+    out = Z.composite_scores(V.scores(spark, sf_dir))
     return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith(("_scaled", "_score"))})
 
 
@@ -364,7 +409,7 @@ SQL_BEST = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER
 
 
 def best_runs(spark, sf_dir) -> DataFrame:
-    scored = Z.composite_scores(V.scores(spark, sf_dir)).select("run", "source", F.round("composite_score", 9).alias("composite_score"))
+    scored = Z.scored(V.scores(spark, sf_dir)).select("run", "source", F.round("composite_score", 9).alias("composite_score"))
     return Z.best_per(scored, ["run"], "composite_score", "source")
 
 
@@ -465,6 +510,18 @@ def mapped_overtakes(spark, sf_dir):
     return D.first_overtaking(points, "centre", "mapped_percent", "unmapped_percent").select(F.round("crossing", 9).alias("crossing"))
 
 
+SQL_HALF = f"(SELECT *, right(cleaned_preds, 1) IN ('A', 'D', 'F', 'H', 'K') AS is_mapped FROM ({SQL_CLEAN}))"
+
+
+@query(f"""WITH p AS (SELECT (bin + 0.5) * 0.05 AS x, 100 * mapped / n - 100 * unmapped / n AS d FROM {SQL_PERCENT.replace(SQL_FLAGGED, SQL_HALF)}), s AS (SELECT x, d, lag(x) OVER (ORDER BY x) AS x0, lag(d) OVER (ORDER BY x) AS e FROM p)
+SELECT round(x0 + (0 - e) * (x - x0) / (d - e), 9) AS crossing FROM s WHERE e < 0 AND d >= 0 ORDER BY x LIMIT 1""")
+def even_flag_overtakes(spark, sf_dir):
+    """Where mapped rows first outnumber the others, for a flag that half of the rows have."""
+    rows = R.with_mapped(cleaned(spark, sf_dir).withColumn("tail", F.right("cleaned_preds", F.lit(1))), "ADFHK", seq="tail")
+    points = D.percent_bins(rows, "conf", "is_mapped")
+    return D.first_overtaking(points, "centre", "mapped_percent", "unmapped_percent").select(F.round("crossing", 9).alias("crossing"))
+
+
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS median, round(quantile_cont(value, 0.75), 9) AS q3, round(avg(value), 9) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")
 def box_stats(spark, sf_dir):
     out = D.box_stats(V.table(spark, sf_dir, "events"), ["event_type"], "value")
@@ -505,6 +562,12 @@ def union_by_name(spark, sf_dir):
     return merged_tables(c, s)
 
 
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def unlabelled_documents(spark, sf_dir):
+    """The difference of two sets of ids."""
+    return V.table(spark, sf_dir, "documents").select("doc_id").join(V.table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def set_difference(spark, sf_dir):
     orders = V.table(spark, sf_dir, "orders")
@@ -551,13 +614,104 @@ def greedy_run(spark, sf_dir):
     return whole_run(spark, sf_dir, "greedy", "scaffold_stats")["scaffold_stats"]
 
 
+def sweep_inputs(spark, sf_dir) -> tuple[DataFrame, str]:
+    return R.clean_psms(peptide_psms(spark, sf_dir), V.PROTEASES), V.proteins(spark, sf_dir).orderBy("item_id").first().protein
+
+
 @query()
 def contig_sweep(spark, sf_dir):
     """Statistics of 2 * 2 * 2 * 2 settings from four assemblies."""
-    rows = R.clean_psms(peptide_psms(spark, sf_dir), V.PROTEASES)
-    protein = V.proteins(spark, sf_dir).orderBy("item_id").first().protein
     grid = sweep.grid_rows(spark, {"conf": [0.9, 0.95], "kmer_size": [11, 12], "size_threshold": [12, 30], "min_overlap": [4], "min_identity": [0.05, 0.1], "max_mismatches": [100, 200]})
-    return sweep.contig_sweep(rows, protein, grid)
+    return sweep.contig_sweep(*sweep_inputs(spark, sf_dir), grid)
+
+
+@query()
+def greedy_sweep(spark, sf_dir):
+    """Statistics of 2 * 2 * 2 * 2 settings from four greedy assemblies."""
+    grid = sweep.grid_rows(spark, {"conf": [0.9, 0.95], "size_threshold": [12, 30], "min_overlap": [4, 6], "min_identity": [0.05, 0.1], "max_mismatches": [200]})
+    return sweep.contig_sweep(*sweep_inputs(spark, sf_dir), grid, method="greedy")
+
+
+@query()
+def scaffold_sweep(spark, sf_dir):
+    """Statistics of the scaffolds of 2 * 2 settings."""
+    grid = sweep.grid_rows(spark, {"conf": [0.9], "kmer_size": [11, 12], "size_threshold": [12], "min_overlap": [4], "min_identity": [0.05, 0.1], "max_mismatches": [200]})
+    return sweep.contig_sweep(*sweep_inputs(spark, sf_dir), grid, until="scaffolds")
+
+
+@query()
+def protease_contigs(spark, sf_dir):
+    """Contigs of the predictions of the i most frequent proteases, for every i: how many, and the longest."""
+    rows, _ = sweep_inputs(spark, sf_dir)
+    found = sweep.protease_contigs(rows, D.ranked(rows, "protease"), 12)
+    return found.groupBy("top").agg(F.count(F.lit(1)).alias("n_contigs"), F.max(F.length("seq")).alias("longest"), F.sum(F.length("seq")).alias("letters"))
+
+
+# files
+
+FILES = {
+    "psm_csv": (files.psm_csv, files.SQL_PSM_CSV),
+    "fasta_files": (files.fasta_files, files.SQL_FASTA),
+    "cluster_fasta_files": (files.cluster_fasta_files, files.SQL_CLUSTER_FASTA),
+    "score_files_by_run": (files.score_files_by_run, files.sql_score_files(SQL_CATEGORY.format("run"))),
+    "stats_tables": (files.stats_tables, files.SQL_STATS_TABLES),
+    "missing_stats": (files.missing_stats, "SELECT 's' || s_suppkey AS folder FROM supplier WHERE s_suppkey % 2 = 0"),
+    "stats_json": (files.stats_json, files.sql_stats_json(sql_stats(1))),
+    "sweep_names": (files.sweep_names, files.SQL_SWEEP_NAMES),
+}
+for _name, (_f, _sql) in FILES.items():
+    QUERIES[_name], ORACLES[_name] = _f, _sql
+
+
+# more of the workflow's parts
+
+@query(f"SELECT kmer, protease, count(*) AS n, round(avg(conf), 9) AS conf FROM (SELECT protease, conf, substr(preds, CAST(i AS INT), 5) AS kmer FROM (SELECT c.protease, c.conf, p.preds, unnest(generate_series(1, length(p.preds) - 4)) AS i FROM ({SQL_CLEAN}) c JOIN {V.SQL_PSMS} p USING (row_id) WHERE length(p.preds) >= 5)) GROUP BY 1, 2")
+def kmers_with_metadata(spark, sf_dir):
+    """The 5-mers of the uncleaned predictions, which keep their rows' columns."""
+    rows = G.kmer_rows(cleaned(spark, sf_dir), 5, "preds")
+    return rows.groupBy("kmer", "protease").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("conf"), 9).alias("conf"))
+
+
+@query(f"SELECT row_id, round(conf, 9) AS conf, CAST(row_number() OVER (ORDER BY conf DESC, row_id) AS BIGINT) AS place FROM ({SQL_CLEAN})")
+def psms_by_confidence(spark, sf_dir):
+    """The order in which greedy assembly takes the predictions: Spark sorts by ranges, and numbers each range after those before it."""
+    return D.numbered(R.by_confidence(cleaned(spark, sf_dir), "row_id"), "place").select("row_id", F.round("conf", 9).alias("conf"), "place")
+
+
+@query(f"SELECT id, seq, CAST(row_number() OVER (ORDER BY length(seq) DESC, seq, id) AS BIGINT) AS place FROM {V.SQL_DOCUMENT_PEPTIDES}")
+def documents_by_length(spark, sf_dir):
+    rows = V.document_peptides(spark, sf_dir)
+    return D.numbered(R.by_length(rows, tie="id"), "place").select("id", "seq", "place")
+
+
+@query(f"SELECT CAST(least(floor((conf - 0.2) / 0.02), 40) AS INT) AS bin, count(*) FILTER (WHERE is_mapped) AS mapped, count(*) FILTER (WHERE NOT is_mapped) AS unmapped, count(*) AS n FROM {SQL_FLAGGED} WHERE conf >= 0.2 GROUP BY 1")
+def stacked_histogram(spark, sf_dir):
+    """Mapped and unmapped rows from a confidence of 0.2 on, in bins of 0.02."""
+    return D.stacked_histogram(flagged(spark, sf_dir), "conf", "is_mapped", 0.2)
+
+
+@query(f"SELECT count(*) AS n, count(preds) AS predicted, (SELECT count(*) FROM ({SQL_CLEAN}) WHERE conf > 0.7) AS confident FROM {V.SQL_PSMS}")
+def filter_counts(spark, sf_dir):
+    """How many predictions each step of the preparation leaves."""
+    rows = V.psms(spark, sf_dir)
+    steps = {"predicted": R.clean_psms(rows, V.PROTEASES), "confident": R.over_confidence(cleaned(spark, sf_dir), 0.7)}
+    return R.counted(rows, steps)
+
+
+@query(f"SELECT g.run, count(*) = count(*) FILTER (WHERE s.ass_method = 'dbg') AS all_dbg, bool_and(s.source IN (SELECT source FROM {V.SQL_SCORES} WHERE run = 'bsa')) AS within_bsa FROM (SELECT DISTINCT run FROM {V.SQL_SCORES}) g JOIN {V.SQL_SCORES} s USING (run) GROUP BY g.run")
+def subset_tests(spark, sf_dir):
+    """Of each run: whether its methods are a subset of {dbg}, and its settings one of those of bsa."""
+    rows = V.scores(spark, sf_dir)
+    one = spark.range(1).select(F.lit("dbg").alias("value"))
+    methods = Z.subset_of(rows.select("run", F.col("ass_method").alias("value")), one, "run").withColumnRenamed("within", "all_dbg")
+    bsa = rows.filter("run = 'bsa'").select(F.col("source").alias("value"))
+    return methods.join(Z.subset_of(rows.select("run", F.col("source").alias("value")), bsa, "run").withColumnRenamed("within", "within_bsa"), "run")
+
+
+@query(f'SELECT grp, total_sequences, average_length, min_length, max_length, "N50", "N90", reference_start, reference_end, coverage FROM ({sql_stats(1)})')
+def statistics_without_identity(spark, sf_dir):
+    out = S.assembly_statistics(V.intervals(spark, sf_dir), 600, ["grp"], identity=False)
+    return out.withColumns({c: F.round(c, 9) for c in ("average_length", "coverage")})
 
 
 # the sentences of documents: what grows in proportion to them

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import peptides as P
 from . import schema
 
 FILE = "_metadata.file_path"
@@ -42,6 +43,11 @@ def tables_with_origin(spark: SparkSession, path: str, sep: str = ",", origin: s
     return rows.withColumn(origin, F.regexp_extract(F.col(FILE), pattern, 1))
 
 
+def with_category(rows: DataFrame, run: str = "run") -> DataFrame:
+    """rows with the run's category."""
+    return rows.withColumn("category", P.category(run))
+
+
 def stats_json(spark: SparkSession, path: str, columns: str = schema.ASSEMBLY_STATS) -> DataFrame:
     """A pretty-printed JSON object a file, with source (the configuration's folder), method, sequence_type and run from the path.
 

@@ -28,8 +28,14 @@ def write_fasta(records: DataFrame, path: str, order: str = "n", by: list[str] |
 
 
 def mapped_description() -> Column:
-    """The description of a mapped contig, of its columns (sequence, start, end, mismatches_pos, identity_score)."""
-    return F.format_string("length: %d start: %d end: %d mismatches: %d identity: %.2f", F.length("sequence"), "start", "end", F.size("mismatches_pos"), "identity_score")
+    """The description of a mapped contig, of its columns (sequence, start, end, mismatches_pos, identity_score). Halves are rounded
+    to even."""
+    return F.format_string("length: %d start: %d end: %d mismatches: %d identity: %.2f", F.length("sequence"), "start", "end", F.size("mismatches_pos"), P.rounded_half_even("identity_score", 2))
+
+
+def write_clusters(members: DataFrame, path: str) -> None:
+    """members (cluster, contig): tab-separated, without header."""
+    members.select("cluster", "contig").write.mode("overwrite").csv(path, sep="\t")
 
 
 def write_json(stats: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -1,5 +1,6 @@
 """The engine's operators against hand-derived results and naive forms."""
 
+import random
 from pathlib import Path
 
 import pytest
@@ -158,6 +159,27 @@ def test_scaffolds(spark):
     assert [(r.name, r.description) for r in G.numbered(seqs(spark, "AB", "ABC"), "contig").orderBy("n").collect()] == [("contig_1", "length: 3"), ("contig_2", "length: 2")]
 
 
+@pytest.mark.parametrize("most", [0, 2, 5])
+def test_seeded_places_are_the_places_within_the_limit(spark, most):
+    rng = random.Random(most)
+    proteins = ["".join(rng.choice("ACDE") for _ in range(rng.choice([3, 40, 90]))) for _ in range(5)]
+    seqs = {"A", "CD", "ACDEACDE" * 20, ""}
+    for _ in range(40):
+        p = rng.choice(proteins)
+        a = rng.randrange(len(p))
+        q = list(p[a : a + rng.randrange(1, 20)])
+        for _ in range(rng.randrange(5)):
+            q[rng.randrange(len(q))] = rng.choice("ACDEF")
+        seqs.add("".join(q))
+    s = spark.createDataFrame([(x,) for x in sorted(seqs)], "seq string")
+    p = spark.createDataFrame(list(enumerate(proteins)), "id int, protein string")
+    found = lambda df: sorted((r.seq, r.id, r.start, r.end, tuple(r.mismatches_pos), round(r.identity_score, 9)) for r in df.collect())
+    native = found(M.native_places(s, p))
+    assert found(M.seeded_places(s, p, most)) == [x for x in native if len(x[4]) <= most and x[5] > 0]
+    for seq, i, start, _, wrong, _ in native:
+        assert (start, list(wrong)) == M.best_place(seq, proteins[i])
+
+
 def test_mapping(spark):
     r = M.map_to_protein(seqs(spark, "ABX", "TOOLONGSEQ", "", "QQQ"), "ZABCABY", 1, 0.6).collect()
     assert [(x.sequence, x.start, x.end, x.mismatches_pos, round(x.identity_score, 4)) for x in r] == [("ABX", 1, 4, [2], 0.6667)]
@@ -294,6 +316,44 @@ def test_runs_and_sweep(spark):
     assert found == {"comb_dbg_c0.8_ks6_ts10_mo3_mi0.8_mm10": 1, "comb_dbg_c0.8_ks7_ts10_mo3_mi0.8_mm10": 1, "comb_dbg_c0.99_ks6_ts10_mo3_mi0.8_mm10": 0, "comb_dbg_c0.99_ks7_ts10_mo3_mi0.8_mm10": 0}
 
 
+def test_sweeps_equal_single_assemblies(spark, monkeypatch):
+    """Every setting's contigs as if it were assembled alone, by both methods; a setting that fails has its error, others their rows."""
+    rng = random.Random(2)
+    text = "".join(rng.choice("ACDEFGHKL") for _ in range(90))
+    rows = [(i, text[a : a + 16], 0.8 + (i % 4) / 20) for i, a in enumerate(range(0, 75, 4))] + [(100 + i, "".join(rng.choice("ACDE") for _ in range(12)), 0.97) for i in range(6)]
+    psms = spark.createDataFrame(rows, "row_id long, cleaned_preds string, conf double")
+    limits = {"size_threshold": [5], "min_identity": [0.1], "max_mismatches": [50]}
+    for method, own in (("dbg", {"conf": [0.79, 0.86], "kmer_size": [5], "min_overlap": [3]}), ("greedy", {"conf": [0.86], "min_overlap": [3, 6]})):
+        grid = sweep.grid_rows(spark, {**own, **limits})
+        shared = sweep.SHARED[method]
+        groups = grid.select(*shared).distinct().withColumn("group", F.xxhash64(*shared))
+        found = {}
+        for r in sweep.contigs_of(psms, groups, method).collect():
+            found.setdefault(r.group, set()).add(r.seq)
+        for g in groups.collect():
+            part = R.over_confidence(psms, g.conf)
+            if method == "dbg":
+                alone = G.debruijn_contigs(G.debruijn_edges(G.kmer_rows(part.select(F.col("cleaned_preds").alias("seq")), g.kmer_size)))
+            else:
+                order = part.orderBy(F.col("conf").desc(), "row_id").select(F.monotonically_increasing_id().alias("id"), F.col("cleaned_preds").alias("seq"))
+                alone = G.greedy_contigs(order, g.min_overlap)
+            assert set(column(alone)) == found[g.group]
+        stats = sweep.contig_sweep(psms, text, grid, method=method).collect()
+        assert len(stats) == 2 and all(r.error is None and r.total_sequences for r in stats)
+    real = sweep.contigs_of
+
+    def failing(psms, groups, method):
+        if groups.filter("min_overlap = 6").count():
+            raise RuntimeError("no such assembly")
+        return real(psms, groups, method)
+
+    monkeypatch.setattr(sweep, "contigs_of", failing)
+    for until in ("contigs", "scaffolds"):
+        stats = {(r.conf, r.min_overlap): (r.error, r.total_sequences) for r in sweep.contig_sweep(psms, text, grid, until, "greedy").collect()}
+        assert {k: v[0] for k, v in stats.items() if v[0]} == {(0.86, 6): "no such assembly"}
+        assert all(n > 0 for (_, mo), (_, n) in stats.items() if mo == 3) and stats[0.86, 6][1] == 0
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([("ABCD",), ("ABC",)], "seq string").write.parquet(str(tmp_path / "in"))
     counts = streaming_kmer_counts(spark.readStream.schema("seq string").parquet(str(tmp_path / "in")), 3)

@@ -9,8 +9,12 @@ budget gets a span of its own.
 Template: a window is ``<s>`` and its turns; a turn is ``[INST] role[/INST]text</s>``. In roles and texts, ``~`` becomes ``~0``, the
 ``<`` of ``<s>`` and ``</s>`` becomes ``~1``, the ``[`` of ``[INST]`` and ``[/INST]`` becomes ``~2``; ``unescaped`` turns that back.
 
+The turns are numbered and kept as a table. Spans are chosen from their numbers alone (some 50 bytes a turn); the texts then join
+the windows turn by turn, so no row holds more text than a window's budget and its largest turn, however long a conversation is.
+
 Defined results: null role or text is the empty string; turns are ordered by (turn, role, text), nulls first; repeated rows are
-turns of their own; rows with a null conv_id are one conversation. Extra columns are ignored.
+turns of their own; rows with a null conv_id are one conversation; no rows give no windows. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 #: Tokens that a turn's marks count.
 MARKS = 3
+#: Starts of windows that are gathered before they are put away, so that many windows aren't copied for each new one.
+CHUNK = 1000
 
 
 def escaped(c: Column) -> Column:
@@ -50,31 +56,41 @@ def format_windows(conversations: DataFrame, budget: int = 1024, history: int =
     order = Window.partitionBy("conv_id").orderBy("i")
     turns = turns.withColumns({"end": F.sum("tokens").over(order), "char_end": F.sum(F.length("piece")).over(order)})
     turns = turns.withColumn("begin", F.col("end") - F.col("tokens")).withColumn("char", F.col("char_end") - F.length("piece"))
-    turns = turns.withColumn("back", F.min("i").over(Window.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, 0)))
-    one = F.struct("i", "role", "piece", "begin", "end", "char", "char_end", "back", "head", "body")
+    turns = saved(turns.withColumn("back", F.min("i").over(Window.partitionBy("conv_id").orderBy("begin").rangeBetween(-history, 0))), "chat-turns")
+    one = F.struct("i", (F.col("role") == "system").alias("is_system"), "begin", "end", "char", "char_end", "back")
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
-    system = F.when(F.col("t")[0]["role"] == "system", 1).otherwise(0)
+    system = F.when(F.col("t")[0]["is_system"], 1).otherwise(0)
     whole = whole.withColumn("system", system).withColumn("room", F.lit(budget - history) - F.when(F.col("system") == 1, F.col("t")[0]["end"]).otherwise(0))
 
     def step(a: Column, x: Column) -> Column:
         new = (x["i"] == 0) | ((x["end"] - a["base"] > F.col("room")) & (x["i"] > F.col("system")))
-        return F.struct(F.when(new, F.concat(a["starts"], F.array(x["i"]))).otherwise(a["starts"]).alias("starts"), F.when(new, x["begin"]).otherwise(a["base"]).alias("base"))
+        full = new & (F.size(a["last"]) >= CHUNK)
+        full_chunks = F.when(full, F.concat(a["chunks"], F.array(a["last"]))).otherwise(a["chunks"])
+        last = F.when(full, F.array(x["i"])).when(new, F.concat(a["last"], F.array(x["i"]))).otherwise(a["last"])
+        return F.struct(full_chunks.alias("chunks"), last.alias("last"), F.when(new, x["begin"]).otherwise(a["base"]).alias("base"))
 
-    first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("base"))
-    whole = whole.withColumn("starts", F.aggregate("t", first, step)["starts"])
+    first = F.struct(F.array().cast("array<array<int>>").alias("chunks"), F.array().cast("array<int>").alias("last"), F.lit(0).cast("long").alias("base"))
+    chosen = F.aggregate("t", first, step, lambda a: F.flatten(F.concat(a["chunks"], F.array(a["last"]))))
+    whole = whole.withColumn("starts", chosen)
 
     def window(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("t"))
+        stop = F.coalesce(F.get(F.col("starts"), k + 1), F.size("t"))
         again = F.when(k == 0, 0).otherwise(F.col("system"))  # the system turn, repeated
         back = F.when(k == 0, 0).otherwise(F.least(start, F.greatest(F.get("t", start)["back"], F.col("system"))))
-        own = F.slice("t", back + 1, end - back)
         lead = F.length(F.lit("<s>")) + F.when(again == 1, F.col("t")[0]["char_end"]).otherwise(0) - F.get("t", back)["char"]
-        text = F.concat(F.lit("<s>"), F.when(again == 1, F.col("t")[0]["piece"]).otherwise(""), F.array_join(F.transform(own, lambda x: x["piece"]), ""))
-        loss = F.transform(F.filter(own, lambda x: (x["i"] >= start) & (x["role"] == "assistant")), lambda x: F.struct((lead + x["char"] + x["head"]).cast("long").alias("first"), x["body"].cast("long").alias("n")))
-        used = F.when(again == 1, F.col("t")[0]["end"]).otherwise(0) + F.get("t", end - 1)["end"] - F.get("t", back)["begin"]
-        return F.struct(k.alias("window"), text.alias("text"), (again + start - back).alias("n_repeated"), loss.alias("loss"), used.alias("n_tokens"))
-
-    return whole.select("conv_id", F.inline(F.transform("starts", window)))
+        used = F.when(again == 1, F.col("t")[0]["end"]).otherwise(0) + F.get("t", stop - 1)["end"] - F.get("t", back)["begin"]
+        return F.struct(k.alias("window"), start.alias("start"), stop.alias("stop"), back.alias("back"), again.alias("again"), lead.alias("lead"), used.alias("n_tokens"))
+
+    spans = whole.select("conv_id", F.inline(F.transform("starts", window)))
+    own = F.concat(F.when(F.col("again") == 1, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.sequence("back", F.col("stop") - 1))
+    held = spans.withColumn("i", F.explode(own)).alias("s").join(turns.alias("t"), F.expr("s.conv_id <=> t.conv_id AND s.i = t.i"))
+    piece = F.struct(F.col("s.i").alias("i"), "piece", (F.col("role") == "assistant").alias("said"), "char", "head", "body")
+    once = [F.first(f"s.{c}").alias(c) for c in ("start", "back", "again", "lead", "n_tokens")]
+    windows = held.groupBy("s.conv_id", "s.window").agg(F.array_sort(F.collect_list(piece)).alias("p"), *once)
+    text = F.concat(F.lit("<s>"), F.array_join(F.transform("p", lambda x: x["piece"]), ""))
+    targets = F.filter("p", lambda x: (x["i"] >= F.col("start")) & x["said"])
+    loss = F.transform(targets, lambda x: F.struct((F.col("lead") + x["char"] + x["head"]).cast("long").alias("first"), x["body"].cast("long").alias("n")))
+    return windows.select("conv_id", "window", text.alias("text"), (F.col("again") + F.col("start") - F.col("back")).alias("n_repeated"), loss.alias("loss"), "n_tokens")
 
 
 def read_back(windows: DataFrame) -> DataFrame:

@@ -91,6 +91,16 @@ def chat_format_turn(piece):
     return plain(role), plain(text)
 
 
+def test_a_long_conversation_is_many_rows(spark, monkeypatch):
+    """Starts put away in chunks give the same windows; no row holds more than its window."""
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn number {i} of many") for i in range(400)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("start", F.lit("x")).withColumn("piece", F.lit(1))
+    whole = sorted(map(tuple, chat_format.format_windows(df, 60, 20).collect()))
+    monkeypatch.setattr(chat_format, "CHUNK", 3)
+    assert sorted(map(tuple, chat_format.format_windows(df, 60, 20).collect())) == whole and len(whole) > 50
+    assert max(len(w[2]) for w in whole) < 60 * 30
+
+
 def test_chat_query(spark, tmp_path):
     rows, df = conversations(spark)
     df.drop("window", "t").write.parquet(str(tmp_path / "conversations.parquet"))

@@ -25,8 +25,8 @@ def kmer_counts(kmers: DataFrame) -> DataFrame:
 
 
 def debruijn_edges(kmers: DataFrame) -> DataFrame:
-    """The distinct edges (src, dst) from each k-mer's beginning to its end."""
-    return kmers.select(F.left("kmer", F.length("kmer") - 1).alias("src"), F.substr("kmer", F.lit(2)).alias("dst")).distinct()
+    """The distinct edges (src, dst) from each k-mer's beginning to its end: one for each distinct k-mer."""
+    return kmers.select("kmer").distinct().select(F.left("kmer", F.length("kmer") - 1).alias("src"), F.substr("kmer", F.lit(2)).alias("dst"))
 
 
 #: Stands between a group and a node's letters.
@@ -37,8 +37,8 @@ def grouped_edges(kmers: DataFrame, group: str) -> DataFrame:
     """The edges of many graphs at once: nodes bear their group before their letters, so no path leads from one graph to another, and
     every contig bears its group."""
     head = F.concat(F.col(group).cast("string"), F.lit(MARK))
-    own = kmers.select(F.concat(head, F.left("kmer", F.length("kmer") - 1)).alias("src"), F.concat(head, F.substr("kmer", F.lit(2))).alias("dst"))
-    return own.distinct()
+    own = kmers.select(group, "kmer").distinct()
+    return own.select(F.concat(head, F.left("kmer", F.length("kmer") - 1)).alias("src"), F.concat(head, F.substr("kmer", F.lit(2))).alias("dst"))
 
 
 def by_group(contigs: DataFrame, group: str, kind: str = "long") -> DataFrame:
@@ -55,6 +55,13 @@ def end_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
+def graph_ends(edges: DataFrame) -> DataFrame:
+    """(node, kind): the start and end nodes, by one aggregation."""
+    sides = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("leaves")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("leaves")))))
+    both = sides.groupBy("node").agg(F.bool_or("leaves").alias("left"), F.bool_and("leaves").alias("only_left"))
+    return both.filter("only_left OR NOT left").select("node", F.when(F.col("only_left"), "start").otherwise("end").alias("kind"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, n_in, n_out)."""
     out = edges.select(F.col("src").alias("node"), F.lit(0).alias("i"), F.lit(1).alias("o"))

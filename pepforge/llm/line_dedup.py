@@ -228,7 +228,7 @@ class LineIndex:
 
     min_chars: shorter keys are never dropped. min_docs: documents from which a key is frequent. keys_per_shard: bounds a filter;
     salts: parts into which the rows of a key are dealt for the exact lookup, and the rows of a shard at least for its filter;
-    folders: into how many the logs are divided.
+    folders: into how many the logs are divided. A change deletes the tables that it replaces, so write what apply gave before the next.
     """
 
     def __init__(self, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 200_000, salts: int = 16, folders: int = 64):

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pepforge.llm import chat_format, flow, hamming_search, html_extract, mixing
+from pepforge.llm import chat_format, flow, hamming_search, html_extract, mixing, quality
 
 
 def search_by_hand(rows, queries, k, bits):
@@ -341,3 +341,35 @@ def test_pipeline(spark, documents, tmp_path):
     assert set(held["mixing"]) == set(held["decontamination"]) and sum(r.taken for r in held["mixing"].values()) == pytest.approx(1.5 * sum(r.size for r in held["mixing"].values()), abs=4)
     run = {r.doc_id: r.taken for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert run == {d: r.taken for d, r in held["mixing"].items()}
+
+
+def pipeline_tables(spark, documents, folder, rows):
+    docs = documents(rows, extra=True).drop("SCORE")
+    for c in ("score", "size", "Taken", "sources", "n_lines", "stays", "contaminated"):
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 0)] if rows else [], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "one two three")] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+@pytest.mark.parametrize("rows", [[], [(1, "a text"), (2, None, None), (2, "another text of doc 2"), (None, "", "b"), (3, "", "b")]], ids=["empty", "edges"])
+def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, documents, tmp_path, rows):
+    docs = pipeline_tables(spark, documents, str(tmp_path), rows)
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(spark, docs, str(tmp_path))
+        assert done.count() == len(rows)
+        if name == "mixing":  # replaces the columns that it makes
+            assert done.columns == [c for c in docs.columns if c not in ("size", "Taken")] + ["size", "source_size", "target", "taken"]
+        else:
+            assert done.columns == docs.columns
+        own = [c for c in docs.columns if c not in ("text", "n_chars", "size", "Taken", "n_lines", "SCORE") or name == "decontamination"]
+        held = lambda df: sorted(str([r[c] for c in own if c in r]) for r in df.select(*[c for c in own if c in df.columns]).collect())  # noqa: E731, B023
+        assert name == "mixing" or held(done) == held(docs)
+
+
+def test_quality_without_documents(documents, spark):
+    none = spark.createDataFrame([], "doc_id long, rating int")
+    for rows in ([], [(1, "text"), (2, None)]):
+        scored = quality.fit(documents(rows), none).score(documents(rows, extra=True), 1)
+        assert [(r.expected_grade, r.tail_probability) for r in scored.collect()] == [(0.0, 0.0)] * len(rows)

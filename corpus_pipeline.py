@@ -2,7 +2,8 @@
 
 All but the last return the columns of documents. Each decision takes effect: toxic documents go, repeated lines go from the texts
 (n_chars follows), one document of each near-duplicate group stays, contaminated documents go, and the mix tells the words to take
-of each document that is left. Nulls, empty texts, ties and repeated rows: as the operators' docstrings define.
+of each document that is left. Nulls, empty texts, ties, repeated rows and empty tables: as the operators' docstrings define. Further
+columns of documents, whatever their names, pass through all stages, but mixing replaces size, source_size, target and taken.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pepforge.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
-from pepforge.llm.common import saved, table
+from pepforge.llm.common import fresh, saved, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +21,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(docs).select(*docs.columns)
+    made = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]  # the input's own, which the operator would replace
+    aside = dict(zip(made, fresh(docs, *[f"own_{c}" for c in made]), strict=True))
+    done = line_dedup.dedup_lines(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -363,7 +363,7 @@ def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, documents, tm
             assert done.columns == [c for c in docs.columns if c not in ("size", "Taken")] + ["size", "source_size", "target", "taken"]
         else:
             assert done.columns == docs.columns
-        own = [c for c in docs.columns if c not in ("text", "n_chars", "size", "Taken", "n_lines", "SCORE") or name == "decontamination"]
+        own = [c for c in docs.columns if c not in ("text", "n_chars", "size", "Taken", "SCORE") or name == "decontamination"]
         held = lambda df: sorted(str([r[c] for c in own if c in r]) for r in df.select(*[c for c in own if c in df.columns]).collect())  # noqa: E731, B023
         assert name == "mixing" or held(done) == held(docs)
 

@@ -55,11 +55,15 @@ def end_nodes(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("node")).distinct().join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
 
 
-def graph_ends(edges: DataFrame) -> DataFrame:
-    """(node, kind): the start and end nodes, by one aggregation."""
-    sides = edges.select(F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("leaves")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("leaves")))))
-    both = sides.groupBy("node").agg(F.bool_or("leaves").alias("left"), F.bool_and("leaves").alias("only_left"))
-    return both.filter("only_left OR NOT left").select("node", F.when(F.col("only_left"), "start").otherwise("end").alias("kind"))
+def graph_ends(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(node, kind): the start and end nodes of the sequences' De Bruijn graph, without its edges.
+
+    A node of k - 1 letters is left by an edge wherever a letter follows it in a sequence, and entered wherever one precedes it. So
+    one aggregation of the nodes' places tells both.
+    """
+    nodes = seqs.filter(F.length(seq) >= k).select((F.length(seq) - k + 1).alias("last"), F.posexplode(P.kmers(seq, k - 1)).alias("at", "node"))
+    sides = nodes.groupBy("node").agg(F.bool_or(F.col("at") < F.col("last")).alias("left"), F.bool_or(F.col("at") > 0).alias("entered"))
+    return sides.filter(F.col("left") != F.col("entered")).select("node", F.when(F.col("left"), "start").otherwise("end").alias("kind"))
 
 
 def degrees(edges: DataFrame) -> DataFrame:

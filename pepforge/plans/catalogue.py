@@ -102,7 +102,7 @@ SQL_EDGES = "(SELECT DISTINCT left(kmer, 7) AS src, substr(kmer, 2) AS dst FROM
 SELECT DISTINCT src AS node, 'start' AS kind FROM e WHERE src NOT IN (SELECT dst FROM e) UNION ALL SELECT DISTINCT dst, 'end' FROM e WHERE dst NOT IN (SELECT src FROM e)""")
 def assembly_graph_ends(spark, sf_dir, least=12):
     """Which 7-mers start and end the De Bruijn graph of the documents' sentences of at least so many letters."""
-    return G.graph_ends(G.debruijn_edges(G.kmer_rows(V.sentences(spark, sf_dir, "documents", "doc_id", least), 8)))
+    return G.graph_ends(V.sentences(spark, sf_dir, "documents", "doc_id", least), 8)
 
 
 @query(f"SELECT substr(seq, i, 4) AS kmer, count(*) AS n FROM (SELECT seq, unnest(generate_series(1, length(seq) - 3)) AS i FROM (SELECT {V.SQL_LETTERS.format('text')} AS seq FROM documents) WHERE length(seq) >= 4) GROUP BY 1")

@@ -159,6 +159,14 @@ def test_scaffolds(spark):
     assert [(r.name, r.description) for r in G.numbered(seqs(spark, "AB", "ABC"), "contig").orderBy("n").collect()] == [("contig_1", "length: 3"), ("contig_2", "length: 2")]
 
 
+def test_graph_ends_are_those_of_the_edges(spark):
+    rng = random.Random(3)
+    own = seqs(spark, *["".join(rng.choice("ACDEF") for _ in range(rng.randrange(9))) for _ in range(30)])
+    edges = G.debruijn_edges(G.kmer_rows(own, 4))
+    want = {(n, "start") for n in column(G.start_nodes(edges), "node")} | {(n, "end") for n in column(G.end_nodes(edges), "node")}
+    assert {(r.node, r.kind) for r in G.graph_ends(own, 4).collect()} == want and len(want) > 5
+
+
 @pytest.mark.parametrize("most", [0, 2, 5])
 def test_seeded_places_are_the_places_within_the_limit(spark, most):
     rng = random.Random(most)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pepforge.store import kept as saved
 from pepforge.store import shared_dir, unsaved
 
-__all__ = ["ASCII_SPACE", "fresh", "saved", "shared_dir", "small_batches", "table", "unsaved"]
+__all__ = ["ASCII_SPACE", "fresh", "quoted", "saved", "shared_dir", "small_batches", "table", "unsaved"]
 
 #: The characters of [\x20\x09-\x0D]; bytes.split() and bytes.strip() use the same set.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
@@ -39,3 +39,8 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         held.add(name.lower())
         out.append(name)
     return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as select() and col() take it, whatever characters it holds."""
+    return f"`{name.replace('`', '``')}`"

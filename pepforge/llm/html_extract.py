@@ -3,14 +3,16 @@
 A page is split into blocks of text at block-level tags. A logistic classifier of each block's text and structure (length, links, marks,
 tag, what stands beside it) gives the log-odds of being content; they become the capacities of its terminal edges (what it costs to
 label it otherwise). Smoothness edges join adjacent blocks and blocks that follow each other in one container, the stronger the nearer
-they are in the DOM. Containers that tell what they hold (``article`` against ``nav``, ``footer``, ... or telling class names) are
-seeds, which add to the terminal edges of their blocks. The minimum cut, found by maximum flow, is the labelling of least total cost;
-blocks on the content side are the main text, in page order. A container that is named like a side part, but holds most of the page and
-its heading, is a frame and no seed.
+they are in the DOM. The minimum cut, found by maximum flow, is the labelling of least total cost; blocks on the content side are the
+main text, in page order.
 
-The classifier never sees the seeds. It is trained by numpy on a sample: at most ``max_blocks`` blocks of each of at most ``max_pages``
-pages, chosen by a hash of page_id, whose containers are seeds; these are the labels. So on a page without telling containers, text,
-structure and the cut decide alone.
+Containers that tell what they hold (``article`` against ``nav``, ``footer``, ... or telling class names) are two features among the
+others, whose weights are learned like theirs; nothing but the classifier's log-odds goes into the terminal edges. A container that is
+named like a side part, but holds most of the page and its heading, is a frame and tells nothing.
+
+The classifier is trained by numpy on a sample: at most ``max_blocks`` blocks of each of at most ``max_pages`` pages, chosen by a hash of
+page_id, whose containers tell; these are the labels. Each block of the sample is learned twice, once with the two features blank, so
+that text and structure are learned for themselves: on a page without telling containers they decide alone.
 
 Blocks without visible text are none; scripts, styles, templates, comments, form fields and hidden elements have no text. Only what
 holds no markup (scripts, styles, titles, text areas, frames, noscript) reaches to the end of the page if it isn't closed. Buttons,
@@ -56,11 +58,13 @@ BAD_TAGS = frozenset("nav footer aside form menu dialog head".split())
 BAD_NAMES = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|breadcrumbs?|foot|footer|header|masthead|topbar|toolbar|side|sidebar|aside|rail|widgets?|cookies?|consent|gdpr|notice|notification|alert|banner|popup|modal|overlay|ads?|advert|adverts|advertisement|adbox|sponsor|sponsored|promo|promotion|comments?|commentlist|disqus|respond|replies|reply|share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|form|pagination|pager|tags|meta|legal|copyright|skip|contentinfo|complementary|search|hidden|sr-only|visually-hidden)(?:$|[\s_-])|adsbygoogle|cookie|comment|advert|sponsor|newsletter|sidebar|navbar|footer", re.I)
 GOOD_NAMES = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-body|main|content|main-content|post|post-body|entry|entry-content|story|story-body|body|text|page-content)(?:$|[\s_-])|articleBody", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-N_FEATURES = 12
+N_FEATURES = 14
+#: How much a telling container counts against the other features, all of which are around 1.
+TELLING = 3.0
 #: Costs of labelling adjacent blocks differently, and those that follow each other in one container.
 NEIGHBOURS, SIBLINGS = 1.0, 1.5
-#: The most that the classifier's log-odds count, so that no block outweighs all others; what a seed adds.
-MOST_COST, SEED = 4.0, 12.0
+#: The most that the classifier's log-odds count, so that no block outweighs all others.
+MOST_COST = 4.0
 #: The share of a page's text from which a container is a frame rather than a part.
 FRAME = 0.9
 
@@ -216,7 +220,7 @@ def parsed(html: str, short: Set[int], frames: Set[int] = frozenset()) -> tuple[
 
 
 def features(blocks: list[Block]) -> np.ndarray:
-    """By block: what its text, its tag and the blocks beside it say."""
+    """By block: what its text, its tag, the blocks beside it and its container say."""
     x = np.zeros((len(blocks), N_FEATURES))
     for i, b in enumerate(blocks):
         n = len(b.text)
@@ -224,7 +228,9 @@ def features(blocks: list[Block]) -> np.ndarray:
         x[i, :8] = (b.n_link / n, np.log1p(words) / 4, words < 5, b.tag == "p", b.tag in HEADINGS, b.tag in ("li", "td", "a"), b.text[-1] in ".!?:…", sum(map(b.text.count, ",.;")) / words)
     x[1:, 8], x[:-1, 9] = x[:-1, 1], x[1:, 1]  # how long the blocks before and after are
     x[1:, 10] = x[:-1, 0]
-    x[:, 11] = 1
+    x[:, 11] = [TELLING * (b.hint > 0) for b in blocks]
+    x[:, 12] = [TELLING * (b.hint < 0) for b in blocks]
+    x[:, 13] = 1
     return x
 
 
@@ -240,16 +246,18 @@ def trained(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.1, r
 
 
 def examples(html: str | None, max_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most max_blocks blocks whose containers are seeds, evenly over the page."""
+    """At most max_blocks features and labels of blocks whose containers tell, evenly over the page; each once so, once as if they didn't."""
     blocks = blocks_of(html)
     x = features(blocks)
     known = np.flatnonzero([b.hint for b in blocks])
-    known = known[np.linspace(0, len(known) - 1, min(len(known), max_blocks)).astype(int)] if len(known) else known
-    return x[known], np.array([blocks[i].hint > 0 for i in known], float)
+    known = known[np.linspace(0, len(known) - 1, min(len(known), max_blocks // 2)).astype(int)] if len(known) else known
+    seen, blank = x[known], x[known]
+    blank[:, 11:13] = 0
+    return np.concatenate([seen, blank]), np.array([blocks[i].hint > 0 for i in known] * 2, float)
 
 
 def fit(pages: DataFrame, max_pages: int = 1500, max_blocks: int = 200, seed: int = 5) -> np.ndarray:
-    """The classifier's weights; without examples of both kinds, none (then seeds and the cut decide)."""
+    """The classifier's weights; without examples of both kinds, none (then nothing is content)."""
     small_batches(pages.sparkSession)
     chosen = pages.select("page_id").filter("page_id IS NOT NULL").distinct().orderBy(F.xxhash64(F.col("page_id"), F.lit(seed)), "page_id").limit(max_pages)
 
@@ -274,7 +282,7 @@ def block_costs(blocks: list[Block], weights: np.ndarray) -> np.ndarray:
 
 def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """Which blocks are content."""
-    cost = (block_costs(blocks, weights) + SEED * np.array([b.hint for b in blocks])).tolist()
+    cost = block_costs(blocks, weights).tolist()
     n = len(blocks)
     net = Network(n + 2)
     last: dict[int, int] = {}

@@ -373,3 +373,11 @@ def test_quality_without_documents(documents, spark):
     for rows in ([], [(1, "text"), (2, None)]):
         scored = quality.fit(documents(rows), none).score(documents(rows, extra=True), 1)
         assert [(r.expected_grade, r.tail_probability) for r in scored.collect()] == [(0.0, 0.0)] * len(rows)
+
+
+def test_classifier_and_cut_decide(page_weights):
+    """No container decides by itself: with the weights turned round, the labels are, too."""
+    blocks = html_extract.blocks_of(PAGE)
+    content = html_extract.labelled(blocks, page_weights)
+    assert " ".join(b.text for b, good in zip(blocks, content, strict=True) if good) == MAIN
+    assert html_extract.labelled(blocks, -page_weights) != content and not any(html_extract.labelled(blocks, 0 * page_weights))

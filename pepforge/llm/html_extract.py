@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table
+from .common import fresh, quoted, small_batches, table
 from .flow import Network
 
 #: Comments, tags with their attributes (a value without quotes may hold quotes, a quote that nothing closes is a letter), declarations.
@@ -314,7 +314,7 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
         return column.map(lambda h: main_text(h, weights), na_action=None).astype(object)
 
     (new,) = fresh(pages, "main_text")
-    keep = [c for c in pages.columns if c.lower() not in ("text", "n_chars")]
+    keep = [quoted(c) for c in pages.columns if c.lower() not in ("text", "n_chars")]
     found = pages.withColumn(new, run(F.col("html").cast("string")))
     return found.select(*keep, F.col(new).alias("text"), F.length(new).cast("long").alias("n_chars"))
 

@@ -2,20 +2,20 @@
 
 Templates are cut into words; the hashes of their ``K``-word runs are winnowed (of each ``WINDOW`` consecutive ones the smallest is
 kept), and the kept ones make an inverted index from fingerprint to (template, place). A document is winnowed alike. So any run of
-``K + WINDOW - 1`` words that a document shares with a template gives a common fingerprint. Those on nearby diagonals (place in the
-document less place in the template) make a candidate; a banded alignment of the template around it tells which of its words match
-in order, allowing words that are put in, left out or changed. It reports the matched share of the template's words (coverage) and
-the span of words in the document. Matches of at least ``coverage`` are kept; of those of one template that overlap, the one
-with the largest coverage.
+``K + WINDOW - 1`` words that a document shares with a template gives a common fingerprint. A template too short for the coverage to
+force such a run is winnowed more finely: runs of one word, windows of one; its postings are in the same index. A hit's diagonal is its
+place in the document less that in the template. A candidate is a stretch of diagonals that a band can hold, with as many hits as a
+match must leave there: one run, or as many single words as the coverage asks for. A banded alignment of the template along it tells
+which of its words match in order, allowing words that are put in, left out or changed; the candidates of one template are aligned
+together. It reports the matched share of the template's words (coverage) and the span of words in the document. Matches of at least
+``coverage`` are kept; of those of one template that overlap, the one with the largest coverage.
 
 The index holds the templates only, so its size is fixed; a Python worker makes it once. Documents are scanned whole, each by itself;
-nothing is shuffled.
+nothing is shuffled. No match is reported but from a candidate of the index.
 
 What is found: if words of a template are changed or left out for others, a match of that coverage has a run that long wherever the
-template's length forces it (from 16 words on, at a coverage of 0.8), so every such match is found. Shorter templates have single words
-as their fingerprints, with postings of their own: a candidate is any stretch of the document that a band can hold with as many of
-their words as the coverage asks for, so words put in between lose no match either. Words put into a longer one can break up all of
-its runs; such a match may be lost.
+template's length forces it, so every such match is found. In a short one, words put in between lose no match either, as far as the band
+reaches. Words put into a longer one can break up all of its runs; such a match may be lost.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. Defined results: null and empty texts have no match; repeated
 rows are scanned each by itself; templates without words match nothing; an empty table gives an empty result. Other columns pass
@@ -25,7 +25,7 @@ through ``scan`` unchanged, but one named matches, in any case, is replaced.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from bisect import bisect_left
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import quoted, small_batches, table
 from .decontamination import words_of
 
 #: Notices and permission texts of well-known licenses, by SPDX-like names.
@@ -63,7 +63,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "Proprietary": ("All rights reserved.", "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited."),
 }
 K, WINDOW = 3, 2
-#: Templates of fewer words have single words as their fingerprints, and so have those on which the coverage forces no longer run.
+#: Templates of fewer words are winnowed word by word, and so are those on which the coverage forces no longer run.
 SHORT = 16
 #: Diagonals to either side that an alignment may take; the share of the template's words adds to it.
 BAND, BAND_SHARE = 2, 0.1
@@ -90,12 +90,14 @@ def runs(words: np.ndarray, k: int = K) -> np.ndarray:
     return np.where(known, h >> np.uint64(1), NONE)
 
 
-def winnow(h: np.ndarray) -> np.ndarray:
-    """The places of the smallest hash of each WINDOW consecutive ones."""
+def winnow(h: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """The places of the smallest hash of each window consecutive ones."""
+    if window == 1:
+        return np.flatnonzero(h != NONE)
     if not len(h):
         return np.zeros(0, np.int64)
-    padded = np.concatenate([h, np.full(max(0, WINDOW - len(h)), NONE)])
-    best = np.unique(np.lib.stride_tricks.sliding_window_view(padded, WINDOW).argmin(axis=1) + np.arange(len(padded) - WINDOW + 1))
+    padded = np.concatenate([h, np.full(max(0, window - len(h)), NONE)])
+    best = np.unique(np.lib.stride_tricks.sliding_window_view(padded, window).argmin(axis=1) + np.arange(len(padded) - window + 1))
     return best[padded[best] != NONE]
 
 
@@ -108,104 +110,138 @@ class Index:
                 if own:
                     self.names.append(name)
                     self.texts.append(np.array(own, np.int64))
-        self.postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: list[int] = []  # templates whose fingerprints are their words
-        self.holds = np.zeros((len(self.texts), len(self.word) + 1), bool)  # which template holds a word; the last: none does
-        for i, t in enumerate(self.texts):
-            if len(t) < SHORT or forced_run(len(t), coverage) < K + WINDOW - 1:
-                self.short.append(i)
-                self.holds[i, t] = True
-                continue
-            h = runs(t)
-            for place in winnow(h).tolist():
-                self.postings[int(h[place])].append((i, place))
-        self.in_short = self.holds.any(axis=0)
         self.coverage = coverage
-
-    def candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(template, least and largest diagonal) of common fingerprints that a band holds together."""
-        diagonals: dict[int, list[int]] = defaultdict(list)
-        h = runs(words)
-        for place in winnow(h).tolist():
-            for i, own in self.postings.get(int(h[place]), ()):
-                diagonals[i].append(place - own)
+        # by template: the length of its runs and windows, the fewest hits of a match, and the diagonals a candidate spans
+        self.grain, self.least, self.span = [], [], []
+        found: dict[tuple[int, int], list[np.ndarray]] = {(1, 1): [], (K, WINDOW): []}
+        for i, t in enumerate(self.texts):
+            need = max(1, math.ceil(coverage * len(t) - 1e-9))
+            fine = len(t) < SHORT or forced_run(len(t), coverage) < K + WINDOW - 1
+            self.grain.append((1, 1) if fine else (K, WINDOW))
+            self.least.append(need if fine else 1)
+            self.span.append(len(t) - need + 2 * self.band(i) if fine else self.band(i))
+            h = runs(t, self.grain[i][0])
+            own = winnow(h, self.grain[i][1])
+            found[self.grain[i]].append(np.stack([h[own], np.full(len(own), i, np.uint64), own.astype(np.uint64)], axis=1))
+        self.short = [i for i, g in enumerate(self.grain) if g == (1, 1)]
+        # the inverted index: fingerprints in order, each with its template and place
+        self.postings = {}
+        for grain, rows in found.items():
+            rows = np.concatenate([np.zeros((0, 3), np.uint64), *rows])
+            self.postings[grain] = rows[np.argsort(rows[:, 0], kind="stable")]
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, diagonal) of all common fingerprints, in this order."""
+        template, diagonal = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for (k, window), rows in self.postings.items():
+            h = runs(words, k)
+            place = winnow(h, window)
+            first, end = (np.searchsorted(rows[:, 0], h[place], side=side) for side in ("left", "right"))
+            n = end - first
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)
+            template.append(rows[at, 1].astype(np.int64))
+            diagonal.append(np.repeat(place, n) - rows[at, 2].astype(np.int64))
+        t, d = np.concatenate(template), np.concatenate(diagonal)
+        order = np.lexsort((d, t))
+        return t[order], d[order]
+
+    def candidates(self, words: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(template, least diagonals, largest diagonals) of stretches with enough hits."""
+        template, diagonal = self.hits(words)
         out = []
-        for i, found in diagonals.items():
-            found.sort()
-            first = last = found[0]
-            for d in found[1:]:
-                if d > last + self.band(i):
-                    out.append((i, first, last))
-                    first = d
-                last = d
-            out.append((i, first, last))
-        return out + self.short_candidates(words)
+        cuts = np.flatnonzero(np.diff(template, prepend=-1, append=-1))
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            i, own = int(template[a]), diagonal[a:z]
+            if self.grain[i] == (1, 1):
+                # every diagonal from which on there are enough words
+                first = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+                low = own[first]
+                enough = np.searchsorted(own, low + self.span[i], side="right") - first >= self.least[i]
+                if enough.any():
+                    out.append((i, low[enough], low[enough] + self.span[i]))
+            else:
+                # runs on diagonals close to each other are one candidate
+                first = np.flatnonzero(np.diff(own, prepend=own[0] - self.span[i] - 1) > self.span[i])
+                last = np.append(first[1:], len(own)) - 1
+                out.append((i, own[first] - self.band(i), own[last] + self.band(i)))
+        return out
 
     def short_candidates(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """Those of short templates: stretches with enough of a template's words, and enough different ones."""
-        known = np.flatnonzero(self.in_short[words])
-        out = []
-        for i in self.short if len(known) else ():
-            n, room = len(self.texts[i]), 2 * self.band(i)
-            need = max(1, math.ceil(self.coverage * n - 1e-9))
-            at = known[self.holds[i][words[known]]]
-            if len(at) < need:
-                continue
-            different = len(set(self.texts[i].tolist())) - (n - need)
-            for k in np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] < n + room).tolist():
-                first = int(at[k])
-                within = words[at[k : np.searchsorted(at, first + n + room)]]
-                if len(set(within.tolist())) >= different:
-                    out.append((i, first - (n - need), first))
-        return out
+        """The candidates of templates that are winnowed word by word, one by one."""
+        return [(i, int(a), int(z)) for i, low, high in self.candidates(words) if i in self.short for a, z in zip(low, high, strict=True)]
 
     def band(self, template: int) -> int:
         return BAND + int(BAND_SHARE * len(self.texts[template]))
 
     def scan(self, words: np.ndarray, coverage: float) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first, last) in the order of the document's words."""
-        found: dict[int, list[tuple[float, int, int]]] = defaultdict(list)
-        for i, low, high in self.candidates(words):
-            n, first, last = aligned(self.texts[i], words, low - self.band(i), high + self.band(i))
-            if n and n >= coverage * len(self.texts[i]):
-                found[i].append((n / len(self.texts[i]), first, last))
         out = []
-        for i, own in found.items():
-            taken: list[tuple[int, int]] = []
-            for share, first, last in sorted(own, key=lambda x: (-x[0], x[1])):
-                if all(last < a or first > z for a, z in taken):
-                    taken.append((first, last))
-                    out.append((self.names[i], share, first, last))
+        for i, low, high in self.candidates(words):
+            found = {(int(n), int(a), int(z)) for n, a, z in zip(*aligned_all(self.texts[i], words, low, high), strict=True) if n and n >= coverage * len(self.texts[i])}
+            starts: list[int] = []  # of the spans taken, which lie apart, in order
+            ends: list[int] = []
+            for n, first, last in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+                at = bisect_left(starts, first)
+                if (at == 0 or ends[at - 1] < first) and (at == len(starts) or starts[at] > last):
+                    starts.insert(at, first)
+                    ends.insert(at, last)
+                    out.append((self.names[i], n / len(self.texts[i]), first, last))
         return sorted(out, key=lambda x: (x[2], x[3], x[0], -x[1]))
 
 
 def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
-    """The most template words that match in order on the diagonals from low to high, and their first and last place; among equal
-    ones the shortest span, so that a word far off isn't taken for one near."""
-    width = high - low + 1
-    best = np.zeros(width, np.int64)  # matches so far, by diagonal
-    start = np.full(width, -1, np.int64)
-    top = (0, -1, -1)
+    """aligned_all() for one candidate."""
+    n, first, last = aligned_all(template, words, np.array([low]), np.array([high]))
+    return int(n[0]), int(first[0]), int(last[0])
+
+
+def aligned_all(template: np.ndarray, words: np.ndarray, lows: np.ndarray, highs: np.ndarray, cells: int = 500_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each candidate the most template words that match in order on its diagonals from low to high, and their first and last place;
+    among equal ones the shortest span, so that a word far off isn't taken for one near. So many candidates at once as make up
+    cells."""
+    found = [np.zeros((3, 0), np.int64)]
+    by_width = np.argsort(highs - lows, kind="stable")
+    at_once = max(1, cells // int((highs - lows).max() + 1)) if len(lows) else 1
+    for k in range(0, len(lows), at_once):
+        own = by_width[k : k + at_once]
+        found.append(band_alignment(template, words, lows[own], highs[own]))
+    out = np.empty((3, len(lows)), np.int64)
+    out[:, by_width] = np.concatenate(found, axis=1)
+    return out[0], out[1], out[2]
+
+
+def band_alignment(template: np.ndarray, words: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> np.ndarray:
+    count, width = len(lows), int((highs - lows).max()) + 1
     at = np.arange(width)
+    beyond = at[None, :] > (highs - lows)[:, None]
+    best = np.zeros((count, width), np.int64)  # matches so far, by diagonal
+    start = np.full((count, width), -1, np.int64)
+    top = np.full((3, count), -1, np.int64)
+    top[0] = 0
+    rows = np.arange(count)
+    far = len(words) + 1
     for i, w in enumerate(template):
-        place = low + at + i
-        inside = (place >= 0) & (place < len(words))
-        same = np.zeros(width, bool)
-        same[inside] = words[place[inside]] == w
+        place = lows[:, None] + at + i
+        inside = (place >= 0) & (place < len(words)) & ~beyond
+        same = inside & (words[np.where(inside, place, 0)] == w) if len(words) else inside
         # what comes before: diagonals up to this one at the previous template word, or a word left out of the document
-        lead = np.maximum.accumulate(best * width + at) % width
-        moved, from_start = best[lead], start[lead]
-        new, new_start = moved.copy(), from_start.copy()
-        new[same] = moved[same] + 1
-        fresh = same & (new_start < 0)
-        new_start[fresh] = place[fresh]
+        lead = np.maximum.accumulate(best * width + at, axis=1) % width
+        new, new_start = np.take_along_axis(best, lead, 1), np.take_along_axis(start, lead, 1)
+        new[same] += 1
+        new_start = np.where(same & (new_start < 0), place, new_start)
         # a template word without counterpart: the next diagonal down
-        skip, skip_start = np.append(best[1:], 0), np.append(start[1:], -1)
+        skip, skip_start = np.zeros_like(best), np.full_like(start, -1)
+        skip[:, :-1], skip_start[:, :-1] = best[:, 1:], start[:, 1:]
         better = skip > new
         best, start = np.where(better, skip, new), np.where(better, skip_start, new_start)
-        for d in np.flatnonzero(same & ~better):
-            if (m := int(best[d])) > top[0] or m == top[0] and place[d] - start[d] < top[2] - top[1]:
-                top = (m, int(start[d]), int(place[d]))
+        best[beyond], start[beyond] = 0, -1
+        ends = same & ~better
+        # the most matches, of equals the shortest span, of equals the first diagonal
+        value = np.where(ends, best * far - (place - start), -1)
+        d = value.argmax(axis=1)
+        m, a, z = best[rows, d], start[rows, d], place[rows, d]
+        wins = ends[rows, d] & ((m > top[0]) | (m == top[0]) & (z - a < top[2] - top[1]))
+        top[:, wins] = np.stack([m, a, z])[:, wins]
     return top
 
 
@@ -233,7 +269,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, cov
 
         return texts.map(one, na_action=None)
 
-    return docs.select(*[c for c in docs.columns if c.lower() != "matches"], run(F.col("text").cast("string")).alias("matches"))
+    return docs.select(*[quoted(c) for c in docs.columns if c.lower() != "matches"], run(F.col("text").cast("string")).alias("matches"))
 
 
 def op10_license_scan(spark, sf_dir: str) -> DataFrame:

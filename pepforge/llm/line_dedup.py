@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, small_batches, table, unsaved
+from .common import fresh, quoted, saved, small_batches, table, unsaved
 
 #: Slots of a bucket, and moves after which a filter is built anew with twice the buckets.
 SLOTS, MOVES = 4, 500
@@ -354,7 +354,7 @@ class LineIndex:
         joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col(doc)), "left")
         done = joined.withColumn(new, rewritten(self.min_chars)(F.col("text").cast("string"), F.col(keys)))
         made = ("text", "n_lines", "n_dropped")
-        return done.select(*[c for c in docs.columns if c.lower() not in made], *[F.col(f"{new}.{c}").alias(c) for c in made])
+        return done.select(*[quoted(c) for c in docs.columns if c.lower() not in made], *[F.col(f"{new}.{c}").alias(c) for c in made])
 
 
 def rewritten(min_chars: int):

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, table
+from .common import fresh, quoted, saved, table
 from .flow import Network
 
 NULL_LAST = (1, "")
@@ -90,7 +90,7 @@ def mix(docs: DataFrame, quotas=targets, max_repeats: int = 2, seed: int = 3, bu
     quotas: from the sizes of the sources to their targets. Repetitions are whole but for the last one's end; a document's taken
     words are its text repeated taken / size times. sources, size: the names of these columns.
     """
-    keep = [c for c in docs.columns if c.lower() != "taken"]
+    keep = [quoted(c) for c in docs.columns if c.lower() != "taken"]
     pattern, n, order, whole, rest, cut, ahead, other, part, before = fresh(docs, "pattern", "n", "order", "whole", "rest", "cut", "ahead", "other", "part", "before")
     as_set = F.array_sort(F.array_distinct(F.transform(sources, lambda s: F.struct(s.isNull().alias("none"), s.alias("name")))))
     held = docs.select(*keep).withColumns({pattern: as_set, n: F.coalesce(F.col(size), F.lit(0)).cast("long")})
@@ -147,12 +147,12 @@ def source_sizes(docs: DataFrame, quotas=targets, max_sources: int = 2_000_000)
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """docs (doc_id, text, source, ...) with size, source_size, target and taken."""
     made = ("size", "source_size", "target", "taken")
-    own = docs.select(*[c for c in docs.columns if c.lower() not in made]).withColumn("size", n_words())
+    own = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in made]).withColumn("size", n_words())
     sources, name = fresh(own, "sources", "name", *made[1:])[:2]
     own = saved(own.withColumn(sources, F.array(F.col("source").cast("string"))), "mix-sizes")
     sizes = source_sizes(own.select(F.col("source").cast("string").alias("source"), "size")).withColumnRenamed("source", name)
     taken = mix(own, sources=sources, **options).join(sizes, F.col("source").cast("string").eqNullSafe(F.col(name)), "left")
-    return taken.select(*[c for c in own.columns if c != sources], "source_size", "target", "taken")
+    return taken.select(*[quoted(c) for c in own.columns if c != sources], "source_size", "target", "taken")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_batches, table
+from .common import fresh, quoted, small_batches, table
 from .hashed_text import TextFeatures
 
 BITS = 18
@@ -58,7 +58,7 @@ class Model:
         made = ("expected_grade", "tail_probability")
         (new,) = fresh(docs, "__score")
         scored = docs.withColumn(new, self.scorer(wanted)(F.col("text").cast("string")))
-        return scored.select(*[c for c in docs.columns if c.lower() not in made], *[F.col(f"{new}.{c}").alias(c) for c in made])
+        return scored.select(*[quoted(c) for c in docs.columns if c.lower() not in made], *[F.col(f"{new}.{c}").alias(c) for c in made])
 
 
 def cumulative_link(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, grade: np.ndarray, n_columns: int, n_grades: int, steps: int = 250, rate: float = 0.05, ridge: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:

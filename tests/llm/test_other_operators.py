@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pepforge.llm import chat_format, flow, hamming_search, html_extract, mixing, quality
+from pepforge.llm.common import quoted
 
 
 def search_by_hand(rows, queries, k, bits):
@@ -364,7 +365,7 @@ def test_pipeline_stages_keep_columns_and_take_empty_tables(spark, documents, tm
         else:
             assert done.columns == docs.columns
         own = [c for c in docs.columns if c not in ("text", "n_chars", "size", "Taken", "SCORE") or name == "decontamination"]
-        held = lambda df: sorted(str([r[c] for c in own if c in r]) for r in df.select(*[c for c in own if c in df.columns]).collect())  # noqa: E731, B023
+        held = lambda df: sorted(str([r[c] for c in own if c in r]) for r in df.select(*[quoted(c) for c in own if c in df.columns]).collect())  # noqa: E731, B023
         assert name == "mixing" or held(done) == held(docs)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from time import perf_counter
 
 import numpy as np
 import pytest
@@ -380,6 +381,20 @@ def test_license_scan_finds_words_put_in():
     assert index.scan(np.array([int(index.word[b"license"])] * 3000), 0.8) == []
 
 
+def test_license_scan_of_dense_notices():
+    """Every notice is found in its place, in a time that grows with the text."""
+    index, rng = license_scan.Index(license_scan.TEMPLATES), random.Random(13)
+    # none holds another's words in order
+    own = [i for i in index.short if not any(j != i and license_scan.aligned(index.texts[j], index.texts[i], -20, 20)[0] >= 0.8 * len(index.texts[j]) for j in range(len(index.texts)))]
+    chosen = [rng.choice(own) for _ in range(4000)]
+    ends = np.cumsum([len(index.texts[i]) + 3 for i in chosen])
+    words = np.concatenate([np.append(index.texts[i], [-1] * 3) for i in chosen])
+    began = perf_counter()
+    found = {(name, first, last) for name, c, first, last in index.scan(words, 0.8) if c == 1}
+    assert perf_counter() - began < 20
+    assert found >= {(index.names[i], int(e) - 3 - len(index.texts[i]), int(e) - 4) for i, e in zip(chosen, ends, strict=True)}
+
+
 def test_license_scan_replaces_its_own_column_only(documents):
     docs = documents([(1, "Released under the MIT license")], extra=True).withColumn("MATCHES", F.lit(1))
     assert license_scan.scan(docs).columns == [c for c in docs.columns if c != "MATCHES"] + ["matches"]

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pepforge.llm import decontamination, line_dedup, mixing, near_dedup, toxicity
-from pepforge.llm.common import fresh, saved, table
+from pepforge.llm.common import fresh, quoted, saved, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     made = [c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")]  # the input's own, which the operator would replace
     aside = dict(zip(made, fresh(docs, *[f"own_{c}" for c in made]), strict=True))
-    done = line_dedup.dedup_lines(docs.withColumnsRenamed(aside)).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
+    done = line_dedup.dedup_lines(docs.withColumnsRenamed(aside)).select(*[F.col(quoted(aside.get(c, c))).alias(c) for c in docs.columns])
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

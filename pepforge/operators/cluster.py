@@ -6,13 +6,15 @@ Both stand for external programs, so their results aren't those programs' to the
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import peptides as P
-from ..store import kept
+from ..store import kept, spread
 
 
 def global_alignment(a: str, b: str) -> tuple[str, str]:
@@ -48,23 +50,68 @@ def global_alignment(a: str, b: str) -> tuple[str, str]:
 
 
 def likeness(a: str, b: str) -> tuple[float, float]:
-    """Identity of the aligned part and the share of b in it."""
-    top, low = global_alignment(a, b)
-    both = [(p, q) for p, q in zip(top, low, strict=True) if p != "-" and q != "-"]
-    return (sum(p == q for p, q in both) / len(both) if both else 0.0), (len(both) / len(b) if b else 0.0)
+    """The share of equal letters in the aligned part (from the first to the last pair of letters, gaps inside it count), and the share
+    of b's letters that stand opposite a letter of a."""
+    columns = list(zip(*global_alignment(a, b), strict=True))
+    both = [i for i, (p, q) in enumerate(columns) if p != "-" and q != "-"]
+    if not both:
+        return 0.0, 0.0
+    return sum(columns[i][0] == columns[i][1] for i in both) / (both[-1] - both[0] + 1), len(both) / len(b)
 
 
-def cluster(seqs: DataFrame, min_identity: float = 0.85, min_coverage: float = 0.8, k: int = 5, seq: str = "seq", max_rounds: int = 1000) -> DataFrame:
-    """(cluster, seq): each sequence with its representative: longest first (equal ones alphabetically), every sequence that no earlier
-    representative is like becomes one itself, and others join the first such representative.
+def seed_plan(m: int, min_identity: float, min_coverage: float, longest: int = 12) -> tuple[int, int]:
+    """(q, least) for a member of m letters: of the q-letter seeds at its m - q + 1 places, at least so many are in any sequence that it
+    is like. q is the largest, up to longest, for which that is one or more.
 
-    Pairs that share a k-mer are candidates and are aligned once. Whether a sequence represents is settled in rounds: those all of
-    whose earlier look-alikes are settled are decided at once.
+    An aligned part of c columns has at least ceil(min_identity * c) equal letters; the other columns part them into runs, each of which
+    loses q - 1 seeds. c is at least the letters that the coverage asks for, and at most what m letters can make up.
     """
-    own = kept(seqs.select(F.col(seq).alias("seq")).filter(F.length(seq) > 0).distinct(), "cluster-seqs")
-    seeds = own.filter(F.length("seq") >= k).select("seq", F.explode(F.array_distinct(P.kmers("seq", k))).alias("kmer"))
-    pairs = seeds.select(F.col("seq").alias("rep"), "kmer").join(seeds.select(F.col("seq").alias("member"), "kmer"), "kmer")
-    pairs = pairs.filter((F.length("rep") > F.length("member")) | (F.length("rep") == F.length("member")) & (F.col("rep") < F.col("member"))).select("rep", "member").distinct()
+    least = 0
+    for q in range(min(longest, m), 0, -1):
+        kept_seeds = []
+        for c in range(max(1, math.ceil(min_coverage * m - 1e-9)), max(1, int(m / min_identity + 1e-9)) + 1):
+            equal = min(m, math.ceil(min_identity * c - 1e-9))
+            kept_seeds.append(equal - (c - equal + 1) * (q - 1))
+        least = min(kept_seeds)
+        if least >= 1:
+            return q, least
+    return 1, max(1, least)
+
+
+def seed_hashes(seq: str, q: str, used: list[int]) -> F.Column:
+    """The hashes of the seeds of q letters at all places; q: a column whose values are used ones."""
+    found = F.array().cast("array<bigint>")
+    for k in used:
+        found = F.when(F.col(q) == k, F.transform(P.kmers(seq, k), lambda x: F.xxhash64(x))).otherwise(found)
+    return found
+
+
+def candidates(own: DataFrame, hot_rows: int = 10_000) -> DataFrame:
+    """(rep, member): pairs of own (id, seq, q, least) with rep before member that share a seed which any pair of look-alikes must share.
+
+    Seeds are ordered by how many sequences hold them. Of a member's seeds, all but least - 1 are probed, the rarest first: least of its
+    seeds are in a look-alike, so one of the probed ones is. Frequent seeds, which make the most pairs, are thus left out as far as
+    can be. A seed that more than hot_rows sequences hold is dealt over as many parts as it takes.
+    """
+    used = sorted(r.q for r in own.select("q").distinct().collect())  # 12 at most
+    sizes = F.explode(F.array(*[F.lit(k) for k in used])) if used else F.lit(1)
+    holders = own.select("id", "seq", sizes.alias("k")).filter(F.length("seq") >= F.col("k"))
+    holders = holders.select(F.col("id").alias("rep"), "k", F.explode(F.array_distinct(seed_hashes("seq", "k", used))).alias("seed"))
+    holders = kept(holders, "seed-holders")
+    counts = kept(holders.groupBy("k", "seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "seed-counts")
+    hot = spread(counts.filter(F.col("n") > hot_rows).select("k", "seed", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")))
+    probes = own.select(F.col("id").alias("member"), F.col("q").alias("k"), (F.length("seq") - F.col("q") + 1 - F.col("least") + 1).alias("probed"), F.posexplode(seed_hashes("seq", "q", used)).alias("at", "seed"))
+    # seeds that no other sequence holds come first, as they are the rarest
+    probes = probes.join(counts, ["k", "seed"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    rarest = F.row_number().over(Window.partitionBy("member").orderBy("n", "seed", "at"))
+    probes = probes.withColumn("r", rarest).filter("r <= probed AND n > 1").select("member", "k", "seed").distinct()
+    probes = probes.join(hot, ["k", "seed"], "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    held = holders.join(hot, ["k", "seed"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    return probes.join(held, ["k", "seed", "part"]).filter("rep < member").select("rep", "member").distinct()
+
+
+def look_alikes(own: DataFrame, min_identity: float, min_coverage: float) -> DataFrame:
+    """(rep, member): the pairs of own with rep before member of which member is like rep. All of them: see candidates()."""
 
     @F.pandas_udf("boolean")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -74,21 +121,52 @@ def cluster(seqs: DataFrame, min_identity: float = 0.85, min_coverage: float = 0
 
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    like = kept(pairs.filter(alike("rep", "member")), "cluster-pairs")
-    open_, reps, joined = own, None, None
-    for _ in range(max_rounds):
-        waits = like.join(open_.select(F.col("seq").alias("rep")), "rep", "left_semi").join(open_.select(F.col("seq").alias("member")), "member", "left_semi")
-        new = kept(open_.join(waits, F.col("seq") == F.col("member"), "left_anti"), "cluster-reps")
+    used = sorted(r.q for r in own.select("q").distinct().collect())
+    pairs = candidates(own).join(own.select(F.col("id").alias("member"), F.col("seq").alias("b"), "q", "least"), "member")
+    pairs = pairs.join(own.select(F.col("id").alias("rep"), F.col("seq").alias("a")), "rep")
+    # so many of the member's seeds must be in the other one
+    own_seeds = F.array().cast("array<string>")
+    for k in used:
+        own_seeds = F.when(F.col("q") == k, P.kmers("b", k)).otherwise(own_seeds)
+    shared = F.size(F.filter(own_seeds, lambda x: F.contains(F.col("a"), x)))
+    return pairs.filter(shared >= F.col("least")).filter(alike("a", "b")).select("rep", "member")
+
+
+def cluster(seqs: DataFrame, min_identity: float = 0.85, min_coverage: float = 0.8, seq: str = "seq") -> DataFrame:
+    """(cluster, seq): each sequence with its representative: longest first (equal ones alphabetically), every sequence that no earlier
+    representative is like becomes one itself, and others join the first such representative. Empty and null sequences are in none.
+
+    Pairs are compared only if they share the seeds that look-alikes must share; no look-alikes are lost. Whether a sequence represents is
+    settled in rounds: those all of whose earlier look-alikes are settled are decided at once.
+    """
+    if not 0 < min_identity <= 1:
+        raise ValueError("min_identity is above 0 and at most 1")
+
+    @F.pandas_udf("struct<q:int,least:int>")
+    def planned(lengths: pd.Series) -> pd.DataFrame:
+        plans = {m: seed_plan(int(m), min_identity, min_coverage) for m in lengths.unique()}
+        return pd.DataFrame([plans[m] for m in lengths], columns=["q", "least"])
+
+    # ids in the order of the sort, which Spark does by ranges
+    ordered = seqs.select(F.col(seq).alias("seq")).filter(F.length("seq") > 0).distinct().orderBy(F.length("seq").desc(), "seq").select(F.monotonically_increasing_id().alias("id"), "seq")
+    own = kept(ordered.withColumn("plan", planned(F.length("seq"))).select("id", "seq", "plan.q", "plan.least"), "cluster-seqs")
+    like = kept(look_alikes(own, min_identity, min_coverage), "cluster-pairs")
+    pairs, left, reps = like, own.select("id"), None
+    while True:
+        new = kept(left.join(pairs.select(F.col("member").alias("id")).distinct(), "id", "left_anti"), "cluster-reps")
         reps = new if reps is None else reps.unionAll(new)
-        taken = like.join(new.select(F.col("seq").alias("rep")), "rep", "left_semi").select("member").distinct()
-        open_ = kept(open_.join(new, "seq", "left_anti").join(taken, F.col("seq") == F.col("member"), "left_anti"), "cluster-open")
-        if not open_.limit(1).count():
+        as_rep = new.select(F.col("id").alias("rep"))
+        taken = kept(pairs.join(as_rep, "rep", "left_semi").select(F.col("member").alias("id")).distinct(), "cluster-taken")
+        settled = new.unionAll(taken)
+        left = kept(left.join(settled, "id", "left_anti"), "cluster-open")
+        if not left.limit(1).count():
             break
-    else:
-        raise RuntimeError(f"still open after {max_rounds} rounds")
-    joined = like.join(reps.select(F.col("seq").alias("rep")), "rep", "left_semi").groupBy("member").agg(F.min(F.struct((-F.length("rep")).alias("n"), "rep"))["rep"].alias("cluster"))
-    members = own.join(joined, F.col("seq") == F.col("member"), "left").select(F.coalesce("cluster", "seq").alias("cluster"), "seq")
-    return members
+        pairs = pairs.join(settled, F.col("rep") == F.col("id"), "left_anti").join(settled, F.col("member") == F.col("id"), "left_anti")
+        pairs = kept(pairs, "cluster-waits")
+    first = like.join(reps.select(F.col("id").alias("rep")), "rep", "left_semi").groupBy("member").agg(F.min("rep").alias("rep"))
+    names = own.select(F.col("id").alias("rep"), F.col("seq").alias("cluster"))
+    members = own.join(first, F.col("id") == F.col("member"), "left").select(F.coalesce("rep", "id").alias("rep"), "seq")
+    return members.join(names, "rep").select("cluster", "seq")
 
 
 def members_of(clusters: DataFrame, records: DataFrame) -> DataFrame:

@@ -234,6 +234,48 @@ def test_consensus(spark):
     assert S.consensus_statistics(spark.createDataFrame([], "seq string")).first().longest_gap == 0
 
 
+def clusters_by_hand(texts, min_identity=0.85, min_coverage=0.8):
+    """All pairs in order."""
+    reps, out = [], {}
+    for t in sorted(set(texts), key=lambda t: (-len(t), t)):
+        for r in reps:
+            same, share = C.likeness(r, t)
+            if same >= min_identity and share >= min_coverage:
+                out[t] = r
+                break
+        else:
+            reps.append(t)
+            out[t] = t
+    return out
+
+
+@pytest.mark.parametrize("min_identity, min_coverage, seed", [(0.85, 0.8, 1), (0.6, 0.5, 2), (1.0, 0.9, 3), (0.34, 0.9, 4)])
+def test_clusters_lose_no_pair(spark, min_identity, min_coverage, seed):
+    rng = random.Random(seed)
+    texts = ["ACDEFGHIKLMNPQ", "ACDEWGHIKWMNPQ"]
+    for _ in range(25):
+        base = "".join(rng.choices("ACDEFGHIKL", k=rng.randint(3, 40)))
+        texts.append(base)
+        for _ in range(4):  # letters changed, left out and put in, and parts
+            t = list(base)
+            for _ in range(rng.randint(0, 1 + len(t) // 6)):
+                at = rng.randrange(len(t)) if t else 0
+                t[at : at + rng.randint(0, 1)] = rng.choices("ACDEFGHIKL", k=rng.randint(0, 1))
+            a = rng.randint(0, len(t) // 4)
+            texts.append("".join(t[a : len(t) - rng.randint(0, len(t) // 4)]))
+    texts = [t for t in texts if t]
+    found = {r.seq: r.cluster for r in C.cluster(seqs(spark, *texts), min_identity, min_coverage).collect()}
+    assert found == clusters_by_hand(texts, min_identity, min_coverage)
+
+
+def test_clusters_of_one_frequent_seed(spark):
+    """Many sequences that share a common part, which no probe needs."""
+    texts = ["WWWWWWWWWW" + "".join(random.Random(i).choices("ACDEFGHIKL", k=30)) for i in range(200)]
+    own = seqs(spark, *texts)
+    assert C.cluster(own).select("cluster").distinct().count() == 200
+    assert C.cluster(own.limit(0)).count() == 0 and C.cluster(seqs(spark, "A", "", "A", "C")).count() == 2
+
+
 def test_clusters(spark):
     base = "ACDEFGHIKLMNPQRSTVWY"
     found = C.cluster(seqs(spark, base, base[:10] + "A" + base[11:], base[:18], "WWWWWYYYYYWWWWW"))

@@ -59,23 +59,29 @@ def likeness(a: str, b: str) -> tuple[float, float]:
     return sum(columns[i][0] == columns[i][1] for i in both) / (both[-1] - both[0] + 1), len(both) / len(b)
 
 
-def seed_plan(m: int, min_identity: float, min_coverage: float, longest: int = 12) -> tuple[int, int]:
-    """(q, least) for a member of m letters: of the q-letter seeds at its m - q + 1 places, at least so many are in any sequence that it
-    is like. q is the largest, up to longest, for which that is one or more.
+def seeds_kept(m: int, q: int, min_identity: float, min_coverage: float) -> int:
+    """Of the q-letter seeds at the m - q + 1 places of a member of m letters, at least so many are in any sequence that it is like.
 
     An aligned part of c columns has at least ceil(min_identity * c) equal letters; the other columns part them into runs, each of which
     loses q - 1 seeds. c is at least the letters that the coverage asks for, and at most what m letters can make up.
     """
-    least = 0
-    for q in range(min(longest, m), 0, -1):
-        kept_seeds = []
-        for c in range(max(1, math.ceil(min_coverage * m - 1e-9)), max(1, int(m / min_identity + 1e-9)) + 1):
-            equal = min(m, math.ceil(min_identity * c - 1e-9))
-            kept_seeds.append(equal - (c - equal + 1) * (q - 1))
-        least = min(kept_seeds)
-        if least >= 1:
-            return q, least
-    return 1, max(1, least)
+    least = m
+    for c in range(max(1, math.ceil(min_coverage * m - 1e-9)), max(1, int(m / min_identity + 1e-9)) + 1):
+        equal = min(m, math.ceil(min_identity * c - 1e-9))
+        least = min(least, equal - (c - equal + 1) * (q - 1))
+    return least
+
+
+#: The most letters of the seeds that find candidates, and of those whose count they must pass.
+LONGEST, COUNTED = 12, 3
+
+
+def seed_plan(m: int, min_identity: float, min_coverage: float) -> tuple[int, int, int]:
+    """(q, least, counted) for a member of m letters: the longest seeds of which it keeps one or more, how many of them, and how many of
+    its seeds of COUNTED letters (or q, if that is less)."""
+    q = next((q for q in range(min(LONGEST, m), 1, -1) if seeds_kept(m, q, min_identity, min_coverage) >= 1), 1)
+    kept_by = lambda k: max(1, seeds_kept(m, k, min_identity, min_coverage))
+    return q, kept_by(q), kept_by(min(q, COUNTED))
 
 
 def seed_hashes(seq: str, q: str, used: list[int]) -> F.Column:
@@ -110,26 +116,43 @@ def candidates(own: DataFrame, hot_rows: int = 10_000) -> DataFrame:
     return probes.join(held, ["k", "seed", "part"]).filter("rep < member").select("rep", "member").distinct()
 
 
+def in_a_band(a: str, b: str, q: int, spread: int) -> int:
+    """The most seeds of b that a holds on diagonals of which no two are more than spread apart."""
+    x, y = (np.lib.stride_tricks.sliding_window_view(np.frombuffer(t.encode("utf-32-le"), np.uint32), q) if len(t) >= q else np.zeros((0, q), np.uint32) for t in (a, b))
+    weights = np.uint64(1) << (np.uint64(21) * np.arange(q, dtype=np.uint64))  # code points have 21 bits, seeds 3 letters
+    x, y = (t.astype(np.uint64) @ weights for t in (x, y))
+    order = np.argsort(x, kind="stable")
+    first, end = (np.searchsorted(x[order], y, side=side) for side in ("left", "right"))
+    n = end - first
+    place = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first, n)]
+    diagonal = np.sort(place - np.repeat(np.arange(len(y)), n))
+    return int((np.searchsorted(diagonal, diagonal + spread, side="right") - np.arange(len(diagonal))).max(initial=0))
+
+
 def look_alikes(own: DataFrame, min_identity: float, min_coverage: float) -> DataFrame:
     """(rep, member): the pairs of own with rep before member of which member is like rep. All of them: see candidates()."""
 
     @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x: str, y: str) -> bool:
+    def alike(a: pd.Series, b: pd.Series, q: pd.Series, counted: pd.Series) -> pd.Series:
+        def one(x: str, y: str, k: int, least: int) -> bool:
+            # gaps move the alignment to other diagonals, and no more columns than these can be gaps
+            gaps = int(len(y) / min_identity * (1 - min_identity) + 1e-9) + 1
+            if in_a_band(x, y, k, gaps) < least:
+                return False
             same, share = likeness(x, y)
             return same >= min_identity and share >= min_coverage
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([one(*row) for row in zip(a, b, q, counted, strict=True)], dtype=bool)
 
-    used = sorted(r.q for r in own.select("q").distinct().collect())
-    pairs = candidates(own).join(own.select(F.col("id").alias("member"), F.col("seq").alias("b"), "q", "least"), "member")
+    pairs = candidates(own).join(own.select(F.col("id").alias("member"), F.col("seq").alias("b"), "q", "counted"), "member")
     pairs = pairs.join(own.select(F.col("id").alias("rep"), F.col("seq").alias("a")), "rep")
-    # so many of the member's seeds must be in the other one
-    own_seeds = F.array().cast("array<string>")
-    for k in used:
-        own_seeds = F.when(F.col("q") == k, P.kmers("b", k)).otherwise(own_seeds)
-    shared = F.size(F.filter(own_seeds, lambda x: F.contains(F.col("a"), x)))
-    return pairs.filter(shared >= F.col("least")).filter(alike("a", "b")).select("rep", "member")
+    # so many of the member's short seeds must be in the other one
+    short = F.array().cast("array<string>")
+    for k in range(1, COUNTED + 1):
+        short = F.when(F.least("q", F.lit(COUNTED)) == k, P.kmers("b", k)).otherwise(short)
+    shared = F.size(F.filter(short, lambda x: F.contains(F.col("a"), x)))
+    # aligned where few tasks would have most of them
+    return pairs.filter(shared >= F.col("counted")).repartition("rep", "member").filter(alike("a", "b", F.least("q", F.lit(COUNTED)), "counted")).select("rep", "member")
 
 
 def cluster(seqs: DataFrame, min_identity: float = 0.85, min_coverage: float = 0.8, seq: str = "seq") -> DataFrame:
@@ -142,14 +165,14 @@ def cluster(seqs: DataFrame, min_identity: float = 0.85, min_coverage: float = 0
     if not 0 < min_identity <= 1:
         raise ValueError("min_identity is above 0 and at most 1")
 
-    @F.pandas_udf("struct<q:int,least:int>")
+    @F.pandas_udf("struct<q:int,least:int,counted:int>")
     def planned(lengths: pd.Series) -> pd.DataFrame:
         plans = {m: seed_plan(int(m), min_identity, min_coverage) for m in lengths.unique()}
-        return pd.DataFrame([plans[m] for m in lengths], columns=["q", "least"])
+        return pd.DataFrame([plans[m] for m in lengths], columns=["q", "least", "counted"])
 
     # ids in the order of the sort, which Spark does by ranges
     ordered = seqs.select(F.col(seq).alias("seq")).filter(F.length("seq") > 0).distinct().orderBy(F.length("seq").desc(), "seq").select(F.monotonically_increasing_id().alias("id"), "seq")
-    own = kept(ordered.withColumn("plan", planned(F.length("seq"))).select("id", "seq", "plan.q", "plan.least"), "cluster-seqs")
+    own = kept(ordered.withColumn("plan", planned(F.length("seq"))).select("id", "seq", "plan.*"), "cluster-seqs")
     like = kept(look_alikes(own, min_identity, min_coverage), "cluster-pairs")
     pairs, left, reps = like, own.select("id"), None
     while True:

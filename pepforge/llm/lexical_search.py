@@ -83,7 +83,7 @@ def planes(x: np.ndarray) -> bytes:
 
 
 def from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
 def treap(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
@@ -121,12 +121,21 @@ def segment(doc_ids: list[int | None], docs: list[np.ndarray], terms: list[bytes
 
 def counts(docs: DataFrame) -> tuple[int, int]:
     """Documents with terms, and their terms."""
-    n = docs.select(F.regexp_count(F.col("text").cast("string"), F.lit(TERM)).cast("long").alias("n")).filter("n > 0")
-    row = n.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return row[0], row[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs = n_terms = 0
+        for b in batches:
+            for text in b.column(0):
+                n = len(terms_of(text.as_py()))
+                n_docs, n_terms = n_docs + (n > 0), n_terms + n
+        yield pa.RecordBatch.from_pylist([{"docs": n_docs, "terms": n_terms}], pa.schema([("docs", pa.int64()), ("terms", pa.int64())]))
+
+    small_batches(docs.sparkSession)
+    row = docs.select(F.col("text").cast("string")).mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
+    return row[0] or 0, row[1] or 0
 
 
-def build_index(docs: DataFrame, segment_words: int = 4_000_000) -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, segment_words: int = 2_000_000) -> tuple[DataFrame, int]:
     """(index, documents with terms)."""
     n_docs, n_terms = counts(docs)
 
@@ -165,14 +174,14 @@ class Treap:
         sizes = row["sizes"]
         self.height = len(sizes) - 1
         n, masks = sum(sizes), np.frombuffer(row["masks"], np.uint8)
-        children = FULL[masks].astype(np.int64)
+        children = FULL[masks].astype(np.int32)
         # beyond the nodes: one that stands for a term that isn't in a range
         self.none = n
-        self.masks = np.zeros(n + 1, np.int64)
-        self.masks[: len(masks)] = masks * np.int64(4)
-        self.first = np.zeros(n + 1, np.int64)
+        self.masks = np.zeros(n + 1, np.uint8)
+        self.masks[: len(masks)] = masks * np.uint8(4)
+        self.first = np.zeros(n + 1, np.int32)
         self.first[: len(masks)] = np.cumsum(children) - children + 1  # the root is 0, so the first child of all is 1
-        self.tops = np.append(from_planes(row["drops"]), 0)
+        self.tops = np.append(from_planes(row["drops"]), np.int32(0))
         at = 0
         for upper, lower in zip(sizes, sizes[1:], strict=False):
             below = slice(at + upper, at + upper + lower)
@@ -282,7 +291,7 @@ def search(index: DataFrame, n_docs: int, benchmark: DataFrame, k: int = 50, blo
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def ranked(docs: DataFrame, benchmark: DataFrame, k: int = 50, segment_words: int = 4_000_000, block_chars: int = 4_000_000) -> DataFrame:
+def ranked(docs: DataFrame, benchmark: DataFrame, k: int = 50, segment_words: int = 2_000_000, block_chars: int = 4_000_000) -> DataFrame:
     """Index and search at once."""
     index, n_docs = build_index(docs, segment_words)
     return search(index, n_docs, benchmark, k, block_chars)

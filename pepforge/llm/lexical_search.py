@@ -135,7 +135,7 @@ def counts(docs: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def build_index(docs: DataFrame, segment_words: int = 2_000_000) -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, segment_words: int = 750_000) -> tuple[DataFrame, int]:
     """(index, documents with terms)."""
     n_docs, n_terms = counts(docs)
 
@@ -253,7 +253,8 @@ def searcher(block, k: int, kind: pa.DataType):
         best: list[list[tuple[int, int]]] = [[] for _ in items]
         for b in batches:
             for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                # the levels stay where Arrow has them
+                row = {c: b.column(c)[i].as_buffer() if c in ("masks", "drops") else b.column(c)[i].as_py() for c in b.schema.names}
                 tree = Treap(row)
                 number = {t: j for j, t in enumerate(row["terms"].split()) if t in wanted}
                 for (_, terms), own in zip(items, best, strict=True):
@@ -291,7 +292,7 @@ def search(index: DataFrame, n_docs: int, benchmark: DataFrame, k: int = 50, blo
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def ranked(docs: DataFrame, benchmark: DataFrame, k: int = 50, segment_words: int = 2_000_000, block_chars: int = 4_000_000) -> DataFrame:
+def ranked(docs: DataFrame, benchmark: DataFrame, k: int = 50, segment_words: int = 750_000, block_chars: int = 4_000_000) -> DataFrame:
     """Index and search at once."""
     index, n_docs = build_index(docs, segment_words)
     return search(index, n_docs, benchmark, k, block_chars)

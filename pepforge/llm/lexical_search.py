@@ -78,12 +78,23 @@ def spread_bits(x: np.ndarray) -> np.ndarray:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Lowest bytes first, then the next ones: small numbers leave planes of zeros, which Parquet packs."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Lowest bytes first, then the next ones: small numbers leave planes of zeros, which Parquet packs. Impacts have three bytes."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
 
 
 def from_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+    low = np.frombuffer(b, np.uint8).reshape(3, -1)
+    out = low[2].astype(np.int32)
+    for plane in (low[1], low[0]):
+        out <<= 8
+        out |= plane
+    return out
+
+
+def bounded_batches(spark) -> None:
+    """Rows of the index are large, so fewer bytes of them go to a Python worker at once than the other operators send."""
+    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def treap(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
@@ -130,7 +141,7 @@ def counts(docs: DataFrame) -> tuple[int, int]:
                 n_docs, n_terms = n_docs + (n > 0), n_terms + n
         yield pa.RecordBatch.from_pylist([{"docs": n_docs, "terms": n_terms}], pa.schema([("docs", pa.int64()), ("terms", pa.int64())]))
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     row = docs.select(F.col("text").cast("string")).mapInArrow(run, "docs long, terms long").agg(F.sum("docs"), F.sum("terms")).first()
     return row[0] or 0, row[1] or 0
 
@@ -162,7 +173,7 @@ def build_index(docs: DataFrame, segment_words: int = 750_000) -> tuple[DataFram
         if own:
             yield pa.RecordBatch.from_pylist([segment(ids, own, list(numbers), n_docs, n_terms)], schema)
 
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     return saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(build, SEGMENT), "treap-index"), n_docs
 
 
@@ -273,6 +284,7 @@ def searcher(block, k: int, kind: pa.DataType):
 def search(index: DataFrame, n_docs: int, benchmark: DataFrame, k: int = 50, block_chars: int = 4_000_000) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k best documents with a score above 0."""
     spark = index.sparkSession
+    bounded_batches(spark)
     lowered = F.translate(F.col("text").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     texts = benchmark.select("item_id", F.array_distinct(F.regexp_extract_all(lowered, F.lit(TERM), F.lit(0))).alias("terms"))
     total = benchmark.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0

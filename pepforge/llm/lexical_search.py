@@ -3,7 +3,7 @@
 ``build_index`` deals the documents into segments of about ``segment_words`` words. In a segment, terms are rows (most frequent first, so
 that full and nearly empty rows lie apart), documents are columns (by doc_id), and a cell is the impact of a term in a document, which no
 query changes. The grid is a quadtree of non-empty cells only: a node has a mask of its four quadrants and the greatest impact below
-it, kept as the difference to its parent's. Segments are rows of a Parquet table in the shared folder.
+it, kept as the difference to its parent's; both are compressed. Segments are rows of a Parquet table in the shared folder.
 
 ``search`` goes through each segment with every item. An item's terms are paths of rows that go down jointly: a range of documents is at
 one node for each term, and the weighted sum of these nodes' maxima bounds every score in the range. Ranges wait in a heap, the best
@@ -77,8 +77,17 @@ def spread_bits(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def packed(x: bytes) -> bytes:
+    """Compressed in the task, so that a row of the index is small wherever Spark holds it; its size comes first."""
+    return len(x).to_bytes(8, "little") + pa.compress(x, "zstd", asbytes=True)
+
+
+def unpacked(b: bytes) -> bytes:
+    return pa.decompress(memoryview(b)[8:], int.from_bytes(b[:8], "little"), "zstd", asbytes=True)
+
+
 def planes(x: np.ndarray) -> bytes:
-    """Lowest bytes first, then the next ones: small numbers leave planes of zeros, which Parquet packs. Impacts have three bytes."""
+    """Lowest bytes first, then the next ones: small numbers leave planes of zeros. Impacts have three bytes."""
     return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes()
 
 
@@ -113,7 +122,7 @@ def treap(rows: np.ndarray, cols: np.ndarray, values: np.ndarray) -> dict:
         code, top = above[first], best
         sizes.append(len(code))
     drops.append(top)  # the root's own
-    return {"sizes": sizes[::-1], "masks": np.concatenate(masks[::-1]).tobytes(), "drops": planes(np.concatenate(drops[::-1]))}
+    return {"sizes": sizes[::-1], "masks": packed(np.concatenate(masks[::-1]).tobytes()), "drops": packed(planes(np.concatenate(drops[::-1])))}
 
 
 def segment(doc_ids: list[int | None], docs: list[np.ndarray], terms: list[bytes], n_docs: int, n_terms: int) -> dict:
@@ -127,7 +136,7 @@ def segment(doc_ids: list[int | None], docs: list[np.ndarray], terms: list[bytes
     row = np.empty(len(terms), np.int64)
     row[by_df] = np.arange(len(terms))
     tree = treap(row[term] << STRETCH, col, impacts(tf, sizes[col], n_docs, n_terms))
-    return {"terms": b" ".join([terms[i] for i in by_df.tolist()]), "dfs": dfs[by_df].astype("<i4").tobytes(), "doc_ids": [doc_ids[d] for d in by_id], **tree}
+    return {"terms": packed(b" ".join([terms[i] for i in by_df.tolist()])), "dfs": dfs[by_df].astype("<i4").tobytes(), "doc_ids": [doc_ids[d] for d in by_id], **tree}
 
 
 def counts(docs: DataFrame) -> tuple[int, int]:
@@ -146,7 +155,7 @@ def counts(docs: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def build_index(docs: DataFrame, segment_words: int = 750_000) -> tuple[DataFrame, int]:
+def build_index(docs: DataFrame, segment_words: int = 500_000) -> tuple[DataFrame, int]:
     """(index, documents with terms)."""
     n_docs, n_terms = counts(docs)
 
@@ -184,7 +193,7 @@ class Treap:
         self.ids = np.array([LAST_ID if d is None else d for d in row["doc_ids"]], np.int64)
         sizes = row["sizes"]
         self.height = len(sizes) - 1
-        n, masks = sum(sizes), np.frombuffer(row["masks"], np.uint8)
+        n, masks = sum(sizes), np.frombuffer(unpacked(row["masks"]), np.uint8)
         children = FULL[masks].astype(np.int32)
         # beyond the nodes: one that stands for a term that isn't in a range
         self.none = n
@@ -192,7 +201,7 @@ class Treap:
         self.masks[: len(masks)] = masks * np.uint8(4)
         self.first = np.zeros(n + 1, np.int32)
         self.first[: len(masks)] = np.cumsum(children) - children + 1  # the root is 0, so the first child of all is 1
-        self.tops = np.append(from_planes(row["drops"]), np.int32(0))
+        self.tops = np.append(from_planes(unpacked(row["drops"])), np.int32(0))
         at = 0
         for upper, lower in zip(sizes, sizes[1:], strict=False):
             below = slice(at + upper, at + upper + lower)
@@ -245,7 +254,7 @@ def frequencies(index: DataFrame, wanted) -> dict[bytes, int]:
         total: defaultdict[bytes, int] = defaultdict(int)
         for b in batches:
             for terms, dfs in zip(b.column(0), b.column(1), strict=True):
-                for t, n in zip(terms.as_py().split(), np.frombuffer(dfs.as_py(), "<i4").tolist(), strict=True):
+                for t, n in zip(unpacked(terms.as_py()).split(), np.frombuffer(dfs.as_py(), "<i4").tolist(), strict=True):
                     if t in wanted.value:
                         total[t] += n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
@@ -264,10 +273,9 @@ def searcher(block, k: int, kind: pa.DataType):
         best: list[list[tuple[int, int]]] = [[] for _ in items]
         for b in batches:
             for i in range(b.num_rows):
-                # the levels stay where Arrow has them
-                row = {c: b.column(c)[i].as_buffer() if c in ("masks", "drops") else b.column(c)[i].as_py() for c in b.schema.names}
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 tree = Treap(row)
-                number = {t: j for j, t in enumerate(row["terms"].split()) if t in wanted}
+                number = {t: j for j, t in enumerate(unpacked(row["terms"]).split()) if t in wanted}
                 for (_, terms), own in zip(items, best, strict=True):
                     here = [(number[t], w) for t, w in terms if t in number]
                     if here:
@@ -304,7 +312,7 @@ def search(index: DataFrame, n_docs: int, benchmark: DataFrame, k: int = 50, blo
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 
 
-def ranked(docs: DataFrame, benchmark: DataFrame, k: int = 50, segment_words: int = 750_000, block_chars: int = 4_000_000) -> DataFrame:
+def ranked(docs: DataFrame, benchmark: DataFrame, k: int = 50, segment_words: int = 500_000, block_chars: int = 4_000_000) -> DataFrame:
     """Index and search at once."""
     index, n_docs = build_index(docs, segment_words)
     return search(index, n_docs, benchmark, k, block_chars)

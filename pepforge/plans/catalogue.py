@@ -21,6 +21,7 @@ from ..operators import overlap as O
 from ..operators import preprocess as R
 from ..operators import scoring as Z
 from ..operators import statistics as S
+from ..operators import suffixes as X
 from ..sources.writers import fasta_text, mapped_description, merged_tables
 from ..store import kept, spread
 from . import assembly, files, sweep
@@ -739,3 +740,15 @@ def on_whole(name: str) -> Callable[[SparkSession, str], DataFrame]:
 for _name in ON_WHOLE:
     QUERIES[f"whole_{_name}"] = on_whole(_name)
     ORACLES[f"whole_{_name}"] = ORACLES[_name].replace(DOC_SENTENCES, V.sql_sentences("documents", "doc_id", 1))
+
+
+# the containment join over all sentences of documents, from the order of their suffixes
+
+
+@query(f"""WITH s AS (SELECT DISTINCT seq FROM {V.SQL_DOCUMENT_PEPTIDES}),
+k AS (SELECT seq, CAST(least(length(seq), 8) AS INT) AS n, left(seq, 8) AS seed FROM s),
+w AS (SELECT DISTINCT seq AS holder, n, substr(seq, CAST(i AS INT), n) AS seed FROM s, (SELECT DISTINCT n FROM k), LATERAL (SELECT unnest(generate_series(1, length(seq) - n + 1)) AS i) WHERE length(seq) >= n),
+c AS (SELECT DISTINCT k.seq FROM k JOIN w ON k.n = w.n AND k.seed = w.seed WHERE k.seq <> w.holder AND contains(w.holder, k.seq))
+SELECT seq FROM s WHERE seq NOT IN (SELECT seq FROM c)""")
+def documents_maximal_sentences(spark, sf_dir):
+    return X.maximal(V.document_peptides(spark, sf_dir))

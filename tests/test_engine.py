@@ -16,6 +16,7 @@ from pepforge.operators import overlap as O
 from pepforge.operators import preprocess as R
 from pepforge.operators import scoring as Z
 from pepforge.operators import statistics as S
+from pepforge.operators import suffixes as X
 from pepforge.plans import assembly, catalogue, sweep, views
 from pepforge.sources import readers, writers
 from pepforge.streaming.kmers import streaming_kmer_counts
@@ -89,6 +90,36 @@ def test_containment(spark):
     assert sorted((r.part, r.holder) for r in found.filter("part <> ''").collect()) == want
 
 
+def suffix_texts(spark, *texts, first=8):
+    """(suffixes by name, names in order)."""
+    places, names = X.suffix_names(seqs(spark, *texts), first)
+    found = {}
+    for r in places.collect():
+        found.setdefault(r.name, set()).add(texts[r.id][r.at :])
+    return found, sorted(r.name for r in names.collect())
+
+
+@pytest.mark.parametrize("first", [1, 2, 8])
+def test_suffix_array(spark, first):
+    rng = random.Random(first)
+    texts = ["".join(rng.choices("ab", k=rng.randint(1, 30))) for _ in range(25)] + ["a" * 70, "a" * 40, "b", "ab" * 30]
+    found, names = suffix_texts(spark, *texts, first=first)
+    assert all(len(v) == 1 for v in found.values())
+    order = [next(iter(found[n])) for n in names]
+    assert order == sorted({t[i:] for t in texts for i in range(len(t))})
+    follows = {r.name: r.next for r in X.after(X.suffix_names(seqs(spark, *texts), first)[1]).collect()}
+    assert len(follows) == len(order) - 1
+
+
+def test_maximal_sequences(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices("abc", k=rng.randint(1, 12))) for _ in range(120)] + ["a" * 50, "a" * 49, "", "xaby", "b"]
+    want = sorted(t for t in set(texts) if t and not any(t != u and t in u for u in texts))
+    assert column(X.maximal(seqs(spark, *texts))) == want
+    assert column(X.maximal(seqs(spark, "", ""))) == [""] and X.maximal(seqs(spark, "a").limit(0)).count() == 0
+    assert column(X.maximal(seqs(spark, *texts))) == column(O.without_contained(seqs(spark, *texts), seed=2))
+
+
 def test_common_runs(spark):
     found = O.best_common_run(seqs(spark, "XXABCDYY", "QABCDQZZZ"), 3).first()
     assert (found.small, found.n, found.small_at, found.large_at) == ("XXABCDYY", 4, 2, 1)

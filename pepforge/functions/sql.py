@@ -1,8 +1,11 @@
-"""The engine's expressions as SQL functions of a session."""
+"""The engine's expressions as SQL functions of a session, and windows as a table function for lateral calls."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 #: Name, parameters, result and body of each.
 FUNCTIONS = (
@@ -14,6 +17,16 @@ FUNCTIONS = (
 )
 
 
+class KmerTable:
+    """kmer_table(seq, k): a row (at, kmer) for each window of k letters, places from 0; none for null or shorter sequences."""
+
+    def eval(self, seq: str | None, k: int | None) -> Iterator[tuple[int, str]]:
+        if seq is not None and k is not None and k > 0:
+            for at in range(len(seq) - k + 1):
+                yield at, seq[at : at + k]
+
+
 def register(spark: SparkSession) -> None:
+    spark.udtf.register("kmer_table", F.udtf(KmerTable, returnType="at int, kmer string"))
     for name, parameters, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {result} RETURN {body}")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import peptides as P
+from ..functions import sql as sql_functions
 from ..operators import chartdata as D
 from ..operators import cluster as C
 from ..operators import consensus as K
@@ -752,3 +753,14 @@ c AS (SELECT DISTINCT k.seq FROM k JOIN w ON k.n = w.n AND k.seed = w.seed WHERE
 SELECT seq FROM s WHERE seq NOT IN (SELECT seq FROM c)""")
 def documents_maximal_sentences(spark, sf_dir):
     return X.maximal(V.document_peptides(spark, sf_dir))
+
+
+# the table function in a lateral call
+
+
+@query(f"""SELECT kmer, count(*) AS n, count(DISTINCT id) AS n_sequences, CAST(min(place) AS INT) AS first_place
+FROM (SELECT id, i - 1 AS place, substr(seq, CAST(i AS INT), 9) AS kmer FROM {V.SQL_DOCUMENT_PEPTIDES}, LATERAL (SELECT unnest(generate_series(1, length(seq) - 8)) AS i) WHERE length(seq) >= 9) GROUP BY kmer""")
+def lateral_kmers(spark, sf_dir):
+    """The 9-mers of all sentences: how often, in how many sentences, and the first place of each."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT k.kmer, count(*) AS n, count(DISTINCT r.id) AS n_sequences, min(k.at) AS first_place FROM {rows} r, LATERAL kmer_table(r.seq, 9) k GROUP BY k.kmer", rows=V.document_peptides(spark, sf_dir))

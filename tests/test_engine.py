@@ -120,6 +120,14 @@ def test_maximal_sequences(spark):
     assert column(X.maximal(seqs(spark, *texts))) == column(O.without_contained(seqs(spark, *texts), seed=2))
 
 
+def test_kmer_table(spark):
+    sql_functions.register(spark)
+    rows = spark.createDataFrame([(1, "ABCD"), (2, "AB"), (3, None), (4, "")], "id long, seq string")
+    found = spark.sql("SELECT r.id, k.at, k.kmer FROM {rows} r, LATERAL kmer_table(r.seq, 3) k", rows=rows).collect()
+    assert sorted(map(tuple, found)) == [(1, 0, "ABC"), (1, 1, "BCD")]
+    assert spark.sql("SELECT * FROM kmer_table('AB', NULL)").count() == 0 and spark.sql("SELECT * FROM kmer_table('AB', 0)").count() == 0
+
+
 def test_common_runs(spark):
     found = O.best_common_run(seqs(spark, "XXABCDYY", "QABCDQZZZ"), 3).first()
     assert (found.small, found.n, found.small_at, found.large_at) == ("XXABCDYY", 4, 2, 1)

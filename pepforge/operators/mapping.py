@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,16 +130,47 @@ def depth(intervals: DataFrame, keys: list[str], start: str = "start", end: str
     return rows.groupBy(*keys, "position").agg(F.count(F.lit(1)).alias("depth"))
 
 
+def islands(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end", span: int = 1000) -> DataFrame:
+    """intervals with island, the first position of the stretch of overlapping closed intervals that each is in, by group.
+
+    An island begins where a start is beyond all ends before it. Groups are cut at every span positions: what comes before a part is the
+    maximum of the parts before, one row each, so no group is a task. Null starts or ends make an island of their own.
+    """
+    low, high = F.least(start, end), F.greatest(start, end)
+    rows = intervals.withColumns({"__low": low, "__high": high, "__part": F.floor(low / span)})
+    by = [*keys, "__part"]
+
+    def ahead(value: Column, name: str) -> DataFrame:
+        """For each part the greatest value in those before it."""
+        parts = rows.groupBy(*by).agg(F.max(value).alias(name))
+        before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        return parts.withColumn(name, F.max(name).over(before)).toDF(*[f"{c}_of" for c in by], name)
+
+    def joined(more: DataFrame) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]
+        return rows.join(more, reduce(Column.__and__, same), "left").drop(*[f"{c}_of" for c in by])
+
+    so_far = Window.partitionBy(*by).orderBy("__low", "__high")
+    rows = joined(ahead(F.col("__high"), "__ahead"))
+    reach = F.greatest(F.max("__high").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), "__ahead")
+    rows = rows.withColumn("__new", F.when(reach.isNull() | (F.col("__low") > reach), F.col("__low"))).drop("__ahead")
+    rows = joined(ahead(F.col("__new"), "__ahead"))
+    # rows of one start are one step, as only the first of them can begin an island
+    island = F.greatest(F.max("__new").over(so_far), "__ahead")
+    return rows.withColumn("island", island).drop("__low", "__high", "__part", "__new", "__ahead")
+
+
 def tracks(intervals: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", first: int = 1, compat: bool = True) -> DataFrame:
     """intervals with track, by first fit in the given order within each group (closed intervals), for drawing.
 
     compat: an interval that wholly contains an earlier one doesn't count as meeting it, as in the published figures.
-    One figure's intervals are one group.
+    Intervals that don't overlap never decide each other's track, so each island of overlapping ones is fitted by itself.
     """
+    cut = islands(intervals, keys, start, end)
     schema = T.StructType([*intervals.schema.fields, T.StructField("track", T.IntegerType())])
 
     def fit(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values([order, start, end]).reset_index(drop=True)
+        own = own.drop(columns="island").sort_values([order, start, end]).reset_index(drop=True)
         rows: list[list[tuple[int, int]]] = []
         out = []
         for s, e in zip(own[start], own[end], strict=True):
@@ -149,4 +182,4 @@ def tracks(intervals: DataFrame, keys: list[str], order: str, start: str = "star
             out.append(k + first)
         return own.assign(track=np.array(out, "int32"))
 
-    return intervals.groupBy(*keys).applyInPandas(fit, schema)
+    return cut.groupBy(*keys, "island").applyInPandas(fit, schema)

@@ -128,6 +128,40 @@ def test_kmer_table(spark):
     assert spark.sql("SELECT * FROM kmer_table('AB', NULL)").count() == 0 and spark.sql("SELECT * FROM kmer_table('AB', 0)").count() == 0
 
 
+def fitted(rows, compat):
+    """First fit over a whole group, in the order of id."""
+    tracks, out = [], {}
+    for i, s, e in sorted(rows):
+        meets = lambda t: any(a <= s <= z or a <= e <= z or not compat and s <= a and z <= e for a, z in t)  # noqa: E731, B023
+        k = next((k for k, t in enumerate(tracks) if not meets(t)), len(tracks))
+        if k == len(tracks):
+            tracks.append([])
+        tracks[k].append((s, e))
+        out[i] = k + 1
+    return out
+
+
+@pytest.mark.parametrize("compat", [True, False])
+def test_tracks_by_islands(spark, compat):
+    rng = random.Random(3)
+    rows = []
+    for g in ("a", "b", None):
+        spots = [rng.randrange(0, 6000) for _ in range(150)]
+        rows += [(g, i, s, s + rng.choice([0, 5, 20, 60, 900])) for i, s in enumerate(spots)]
+    rows.append(("c", 1, 5, 5))
+    found = M.tracks(spark.createDataFrame(rows, "g string, id long, start int, end int"), ["g"], "id", compat=compat).collect()
+    for g in ("a", "b", None, "c"):
+        assert {r.id: r.track for r in found if r.g == g} == fitted([r[1:] for r in rows if r[0] == g], compat)
+    cut = M.islands(spark.createDataFrame(rows, "g string, id long, start int, end int"), ["g"], span=100).collect()
+    for g in ("a", "b", None):
+        own = sorted((r.start, r.end, r.island) for r in cut if r.g == g)
+        reach, island = -1, None
+        for s, e, got in own:
+            island = s if s > reach else island
+            reach = max(reach, e)
+            assert got == island
+
+
 def test_common_runs(spark):
     found = O.best_common_run(seqs(spark, "XXABCDYY", "QABCDQZZZ"), 3).first()
     assert (found.small, found.n, found.small_at, found.large_at) == ("XXABCDYY", 4, 2, 1)

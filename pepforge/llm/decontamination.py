@@ -3,12 +3,12 @@
 ``build_index`` makes index segments (like those of a search engine, each over whole documents of about ``segment_words`` words):
 for every word of the segment the sorted list of its positions, with the position at which each document begins. All words of all
 documents are kept, in a Parquet table in the shared folder; a segment is one row of bounded size, but for a single document that
-is longer. ``search`` takes the benchmark in blocks of bounded size, one after the other, and joins each with every segment; neither
-goes through the driver but for the broadcast of a block. In a segment, each window starts from its rarest word there: the list of its
-positions, offset-adjusted, is intersected with those of the words beside it, outwards, until they disagree or make up a window (exact
-phrase). As the windows around one rare word share it, it is looked up once for all of them, and all rare words of a block are
-looked up together. Proximity matches ask that all words of a window lie within ``slop`` words of its rarest one, in any order, in the
-same document. No row is shuffled to find matches.
+is longer. ``search`` takes the benchmark in blocks of bounded size, one after the other; a block is broadcast, so a worker process has
+it once, not beside every segment. In a segment, each distinct window of the block starts from its rarest word there: the list of that
+word's positions, less its offset in the window, is intersected with those of the next rarest words, less theirs, until none is left or
+all words agree (exact phrase). Windows that begin with the same two rarest words at the same distance share that first intersection.
+Proximity matches ask that all words of a window lie within ``slop`` words of its rarest one, in any order, in the same document. No row
+is shuffled to find matches.
 
 Words: A-Z lower-cased, then ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``. A window: ``width`` consecutive words of an item; an item
 of fewer words, but not none, is one window.
@@ -21,10 +21,12 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,93 +94,107 @@ class Segment:
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.doc_ends, places, side="right")
 
-    def words(self, margin: int) -> np.ndarray:
-        """The word at each position, and -1 for margin positions before, after and between documents."""
-        moved = np.repeat(np.arange(1, len(self.doc_ends) + 1) * margin, self.doc_ends - self.doc_starts)
-        out = np.full(len(self.all_places) + (len(self.doc_ends) + 1) * margin, -1, np.int32)
-        out[self.all_places + moved[self.all_places]] = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
-        return out
+    @cached_property
+    def postings(self) -> np.ndarray:
+        """All lists one after the other as one sorted list of (word, position)."""
+        return np.repeat(np.arange(len(self.counts)), self.counts) * len(self.all_places) + self.all_places
 
+    def on_list(self, terms: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Whether each position, none of them outside the segment, is on the list of the word beside it."""
+        wanted = terms * len(self.all_places) + places
+        at = np.searchsorted(self.postings, wanted)
+        return self.postings[np.minimum(at, len(self.postings) - 1)] == wanted
 
-class Items:
-    """The items of a block: their words one after the other, as numbers, with a -1 after each item."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
-        self.width, self.terms = width, {}
-        self.names = [i for i, _ in items]
-        own = [[self.terms.setdefault(w, len(self.terms)) for w in words_of(text)] for _, text in items]
-        self.words = np.array([w for ids in own for w in [*ids, -1]], np.int64)
-        self.owner = np.repeat(np.arange(len(own)), [len(ids) + 1 for ids in own])
-        self.need = np.minimum([len(ids) for ids in own], width)[self.owner] if own else self.owner
-        begins = np.cumsum([0] + [len(ids) + 1 for ids in own])
-        self.short = [(int(begins[i]), len(ids)) for i, ids in enumerate(own) if 0 < len(ids) < width]
-
-    def here(self, s: Segment) -> np.ndarray:
-        """The words as the segment's numbers; -2 for those that it hasn't and between items."""
-        to = np.array([s.term_id.get(w, -2) for w in self.terms] + [-2], np.int64)
-        return to[self.words]
-
-    def rare_places(self, s: Segment, here: np.ndarray) -> np.ndarray:
-        """Where the rarest word of each window is, of those windows all of whose words the segment has."""
-        count = np.where(here >= 0, s.counts[here], 0) if len(s.counts) else np.zeros(len(here), np.int64)
-        found = [np.zeros(0, np.int64)]
-        if len(count) >= self.width:
-            view = np.lib.stride_tricks.sliding_window_view(count, self.width)
-            ok = np.flatnonzero(np.lib.stride_tricks.sliding_window_view(count > 0, self.width).all(axis=1))
-            found.append(view[ok].argmin(axis=1) + ok)
-        for a, n in self.short:
-            if count[a : a + n].min() > 0:
-                found.append(np.array([a + count[a : a + n].argmin()]))
-        return np.unique(np.concatenate(found))
-
-    def phrases(self, s: Segment, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(first, last, item) of the stretches of documents that windows of an item cover."""
-        here, margin = self.here(s), self.width - 1
-        rare = self.rare_places(s, here)
-        if not len(rare):
-            return
-        words = s.words(margin)
-        padded = np.concatenate([np.full(margin, -2), here, np.full(margin, -2)])
-        size = s.counts[here[rare]]
-        ends = np.cumsum(size)
-        cuts = np.searchsorted(ends, np.arange(at_once, ends[-1] + at_once, at_once)) + 1
-        for part in np.split(np.arange(len(rare)), np.unique(cuts[cuts < len(rare)])):
-            p = np.repeat(rare[part], size[part])
-            q = np.concatenate([s.places(here[i]) for i in rare[part]])
-            at = q + (s.doc_of(q) + 1) * margin
-            reach = []
-            for way in (-1, 1):
-                far, alive = np.zeros(len(p), np.int64), np.arange(len(p))
-                for d in range(1, margin + 1):
-                    alive = alive[words[at[alive] + way * d] == padded[p[alive] + margin + way * d]]
-                    if not len(alive):
-                        break
-                    far[alive] = d
-                reach.append(far)
-            ok = np.flatnonzero(reach[0] + reach[1] + 1 >= self.need[p])
-            yield q[ok] - reach[0][ok], q[ok] + reach[1][ok], self.owner[p[ok]]
+def unrolled(begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place): for each i, its places from begins[i] on."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) + (begins - np.cumsum(sizes) + sizes)[owner]
+
+
+def portions(sizes: np.ndarray, at_once: int) -> list[np.ndarray]:
+    """The numbers of sizes in stretches whose sums are at_once, about, or a single larger one."""
+    return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(np.cumsum(sizes) // at_once)) + 1) if len(sizes) else []
 
 
 class Windows:
     """The test windows of a block of items, each distinct one once, as rows of word numbers (-1 beyond its end)."""
 
     def __init__(self, items: list[tuple[str, str | None]], width: int):
-        self.width, self.terms, seen = width, {}, {}
-        for item, text in items:
-            ids = [self.terms.setdefault(w, len(self.terms)) for w in words_of(text)]
-            for i in range(max(1, len(ids) - width + 1) if ids else 0):
-                seen.setdefault(tuple(ids[i : i + width]), set()).add(item)
-        self.rows = np.full((len(seen), width), -1, np.int64)
-        for i, w in enumerate(seen):
-            self.rows[i, : len(w)] = w
-        self.items = [sorted(x) for x in seen.values()]
-
-    def here(self, s: Segment) -> Iterator[tuple[int, np.ndarray]]:
-        """Those windows all of whose words the segment has, as its word numbers."""
+        self.width, self.terms = width, {}
+        self.names = [i for i, _ in items]
+        rows, owner = [np.zeros((0, width), np.int32)], [np.zeros(0, np.int64)]
+        for k, (_, text) in enumerate(items):
+            ids = np.array([self.terms.setdefault(w, len(self.terms)) for w in words_of(text)], np.int32)
+            if len(ids):
+                short = max(0, width - len(ids))
+                rows.append(np.lib.stride_tricks.sliding_window_view(np.pad(ids, (0, short), constant_values=-1), width))
+                owner.append(np.full(len(rows[-1]), k))
+        self.rows, window = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.sizes = (self.rows >= 0).sum(axis=1)
+        #: the items of window w are those from item_ends[w - 1] to item_ends[w] of item_of
+        window, self.item_of = np.divmod(np.unique(window.ravel() * max(1, len(items)) + np.concatenate(owner)), max(1, len(items)))
+        self.item_counts = np.bincount(window, minlength=len(self.rows))
+        self.item_ends = np.cumsum(self.item_counts)
+
+    def items(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, item) for each item of windows[i]."""
+        sizes = self.item_counts[windows]
+        i, at = unrolled(self.item_ends[windows] - sizes, sizes)
+        return i, self.item_of[at]
+
+    def here(self, s: Segment) -> tuple[np.ndarray, np.ndarray]:
+        """Those windows all of whose words the segment has, and their words as its numbers."""
         to = np.array([s.term_id.get(w, -2) for w in self.terms] + [-1], np.int64)
-        rows = to[self.rows]
-        for i in np.flatnonzero((rows != -2).all(axis=1)):
-            yield int(i), rows[i][rows[i] >= 0]
+        has = np.flatnonzero((to[self.rows] != -2).all(axis=1))
+        return has, to[self.rows[has]]
+
+    def phrases(self, s: Segment, at_once: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(window, document, first place, words) of all occurrences, by intersecting lists from each window's rarest words on."""
+        has, rows = self.here(s)
+        if not len(has):
+            return
+        total, size = len(s.all_places), self.sizes[has]
+        order = np.argsort(np.where(rows >= 0, s.counts[rows], total + 1), axis=1, kind="stable")
+        terms = np.take_along_axis(rows, order, axis=1)
+        # windows with the same two rarest words, equally far apart, share the intersection of these two lists
+        one, two = terms[:, 0], terms[:, 1] if self.width > 1 else np.full(len(terms), -1)
+        far = np.where(two >= 0, order[:, min(1, self.width - 1)] - order[:, 0], 0)
+        _, lead, pair = np.unique((one * (len(s.counts) + 1) + two + 1) * 2 * self.width + far + self.width, return_index=True, return_inverse=True)
+        by_pair = np.argsort(pair, kind="stable")
+        n_windows = np.bincount(pair)
+        pair_begins = np.cumsum(n_windows) - n_windows
+        for part in portions(s.counts[one[lead]], at_once):
+            w = lead[part]
+            i, at = unrolled(s.starts[one[w]], s.counts[one[w]])
+            place = s.all_places[at]
+            beside = place + far[w][i]
+            alive = np.flatnonzero((beside >= 0) & (beside < total))
+            alive = alive[(two[w][i[alive]] < 0) | s.on_list(two[w][i[alive]], beside[alive])]
+            i, place = i[alive], place[alive]
+            for stretch in portions(n_windows[part[i]], at_once):
+                j, at = unrolled(pair_begins[part[i[stretch]]], n_windows[part[i[stretch]]])
+                w2 = by_pair[at]
+                first = place[stretch][j] - order[w2, 0]
+                inside = (first >= 0) & (first + size[w2] <= total)
+                w2, first = w2[inside], first[inside]
+                for d in range(2, self.width):
+                    if not len(w2):
+                        break
+                    ok = terms[w2, d] < 0
+                    more = np.flatnonzero(~ok)
+                    ok[more] = s.on_list(terms[w2[more], d], first[more] + order[w2[more], d])
+                    w2, first = w2[ok], first[ok]
+                doc = s.doc_of(first)
+                whole = first + size[w2] <= s.doc_ends[doc]
+                yield has[w2[whole]], doc[whole], first[whole], size[w2[whole]]
+
+    def near(self, s: Segment, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same of the places of each window's rarest word near which all its words are."""
+        lists: dict[int, np.ndarray] = {}
+        for w, row in zip(*self.here(s), strict=True):
+            first = near_places(s, row[row >= 0], slop, lists)
+            yield np.full(len(first), w), s.doc_of(first), first, np.ones(len(first), np.int64)
 
 
 def near_places(s: Segment, window: np.ndarray, slop: int, lists: dict[int, np.ndarray]) -> np.ndarray:
@@ -208,16 +224,18 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, slop: int |
     """For every document of the index: doc_id, n_words, n_hit (words inside matches) and the sorted items that match.
 
     slop: None for exact phrases, else proximity matches (the hit words are then those of the rarest word). block_chars bounds
-    the benchmark text that a task holds; a larger benchmark takes more passes over the index.
+    the benchmark text that a task holds (but for a single longer item); a larger benchmark takes more passes over the index.
     """
     texts = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     total = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = int(max(1, -(-total // block_chars)))
+    spark = index.sparkSession
     numbered = index.withColumn("segment", F.monotonically_increasing_id())
     found = None
     for block in range(n_blocks):
-        own = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).agg(F.collect_list(F.struct("item", "text")).alias("block"))
-        part = numbered.join(F.broadcast(own)).mapInArrow(searcher(width, slop), FOUND)
+        own = texts.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
+        block_texts = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # about block_chars letters
+        part = numbered.mapInArrow(searcher(block_texts, width, slop), FOUND)
         part = saved(part, "block-hits") if n_blocks > 1 else part
         found = part if found is None else found.unionAll(part)
     if n_blocks > 1:
@@ -228,32 +246,22 @@ def search(index: DataFrame, benchmark: DataFrame, width: int = 13, slop: int |
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.array_sort("items").alias("items"))
 
 
-def searcher(width: int, slop: int | None):
+def searcher(block_texts: Broadcast, width: int, slop: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string())), ("segment", pa.int64()), ("ordinal", pa.int32())])
-        block = None  # the same one beside all segments
+        block = Windows(block_texts.value, width)
         for b in batches:
             for i in range(b.num_rows):
-                if block is None:
-                    own = [(x["item"], x["text"]) for x in b.column("block")[i].as_py()]
-                    block = Items(own, width) if slop is None else Windows(own, width)
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names if c != "block"}
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
                 s = Segment(row)
-                change, items = np.zeros(len(s.steps) + 1, np.int32), defaultdict(set)
-                if slop is None:
-                    for first, last, item in block.phrases(s):
-                        np.add.at(change, first, 1)
-                        np.add.at(change, last + 1, -1)
-                        for d, k in {*zip(s.doc_of(first).tolist(), item.tolist(), strict=True)}:
-                            items[d].add(block.names[k])
-                else:
-                    lists: dict[int, np.ndarray] = {}
-                    for k, window in block.here(s):
-                        first = near_places(s, window, slop, lists)
-                        np.add.at(change, first, 1)
-                        np.add.at(change, first + 1, -1)
-                        for d in np.unique(s.doc_of(first)).tolist():
-                            items[d].update(block.items[k])
+                change, items = np.zeros(len(s.steps) + 1, np.int64), defaultdict(set)
+                for window, doc, first, n in block.phrases(s) if slop is None else block.near(s, slop):
+                    change += np.bincount(first, minlength=len(change))
+                    change -= np.bincount(first + n, minlength=len(change))
+                    doc, window = np.divmod(np.unique(doc * len(block.rows) + window), len(block.rows))
+                    at, item = block.items(window)
+                    for d, k in zip(doc[at].tolist(), item.tolist(), strict=True):
+                        items[d].add(block.names[k])
                 hit = np.flatnonzero(np.cumsum(change[:-1]) > 0)
                 hit_doc = s.doc_of(hit)
                 new = np.flatnonzero(np.diff(hit, prepend=-2) > 1) if len(hit) else np.zeros(0, int)

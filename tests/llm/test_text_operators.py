@@ -254,6 +254,29 @@ def test_small_segments_and_proximity(spark, documents):
     assert {r.doc_id: list(r["items"]) for r in got} == {1: ["1"], 2: [], 3: []}
 
 
+@pytest.mark.parametrize("width", [1, 2, 5])
+@pytest.mark.parametrize("at_once", [1, 7, 1_000_000])
+def test_intersected_lists_find_every_occurrence(width, at_once):
+    rng = random.Random(width)
+    for _ in range(40):
+        docs = [(d, [b"%d" % rng.randrange(3) for _ in range(rng.randrange(12))]) for d in range(5)]
+        items = [(str(i), " ".join(str(rng.randrange(4)) for _ in range(rng.randrange(9)))) for i in range(6)] + [("none", None)]
+        block = decontamination.Windows(items, width)
+        found = set()
+        for window, doc, first, n in block.phrases(decontamination.Segment(decontamination.segment(docs)), at_once):
+            at, item = block.items(window)
+            found |= {(block.names[k], int(doc[i]), int(first[i]), int(n[i])) for i, k in zip(at, item, strict=True)}
+        wanted, begin = set(), 0
+        for d, words in docs:
+            for name, text in items:
+                own = decontamination.words_of(text)
+                for s in range(max(1, len(own) - width + 1) if own else 0):
+                    w = own[s : s + width]
+                    wanted |= {(name, d, begin + p, len(w)) for p in range(len(words)) if words[p : p + len(w)] == w}
+            begin += len(words)
+        assert found == wanted
+
+
 def test_decontaminate(documents, spark):
     rows, items = planted(4)
     docs = documents(rows, extra=True)

@@ -10,10 +10,11 @@ A filter is approximate with false positives only, so it says cheaply which line
 settled by ``counts``. Inserting and deleting documents adds or removes rows of ``refs`` and puts in or takes out the
 fingerprints of just those keys that cross ``min_docs``, so an insert followed by a delete restores the state.
 
-The first insert makes plain tables. From the first change on they are logs (see ``Log``) in folders by key, and a second log of
-``refs`` is in folders by document. A change then reads the folders into which its own keys and documents fall, counts its own keys
-anew, writes only rows of these keys, and sets those filters anew into which they fall; all else is neither read nor written. A
-filter that is full grows from its own shard's exact counts; when one holds twice ``keys_per_shard``, there are more shards.
+The first insert makes plain tables. The first change makes logs of them (see ``Log``) in folders by key, and a second log of ``refs``
+in folders by document, whose number follows the rows. A change then scans the folders into which its own keys and documents fall and
+keeps the rows of these before anything is shuffled or sorted, counts its own keys anew, writes only rows of these keys, and sets those
+filters anew into which they fall. All else is neither shuffled nor written, and from some hundred keys on a folder nearly all folders
+are scanned. A filter that is full grows from its own shard's exact counts; when one holds twice ``keys_per_shard``, there are more shards.
 
 A key is two 64-bit halves of a 128-bit hash of the normalised line. Hot keys are pre-aggregated by (key, doc_id) before they
 are counted, and the exact lookup salts the rows of a key.
@@ -34,6 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pepforge.store import spread
+
 from .common import fresh, quoted, saved, small_batches, table, unsaved
 
 #: Slots of a bucket, and moves after which a filter is built anew with twice the buckets.
@@ -174,11 +177,12 @@ class Log:
     """Rows by key in folders, of which the latest version counts.
 
     A change adds a table with the rows that it sets (alive) or takes out. Tables at the end are merged while one has more than half
-    the rows of the one before, so there are about log2(rows) tables, and a row is rewritten as often at most.
+    the rows of the one before, so there are about log2(rows) tables, and a row is rewritten as often at most. A table of less than
+    small rows is one of few files, as its folders would be many tiny ones; within a file rows are in the order of the keys.
     """
 
-    def __init__(self, name: str, keys: list[str], folder: F.Column, n_folders: int):
-        self.name, self.keys, self.folder, self.n_folders = name, keys, folder, n_folders
+    def __init__(self, name: str, keys: list[str], folder: F.Column, n_folders: int, small: int):
+        self.name, self.keys, self.folder, self.n_folders, self.small = name, keys, folder, n_folders, small
         self.tables: list[tuple[DataFrame, int]] = []
 
     def folder_of(self, rows: DataFrame) -> DataFrame:
@@ -188,18 +192,19 @@ class Log:
         """Those that the rows fall into: n_folders at most."""
         return [r.folder for r in self.folder_of(rows).select("folder").distinct().collect()]
 
-    def write(self, rows: DataFrame) -> DataFrame:
+    def write(self, rows: DataFrame, n: int) -> DataFrame:
+        if n < self.small:
+            return saved(rows.repartition(max(1, n // 100_000)).sortWithinPartitions(*self.keys), self.name)
         spread = F.pmod(F.xxhash64(*self.keys), F.lit(8))  # a key that many rows have isn't one task's
-        return saved(rows.repartition("folder", spread), self.name, by=["folder"])
+        return saved(rows.repartition("folder", spread).sortWithinPartitions("folder", *self.keys), self.name, by=["folder"])
 
-    def put(self, rows: DataFrame, version: int) -> None:
-        """rows: the keys, alive and further columns."""
-        new = self.write(self.folder_of(rows).withColumn("version", F.lit(version)))
-        self.tables.append((new, new.count()))
+    def put(self, rows: DataFrame, version: int, n: int) -> None:
+        """rows: the keys, alive and further columns; n: how many."""
+        self.tables.append((self.write(self.folder_of(rows).withColumn("version", F.lit(version)), n), n))
         while len(self.tables) > 1 and 2 * self.tables[-1][1] > self.tables[-2][1]:
-            (a, _), (b, _) = self.tables[-2:]
+            (a, na), (b, nb) = self.tables[-2:]
             merged = self.latest([a, b])
-            both = self.write(merged if len(self.tables) > 2 else merged.filter("alive"))
+            both = self.write(merged if len(self.tables) > 2 else merged.filter("alive"), na + nb)
             self.tables[-2:] = [(both, both.count())]
             unsaved(a, b)
 
@@ -213,9 +218,17 @@ class Log:
         newest = F.max_by(F.struct(*rest), "version").alias("v")
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, *[F.col(f"v.{c}").alias(c) for c in rest])
 
-    def rows(self, folders: list[int] | None = None) -> DataFrame:
-        """The rows that are alive, of the given folders only."""
-        tables = [t if folders is None else t.filter(F.col("folder").isin(folders)) for t, _ in self.tables]
+    def rows(self, of: DataFrame | None = None) -> DataFrame:
+        """The rows that are alive. of: distinct rows of the columns that make up the folder, and of further keys; only their rows then,
+        chosen in each table before versions are compared."""
+        tables = [t for t, _ in self.tables]
+        if of is not None:
+            # of is broadcast if it is small, else Spark joins it as any other
+            folders, some, wanted = self.folders(of), spread(of), None
+            for c in of.columns:
+                same = F.col(f"t.{c}").eqNullSafe(F.col(f"of.{c}"))
+                wanted = same if wanted is None else wanted & same
+            tables = [t.filter(F.col("folder").isin(folders)).alias("t").join(some.alias("of"), wanted, "left_semi") for t in tables]
         return self.latest(tables).filter("alive").drop("folder", "version", "alive")
 
 
@@ -228,11 +241,13 @@ class LineIndex:
 
     min_chars: shorter keys are never dropped. min_docs: documents from which a key is frequent. keys_per_shard: bounds a filter;
     salts: parts into which the rows of a key are dealt for the exact lookup, and the rows of a shard at least for its filter;
-    folders: into how many the logs are divided. A change deletes the tables that it replaces, so write what apply gave before the next.
+    folder_rows: rows of a log's folder, about, of which there are max_folders at most; the number is fixed by the first change,
+    or by folders, which divides small tables, too. A change deletes the tables that it replaces, so write what apply gave before the next.
     """
 
-    def __init__(self, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 200_000, salts: int = 16, folders: int = 64):
-        self.min_chars, self.min_docs, self.keys_per_shard, self.salts, self.n_folders = min_chars, min_docs, keys_per_shard, salts, folders
+    def __init__(self, min_chars: int = 20, min_docs: int = 3, keys_per_shard: int = 200_000, salts: int = 16, folder_rows: int = 1_000_000, max_folders: int = 4096, folders: int | None = None):
+        self.min_chars, self.min_docs, self.keys_per_shard, self.salts = min_chars, min_docs, keys_per_shard, salts
+        self.folder_rows, self.max_folders, self.n_folders = folder_rows, max_folders, folders
         self.filters: DataFrame | None = None
         self.n_shards = self.version = 0
         self._plain: tuple[DataFrame, DataFrame] | None = None
@@ -269,7 +284,7 @@ class LineIndex:
             return self.rebuild()
         _, by_doc, _ = self._changing()
         new = saved(new, "line-new")
-        held = by_doc.rows(by_doc.folders(new))
+        held = by_doc.rows(new.select("doc_id").distinct())
         self._change(saved(new.alias("n").join(held.alias("h"), same_ref("n", "h"), "left_anti"), "line-change"), True)
         unsaved(new)
         return self
@@ -277,19 +292,22 @@ class LineIndex:
     def delete(self, doc_ids: DataFrame) -> LineIndex:
         """doc_ids: a DataFrame with the doc_id of documents to take out."""
         _, by_doc, _ = self._changing()
-        gone = doc_ids.select(F.col("doc_id").cast("long").alias("gone")).distinct()
-        held = by_doc.rows(by_doc.folders(gone.withColumnRenamed("gone", "doc_id")))
-        return self._change(saved(held.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi"), "line-change"), False)
+        gone = saved(doc_ids.select(F.col("doc_id").cast("long")).distinct(), "line-gone")
+        self._change(saved(by_doc.rows(gone), "line-change"), False)
+        unsaved(gone)
+        return self
 
     def _changing(self) -> tuple[Log, Log, Log]:
         """refs by key, refs by document, counts by key."""
         if self._logs is None:
             ref, key = ["k1", "k2", "doc_id"], ["k1", "k2"]
             made = [("line-refs", ref, F.col("k1")), ("line-docs", ref, F.xxhash64("doc_id")), ("line-counts", key, F.col("k1"))]
-            self._logs = tuple(Log(name, keys, folder, self.n_folders) for name, keys, folder in made)
             refs, counts = self._plain
-            for log, rows in zip(self._logs, (refs, refs, counts), strict=True):
-                log.put(rows.withColumn("alive", F.lit(True)), 0)
+            sizes = [refs.count()] * 2 + [counts.count()]
+            numbers = [self.n_folders or min(self.max_folders, max(1, n // self.folder_rows)) for n in sizes]
+            self._logs = tuple(Log(*own, number, 0 if self.n_folders else self.folder_rows) for own, number in zip(made, numbers, strict=True))
+            for log, rows, n in zip(self._logs, (refs, refs, counts), sizes, strict=True):
+                log.put(rows.withColumn("alive", F.lit(True)), 0, n)
             self._plain = None
             unsaved(refs, counts)
         return self._logs
@@ -297,15 +315,18 @@ class LineIndex:
     def _change(self, rows: DataFrame, come: bool) -> LineIndex:
         """rows (k1, k2, doc_id) come into the exact tables or go."""
         by_key, by_doc, counts = self._logs
+        n = rows.count()
+        if not n:
+            unsaved(rows)
+            return self
         self.version += 1
         for log in (by_key, by_doc):
-            log.put(rows.withColumn("alive", F.lit(come)), self.version)
+            log.put(rows.withColumn("alive", F.lit(come)), self.version, n)
         keys = saved(rows.select("k1", "k2").distinct(), "line-keys")
-        folders = by_key.folders(keys)
-        now = self._count(by_key.rows(folders).join(keys, ["k1", "k2"], "left_semi"))
-        was = counts.rows(folders).select("k1", "k2", F.col("n_docs").alias("was"))
+        now = self._count(by_key.rows(keys))
+        was = counts.rows(keys).select("k1", "k2", F.col("n_docs").alias("was"))
         both = saved(keys.join(now, ["k1", "k2"], "left").join(was, ["k1", "k2"], "left").na.fill(0, ["n_docs", "was"]), "line-diff")
-        counts.put(both.select("k1", "k2", "n_docs", "keeper", (F.col("n_docs") > 0).alias("alive")), self.version)
+        counts.put(both.select("k1", "k2", "n_docs", "keeper", (F.col("n_docs") > 0).alias("alive")), self.version, both.count())
         frequent = F.col("n_docs") >= self.min_docs
         crossed = both.filter(frequent != (F.col("was") >= self.min_docs)).select("k1", "k2", frequent.alias("frequent"))
         touched = crossed.select(shard_of(self.n_shards).alias("shard")).distinct()

@@ -116,6 +116,22 @@ def test_a_change_reads_only_its_own_folders(documents):
     assert base.count() < 16 and re.search(r"PartitionFilters: \[[^]]*folder", base._jdf.queryExecution().toString())
 
 
+@pytest.mark.parametrize("folders", [None, 8])
+def test_a_change_moves_only_its_own_rows(documents, folders):
+    """What isn't of the changed keys is neither shuffled nor sorted: it falls in a semi-join with the broadcast keys."""
+    index = line_dedup.LineIndex(folders=folders).insert(documents([(i, f"line number {i} that is long enough") for i in range(200)]))
+    for i in range(2):
+        index.insert(documents([(300 + i, f"one more line {i} that is long enough")]))
+    for log, of in zip(index._logs, (["k1", "k2"], ["doc_id"], ["k1", "k2"]), strict=True):
+        assert len(log.tables) > 1
+        keys = index._new_refs(documents([(300, "one more line 0 that is long enough")])).select(*of)
+        found = log.rows(keys)
+        assert found.count() == 1
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"BroadcastHashJoin .*LeftSemi", plan)) == len(log.tables)
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan  # the one of the versions, above the joins
+
+
 def test_filters_are_probed_in_small_groups(documents, monkeypatch):
     monkeypatch.setattr(line_dedup, "GROUP_ROWS", 20)
     rows = [(i, "\n".join(f"line number {n} that is long enough" for n in range(1 if i else 600))) for i in range(600)]

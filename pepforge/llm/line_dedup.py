@@ -35,14 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pepforge.store import spread
-
 from .common import fresh, quoted, saved, small_batches, table, unsaved
 
 #: Slots of a bucket, and moves after which a filter is built anew with twice the buckets.
 SLOTS, MOVES = 4, 500
 #: Keys that a task holds at once to probe a filter, about.
 GROUP_ROWS = 500_000
+#: Keys of a change up to which they are broadcast; beyond, Spark joins them as any other table.
+SMALL_CHANGE = 100_000
 
 
 def line_key(line: bytes, min_chars: int) -> tuple[int, int] | None:
@@ -190,6 +190,8 @@ class Log:
 
     def folders(self, rows: DataFrame) -> list[int]:
         """Those that the rows fall into: n_folders at most."""
+        if self.n_folders == 1:
+            return [0]
         return [r.folder for r in self.folder_of(rows).select("folder").distinct().collect()]
 
     def write(self, rows: DataFrame, n: int) -> DataFrame:
@@ -219,12 +221,12 @@ class Log:
         return rows.groupBy(*self.keys).agg(newest).select(*self.keys, *[F.col(f"v.{c}").alias(c) for c in rest])
 
     def rows(self, of: DataFrame | None = None) -> DataFrame:
-        """The rows that are alive. of: distinct rows of the columns that make up the folder, and of further keys; only their rows then,
-        chosen in each table before versions are compared."""
+        """The rows that are alive. of: a kept table of distinct rows of the columns that make up the folder, and of further keys;
+        only their rows then, chosen in each table before versions are compared. It is broadcast if it is small."""
         tables = [t for t, _ in self.tables]
         if of is not None:
-            # of is broadcast if it is small, else Spark joins it as any other
-            folders, some, wanted = self.folders(of), spread(of), None
+            folders, wanted = self.folders(of), None
+            some = F.broadcast(of) if of.limit(SMALL_CHANGE + 1).count() <= SMALL_CHANGE else of
             for c in of.columns:
                 same = F.col(f"t.{c}").eqNullSafe(F.col(f"of.{c}"))
                 wanted = same if wanted is None else wanted & same
@@ -284,9 +286,10 @@ class LineIndex:
             return self.rebuild()
         _, by_doc, _ = self._changing()
         new = saved(new, "line-new")
-        held = by_doc.rows(new.select("doc_id").distinct())
+        ids = saved(new.select("doc_id").distinct(), "line-ids")
+        held = by_doc.rows(ids)
         self._change(saved(new.alias("n").join(held.alias("h"), same_ref("n", "h"), "left_anti"), "line-change"), True)
-        unsaved(new)
+        unsaved(new, ids)
         return self
 
     def delete(self, doc_ids: DataFrame) -> LineIndex:

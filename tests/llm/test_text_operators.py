@@ -124,7 +124,7 @@ def test_a_change_moves_only_its_own_rows(documents, folders):
         index.insert(documents([(300 + i, f"one more line {i} that is long enough")]))
     for log, of in zip(index._logs, (["k1", "k2"], ["doc_id"], ["k1", "k2"]), strict=True):
         assert len(log.tables) > 1
-        keys = index._new_refs(documents([(300, "one more line 0 that is long enough")])).select(*of)
+        keys = line_dedup.saved(index._new_refs(documents([(300, "one more line 0 that is long enough")])).select(*of), "keys")
         found = log.rows(keys)
         assert found.count() == 1
         plan = found._jdf.queryExecution().executedPlan().toString()

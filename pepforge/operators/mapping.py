@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import peptides as P
-from ..store import kept, spread
+from ..store import kept, spread, unsaved
 
 PLACE = "start int, mismatches_pos array<int>"
 
@@ -102,6 +102,31 @@ def seeded_places(seqs: DataFrame, proteins: DataFrame, max_mismatches: int, seq
     return best.select(*keys, "start", (F.col("start") + n).alias("end"), "mismatches_pos", ((n - F.size("mismatches_pos")) / n).alias("identity_score"))
 
 
+def nearest_places(seqs: DataFrame, proteins: DataFrame, key: str, seq: str = "seq", protein: str = "protein") -> DataFrame:
+    """(seq, key, protein, start, end, mismatches_pos, identity_score): for each distinct sequence its place with the fewest mismatches on
+    any protein; of equal ones that of the smallest key, then the leftmost. Sequences without a place where a letter fits have no row.
+
+    No limit on mismatches and no pair of each sequence with each protein: the limit of seeded_places grows from 0, about doubling.
+    All places within a limit are found, so what has one is settled, and only the other sequences meet the next limit.
+    """
+    left = seqs.select(F.col(seq).alias("seq")).filter(F.length(seq) > 0).distinct()
+    own = kept(proteins.select(F.col(key), F.col(protein).alias("protein")), "proteins")
+    longest = own.agg(F.max(F.length("protein"))).first()[0] or 0
+    left, most, found = kept(left.filter(F.length("seq") <= longest), "unplaced"), 0, None
+    while True:
+        places = seeded_places(left, own, most)
+        columns = [c for c in places.columns if c != "seq"]
+        order = F.struct(F.size("mismatches_pos"), F.col(key), F.col("start"))
+        best = kept(places.groupBy("seq").agg(F.min_by(F.struct(*columns), order).alias("b")).select("seq", "b.*"), "nearest")
+        found = best if found is None else found.unionByName(best)
+        held, left = left, kept(left.join(best.select("seq"), "seq", "left_anti"), "unplaced")
+        unsaved(held)
+        # a limit from the length on leaves nothing but sequences of which no letter fits
+        if not left.filter(F.length("seq") > most).limit(1).count():
+            return found
+        most = 2 * most + 1
+
+
 def substitutions(mapped: DataFrame, protein: str | None = None, seq: str = "sequence") -> DataFrame:
     """mapped with a row for each mismatch: offset, position, query, reference, kind; those beyond the protein are left out."""
     reference = F.lit(protein) if protein is not None else F.col("protein")

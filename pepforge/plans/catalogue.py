@@ -293,6 +293,16 @@ def seeded_map(spark, sf_dir):
     return found.select("item_id", "id", "seq", "start", F.size("mismatches_pos").alias("n_mismatches"))
 
 
+@query(f"""SELECT seq AS sequence, b.item_id AS item_id, CAST(b.s AS INT) AS "start", CAST(b.n AS INT) AS n_mismatches FROM (SELECT seq, min(b) AS b FROM (
+  SELECT seq, list_min(list_transform(generate_series(0, length(protein) - length(seq)), lambda s: {{'n': hamming(substr(protein, CAST(s AS INT) + 1, length(seq)), seq), 'item_id': item_id, 's': s}})) AS b
+  FROM (SELECT DISTINCT {V.SQL_LETTERS.format('p_name')} AS seq FROM part), {V.SQL_PROTEINS} WHERE length(seq) BETWEEN 1 AND length(protein)) GROUP BY seq) WHERE b.n < length(seq)""")
+def nearest_map(spark, sf_dir):
+    """Each part name at its best place on any benchmark text, with no limit on mismatches."""
+    names = V.table(spark, sf_dir, "part").select(V.letters("p_name").alias("seq"))
+    found = M.nearest_places(names, V.proteins(spark, sf_dir), "item_id")
+    return found.select(F.col("seq").alias("sequence"), "item_id", "start", F.size("mismatches_pos").alias("n_mismatches"))
+
+
 @query(f"""SELECT item_id, '>' || item_id || ' length: ' || length(seq) || ' start: ' || "start" || ' end: ' || ("start" + length(seq)) || ' mismatches: ' || n || printf(' identity: %.2f', (length(seq) - n) / length(seq)) || chr(10) || array_to_string(regexp_extract_all(seq, '.{{1,60}}'), chr(10)) AS record
   FROM (SELECT item_id, seq, b.s AS "start", len(b.wrong) AS n FROM {SQL_PLACES}) WHERE n <= 12 AND (length(seq) - n) / length(seq) >= 0.2""")
 def mapped_fasta_records(spark, sf_dir):

@@ -261,6 +261,20 @@ def test_seeded_places_are_the_places_within_the_limit(spark, most):
         assert (start, list(wrong)) == M.best_place(seq, proteins[i])
 
 
+def test_nearest_places_are_the_best_of_all_pairs(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ABC") for _ in range(rng.randrange(30))) for _ in range(6)] + ["", "ABCA", "ABCA", None]
+    names = ["".join(rng.choice("ABCD") for _ in range(rng.randrange(1, 14))) for _ in range(30)] + ["", None, "ZZZ", "A" * 60, "ABCA", "ABCA"]
+    p = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, protein string")
+    got = M.nearest_places(spark.createDataFrame([(x,) for x in names], "seq string"), p, "id").collect()
+    want = {}
+    for x in {n for n in names if n}:
+        places = [(sum(a != b for a, b in zip(x, t[s : s + len(x)], strict=True)), i, s) for i, t in enumerate(texts) if t for s in range(len(t) - len(x) + 1)]
+        if places and min(places)[0] < len(x):
+            want[x] = min(places)
+    assert {r.seq: (len(r.mismatches_pos), r.id, r.start) for r in got} == want and len(got) == len(want)
+
+
 def test_mapping(spark):
     r = M.map_to_protein(seqs(spark, "ABX", "TOOLONGSEQ", "", "QQQ"), "ZABCABY", 1, 0.6).collect()
     assert [(x.sequence, x.start, x.end, x.mismatches_pos, round(x.identity_score, 4)) for x in r] == [("ABX", 1, 4, [2], 0.6667)]

@@ -739,6 +739,24 @@ for _name in ON_DOCUMENTS:
     ORACLES[f"documents_{_name}"] = ORACLES[_name].replace(V.SQL_PEPTIDES, V.SQL_DOCUMENT_PEPTIDES)
 
 
+# assembly of all sentences of documents. Of k-mers this long few join by chance; with shorter ones most starts reach most ends, so that
+# pairs (and contigs) grow with the square of the sentences whatever finds them.
+
+
+def document_edges(spark, sf_dir, k: int = 32) -> DataFrame:
+    return kept(G.debruijn_edges(G.kmer_rows(V.document_peptides(spark, sf_dir), k).select("kmer")), "edges")
+
+
+@query()
+def documents_dbg_contigs(spark, sf_dir):
+    return G.debruijn_contigs(document_edges(spark, sf_dir))
+
+
+@query()
+def documents_dbg_reach_pairs(spark, sf_dir):
+    return G.reachable_ends(document_edges(spark, sf_dir))
+
+
 # the same over all sentences that aren't empty; the k-mers' length is the only limit
 
 ON_WHOLE = ("assembly_graph_ends", "decontaminate_psms")

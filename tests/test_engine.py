@@ -194,6 +194,54 @@ def test_debruijn_invariants(spark):
         assert {c[i : i + k] for i in range(len(c) - k + 1)} <= known and c[: k - 1] in starts and c[-(k - 1) :] in ends
 
 
+def contigs_by_hand(texts, k):
+    """Of each start and end the path with the fewest branchings, then the alphabetically first: all paths, shorter ones first."""
+    edges = {(t[i : i + k - 1], t[i + 1 : i + k]) for t in texts for i in range(len(t) - k + 1)}
+    out, into = {}, {}
+    for a, b in edges:
+        out.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    inner = {n for n in out if len(out[n]) == 1 and len(into.get(n, [])) == 1}
+    found = {}
+    for start in out.keys() - into.keys():
+        front, seen = {start: start}, {start}
+        while front:
+            ahead = {}
+            for node, text in front.items():
+                if node not in out:
+                    found[start, node] = text
+                for b in out.get(node, []):
+                    longer = text + b[-1]
+                    while b in inner:
+                        b = out[b][0]
+                        longer += b[-1]
+                    if b not in seen:
+                        ahead[b] = min(ahead.get(b, longer), longer)
+            seen |= ahead.keys()
+            front = ahead
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contigs_are_those_of_all_paths(spark, seed):
+    """Short words over few letters: cycles, ways of one length, and ends that many starts reach."""
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("ABC") for _ in range(rng.randint(5, 14))) for _ in range(30)]
+    edges = G.debruijn_edges(G.kmer_rows(seqs(spark, *texts), 6).select("kmer"))
+    wanted = contigs_by_hand(texts, 6)
+    assert len(wanted) > 10
+    assert sorted(map(tuple, G.reachable_ends(edges).collect())) == sorted(wanted)
+    assert column(G.debruijn_contigs(edges)) == sorted(set(wanted.values()))
+
+
+def test_visits_merge_their_tables(spark):
+    runs = []
+    for n in (4, 3, 3, 1, 1, 1):
+        runs = G.appended(runs, n, spark.range(n))
+    assert [n for n, _ in runs] == [n for n, df in runs if df.count() == n] and sum(n for n, _ in runs) == 13
+    assert all(a >= 2 * b for (a, _), (b, _) in zip(runs, runs[1:]))
+
+
 def greedy_by_hand(items, least):
     while True:
         best = {}

@@ -23,6 +23,7 @@ from ..operators import preprocess as R
 from ..operators import scoring as Z
 from ..operators import statistics as S
 from ..operators import suffixes as X
+from ..operators import windows as W
 from ..sources.writers import fasta_text, mapped_description, merged_tables
 from ..store import kept, spread
 from . import assembly, files, sweep
@@ -789,6 +790,16 @@ def documents_maximal_sentences(spark, sf_dir):
 @query(f"""SELECT kmer, count(*) AS n, count(DISTINCT id) AS n_sequences, CAST(min(place) AS INT) AS first_place
 FROM (SELECT id, i - 1 AS place, substr(seq, CAST(i AS INT), 9) AS kmer FROM {V.SQL_DOCUMENT_PEPTIDES}, LATERAL (SELECT unnest(generate_series(1, length(seq) - 8)) AS i) WHERE length(seq) >= 9) GROUP BY kmer""")
 def lateral_kmers(spark, sf_dir):
-    """The 9-mers of all sentences: how often, in how many sentences, and the first place of each."""
+    """The 9-mers of all sentences: how often, in how many sentences, and the first place of each.
+
+    Where an id has one row, counting rows counts ids, and tasks tally them before anything is shuffled; only sentences of repeated ids
+    (doc_ids given twice) take the lateral call and a distinct count.
+    """
     sql_functions.register(spark)
-    return spark.sql("SELECT k.kmer, count(*) AS n, count(DISTINCT r.id) AS n_sequences, min(k.at) AS first_place FROM {rows} r, LATERAL kmer_table(r.seq, 9) k GROUP BY k.kmer", rows=V.document_peptides(spark, sf_dir))
+    rows = V.document_peptides(spark, sf_dir)
+    again = kept(rows.groupBy("id").count().filter("count > 1").select("id"), "repeated")
+    if not again.limit(1).count():
+        return W.window_counts(rows, 9).select(W.spelled("code").alias("kmer"), "n", "n_sequences", "first_place")
+    own = W.window_counts(rows.join(again, "id", "left_anti"), 9).select(W.spelled("code").alias("kmer"), "n", "n_sequences", "first_place")
+    shared = spark.sql("SELECT k.kmer, count(*) AS n, count(DISTINCT r.id) AS n_sequences, min(k.at) AS first_place FROM {rows} r, LATERAL kmer_table(r.seq, 9) k GROUP BY k.kmer", rows=rows.join(again, "id", "left_semi"))
+    return own.unionByName(shared).groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("n_sequences").alias("n_sequences"), F.min("first_place").alias("first_place"))

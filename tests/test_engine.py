@@ -17,6 +17,7 @@ from pepforge.operators import preprocess as R
 from pepforge.operators import scoring as Z
 from pepforge.operators import statistics as S
 from pepforge.operators import suffixes as X
+from pepforge.operators import windows as W
 from pepforge.plans import assembly, catalogue, sweep, views
 from pepforge.sources import readers, writers
 from pepforge.streaming.kmers import streaming_kmer_counts
@@ -617,3 +618,31 @@ def test_short_sentences(spark, tmp_path):
     assert all(rows == by_sql(sf_dir, entry.oracle_sql()[n]) for n, rows in got.items())
     assert {("SHORTWO", "start"), ("ORTWORD", "end"), ("TEXTTHA", "start")} <= set(got["whole_assembly_graph_ends"])
     assert [r[2] for r in got["whole_decontaminate_psms"]] == ["SHORTWORD", "AB", "THISSENTENCEISALONGERONE"]
+
+
+# numbered windows
+
+
+def words_of(seed: int, n: int, letters: str = "ACDZ", most: int = 30) -> list[str]:
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, most))) for _ in range(n)]
+
+
+def test_window_counts(spark):
+    texts = words_of(1, 300)
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "seq string").repartition(3)
+    want = {}
+    for i, t in enumerate(texts):
+        for at in range(len(t) - 3):
+            n, ids, first = want.get(t[at : at + 4], (0, set(), 99))
+            want[t[at : at + 4]] = (n + 1, ids | {i}, min(first, at))
+    found = W.window_counts(rows, 4).select(W.spelled("code").alias("kmer"), "n", "n_sequences", "first_place").collect()
+    assert {r.kmer: (r.n, r.n_sequences, r.first_place) for r in found} == {m: (n, len(ids), first) for m, (n, ids, first) in want.items()}
+
+
+def test_lateral_kmers_of_repeated_ids(spark, tmp_path):
+    """Two documents with one id are one sequence each place; n_sequences counts ids."""
+    docs = [(1, "abcdefghij. abcdefghij"), (1, "abcdefghijk"), (2, "abcdefghi")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.kmer: (r.n, r.n_sequences, r.first_place) for r in catalogue.QUERIES["lateral_kmers"](spark, str(tmp_path)).collect()}
+    assert found == {"ABCDEFGHI": (4, 3, 0), "BCDEFGHIJ": (3, 2, 1), "CDEFGHIJK": (1, 1, 2)}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peptides as P
 from ..store import kept, spread, unsaved
+from . import windows as W
 from .overlap import best_partner, longest_overlaps, overlap_merges, overlaps, without_contained
 from .preprocess import size_over
 
@@ -31,6 +32,12 @@ def debruijn_edges(kmers: DataFrame) -> DataFrame:
     return kmers.select("kmer").distinct().select(F.left("kmer", F.length("kmer") - 1).alias("src"), F.substr("kmer", F.lit(2)).alias("dst"))
 
 
+def letter_edges(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """debruijn_edges of all windows of k letters (A-Z, 12 at most), which are numbers until the distinct ones are spelled."""
+    kmers = W.distinct_windows(seqs, k, seq).select(W.spelled("code").alias("kmer"))
+    return kmers.select(F.left("kmer", F.lit(k - 1)).alias("src"), F.substr("kmer", F.lit(2)).alias("dst"))
+
+
 #: Stands between a group and a node's letters.
 MARK = "|"
 

@@ -117,12 +117,12 @@ PEPTIDE_EDGES = SQL_EDGES.format(DOC_KMERS.format(V.SQL_PEPTIDES).replace("- 7)"
 
 
 def peptide_edges(spark, sf_dir, rows=V.peptides) -> DataFrame:
-    return kept(G.debruijn_edges(G.kmer_rows(rows(spark, sf_dir), 12).select("kmer")), "edges")
+    return kept(G.letter_edges(rows(spark, sf_dir), 12), "edges")
 
 
 @query(f"SELECT src, dst FROM {PEPTIDE_EDGES}")
 def dbg_edges(spark, sf_dir, rows=V.peptides):
-    return G.debruijn_edges(G.kmer_rows(rows(spark, sf_dir), 12).select("kmer"))
+    return G.letter_edges(rows(spark, sf_dir), 12)
 
 
 @query(f"WITH e AS {PEPTIDE_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")

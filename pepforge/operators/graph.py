@@ -38,6 +38,12 @@ def letter_edges(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     return kmers.select(F.left("kmer", F.lit(k - 1)).alias("src"), F.substr("kmer", F.lit(2)).alias("dst"))
 
 
+def letter_degrees(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """degrees of letter_edges, without the edges: an edge enters a node for each letter before it, and leaves it for each after it."""
+    sides = W.neighbours(seqs, k - 1, seq)
+    return sides.select(W.spelled("code").alias("node"), F.bit_count("before").cast("long").alias("n_in"), F.bit_count("after").cast("long").alias("n_out"))
+
+
 #: Stands between a group and a node's letters.
 MARK = "|"
 

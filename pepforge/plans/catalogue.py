@@ -127,7 +127,7 @@ def dbg_edges(spark, sf_dir, rows=V.peptides):
 
 @query(f"WITH e AS {PEPTIDE_EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM e UNION ALL SELECT dst, 1, 0 FROM e) GROUP BY node")
 def dbg_degrees(spark, sf_dir, rows=V.peptides):
-    return G.degrees(peptide_edges(spark, sf_dir, rows))
+    return G.letter_degrees(rows(spark, sf_dir), 12)
 
 
 @query(f"""WITH RECURSIVE e AS {PEPTIDE_EDGES},

@@ -640,6 +640,21 @@ def test_window_counts(spark):
     assert {r.kmer: (r.n, r.n_sequences, r.first_place) for r in found} == {m: (n, len(ids), first) for m, (n, ids, first) in want.items()}
 
 
+def test_windows_are_numbers_in_shuffles(spark):
+    rows = seqs(spark, *words_of(2, 50))
+    for df in (G.letter_edges(rows, 12), G.letter_degrees(rows, 12)):
+        exchanges = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+        assert exchanges and all("hashpartitioning(code#" in line for line in exchanges)
+
+
+@pytest.mark.parametrize("k", [2, 4, 12])
+def test_letter_edges_and_degrees(spark, k):
+    rows = seqs(spark, *words_of(3, 200), "", "A" * 11, "A" * 12, "A" * 13)
+    edges = G.debruijn_edges(G.kmer_rows(rows, k).select("kmer"))
+    assert sorted(map(tuple, G.letter_edges(rows, k).collect())) == sorted(map(tuple, edges.collect()))
+    assert sorted(map(tuple, G.letter_degrees(rows, k).collect())) == sorted(map(tuple, G.degrees(edges).collect()))
+
+
 def test_lateral_kmers_of_repeated_ids(spark, tmp_path):
     """Two documents with one id are one sequence each place; n_sequences counts ids."""
     docs = [(1, "abcdefghij. abcdefghij"), (1, "abcdefghijk"), (2, "abcdefghi")]

@@ -661,3 +661,14 @@ def test_lateral_kmers_of_repeated_ids(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.kmer: (r.n, r.n_sequences, r.first_place) for r in catalogue.QUERIES["lateral_kmers"](spark, str(tmp_path)).collect()}
     assert found == {"ABCDEFGHI": (4, 3, 0), "BCDEFGHIJ": (3, 2, 1), "CDEFGHIJK": (1, 1, 2)}
+
+
+def test_depth_exchanges_borders(spark):
+    """Positions are no rows of an exchange: two borders an interval, however long it is."""
+    rows = spark.createDataFrame([("a", 0, 100_000), ("a", 50_000, 150_000), ("b", 5, 5), ("b", 3, 6), (None, 1, 3)], "g string, start int, end int")
+    found = M.depth(rows, ["g"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Exchange") < plan.rindex("Generate inline")
+    assert found.dtypes == [("g", "string"), ("position", "int"), ("depth", "bigint")]
+    depths = found.groupBy("g", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("least")).collect()
+    assert {(r.g, r.depth): (r.n, r.least) for r in depths} == {("a", 1): (100_000, 0), ("a", 2): (50_000, 50_000), ("b", 1): (3, 3), (None, 1): (2, 1)}

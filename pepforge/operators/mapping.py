@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,26 +194,69 @@ def islands(intervals: DataFrame, keys: list[str], start: str = "start", end: st
     return rows.withColumn("island", island).drop("__low", "__high", "__part", "__new", "__ahead")
 
 
-def tracks(intervals: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", first: int = 1, compat: bool = True) -> DataFrame:
-    """intervals with track, by first fit in the given order within each group (closed intervals), for drawing.
+def first_fit(starts: np.ndarray, ends: np.ndarray, compat: bool) -> np.ndarray:
+    """The tracks, from 0, of one island's closed intervals in their order; an interval with NaN or with its end before its start covers
+    nothing.
 
-    compat: an interval that wholly contains an earlier one doesn't count as meeting it, as in the published figures.
-    Intervals that don't overlap never decide each other's track, so each island of overlapping ones is fitted by itself.
+    Each border keeps the tracks that cover it as the bits of a number, so the first free track is the lowest bit that neither end has.
     """
-    cut = islands(intervals, keys, start, end)
-    schema = T.StructType([*intervals.schema.fields, T.StructField("track", T.IntegerType())])
-
-    def fit(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.drop(columns="island").sort_values([order, start, end]).reset_index(drop=True)
-        rows: list[list[tuple[int, int]]] = []
+    if not compat:
+        rows: list[list[tuple[float, float]]] = []
         out = []
-        for s, e in zip(own[start], own[end], strict=True):
-            meets = lambda t: any(a <= s <= z or a <= e <= z or not compat and s <= a and z <= e for a, z in t)  # noqa: E731, B023
-            k = next((i for i, t in enumerate(rows) if not meets(t)), len(rows))
+        for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+            k = next((i for i, t in enumerate(rows) if not any(a <= s <= z or a <= e <= z or s <= a and z <= e for a, z in t)), len(rows))
             if k == len(rows):
                 rows.append([])
             rows[k].append((s, e))
-            out.append(k + first)
-        return own.assign(track=np.array(out, "int32"))
+            out.append(k)
+        return np.array(out, np.int64)
+    borders = np.unique(np.concatenate([starts, ends]))
+    covering = [0] * (len(borders) + 1)
+    # NaN has a place of its own, which nothing covers
+    at = [np.where(np.isnan(x), len(borders), np.searchsorted(borders, x)).tolist() for x in (starts, ends)]
+    out = []
+    for s, e, known in zip(*at, (~np.isnan(starts + ends)).tolist(), strict=True):
+        taken = covering[s] | covering[e]
+        free = ~taken & (taken + 1)
+        out.append(free.bit_length() - 1)
+        if known:
+            for i in range(s, e + 1):
+                covering[i] |= free
+    return np.array(out, np.int64)
+
 
-    return cut.groupBy(*keys, "island").applyInPandas(fit, schema)
+def tracks(intervals: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", first: int = 1, compat: bool = True) -> DataFrame:
+    """intervals with track, by first fit in the given order within each group (closed intervals), for drawing.
+
+    compat: an interval that wholly contains an earlier one doesn't count as meeting it, as in the published figures.
+    Intervals that don't overlap never decide each other's track, so each island of overlapping ones is fitted by itself: a partition is
+    sorted by islands, and a task holds one island and a batch.
+    """
+    schema = T.StructType([*intervals.schema.fields, T.StructField("track", T.IntegerType())])
+    columns = intervals.columns
+    fitting = Window.partitionBy(*keys, "island").orderBy(*[F.col(c).asc_nulls_last() for c in (order, start, end)])
+    rows = islands(intervals, keys, start, end).withColumn("__place", F.row_number().over(fitting))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fitted(held: list[pa.Table]) -> list[pa.RecordBatch]:
+            own = pa.concat_tables(held)
+            begin = np.flatnonzero(own["__place"].to_numpy() == 1).tolist()
+            s, e = (own[c].to_numpy().astype(float) for c in (start, end))
+            found = [first_fit(s[a:z], e[a:z], compat) for a, z in zip(begin, [*begin[1:], len(own)], strict=True)]
+            track = pa.array(np.concatenate(found) + first, pa.int32())
+            return own.select(columns).append_column("track", track).combine_chunks().to_batches()
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            new = np.flatnonzero(batch["__place"].to_numpy() == 1)
+            table = pa.Table.from_batches([batch])
+            if len(new):  # the islands before the last that begins here are whole
+                if held or new[-1]:
+                    yield from fitted([*held, table.slice(0, new[-1])])
+                held = [table.slice(new[-1])]
+            else:
+                held.append(table)
+        if held:
+            yield from fitted(held)
+
+    return rows.drop("island").mapInArrow(fit, schema)

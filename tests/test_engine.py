@@ -672,3 +672,12 @@ def test_depth_exchanges_borders(spark):
     assert found.dtypes == [("g", "string"), ("position", "int"), ("depth", "bigint")]
     depths = found.groupBy("g", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("least")).collect()
     assert {(r.g, r.depth): (r.n, r.least) for r in depths} == {("a", 1): (100_000, 0), ("a", 2): (50_000, 50_000), ("b", 1): (3, 3), (None, 1): (2, 1)}
+
+
+def test_tracks_keep_no_group_whole(spark):
+    """Islands are cut out of a sorted partition; no group is handed to Python as a whole."""
+    rows = spark.createDataFrame([("a", 1, 0, 5), ("a", 2, 5, 9), ("a", 3, 6, 7), ("b", 4, 9, 2), ("b", 5, 2, 3), ("b", 6, None, 3)], "g string, id long, start int, end int")
+    found = M.tracks(rows, ["g"], "id")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "InArrow" in plan and "FlatMapGroups" not in plan
+    assert {r.id: r.track for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 2}

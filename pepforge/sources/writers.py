@@ -48,6 +48,16 @@ def write_csv(rows: DataFrame, path: str, sep: str = ",", by: list[str] | None =
     rows.write.mode("overwrite").partitionBy(*(by or [])).csv(path, header=True, sep=sep)
 
 
+#: The column of packed tables that names a row's folder.
+FOLDER = "__folder"
+
+
+def write_packed_csv(rows: DataFrame, path: str, folder: Column, sep: str = ",") -> None:
+    """Tables of very many folders in a few delimited files with header: each row bears its folder's name, so that files grow in number
+    with the tasks and not with the folders."""
+    write_csv(rows.select(folder.alias(FOLDER), *rows.columns), path, sep)
+
+
 def merged_tables(*tables: DataFrame) -> DataFrame:
     """All rows, by column name; a table without a column has nulls there."""
     out = tables[0]

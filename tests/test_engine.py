@@ -18,7 +18,7 @@ from pepforge.operators import scoring as Z
 from pepforge.operators import statistics as S
 from pepforge.operators import suffixes as X
 from pepforge.operators import windows as W
-from pepforge.plans import assembly, catalogue, sweep, views
+from pepforge.plans import assembly, catalogue, files, sweep, views
 from pepforge.sources import readers, writers
 from pepforge.streaming.kmers import streaming_kmer_counts
 
@@ -681,3 +681,16 @@ def test_tracks_keep_no_group_whole(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "InArrow" in plan and "FlatMapGroups" not in plan
     assert {r.id: r.track for r in found.collect()} == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1, 6: 2}
+
+
+@pytest.mark.parametrize("name", ["missing_stats"])
+def test_files_grow_with_tasks_not_with_groups(spark, tmp_path, monkeypatch, name):
+    base, many = Path("/root/testdata/sf0.001"), tmp_path / "many"
+    suppliers = spark.read.parquet(f"{base}/supplier.parquet").crossJoin(spark.range(30))
+    suppliers.withColumn("s_suppkey", F.col("s_suppkey") + 1000 * F.col("id")).drop("id").write.parquet(f"{many}/supplier.parquet")
+    items = spark.read.parquet(f"{base}/lineitem.parquet")
+    items.withColumn("l_suppkey", F.col("l_suppkey") + 1000 * F.pmod("l_orderkey", F.lit(30))).write.parquet(f"{many}/lineitem.parquet")
+    monkeypatch.setattr(files, "fresh_path", lambda spark, name: str(tmp_path / "kept" / name))
+    found = catalogue.QUERIES[name](spark, str(many)).count()
+    assert found >= 100
+    assert 0 < len([p for p in (tmp_path / "kept").rglob("part-*") if p.suffix != ".crc"]) <= 20

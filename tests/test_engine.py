@@ -20,6 +20,7 @@ from pepforge.operators import suffixes as X
 from pepforge.operators import windows as W
 from pepforge.plans import assembly, catalogue, files, sweep, views
 from pepforge.sources import readers, writers
+from pepforge.store import shared_dir
 from pepforge.streaming.kmers import streaming_kmer_counts
 
 
@@ -694,3 +695,14 @@ def test_files_grow_with_tasks_not_with_groups(spark, tmp_path, monkeypatch, nam
     found = catalogue.QUERIES[name](spark, str(many)).count()
     assert found >= 100
     assert 0 < len([p for p in (tmp_path / "kept").rglob("part-*") if p.suffix != ".crc"]) <= 20
+
+
+def test_rounds_of_unitigs_leave_one_table(spark):
+    """A chain of 40 edges takes six rounds, of which only the last one's table stays."""
+    rows = seqs(spark, "".join(random.Random(5).sample("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 42)))
+    edges = G.debruijn_edges(G.kmer_rows(rows, 3).select("kmer"))
+    kept_in = Path(shared_dir(spark))
+    before = set(kept_in.iterdir())
+    found = G.unitigs(edges).collect()
+    assert [len(r.label) for r in found] == [40]
+    assert len([p for p in set(kept_in.iterdir()) - before if p.name.startswith("pepforge-")]) == 1

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import peptides as P
 from ..store import kept, spread, unsaved
+from .inside import maximal as maximal  # the same rows as maximal_by_order(), without rounds over all places
 
 #: Sorts before all letters and fills what is missing beyond a sequence's end.
 END = "\x01"
@@ -62,7 +63,7 @@ def after(names: DataFrame) -> DataFrame:
     return found.select("name", F.when(F.col("last").isNull(), F.col("name") + 1).otherwise(F.col("turn")).alias("next")).filter("next IS NOT NULL")
 
 
-def maximal(seqs: DataFrame, seq: str = "seq") -> DataFrame:
+def maximal_by_order(seqs: DataFrame, seq: str = "seq") -> DataFrame:
     """(seq): the distinct sequences that no other one contains, from the order of all their suffixes. The empty sequence is in any other.
 
     A sequence is contained in another one if its whole text ends another one, or if the suffix after it in the order, which isn't its

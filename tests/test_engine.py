@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from pepforge.functions import sql as sql_functions
 from pepforge.operators import cluster as C
 from pepforge.operators import consensus as K
 from pepforge.operators import graph as G
+from pepforge.operators import inside
 from pepforge.operators import mapping as M
 from pepforge.operators import overlap as O
 from pepforge.operators import preprocess as R
@@ -122,6 +124,38 @@ def test_maximal_sequences(spark):
     assert column(X.maximal(seqs(spark, *texts))) == column(O.without_contained(seqs(spark, *texts), seed=2))
 
 
+def nested_texts():
+    """Texts inside each other of lengths about all bounds, with frequent, repeated and periodic parts, and beyond ASCII."""
+    rng = random.Random(11)
+    base = "".join(rng.choices("ab", k=2000))
+    texts = ["ab" * k for k in range(1, 200, 7)] + ["aab" * k + "b" for k in range(1, 150, 5)] + ["é" * k for k in (3, 16, 17, 40)] + ["b" + "ab" * 100, "aé", "a", ""]
+    for n in [1, 3, 7, 8, 15, 16, 31, 32, 33, 63, 64, 65, 127, 128, 129, 300, 700] * 20:
+        i = rng.randrange(1300)
+        texts += [base[i : i + n], base[i : i + n - 1] + "é", "x" + base[i : i + n]]
+    return texts, sorted(t for t in set(texts) if t and not any(t != u and t in u for u in texts))
+
+
+def test_maximal_sequences_of_all_lengths_without_rounds(spark):
+    texts, want = nested_texts()
+    before = len(list(Path(shared_dir(spark).removeprefix("file:")).glob("pepforge-*")))
+    assert column(X.maximal(seqs(spark, *texts))) == want
+    # a table of the texts and none of their places
+    assert len(list(Path(shared_dir(spark).removeprefix("file:")).glob("pepforge-*"))) == before + 1
+    assert column(X.maximal_by_order(seqs(spark, "abab", "aba", "c"))) == ["abab", "c"]
+
+
+def test_maximal_sequences_with_a_full_filter(spark, monkeypatch):
+    texts, want = nested_texts()
+    monkeypatch.setattr(inside, "filter_of", lambda keys, make, n: spark.sparkContext.broadcast(np.full(1 << 16, 255, np.uint8)))
+    assert column(X.maximal(seqs(spark, *texts))) == want
+
+
+def test_sentences_by_bytes(spark, tmp_path):
+    texts = ["One. two\nTWO..x.\n", "", None, "Ünï cödé. ß ſ 12,-\tA\r\nb", "one", "\x00a\x7f.é."]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert set(column(views.document_texts(spark, str(tmp_path)))) == set(column(views.document_peptides(spark, str(tmp_path)).select("seq")))
+
+
 def test_kmer_table(spark):
     sql_functions.register(spark)
     rows = spark.createDataFrame([(1, "ABCD"), (2, "AB"), (3, None), (4, "")], "id long, seq string")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pepforge.functions import peptides as P
 from pepforge.functions import sql as sql_functions
+from pepforge.operators import chains
 from pepforge.operators import cluster as C
 from pepforge.operators import consensus as K
 from pepforge.operators import graph as G
@@ -16,6 +17,7 @@ from pepforge.operators import inside
 from pepforge.operators import mapping as M
 from pepforge.operators import overlap as O
 from pepforge.operators import preprocess as R
+from pepforge.operators import reach
 from pepforge.operators import scoring as Z
 from pepforge.operators import statistics as S
 from pepforge.operators import suffixes as X
@@ -740,3 +742,57 @@ def test_rounds_of_unitigs_leave_one_table(spark):
     found = G.unitigs(edges).collect()
     assert [len(r.label) for r in found] == [40]
     assert len([p for p in set(kept_in.iterdir()) - before if p.name.startswith("pepforge-")]) == 1
+
+
+def overlapping_texts(seed):
+    """Texts of two letters, pieces of them, periodic ones and repeats: junctions, cycles, and paths over several texts."""
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("AB") for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    return [*texts, *(t[i : i + 20] for t in texts for i in range(0, len(t) - 20, 7)), "AB" * 20, "Z" * 30, "ZY" * 9, *texts[:5]]
+
+
+def test_pairs_and_contigs_of_sequences_without_edges(spark):
+    """Neither the edges nor visited nodes are tables."""
+    texts = overlapping_texts(6)
+    wanted = contigs_by_hand(texts, 14)
+    before = set(Path(shared_dir(spark)).iterdir())
+    assert sorted(map(tuple, G.sequence_reach(seqs(spark, *texts, None, ""), 14).collect())) == sorted(wanted)
+    tables = {p.name.split("-")[1] for p in set(Path(shared_dir(spark)).iterdir()) - before}
+    assert "chains" in tables and not tables & {"edges", "inner", "visits", "paths"}
+    assert G.sequence_reach(seqs(spark, "A" * 13), 14).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 12, 13, 31])
+def test_nodes_are_compared_by_all_letters(monkeypatch, n):
+    rng = random.Random(n)
+    letters = np.array([rng.randint(1, 2) for _ in range(300)], np.uint64)
+    word = chains.packed(letters, min(n, chains.WORD))
+    at = np.arange(300 - n + 1)
+    words = [word[at + min(i, n - min(n, chains.WORD))] for i in range(0, n, chains.WORD)]
+    for codes in (chains.mixed, lambda x: x & np.uint64(3)):  # the second gives different nodes the same code
+        monkeypatch.setattr(chains, "mixed", codes)
+        order, new = chains.node_groups(words)
+        groups = [g.tolist() for g in np.split(order, np.flatnonzero(new)[1:])]
+        want = {}
+        for i in at.tolist():
+            want.setdefault(tuple(letters[i : i + n].tolist()), []).append(i)
+        assert sorted(map(sorted, groups)) == sorted(want.values())
+
+
+def test_starts_of_a_component_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(reach, "PART", 50)
+    texts = overlapping_texts(7)
+    wanted = contigs_by_hand(texts, 10)
+    found = G.sequence_reach(seqs(spark, *texts), 10)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted) and len(wanted) > 20
+
+
+def test_components(spark):
+    rng = random.Random(8)
+    edges = {(rng.randrange(100), rng.randrange(100)) for _ in range(60)} | {(i, i + 1) for i in range(200, 260)}
+    least = {n: n for e in edges for n in e}
+    for _ in edges:
+        for a, b in edges:
+            least[a] = least[b] = min(least[a], least[b])
+    found = {r.node: r.component for r in reach.components(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
+    assert found == {n: c for n, c in least.items() if n in found} and {n for e in edges for n in e if e[0] != e[1]} == set(found)

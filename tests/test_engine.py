@@ -796,3 +796,43 @@ def test_components(spark):
             least[a] = least[b] = min(least[a], least[b])
     found = {r.node: r.component for r in reach.components(spark.createDataFrame(list(edges), "src long, dst long")).collect()}
     assert found == {n: c for n, c in least.items() if n in found} and {n for e in edges for n in e if e[0] != e[1]} == set(found)
+
+
+@pytest.mark.parametrize("cells", [1, 300, 1 << 18])
+def test_levels_give_the_first_of_the_shortest_paths(monkeypatch, cells):
+    """Two components at once, as many starts at once as there is room for; a join of all visited pairs isn't needed."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(reach, "CELLS", cells)
+    rows, wanted = [], {}
+    for component, letters in ((3, "ABC"), (9, "XYZ")):
+        rng = random.Random(component)
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(5, 14))) for _ in range(30)]
+        wanted |= contigs_by_hand(texts, 6)
+        edges = sorted({t[i : i + 6] for t in texts for i in range(len(t) - 5)})
+        heads, tails = {e[:-1] for e in edges}, {e[1:] for e in edges}
+        inner = {n for n in heads & tails if sum(e[:-1] == n for e in edges) == 1 == sum(e[1:] == n for e in edges)}
+        number = {n: i for i, n in enumerate(sorted(heads | tails))}
+        for e in edges:
+            if e[:-1] in inner:
+                continue
+            label, at = e[-1], e[1:]
+            while at in inner:
+                at = next(x[1:] for x in edges if x[:-1] == at)
+                label += at[-1]
+            rows.append((component, 0, number[e[:-1]], number[at], label, e[:-1] if e[:-1] not in tails else None, at if at not in heads else None, e[:-1] not in tails))
+    names = ["component", "turn", "src", "dst", "label", "begin", "end", "own"]
+    found = {}
+    for edges in reach.edges_of(iter([pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[:7]]), pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[7:]], schema=pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows]).schema)])):
+        for starts in edges.batches():
+            held = [edges.begins[i].as_py() for i in starts.tolist()]
+            for start, node, before, edge in edges.levels(starts, 100):
+                held = [held[i] + edges.labels[j].decode() for i, j in zip(before.tolist(), edge.tolist())]
+                found |= {(edges.begins[i].as_py(), edges.ends[e].as_py()): h for i, e, h in zip(start.tolist(), edges.end[node].tolist(), held) if e >= 0}
+    assert found == wanted and len(wanted) > 20
+
+
+def test_contigs_of_sequences(spark):
+    texts = overlapping_texts(6)
+    wanted = contigs_by_hand(texts, 14)
+    assert column(G.sequence_contigs(seqs(spark, *texts), 14)) == sorted(wanted.values()) and len(wanted) > 50

@@ -836,3 +836,26 @@ def test_contigs_of_sequences(spark):
     texts = overlapping_texts(6)
     wanted = contigs_by_hand(texts, 14)
     assert column(G.sequence_contigs(seqs(spark, *texts), 14)) == sorted(wanted.values()) and len(wanted) > 50
+
+
+@pytest.mark.parametrize("k", [2, 4, 12, 20])
+def test_degrees_and_edges_of_runs_of_nodes(spark, monkeypatch, k):
+    """Nodes that follow each other share a row of the exchange: it is dealt out by bucket, and its rows are few."""
+    rows = seqs(spark, *words_of(3, 200), "", "A" * 11, "A" * 12, "A" * 13, "A" * 300, None)
+    edges = G.debruijn_edges(G.kmer_rows(rows, k).select("kmer"))
+    found = chains.sequence_degrees(rows, k)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, G.degrees(edges).collect()))
+    assert found.dtypes == G.degrees(edges).dtypes
+    assert sorted(map(tuple, chains.sequence_edges(rows, k, letters=10).collect())) == sorted(map(tuple, edges.collect()))
+    for name in ("documents_dbg_degrees", "documents_dbg_edges"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(bucket#" in plan and "hashpartitioning(code#" not in plan
+
+
+def test_a_large_bucket_is_done_in_turns(monkeypatch):
+    rng = random.Random(4)
+    letters = np.frombuffer(("\0" + "".join(rng.choice("ABC") for _ in range(2000)) + "\0").encode(), np.uint8)
+    whole = sorted(("".join(map(chr, n)), int(b), int(a)) for found in chains.by_node(5, np.array([2002]), letters) for n, b, a in zip(*found))
+    monkeypatch.setattr(chains, "NODES", 100)
+    turns = list(chains.by_node(5, np.array([2002]), letters))
+    assert len(turns) == 9 and sorted(("".join(map(chr, n)), int(b), int(a)) for found in turns for n, b, a in zip(*found)) == whole

@@ -859,3 +859,14 @@ def test_a_large_bucket_is_done_in_turns(monkeypatch):
     monkeypatch.setattr(chains, "NODES", 100)
     turns = list(chains.by_node(5, np.array([2002]), letters))
     assert len(turns) == 9 and sorted(("".join(map(chr, n)), int(b), int(a)) for found in turns for n, b, a in zip(*found)) == whole
+
+
+def test_distinct_texts_travel_packed(spark, monkeypatch):
+    """A row of the exchange is a bucket of texts, not a text."""
+    monkeypatch.setattr(inside, "BUCKET_LETTERS", 16)
+    texts = [*words_of(5, 300, "AB", 6), "", "", "é" * 50, "A" * 5000]
+    rows = seqs(spark, *texts, *texts).select(F.col("seq").cast("binary").alias("seq"))
+    assert sorted(bytes(r.seq) for r in inside.distinct_texts(rows.repartition(3)).collect()) == sorted({t.encode() for t in texts})
+    assert inside.distinct_texts(rows.limit(0)).count() == 0
+    plan = inside.distinct_texts(rows, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bucket#" in plan and "hashpartitioning(seq#" not in plan

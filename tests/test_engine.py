@@ -870,3 +870,14 @@ def test_distinct_texts_travel_packed(spark, monkeypatch):
     assert inside.distinct_texts(rows.limit(0)).count() == 0
     plan = inside.distinct_texts(rows, 10)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(bucket#" in plan and "hashpartitioning(seq#" not in plan
+
+
+def test_filters_hold_the_bits_of_all_tasks(spark):
+    texts = sorted({t for t in words_of(9, 3000, "ABCD", 31) if t})
+    rows = seqs(spark, *texts).select("id", F.col("seq").cast("binary").alias("seq")).repartition(5)
+    held = inside.filter_of(rows, inside.short_keys, 2 * len(texts)).value
+    letters = np.frombuffer("".join(texts).encode(), np.uint8)
+    keys = np.concatenate(list(inside.short_keys(iter([inside.Block(np.arange(len(texts)), letters, np.array([len(t) for t in texts]))]))))
+    want = np.zeros(8 * len(held), bool)
+    want[np.concatenate(inside.bits(keys, len(want)))] = True
+    assert (np.packbits(want, bitorder="little") == held).all() and want.sum() > 5000
